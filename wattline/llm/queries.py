@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wattline.llm.ann import search_multi_index
+from wattline.llm.exactknn import exact_top_k
 from wattline.llm.langid import identify_language
 from wattline.llm.packing import pack_by_powers_of_two
 from wattline.llm.runtime import documents
 from wattline.llm.sharding import shard_by_sampled_splitters
 
 
+def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_multi_index(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(documents(spark, sf_dir))
 
@@ -22,10 +28,16 @@ def op6_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_by_powers_of_two(documents(spark, sf_dir))
 
 
+def op8_pivot_distance_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
+
+
 QUERIES = {
+    "op2_inverted_multi_index": op2_inverted_multi_index,
     "op4_language_id": op4_language_id,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_power_of_two_packing": op6_power_of_two_packing,
+    "op8_pivot_distance_top_k": op8_pivot_distance_top_k,
 }
 
 ORACLES: dict[str, str] = {}
