@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wattline.llm.ann import search_multi_index
 from wattline.llm.exactknn import exact_top_k
 from wattline.llm.langid import identify_language
+from wattline.llm.linededup import remove_repeated_lines
 from wattline.llm.packing import pack_by_powers_of_two
 from wattline.llm.runtime import documents
 from wattline.llm.sharding import shard_by_sampled_splitters
@@ -32,12 +34,19 @@ def op8_pivot_distance_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the lines removed, by number, and the digest of the text that stays."""
+    out = remove_repeated_lines(documents(spark, sf_dir))
+    return out.select("doc_id", F.size("removed").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), F.length("text").alias("kept_chars"), F.crc32(F.col("text").cast("binary")).alias("kept_crc32"))
+
+
 QUERIES = {
     "op2_inverted_multi_index": op2_inverted_multi_index,
     "op4_language_id": op4_language_id,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_power_of_two_packing": op6_power_of_two_packing,
     "op8_pivot_distance_top_k": op8_pivot_distance_top_k,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}
