@@ -9,6 +9,7 @@ from wattline.llm.ann import search_multi_index
 from wattline.llm.exactknn import exact_top_k
 from wattline.llm.langid import identify_language
 from wattline.llm.linededup import remove_repeated_lines
+from wattline.llm.neardup import near_duplicate_classes
 from wattline.llm.packing import pack_by_powers_of_two
 from wattline.llm.runtime import documents
 from wattline.llm.sharding import shard_by_sampled_splitters
@@ -40,6 +41,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("removed").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), F.length("text").alias("kept_chars"), F.crc32(F.col("text").cast("binary")).alias("kept_crc32"))
 
 
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its class, named by the smallest id in it, and whether it is the one that stays."""
+    out = near_duplicate_classes(documents(spark, sf_dir))
+    return out.select(F.col("doc").alias("doc_id"), "class_id", (F.col("doc") == F.col("class_id")).alias("stays"), "n_shingles")
+
+
 QUERIES = {
     "op2_inverted_multi_index": op2_inverted_multi_index,
     "op4_language_id": op4_language_id,
@@ -47,6 +54,7 @@ QUERIES = {
     "op6_power_of_two_packing": op6_power_of_two_packing,
     "op8_pivot_distance_top_k": op8_pivot_distance_top_k,
     "op9_line_dedup": op9_line_dedup,
+    "op10_dart_minhash": op10_dart_minhash,
 }
 
 ORACLES: dict[str, str] = {}
