@@ -13,6 +13,7 @@ from wattline.llm.neardup import near_duplicate_classes
 from wattline.llm.packing import pack_by_powers_of_two
 from wattline.llm.runtime import documents
 from wattline.llm.sharding import shard_by_sampled_splitters
+from wattline.llm.substring import dedup_substrings
 
 
 def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +32,12 @@ def op6_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_by_powers_of_two(documents(spark, sf_dir))
 
 
+def op7_content_defined_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: what was cut out as a repeated passage, and the digest of the text that stays."""
+    out = dedup_substrings(documents(spark, sf_dir))
+    return out.select("doc_id", "chunks", "repeated_bytes", F.size("spans").alias("n_spans"), F.to_json("spans").alias("spans"), F.crc32(F.col("text").cast("binary")).alias("kept_crc32"))
+
+
 def op8_pivot_distance_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50)
 
@@ -52,6 +59,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_power_of_two_packing": op6_power_of_two_packing,
+    "op7_content_defined_chunks": op7_content_defined_chunks,
     "op8_pivot_distance_top_k": op8_pivot_distance_top_k,
     "op9_line_dedup": op9_line_dedup,
     "op10_dart_minhash": op10_dart_minhash,
