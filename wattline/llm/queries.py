@@ -9,6 +9,7 @@ from wattline.llm.ann import search_multi_index
 from wattline.llm.exactknn import exact_top_k
 from wattline.llm.langid import identify_language
 from wattline.llm.linededup import remove_repeated_lines
+from wattline.llm.mixing import schedule_mix
 from wattline.llm.neardup import near_duplicate_classes
 from wattline.llm.packing import pack_by_powers_of_two
 from wattline.llm.runtime import documents
@@ -20,6 +21,11 @@ def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_multi_index(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20, every=20)
 
 
+def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its block, the block's window and slot, and the document's place in the mixture."""
+    return schedule_mix(documents(spark, sf_dir)).drop("doc")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(documents(spark, sf_dir))
 
@@ -56,6 +62,7 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_inverted_multi_index": op2_inverted_multi_index,
+    "op3_pfair_mix": op3_pfair_mix,
     "op4_language_id": op4_language_id,
     "op5_sampled_splitters": op5_sampled_splitters,
     "op6_power_of_two_packing": op6_power_of_two_packing,
