@@ -138,7 +138,8 @@ def identify_language(docs: DataFrame, max_rows: int = 20_000, orders: tuple[int
     quarter whose crc32 of the id as text leaves 2 on division by 4); a
     prediction looks at nothing but the text. ``score`` is the posterior of the
     predicted language. The broadcast model holds ``2**bits`` floats a language,
-    whatever the input's size. ``carry`` names columns of ``docs`` to keep.
+    whatever the input's size. With ``carry``, the columns of ``docs`` named there
+    come instead of doc_id and held_out; ones called lang_pred or score are replaced.
 
     A null text, a text without letters, and any text when nothing could be
     learned give ``und`` with score 0; ties go to the first language in
@@ -147,11 +148,12 @@ def identify_language(docs: DataFrame, max_rows: int = 20_000, orders: tuple[int
     """
     spark = session_of(docs)
     ship(spark)
+    carry = carry and [c for c in carry if c not in ("lang_pred", "score")]
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     langs, prior, table = train(labelled, max_rows, orders, bits)
     model = spark.sparkContext.broadcast((langs, prior, table))
-    kept = docs.select(*[docs[c] for c in (carry or ["doc_id"])], *([] if carry is None or "text" in carry else [docs["text"]]), *([docs["text"]] if carry is None else []))
-    names = [c for c in (carry or ["doc_id"])]
+    names = carry or ["doc_id"]
+    kept = docs.select(*dict.fromkeys([*names, "text"]))
     fields = [kept.schema[c] for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

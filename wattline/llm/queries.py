@@ -15,6 +15,11 @@ from wattline.llm.packing import pack_by_powers_of_two
 from wattline.llm.runtime import documents
 from wattline.llm.sharding import shard_by_sampled_splitters
 from wattline.llm.substring import dedup_substrings
+from wattline.llm.toxicity import score_toxicity
+
+
+def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +66,7 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_inverted_multi_index": op2_inverted_multi_index,
     "op3_pfair_mix": op3_pfair_mix,
     "op4_language_id": op4_language_id,
