@@ -25,10 +25,9 @@ BETWEEN = " .-_*"
 # Costs of the channel, in nats.
 SUBSTITUTED, LITERAL, DROPPED, BROKEN, SQUEEZED = 1.0, 6.0, 0.5, 2.0, 1.0
 
-_PIECES = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*](?:[^\W_]|[@$!|+])(?![^\W_])){2,}|[^\W_]*(?:[0-9@$!|+€£¡]+[^\W\d_]+)+[0-9@$]?|[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*")
+_PIECES = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$])(?:[ .\-_*](?:[^\W_]|[@$])(?![^\W_])){2,}|[^\W_]*(?:[0-9@$!|+€£¡]+[^\W\d_]+)+[0-9@$]?|[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*")
 _LEET_BYTE = np.zeros(256, dtype=bool)
 _LEET_BYTE[[ord(c) for c in LEET if ord(c) < 128]] = True
-_LEET_BYTE[[0xAC, 0xA3, 0xA1]] = True
 _LETTER_BYTE = np.zeros(256, dtype=bool)
 _LETTER_BYTE[ord("a") : ord("z") + 1] = True
 _LETTER_BYTE[128:] = True
@@ -157,36 +156,71 @@ class Restorer:
         return _PIECES.sub(lambda m: self.decode(m[0]), text)
 
 
-def _suspicious(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per text: could it hold a piece that decodes to anything but itself."""
-    if len(data) < 3:
-        return np.ones(len(offsets) - 1, dtype=bool)
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches that could hold a piece that decodes to anything but itself.
+
+    These are blank-free runs with leetspeak before a letter or with a letter
+    three times in a row, and runs of single characters one byte apart.
+    """
+    none = np.zeros(0, np.int64)
+    if len(data) == 0:
+        return none, none
     letter, leet = _LETTER_BYTE[data], _LEET_BYTE[data]
+    # The last bytes of the two- and three-byte characters of the table.
+    leet[1:] |= (data[:-1] == 0xC2) & ((data[1:] == 0xA3) | (data[1:] == 0xA1))
+    leet[2:] |= (data[:-2] == 0xE2) & (data[1:-1] == 0x82) & (data[2:] == 0xAC)
     hit = np.zeros(len(data), dtype=bool)
     hit[:-1] = leet[:-1] & letter[1:]
     hit[:-2] |= (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:]) & letter[:-2]
-    # Three non-ASCII letters in a row that are the same two bytes each.
-    if len(data) > 6:
+    if len(data) > 5:  # the same two-byte letter three times
         two = data[:-1].astype(np.int32) << 8 | data[1:]
-        hit[:-5] |= (two[:-4] == two[2:-2]) & (two[2:-2] == two[4:]) & (data[:-5] >= 128)
-    gap = ~(letter | leet)
-    alone = np.zeros(len(data), dtype=bool)
-    alone[:-4] = ~gap[:-4] & gap[1:-3] & ~gap[2:-2] & gap[3:-1] & ~gap[4:]
-    alone[:-5] |= (data[:-5] >= 128) & gap[2:-3] & ~gap[3:-2]  # a two-byte letter may stand alone, too
-    hit |= alone
-    run = np.concatenate(([0], np.cumsum(hit)))
-    return run[offsets[1:]] > run[offsets[:-1]]
+        hit[:-5] |= (two[:-4] == two[2:-2]) & (two[2:-2] == two[4:]) & (data[:-5] >= 0xC0)
+    blank = np.unique(np.concatenate((np.flatnonzero(data <= 32), offsets)))
+    at = np.flatnonzero(hit)
+    left = blank[np.searchsorted(blank, at, side="right") - 1]
+    right = blank[np.minimum(np.searchsorted(blank, at, side="right"), len(blank) - 1)]
+    starts, ends = np.where(data[left] <= 32, left + 1, left), right
+    # Single characters, one byte apart, three or more.
+    full = letter | (leet & ~np.isin(data, [ord(c) for c in "!|+"]))
+    before = np.concatenate(([False], full[:-1]))
+    before[offsets[:-1][offsets[:-1] < len(data)]] = False
+    after = np.concatenate((full[1:], [False]))
+    last = offsets[1:-1] - 1
+    after[last[last >= 0]] = False
+    s, e = np.flatnonzero(full & ~before), np.flatnonzero(full & ~after) + 1
+    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    one = chars[e] - chars[s] == 1
+    text = np.searchsorted(offsets, s, side="right")
+    next_to = np.zeros(len(s) + 1, dtype=bool)
+    if len(s) > 1:
+        next_to[1:-1] = one[1:] & one[:-1] & (s[1:] - e[:-1] == 1) & (text[1:] == text[:-1])
+    head = np.flatnonzero(one & ~next_to[:-1] & next_to[1:])
+    tail = np.flatnonzero(one & next_to[:-1] & ~next_to[1:])
+    long = tail - head >= 2
+    return np.concatenate((starts, s[head[long]])), np.concatenate((ends, e[tail[long]]))
 
 
 def restored(texts: pa.Array, restorer: Restorer) -> pa.Array:
-    """Lower-case texts with obfuscations undone; only suspicious texts are decoded."""
+    """Lower-case texts with obfuscations undone; only suspicious stretches are decoded."""
     low = pc.utf8_lower(pc.fill_null(texts, ""))
-    flags = _suspicious(*buffers(low))
-    if not flags.any():
+    data, offsets = buffers(low)
+    starts, ends = _pieces(data, offsets)
+    if len(starts) == 0:
         return low
-    values = low.to_pylist()
-    for i in np.flatnonzero(flags):
-        values[i] = restorer.restore(values[i])
+    order = np.lexsort((ends, starts))
+    starts, ends = starts[order], ends[order]
+    top = np.maximum.accumulate(ends)
+    new = np.ones(len(starts), dtype=bool)
+    new[1:] = starts[1:] >= top[:-1]
+    starts, ends = starts[new], np.maximum.reduceat(ends, np.flatnonzero(new))
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    raw, values = data.tobytes(), low.to_pylist()
+    for i in np.unique(text):
+        out, last = [], int(offsets[i])
+        for a, b in zip(starts[text == i].tolist(), ends[text == i].tolist()):
+            out += [raw[last:a], restorer.restore(raw[a:b].decode()).encode()]
+            last = b
+        values[i] = b"".join([*out, raw[last : offsets[i + 1]]]).decode()
     return pa.array(values, low.type)
 
 
