@@ -13,8 +13,12 @@ NUMERIC = "^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|DOUBLE|FLOAT)"
 INTEGRAL = ("TINYINT", "SMALLINT", "INT", "BIGINT")
 
 
-def _pick(kind: str, field: str) -> Column:
-    return F.try_variant_get(F.col("_v"), f"$.{field}", kind)
+def _taken(v: Column) -> Column:
+    """All that the rules look at, out of one variant."""
+    pick = lambda kind, f: F.try_variant_get(v, f"$.{f}", kind)
+    types = [F.schema_of_variant(pick("variant", f)).alias(f"_type_{f}") for f in FIELDS]
+    texts = [pick("string", f).alias(f"_text_{f}") for f in FIELDS]
+    return F.struct(*types, *texts, pick("double", "meter_reading").alias("_number"), pick("bigint", "timestamp").alias("_millis"), pick("bigint", "sim_publish_ts").alias("_published"))
 
 
 def with_fields(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -27,7 +31,8 @@ def with_fields(df: DataFrame, payload: str = "payload") -> DataFrame:
     marked = F.regexp_replace(F.col(payload), r':\s*(NaN|[-+]?Infinity)\s*([,}])', ':"#$1"$2')
     parsed_once = df.withColumn("_v", F.try_parse_json(marked))
     parsed_once = parsed_once.withColumn("_v", F.when(F.schema_of_variant("_v").startswith("OBJECT"), F.col("_v")))
-    taken = parsed_once.withColumns({f"_type_{f}": F.schema_of_variant(_pick("variant", f)) for f in FIELDS} | {f"_text_{f}": _pick("string", f) for f in FIELDS} | {"_number": _pick("double", "meter_reading"), "_millis": _pick("bigint", "timestamp"), "_published": _pick("bigint", "sim_publish_ts")})
+    # Inside a lambda: the code that variants generate is too large for one compiled method.
+    taken = parsed_once.withColumn("_f", F.transform(F.array("_v"), _taken)[0]).select("*", "_f.*").drop("_f")
     text, kind = F.col("_text_timestamp"), F.col("_type_timestamp")
     iso = F.when(text.rlike(r"^\d{4}-\d\d-\d\d"), text.try_cast("timestamp"))
     return taken.withColumn("_when", F.when(kind == "STRING", iso).when(kind.isin(*INTEGRAL), F.timestamp_millis("_millis")))
