@@ -48,7 +48,7 @@ def texts():
     rows, at = [], 0
     for _ in range(25):
         base = [rng.choice(words) for _ in range(rng.choice([2, 4, 5, 30, 120, 300]))]
-        for _ in range(rng.choice([1, 2, 6])):
+        for _ in range(rng.choice([1, 2, 6, 12])):
             text = list(base)
             for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
                 text[rng.randrange(len(text))] = rng.choice(words)
@@ -58,7 +58,7 @@ def texts():
 
 
 def test_classes_against_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "GROUP", 3)
+    monkeypatch.setattr(neardup, "GROUP_ROWS", 3)
     rows = texts()
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, class_id string, n int").repartition(3)
     out = {r["doc"]: r["class_id"] for r in near_duplicate_classes(docs, bands=50).collect()}

@@ -8,15 +8,21 @@ from pyspark.sql import functions as F
 from wattline.llm.runtime import checkpointed
 
 
+def _digest(links: DataFrame) -> tuple[int, int]:
+    row = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+    return row[0], int(row[1] or 0)
+
+
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(v, c): each node of ``links`` (columns a, b) with the smallest node of its component.
 
     Rounds of the alternating star contraction (every node's larger neighbours,
     then its smaller ones, are linked to its smallest neighbour) until the links
-    no longer change; each component ends as a star around its smallest node.
+    (their number and the sum of their hashes) no longer change; each component ends as a star around its smallest node.
     """
     now = checkpointed(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    for _ in range(most_rounds):
+    seen = _digest(now)
+    for _ in range(most_rounds if seen[0] else 0):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # Larger neighbours (and the node itself) to the smallest neighbour.
@@ -25,9 +31,8 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b")
         new = checkpointed(small.select(F.col("m").alias("a"), "b").unionByName(small.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct())
-        same = now.count() == new.count() and now.exceptAll(new).isEmpty()
-        now = new
-        if same:
+        now, before, seen = new, seen, _digest(new)
+        if seen == before:
             break
     heads = now.select(F.col("a").alias("v"), F.col("a").alias("c")).distinct()
     return now.groupBy(F.col("b").alias("v")).agg(F.min("a").alias("c")).unionByName(heads).groupBy("v").agg(F.min("c").alias("c"))

@@ -16,7 +16,8 @@ from wattline.llm.textkit import as_array, mix, shingle_hashes, slices, word_has
 
 U64 = np.uint64
 LOWEST = -8
-GROUP = 4096
+GROUP_ROWS = 4096
+GROUP_BYTES = 16 << 20
 _POISSON: dict[int, np.ndarray] = {}
 
 
@@ -105,6 +106,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator
 
 
 def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """(band, no, v, n): the bucket of each band of a text's signature, the band's number, the text and its shingles."""
     for batch in batches:
         docs = np.asarray(batch.column("doc"))
         if len(docs) == 0:
@@ -113,7 +115,8 @@ def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator
         key = np.zeros((len(docs), bands), dtype=U64) + np.arange(bands, dtype=U64)
         for r in range(rows):
             key = mix(key * U64(0x9E3779B97F4A7C15) + sig[:, r : bands * rows : rows])
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(docs, bands), pa.int64())], names=["band", "v"])
+        columns = [key.ravel().view(np.int64), np.tile(np.arange(bands, dtype=np.int8), len(docs)), np.repeat(docs, bands), np.repeat(np.asarray(batch.column("n")), bands)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["band", "no", "v", "n"])
 
 
 def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -125,21 +128,51 @@ def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
         yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
 
 
-def _across(table: pa.Table, least: float) -> pa.Table:
-    """Likely pairs of one bucket that lie in different components."""
+def _across(table: pa.Table, likely: float, threshold: float, bands: int, rows: int) -> pa.Table:
+    """Links between different components found in one bucket, no more than tie these together.
+
+    All likely pairs across components are verified on their whole multisets, in
+    the first bucket that they share and until a link joins their components.
+    """
     table = table.combine_chunks()
     v, c, part = (np.asarray(table[x]) for x in ("v", "c", "part"))
-    i0, j0 = table["i"][0].as_py(), table["j"][0].as_py()
+    i0, j0, no = (table[x][0].as_py() for x in ("i", "j", "no"))
     sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(len(v), -1)
+    sets = [np.frombuffer(x, U64) for x in table["ids"].to_pylist()]
+    sizes = np.array([len(x) for x in sets])
+    names, of = np.unique(c, return_inverse=True)
+    parent = np.arange(len(names))
+
+    def roots(x: np.ndarray) -> np.ndarray:
+        up = parent[x]
+        while (up != parent[up]).any():
+            up = parent[up]
+        return up
+
     left, right = np.flatnonzero(part == i0), np.flatnonzero(part == j0)
-    out_a, out_b = [], []
+    out: list[tuple[int, int]] = []
     for x in left:
-        y = right[(c[right] != c[x]) & ((v[right] > v[x]) if i0 == j0 else True)]
-        y = y[(sig[y] == sig[x]).mean(axis=1) >= least] if len(y) else y
-        out_a.append(np.minimum(v[x], v[y]))
-        out_b.append(np.maximum(v[x], v[y]))
-    flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pa.table([pa.array(flat(out_a), pa.int64()), pa.array(flat(out_b), pa.int64())], names=["a", "b"])
+        own = roots(of[x : x + 1])[0]
+        y = right[(v[right] > v[x]) if i0 == j0 else np.ones(len(right), bool)]
+        y = y[roots(of[y]) != own]
+        same = sig[y] == sig[x]
+        ok = same.mean(axis=1) >= likely
+        y, same = y[ok], same[ok]
+        if len(y) == 0:
+            continue
+        first = same[:, : bands * rows].reshape(len(y), bands, rows).all(axis=2).argmax(axis=1)
+        y = y[first == no]
+        if len(y) == 0:
+            continue
+        flat, ends = np.concatenate([sets[k] for k in y]), np.cumsum(sizes[y])
+        hit = sets[x][np.minimum(np.searchsorted(sets[x], flat), sizes[x] - 1)] == flat
+        common = np.add.reduceat(hit, ends - sizes[y])
+        for k in y[common >= threshold * (sizes[x] + sizes[y] - common) - 1e-9]:
+            a, b = roots(of[[x, k]])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((min(v[x], v[k]), max(v[x], v[k])))
+    return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
 def _flags(nodes: DataFrame, bits: int = 21) -> np.ndarray:
@@ -176,12 +209,16 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _sets(nodes: DataFrame, narrow: DataFrame, width: int) -> DataFrame:
+    """(v, ids): the sorted regions of the texts in ``nodes`` and, the filter being what it is, of a few others."""
+    flags = narrow.sparkSession.sparkContext.broadcast(_flags(nodes))
+    slotted = narrow.withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(len(flags.value))))
+    return slotted.mapInArrow(lambda it: _fetch(it, flags.value, width), "v long, ids binary").dropDuplicates(["v"])
+
+
 def _links(pairs: DataFrame, narrow: DataFrame, threshold: float, width: int) -> DataFrame:
     """Those of the ``pairs`` whose weighted Jaccard similarity, exactly, reaches the threshold."""
-    spark = pairs.sparkSession
-    flags = spark.sparkContext.broadcast(_flags(pairs.select(F.explode(F.array("a", "b")).alias("v"))))
-    slotted = narrow.withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(len(flags.value))))
-    sets = slotted.mapInArrow(lambda it: _fetch(it, flags.value, width), "v long, ids binary").dropDuplicates(["v"])
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("v")), narrow, width)
     met = pairs.join(sets.select(F.col("v").alias("a"), F.col("ids").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("ids").alias("y")), "b")
     return checkpointed(met.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, threshold), "a long, b long"))
 
@@ -198,8 +235,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, width: int =
     ``bands * rows`` coordinates put texts into band buckets. In each bucket all
     are compared with its smallest member; then, in buckets that still touch
     several components, all pairs across components are, in pieces of bounded
-    size. Candidate pairs whose signatures agree in the share ``likely`` are
-    verified on whole shingle multisets. At similarity 0.8 and the defaults a
+    size, until a link joins them; what leaves a bucket are links, never pairs.
+    Candidate pairs whose signatures agree in the share ``likely`` are verified
+    on whole shingle multisets. At similarity 0.8 and the defaults a
     pair shares a bucket with probability 0.99995, and the estimate falls below
     ``likely`` with probability under 1e-6.
 
@@ -211,9 +249,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, width: int =
     ship(docs.sparkSession)
     narrow = docs.select(_doc_key(docs).alias("doc"), "text")
     sketches = checkpointed(narrow.mapInArrow(lambda it: _sketches(it, width, bands * rows), "doc long, n long, a long, b long, sig binary"))
-    merged = checkpointed(sketches.where("n > 0").groupBy("a", "b").agg(F.min("doc").alias("doc"), F.first("sig").alias("sig")))
-    banded = checkpointed(merged.select("doc", "sig").mapInArrow(lambda it: _bands(it, bands, rows), "band long, v long"))
-    centres = banded.groupBy("band").agg(F.min("v").alias("m"), F.count("*").alias("size")).where("size > 1")
+    merged = checkpointed(sketches.where("n > 0").groupBy("a", "b").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    banded = checkpointed(merged.select("doc", "n", "sig").mapInArrow(lambda it: _bands(it, bands, rows), "band long, no byte, v long, n long"))
+    centres = banded.groupBy("band").agg(F.min("v").alias("m"), F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
     signed = merged.select(F.col("doc").alias("v"), "sig")
     stars = banded.join(centres, "band").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
     rated = stars.join(signed.select(F.col("v").alias("a"), F.col("sig").alias("sx")), "a").join(signed.select(F.col("v").alias("b"), F.col("sig").alias("sy")), "b")
@@ -221,17 +259,24 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, width: int =
     links = _links(pairs, narrow, threshold, width)
     classes = checkpointed(components(links))
     # What a bucket's smallest member does not tie together: all pairs across components.
-    labelled = banded.join(centres.select("band", "size"), "band").join(classes, "v", "left").select("band", "v", "size", F.coalesce("c", "v").alias("c"))
+    labelled = banded.join(centres.select("band", "size", "weight"), "band").join(classes, "v", "left").select("band", "no", "v", "size", "weight", F.coalesce("c", "v").alias("c"))
     mixed = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
-    pieces = F.ceil(F.col("size") / GROUP).cast("int")
-    own = F.pmod(F.xxhash64("v", F.lit(5)), F.col("pieces")).cast("int")
-    split = labelled.join(mixed, "band").withColumn("pieces", pieces).withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    split = split.select("band", "v", "c", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    crossed = split.join(signed, "v").groupBy("band", "i", "j").applyInArrow(lambda t: _across(t, likely), "a long, b long")
-    more = checkpointed(crossed.distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(_links(more, narrow, threshold, width))
-        classes = checkpointed(components(links))
+    pieces = F.greatest(F.ceil(F.col("size") / GROUP_ROWS), F.ceil(F.col("weight") * 8 / GROUP_BYTES)).cast("int")
+    members = checkpointed(labelled.join(mixed, "band").withColumn("pieces", pieces).drop("size", "weight"))
+    if not members.isEmpty():
+        own = F.pmod(F.xxhash64("v", F.lit(5)), F.col("pieces")).cast("int")
+        split = members.withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        split = split.select("band", "no", "v", "c", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        sets = _sets(members.select("v"), narrow, width)
+        crossed = split.join(signed, "v").join(sets, "v").groupBy("band", "i", "j").applyInArrow(lambda t: _across(t, likely, threshold, bands, rows), "a long, b long")
+        more = checkpointed(crossed.distinct())
+        if not more.isEmpty():
+            # Between the components so far: a far smaller graph.
+            at = lambda k: classes.select(F.col("v").alias(k), F.col("c").alias(f"c{k}"))
+            between = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            joined = checkpointed(components(between))
+            old = classes.join(joined.select(F.col("v").alias("c"), F.col("c").alias("to")), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
+            classes = checkpointed(old.unionByName(joined).groupBy("v").agg(F.min("c").alias("c")))
     of_text = merged.select("a", "b", "doc").join(classes, merged["doc"] == classes["v"], "left").select("a", "b", F.coalesce("c", "doc").alias("class_id"))
     # A class is named by the smallest key among all its documents, which is that of a merged text.
     return sketches.join(of_text, ["a", "b"], "left").select("doc", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc")).alias("class_id"), F.col("n").alias("n_shingles"))
