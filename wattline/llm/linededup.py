@@ -11,12 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.runtime import checkpointed, ship, task_count
+from wattline.llm.runtime import checkpointed, release, ship, task_count
 from wattline.llm.textkit import as_array, buffers, mix, slices, span_hash, word_spans
 
 U64 = np.uint64
 RARITY_BITS = 18
-PLACE = "xd long, xl int, yd long, yl int, more boolean"
+FOUND = "xd long, xl int, yd long, yl int, differ int, token long"
 
 
 def _ceil(share: Fraction, n: np.ndarray) -> np.ndarray:
@@ -47,23 +47,38 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa
 
 
 def _token_sets(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (line, word) pairs, sorted; words are told apart by 40 bits of their hashes."""
-    key = np.sort((line.astype(U64) << U64(40)) | (words >> U64(24)))
+    """Distinct (line, word) pairs, sorted; words are told apart by 32 bits of their hashes."""
+    key = np.sort((line.astype(U64) << U64(32)) | (words >> U64(32)))
     keep = np.ones(len(key), dtype=bool)
     keep[1:] = key[1:] != key[:-1]
     key = key[keep]
-    return key & U64((1 << 40) - 1), (key >> U64(40)).astype(np.int64)
+    return key.astype(np.uint32), (key >> U64(32)).astype(np.int64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts of this partition by hash bucket, in 64 chunks."""
-    counts = np.zeros(1 << RARITY_BITS, np.int64)
-    for _, texts in _batches(batches):
-        words, *_ = _line_words(texts)
-        counts += np.bincount((words >> U64(64 - RARITY_BITS)).astype(np.int64), minlength=len(counts))
-    chunks = [c.astype(np.uint32) for c in np.split(counts, 64)]
+SCAN = "doc long, line int, a long, b long, chunk int, counts binary"
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass for two things: (doc, line, a, b), the digest of every line's word set, and this partition's word counts.
+
+    The counts, by hash bucket, come at the end as up to 64 rows of (chunk, counts).
+    """
+    totals = np.zeros(1 << RARITY_BITS, np.int64)
+    names = ["doc", "line", "a", "b", "chunk", "counts"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    for docs, texts in _batches(batches):
+        words, line, text, number = _line_words(texts)
+        totals += np.bincount((words >> U64(64 - RARITY_BITS)).astype(np.int64), minlength=len(totals))
+        if len(text) == 0:
+            continue
+        w, k = _token_sets(words, line)
+        firsts, w = np.searchsorted(k, np.arange(len(text))), w.astype(U64)
+        a, b = (np.add.reduceat(mix(w + U64(c)), firsts).view(np.int64) for c in (0xA5A5A5A5A5A5A5A5, 0x51ED270B00000000))
+        columns = [docs[text], number.astype(np.int32), a, b]
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, kinds)], *[pa.nulls(len(text), t) for t in kinds[4:]]], names=names)
+    chunks = [c.astype(np.uint32) for c in np.split(totals, 64)]
     used = [i for i, c in enumerate(chunks) if c.any()]
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunks[i].tobytes() for i in used], pa.binary())], names=["chunk", "counts"])
+    yield pa.RecordBatch.from_arrays([*[pa.nulls(len(used), t) for t in kinds[:4]], pa.array(used, pa.int32()), pa.array([chunks[i].tobytes() for i in used], pa.binary())], names=names)
 
 
 def _sum(table: pa.Table) -> pa.Table:
@@ -71,25 +86,14 @@ def _sum(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([table["chunk"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
+def rarity(scan: DataFrame) -> np.ndarray:
     """For each word-hash bucket, 0 (rarest) to 255 by the logarithm of its count over all documents."""
     counts = np.zeros((64, (1 << RARITY_BITS) // 64), np.int64)
-    for r in docs.mapInArrow(_count, "chunk int, counts binary").groupBy("chunk").applyInArrow(_sum, "chunk int, counts binary").collect():
+    for r in scan.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_sum, "chunk int, counts binary").collect():
         counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
     return np.minimum(255, np.round(8 * np.log2(1 + counts.ravel()))).astype(np.uint8)
 
 
-def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, line, a, b): the 128-bit digest of the word set of every line that has words."""
-    for docs, texts in _batches(batches):
-        words, line, text, number = _line_words(texts)
-        w, k = _token_sets(words, line)
-        firsts = np.searchsorted(k, np.arange(len(text)))
-        a = np.add.reduceat(mix(w ^ U64(0xA5A5A5A5A5A5A5A5)), firsts) if len(text) else w
-        b = np.add.reduceat(mix(w + U64(0x51ED270B)), firsts) if len(text) else w
-        yield pa.RecordBatch.from_arrays([pa.array(docs[text], pa.int64()), pa.array(number, pa.int32()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc", "line", "a", "b"])
-
-
 def _planes(x: np.ndarray) -> bytes:
     """Byte planes, so that small numbers shrink in the shuffle."""
     return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
@@ -99,11 +103,11 @@ def _whole(raw: bytes, kind: type, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, n).T).view(kind).ravel()
 
 
-FIELDS = (("token", np.uint32), ("set", np.uint32), ("bits", np.uint64), ("doc", np.int64), ("line", np.uint32), ("n", np.uint32), ("pos", np.uint32))
+FIELDS = (("token", np.uint32), ("set", np.uint32), ("bits", np.uint64), ("bits2", np.uint64), ("doc", np.int64), ("line", np.uint32), ("n", np.uint32), ("pos", np.uint32))
 
 
-def _postings(batches: Iterator[pa.RecordBatch], order: np.ndarray, buckets: int, share: Fraction, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The prefix tokens of every line, dealt by token: one row of packed columns for each bucket."""
+def _postings(batches: Iterator[pa.RecordBatch], order: np.ndarray, buckets: int, share: Fraction, flags: np.ndarray | None, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The prefix tokens of every line (with ``flags``, the flagged ones of them), dealt by token: one row of packed columns for each bucket."""
     held: list[dict[str, np.ndarray]] = []
     size = 0
 
@@ -133,12 +137,16 @@ def _postings(batches: Iterator[pa.RecordBatch], order: np.ndarray, buckets: int
         n = np.diff(firsts)
         hashed = mix(token.astype(U64))
         ids = np.add.reduceat(hashed, firsts[:-1])
-        bits = np.bitwise_xor.reduceat(U64(1) << (hashed >> U64(58)), firsts[:-1])
+        half, bit = (hashed >> U64(57)) & U64(1), U64(1) << (hashed >> U64(58))
+        bits, bits2 = (np.bitwise_xor.reduceat(np.where(half == U64(x), bit, U64(0)), firsts[:-1]) for x in (0, 1))
         pos = np.arange(len(k)) - firsts[k]
         reach = np.where(n >= 4, n - _ceil(share, n), -1)
-        at = np.flatnonzero(pos <= reach[k])
+        keep = pos <= reach[k]
+        if flags is not None:
+            keep &= flags[token % np.uint32(len(flags))]
+        at = np.flatnonzero(keep)
         of = k[at]
-        held.append({"token": token[at], "set": (ids[of] >> U64(32)).astype(np.uint32), "bits": bits[of], "doc": docs[text[of]], "line": number[of].astype(np.uint32), "n": n[of].astype(np.uint32), "pos": pos[at].astype(np.uint32)})
+        held.append({"token": token[at], "set": (ids[of] >> U64(32)).astype(np.uint32), "bits": bits[of], "bits2": bits2[of], "doc": docs[text[of]], "line": number[of].astype(np.uint32), "n": n[of].astype(np.uint32), "pos": pos[at].astype(np.uint32)})
         size += len(at)
         if size > most:
             yield flush()
@@ -147,8 +155,8 @@ def _postings(batches: Iterator[pa.RecordBatch], order: np.ndarray, buckets: int
         yield flush()
 
 
-def _candidates(table: pa.Table, share: Fraction, take: int | None, only: np.ndarray | None, chunk: int = 1 << 21) -> pa.Table:
-    """For each line of the bucket the earlier lines that pass all filters, the earliest ``take`` of them."""
+def _unpacked(table: pa.Table) -> dict[str, np.ndarray]:
+    """A bucket's postings, in the order of (token, n), one for each set and token: that of its earliest place."""
     parts: dict[str, list] = {k: [] for k, _ in FIELDS}
     for raw in table["rows"].to_pylist():
         n, low = np.frombuffer(raw[:16], np.int64).tolist()
@@ -158,86 +166,114 @@ def _candidates(table: pa.Table, share: Fraction, take: int | None, only: np.nda
             parts[k].append(_whole(raw[at : at + width], kind, n) + (low if k == "doc" else kind(0)))
             at += width
     p = {k: np.concatenate(v) for k, v in parts.items()}
-    # One posting of each set and token: its earliest place.
-    by = np.lexsort((p["line"], p["doc"], p["bits"], p["set"], p["n"], p["token"]))
-    same = np.zeros(len(by), dtype=bool)
+    by = np.lexsort((p["line"], p["doc"], p["bits2"], p["bits"], p["set"], p["n"], p["token"]))
     q = {k: v[by] for k, v in p.items()}
-    same[1:] = np.logical_and.reduce([q[k][1:] == q[k][:-1] for k in ("token", "n", "set", "bits")])
-    q = {k: v[~same] for k, v in q.items()}
-    m = len(q["token"])
-    place = np.empty(m, np.int64)
-    place[np.lexsort((q["line"], q["doc"]))] = np.arange(m)
+    same = np.zeros(len(by), dtype=bool)
+    same[1:] = np.logical_and.reduce([q[k][1:] == q[k][:-1] for k in ("token", "n", "set", "bits", "bits2")])
+    return {k: v[~same] for k, v in q.items()}
+
+
+def _survivors(q: dict[str, np.ndarray], place: np.ndarray, share: Fraction, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (later, earlier) of postings with a common token that pass the length, positional and bitmap filters.
+
+    Third: how far the bitmaps differ, at most the size of the symmetric difference.
+    """
+    m = len(place)
     n, pos = q["n"].astype(np.int64), q["pos"].astype(np.int64)
-    key = q["token"].astype(U64) << U64(32) | q["n"].astype(U64)
-    most = (n * share.denominator) // share.numerator
-    end = np.searchsorted(key, q["token"].astype(U64) << U64(32) | most.astype(U64), side="right")
+    token = q["token"].astype(U64) << U64(32)
+    end = np.searchsorted(token | q["n"].astype(U64), token | ((n * share.denominator) // share.numerator).astype(U64), side="right")
     both = share / (1 + share)
     # The shorter side of a pair meets the longer one in its mid-prefix.
     count = np.where(pos <= n - _ceil(2 * both, n), end - np.arange(m) - 1, 0)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def tested(i: np.ndarray, j: np.ndarray) -> None:
-        need = _ceil(both, n[i] + n[j])
-        ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
-        i, j, need = i[ok], j[ok], need[ok]
-        ok = np.bitwise_count(q["bits"][i] ^ q["bits"][j]) <= n[i] + n[j] - 2 * need
-        i, j = i[ok], j[ok]
-        later = place[i] > place[j]
-        found.append((np.where(later, i, j), np.where(later, j, i)))
-
     cum = np.concatenate(([0], np.cumsum(count)))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 3]
     first = 0
     while first < m:
         last = max(first + 1, int(np.searchsorted(cum, cum[first] + chunk, side="right")) - 1)
         size = count[first:last]
         i = np.repeat(np.arange(first, last), size)
-        if len(i):
-            tested(i, i + 1 + np.arange(len(i)) - np.repeat(cum[first:last] - cum[first], size))
+        j = i + 1 + np.arange(len(i)) - np.repeat(cum[first:last] - cum[first], size)
         first = last
-    x = np.concatenate([a for a, _ in found]) if found else np.zeros(0, np.int64)
-    y = np.concatenate([b for _, b in found]) if found else np.zeros(0, np.int64)
+        need = _ceil(both, n[i] + n[j])
+        ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+        i, j, need = i[ok], j[ok], need[ok]
+        differ = np.bitwise_count(q["bits"][i] ^ q["bits"][j]).astype(np.int64) + np.bitwise_count(q["bits2"][i] ^ q["bits2"][j])
+        ok = differ <= n[i] + n[j] - 2 * need
+        i, j, differ = i[ok], j[ok], differ[ok]
+        later = place[i] > place[j]
+        found.append((np.where(later, i, j), np.where(later, j, i), differ))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _places(q: dict[str, np.ndarray]) -> np.ndarray:
+    place = np.empty(len(q["token"]), np.int64)
+    order = np.lexsort((q["line"], q["doc"]))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (q["doc"][order][1:] != q["doc"][order][:-1]) | (q["line"][order][1:] != q["line"][order][:-1])
+    place[order] = np.cumsum(new) - 1
+    return place
+
+
+def _candidates(table: pa.Table, share: Fraction, only: np.ndarray | None) -> pa.Table:
+    """Rows (line x, earlier line y, how far their bitmaps differ) of the bucket.
+
+    Without ``only``, the likeliest earlier line of each line, and for each line
+    that has several, with y null, the tokens at which it meets them. With
+    ``only``, all earlier lines of the flagged lines.
+    """
+    q = _unpacked(table)
+    place = _places(q)
+    x, y, differ = _survivors(q, place, share)
     if only is not None:
-        slot = _slot(q["doc"][x], q["line"][x], len(only))
-        x, y = x[only[slot]], y[only[slot]]
-    pair = np.unique((place[x] << 32) | place[y])
-    at = np.empty(m, np.int64)
-    at[place] = np.arange(m)
-    x, y = at[pair >> 32], at[pair & 0xFFFFFFFF]
-    firsts = np.concatenate(([True], x[1:] != x[:-1])) if len(x) else np.zeros(0, bool)
-    nth = np.arange(len(x)) - np.maximum.accumulate(np.where(firsts, np.arange(len(x)), 0)) if len(x) else x
-    more = np.zeros(len(x), dtype=bool)
-    if take is not None and len(x):
-        over = np.zeros(m, dtype=bool)
-        over[x[nth >= take]] = True
-        x, y = x[nth < take], y[nth < take]
-        more = over[x]
-    return pa.table([pa.array(q["doc"][x], pa.int64()), pa.array(q["line"][x].astype(np.int32)), pa.array(q["doc"][y], pa.int64()), pa.array(q["line"][y].astype(np.int32)), pa.array(more)], names=["xd", "xl", "yd", "yl", "more"])
+        ask = only[_slot(q["doc"][x], q["line"][x], len(only))]
+        x, y, differ = x[ask], y[ask], differ[ask]
+    by = np.lexsort((place[y], differ, place[x]))
+    x, y, differ = x[by], y[by], differ[by]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (place[x][1:] != place[x][:-1]) | (place[y][1:] != place[y][:-1])
+    first = np.ones(len(x), dtype=bool)
+    first[1:] = place[x][1:] != place[x][:-1]
+    keep, extra = new, np.zeros(0, np.int64)
+    if only is None:
+        keep = first
+        several = np.bincount(place[x[new]], minlength=len(place)) > 1
+        meets = x[several[place[x]]]
+        extra = meets[np.unique(place[meets] << 32 | q["token"][meets].astype(np.int64), return_index=True)[1]]
+    every = np.concatenate((x[keep], extra))
+    none = np.arange(len(every)) >= keep.sum()
+    tail = np.zeros(len(extra), np.int64)
+    columns = [pa.array(q["doc"][every]), pa.array(q["line"][every].astype(np.int32)), pa.array(np.concatenate((q["doc"][y[keep]], tail)), mask=none), pa.array(np.concatenate((q["line"][y[keep]], tail)).astype(np.int32), mask=none)]
+    return pa.table([*columns, pa.array(np.concatenate((differ[keep], tail)).astype(np.int32)), pa.array(q["token"][every].astype(np.int64))], names=["xd", "xl", "yd", "yl", "differ", "token"])
 
 
 def _slot(doc: np.ndarray, line: np.ndarray, size: int) -> np.ndarray:
     return (mix(mix(doc.astype(np.int64).view(U64)) + line.astype(U64)) % U64(size)).astype(np.int64)
 
 
-def _marks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _bitset(slots: DataFrame, bits: int) -> np.ndarray:
+    """The set of the numbers in column ``slot``, all below 2**bits: of fixed size whatever their number."""
+    rows = slots.groupBy(F.shiftright("slot", 5).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("mask")).toPandas()
+    cell, mask = rows["cell"].to_numpy(np.int64), rows["mask"].to_numpy(np.int64)
+    flags = np.zeros(1 << bits, dtype=bool)
+    for k in range(32):
+        flags[(cell[(mask >> k) & 1 == 1] << 5) + k] = True
+    return flags
+
+
+def _slots(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        slot = np.unique(_slot(np.asarray(batch.column("doc")), np.asarray(batch.column("line")), size))
-        words = slot >> 5
-        cells = np.unique(words)
-        value = np.bitwise_or.reduceat(np.int64(1) << (slot & 31), np.searchsorted(words, cells)) if len(cells) else cells
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(value, pa.int64())], names=["cell", "mask"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(np.asarray(batch.column("doc")), np.asarray(batch.column("line")), size)))], names=["slot"])
 
 
 def _marked(places: DataFrame, bits: int = 21) -> np.ndarray:
-    """A one-hash Bloom filter of (doc, line) places, of fixed size whatever their number."""
-    flags = np.zeros(1 << bits, dtype=bool)
-    for r in places.mapInArrow(lambda it: _marks(it, 1 << bits), "cell long, mask long").groupBy("cell").agg(F.bit_or("mask").alias("mask")).toPandas().itertuples():
-        flags[(r.cell << 5) + np.flatnonzero([(r.mask >> k) & 1 for k in range(32)])] = True
-    return flags
+    """A one-hash Bloom filter of (doc, line) places."""
+    return _bitset(places.mapInArrow(lambda it: _slots(it, 1 << bits), "slot long"), bits)
 
 
-def _fetch(batches: Iterator[pa.RecordBatch], flags: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The word sets, of the lines whose places are marked."""
-    for docs, texts in _batches(batches):
+def _fetch(batches: Iterator[pa.RecordBatch], flags: np.ndarray, some: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The word sets, sorted, of the lines whose places are marked; ``some`` marks the documents that have such lines."""
+    with_some = (b.filter(pa.array(some[_slot(np.asarray(b.column("doc")), np.zeros(1, np.int64), len(some))])) for b in batches)
+    for docs, texts in _batches(with_some):
         words, line, text, number = _line_words(texts)
         wanted = flags[_slot(docs[text], number, len(flags))] if len(text) else np.zeros(0, bool)
         pick = wanted[line] if len(line) else wanted
@@ -251,53 +287,68 @@ def _verify(batches: Iterator[pa.RecordBatch], share: Fraction) -> Iterator[pa.R
     for batch in batches:
         ok = []
         for x, y in zip(batch.column("xw").to_pylist(), batch.column("yw").to_pylist()):
-            a, b = np.frombuffer(x, U64), np.frombuffer(y, U64)
+            a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
             small, large = (a, b) if len(a) <= len(b) else (b, a)
             at = np.minimum(np.searchsorted(large, small), len(large) - 1)
             common = int((large[at] == small).sum())
             ok.append(common * share.denominator >= share.numerator * (len(a) + len(b) - common))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("xd", "xl", "more")), pa.array(ok, pa.bool_())], names=["xd", "xl", "more", "ok"])
+        yield batch.select(["xd", "xl"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _verified(pairs: DataFrame, narrow: DataFrame, share: Fraction) -> DataFrame:
+    """(xd, xl) of the pairs whose word sets, as a whole, are similar enough."""
+    x, y = (F.struct(F.col(f"{k}d").alias("doc"), F.col(f"{k}l").alias("line")) for k in "xy")
+    places = pairs.select(F.explode(F.array(x, y)).alias("p")).select("p.*")
+    flags = narrow.sparkSession.sparkContext.broadcast((_marked(places), _marked(places.select("doc", F.lit(0).alias("line")))))
+    sets = narrow.mapInArrow(lambda it: _fetch(it, *flags.value), "doc long, line int, words binary").dropDuplicates(["doc", "line"])
+    both = pairs.join(sets.select(F.col("doc").alias("xd"), F.col("line").alias("xl"), F.col("words").alias("xw")), ["xd", "xl"]).join(sets.select(F.col("doc").alias("yd"), F.col("line").alias("yl"), F.col("words").alias("yw")), ["yd", "yl"])
+    return checkpointed(both.select("xd", "xl", "xw", "yw").mapInArrow(lambda it: _verify(it, share), "xd long, xl int").distinct())
 
 
-def _similar(narrow: DataFrame, order: np.ndarray, share: Fraction, take: int | None, only: np.ndarray | None) -> DataFrame:
-    """(xd, xl, ok, more): lines with candidates; whether an earlier one matches; whether candidates were left out."""
+def _similar(narrow: DataFrame, order: np.ndarray, share: Fraction) -> DataFrame:
+    """(xd, xl): the lines that have an earlier line of similarity ``share`` or more."""
     spark = narrow.sparkSession
     held = spark.sparkContext.broadcast(order)
     buckets = 4 * task_count(spark)
-    posted = narrow.mapInArrow(lambda it: _postings(it, held.value, buckets, share), "bucket int, rows binary")
-    pairs = checkpointed(posted.groupBy("bucket").applyInArrow(lambda t: _candidates(t, share, take, only), PLACE).groupBy("xd", "xl", "yd", "yl").agg(F.bool_or("more").alias("more")))
-    places = pairs.select(F.explode(F.array(F.struct(F.col("xd").alias("doc"), F.col("xl").alias("line")), F.struct(F.col("yd").alias("doc"), F.col("yl").alias("line")))).alias("p")).select("p.*")
-    flags = spark.sparkContext.broadcast(_marked(places))
-    sets = narrow.mapInArrow(lambda it: _fetch(it, flags.value), "doc long, line int, words binary").dropDuplicates(["doc", "line"])
-    met = pairs.join(sets.select(F.col("doc").alias("xd"), F.col("line").alias("xl"), F.col("words").alias("xw")), ["xd", "xl"]).join(sets.select(F.col("doc").alias("yd"), F.col("line").alias("yl"), F.col("words").alias("yw")), ["yd", "yl"])
-    checked = met.select("xd", "xl", "more", "xw", "yw").mapInArrow(lambda it: _verify(it, share), "xd long, xl int, more boolean, ok boolean")
-    return checkpointed(checked.groupBy("xd", "xl").agg(F.bool_or("ok").alias("ok"), F.bool_or("more").alias("more")))
+    posted = narrow.mapInArrow(lambda it: _postings(it, held.value, buckets, share, None), "bucket int, rows binary")
+    met = checkpointed(posted.groupBy("bucket").applyInArrow(lambda t: _candidates(t, share, None), FOUND))
+    each = met.where("yd is not null").groupBy("xd", "xl").agg(F.min(F.struct("differ", "yd", "yl")).alias("best"), F.count_distinct(F.struct("yd", "yl")).alias("n"))
+    best = checkpointed(each.select("xd", "xl", "best.yd", "best.yl", (F.col("n") > 1).alias("several")))
+    gone = _verified(best.drop("several"), narrow, share)
+    # Lines with other candidates than the one that failed: all of these, found again at the lines' own tokens.
+    more = met.where("yd is null").select("xd", "xl").union(best.where("several").select("xd", "xl")).distinct()
+    unsure = checkpointed(more.join(gone, ["xd", "xl"], "left_anti"))
+    if unsure.isEmpty():
+        return gone
+    tokens = met.join(unsure, ["xd", "xl"], "left_semi").select("token")
+    only = _marked(unsure.select(F.col("xd").alias("doc"), F.col("xl").alias("line")))
+    flags = spark.sparkContext.broadcast((only, _bitset(tokens.select(F.expr(f"token & {(1 << 22) - 1}").alias("slot")), 22)))
+    del posted, met, tokens
+    posted = narrow.mapInArrow(lambda it: _postings(it, held.value, buckets, share, flags.value[1]), "bucket int, rows binary")
+    found = posted.groupBy("bucket").applyInArrow(lambda t: _candidates(t, share, flags.value[0]), FOUND).select("xd", "xl", "yd", "yl").distinct()
+    pairs = checkpointed(found.join(unsure, ["xd", "xl"], "left_semi").join(best.select("xd", "xl", "yd", "yl"), ["xd", "xl", "yd", "yl"], "left_anti"))
+    del posted, found
+    return gone.unionByName(_verified(pairs, narrow, share)).distinct()
 
 
 def _doc_key(docs: DataFrame) -> Column:
     return F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
 
 
-def removed_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), take: int = 4) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """(doc, gone): for each document key the numbers, from 0, of its lines that repeat an earlier line."""
     ship(docs.sparkSession)
     narrow = docs.select(_doc_key(docs).alias("doc"), "text")
-    lines = narrow.mapInArrow(_identities, "doc long, line int, a long, b long")
+    scan = checkpointed(narrow.mapInArrow(_scan, SCAN))
+    lines = scan.where("chunk is null").select("doc", "line", "a", "b")
     sets = lines.groupBy("a", "b").agg(F.min(F.struct("doc", "line")).alias("first"))
-    order = rarity(narrow)
-    similar = _similar(narrow, order, threshold, take, None)
-    again = similar.where("more and not ok")
-    gone = similar.where("ok")
-    if not again.isEmpty():
-        only = _marked(again.select(F.col("xd").alias("doc"), F.col("xl").alias("line")))
-        gone = gone.unionByName(_similar(narrow, order, threshold, None, only).where("ok")).dropDuplicates(["xd", "xl"])
-    near = gone.select("xd", "xl")
+    near = _similar(narrow, rarity(scan), threshold)
     first = sets.select("a", "b", F.col("first.doc").alias("xd"), F.col("first.line").alias("xl")).join(near.withColumn("near", F.lit(True)), ["xd", "xl"], "left")
     marked = lines.join(first, ["a", "b"]).where(F.col("near").isNotNull() | (F.col("doc") != F.col("xd")) | (F.col("line") != F.col("xl")))
     return marked.groupBy("doc").agg(F.collect_set("line").alias("gone"))
 
 
-def remove_repeated_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5), take: int = 4) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """``docs`` with, in every text, the lines taken out that match an earlier line; adds ``removed``.
 
     Lines are separated by line feeds. Two lines match if the Jaccard similarity
@@ -311,8 +362,9 @@ def remove_repeated_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5),
     Word rarity comes from counts of all words in ``2**18`` hash buckets, which
     is what is broadcast. Lines meet at the tokens of their prefixes, one task a
     bucket of tokens; survivors of the length, positional and bitmap filters are
-    verified on whole word sets, the ``take`` earliest candidates of a line
-    first, and all others only for lines that none of these matched.
+    verified on whole word sets: the likeliest candidate of each line first, then
+    all others of the lines that it did not match. Words count as equal if 32
+    bits of their hashes are.
 
     Lines without words always stay; a null text stays null and an empty one
     empty; a document may end up empty, its row stays; a null id stands where
@@ -321,7 +373,8 @@ def remove_repeated_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5),
     called ``removed`` are replaced.
     """
     narrow = docs.withColumn("_doc", _doc_key(docs)).drop("removed")
-    gone = removed_lines(docs, threshold, take).withColumnsRenamed({"doc": "_doc", "gone": "removed"})
+    gone = checkpointed(removed_lines(docs, threshold)).withColumnsRenamed({"doc": "_doc", "gone": "removed"})
+    release(docs.sparkSession)
     met = narrow.join(gone, "_doc", "left").drop("_doc")
     parts = F.split("text", "\n", -1)
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("removed"), i)), "\n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import weakref
@@ -38,13 +39,22 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED[context] = True
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
+    What earlier plans left behind is released first.
+
     The folder is the one the session names in ``spark.checkpoint.dir``; a
     folder of our own is set only where the session names none (local tests).
     """
     spark = session_of(df)
+    release(spark)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
