@@ -78,4 +78,10 @@ QUERIES = {
     "op10_dart_minhash": op10_dart_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_pivot_distance_top_k": """
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings where embedding is not null),
+        scored as (select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
+        ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as "rank" from scored)
+        select query_id, "rank", vec_id, score from ranked where "rank" <= 5""",
+}
