@@ -18,7 +18,8 @@ def _taken(v: Column) -> Column:
     pick = lambda kind, f: F.try_variant_get(v, f"$.{f}", kind)
     types = [F.schema_of_variant(pick("variant", f)).alias(f"_type_{f}") for f in FIELDS]
     texts = [pick("string", f).alias(f"_text_{f}") for f in FIELDS]
-    return F.struct(*types, *texts, pick("double", "meter_reading").alias("_number"), pick("bigint", "timestamp").alias("_millis"), pick("bigint", "sim_publish_ts").alias("_published"))
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("_object")
+    return F.struct(is_object, *types, *texts, pick("double", "meter_reading").alias("_number"), pick("bigint", "timestamp").alias("_millis"), pick("bigint", "sim_publish_ts").alias("_published"))
 
 
 def with_fields(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -29,17 +30,15 @@ def with_fields(df: DataFrame, payload: str = "payload") -> DataFrame:
     projection of its own, so that the rules over them stay small.
     """
     marked = F.regexp_replace(F.col(payload), r':\s*(NaN|[-+]?Infinity)\s*([,}])', ':"#$1"$2')
-    parsed_once = df.withColumn("_v", F.try_parse_json(marked))
-    parsed_once = parsed_once.withColumn("_v", F.when(F.schema_of_variant("_v").startswith("OBJECT"), F.col("_v")))
-    # Inside a lambda: the code that variants generate is too large for one compiled method.
-    taken = parsed_once.withColumn("_f", F.transform(F.array("_v"), _taken)[0]).select("*", "_f.*").drop("_f")
+    # A generator of one row: the optimizer cannot copy what it computes into each rule that uses it.
+    taken = df.select("*", F.inline(F.transform(F.array(F.try_parse_json(marked)), _taken)))
     text, kind = F.col("_text_timestamp"), F.col("_type_timestamp")
     iso = F.when(text.rlike(r"^\d{4}-\d\d-\d\d"), text.try_cast("timestamp"))
     return taken.withColumn("_when", F.when(kind == "STRING", iso).when(kind.isin(*INTEGRAL), F.timestamp_millis("_millis")))
 
 
 def _without_fields(df: DataFrame) -> DataFrame:
-    return df.drop("_v", "_when", "_number", "_millis", "_published", *[f"_{x}_{f}" for f in FIELDS for x in ("type", "text")])
+    return df.drop("_object", "_when", "_number", "_millis", "_published", *[f"_{x}_{f}" for f in FIELDS for x in ("type", "text")])
 
 
 def parsed(df: DataFrame, payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
@@ -74,7 +73,7 @@ def with_reason(df: DataFrame, payload: str = "payload", now: Column | None = No
     numeric = kind["meter_reading"].rlike(NUMERIC)
     say = lambda before, value, after="": F.concat(F.lit(before), value.cast("string"), F.lit(after))
     reason = F.coalesce(
-        F.when(F.col("_v").isNull(), F.lit("not a JSON object")),
+        F.when(~F.col("_object"), F.lit("not a JSON object")),
         F.when((kind["timestamp"] == "STRING") & when.isNull(), say("timestamp not ISO-8601: '", F.col("_text_timestamp"), "'")),
         F.when(when.cast("double") > limit, say("timestamp in the future (", when, ")")),
         F.when((kind["meter_reading"] == "STRING") & raw.startswith("#"), say("meter_reading not finite (", F.substring(raw, 2, 20), ")")),
