@@ -39,5 +39,5 @@ def test_ngrams_do_not_depend_on_the_batch():
     for order in (1, 2, 3):
         ((together, firsts),) = ngram_buckets(pa.array(texts), (order,), 15)
         for i, t in enumerate(texts):
-            ((alone, own),) = ngram_buckets(pa.array([t]), (order,), 15)
+            ((alone, own),) = ngram_buckets(pa.array([t], pa.string()), (order,), 15)
             assert sorted(x for x in together[firsts[i] : firsts[i + 1]] if x >= 0) == sorted(x for x in alone[own[0] : own[1]] if x >= 0)
