@@ -14,6 +14,9 @@ from wattline.llm.neardup import keep_one_of_each
 from wattline.llm.packing import pack_by_powers_of_two
 from wattline.llm.runtime import checkpointed, documents
 
+#: Settings of ``schedule_mix``, such as the sources' target weights, for the mixing and the packing stage.
+MIXTURE: dict = {}
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: those without text or letters go."""
@@ -33,12 +36,15 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, laid out in the order that keeps the sources at their target weights."""
-    return mixed(docs)
+    return mixed(docs, **MIXTURE)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, one sequence each, in buckets of equal length."""
-    return pack_by_powers_of_two(docs)
+    """The pieces of all documents, one sequence each, in buckets of equal length, in the mixed order within a bucket.
+
+    The order is worked out again from the rows: none of their columns holds it, and the layout is lost in writing.
+    """
+    return pack_by_powers_of_two(docs, mixture=MIXTURE)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm.linededup import _doc_key
@@ -76,6 +76,11 @@ def schedule_mix(docs: DataFrame, weights: dict[str, float] | None = None, expon
     with those that start where it does; repeated rows and null ids take
     neighbouring places; an empty table gives no rows; other columns are ignored.
     """
+    return _scheduled(docs, weights, exponent, most_blocks, block_bytes).drop("tie")
+
+
+def _scheduled(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, most_blocks: int = 8192, block_bytes: int = 1 << 16) -> DataFrame:
+    """``schedule_mix`` with the hash of the text, ``tie``."""
     spark = docs.sparkSession
     raw = F.col("text").cast("binary")
     narrow = docs.select(
@@ -97,11 +102,27 @@ def schedule_mix(docs: DataFrame, weights: dict[str, float] | None = None, expon
         first[source] += n
         before += n
     table = F.broadcast(spark.createDataFrame(plan, "source string, block long, slot long, release long, deadline long, shift long"))
-    return cut.join(table, ["source", "block"]).select("doc", "doc_id", "source", "size", "block", "release", "deadline", "slot", (F.col("row") + F.col("shift")).alias("position"))
+    return cut.join(table, ["source", "block"]).select("doc", "tie", "doc_id", "source", "size", "block", "release", "deadline", "slot", (F.col("row") + F.col("shift")).alias("position"))
+
+
+def place_keys(docs: DataFrame) -> dict[str, Column]:
+    """The columns by which ``places`` finds a row."""
+    return {"_doc": _doc_key(docs), "_tie": F.coalesce(F.xxhash64("text"), F.lit(0))}
+
+
+def places(docs: DataFrame, **settings) -> DataFrame:
+    """_doc, _tie, _position: the place of every document in the mixture; repeated rows share their first.
+
+    It follows from the rows alone, not from how they are laid out or partitioned.
+    """
+    found = _scheduled(docs, **settings)
+    return found.groupBy(F.col("doc").alias("_doc"), F.coalesce("tie", F.lit(0)).alias("_tie")).agg(F.min("position").alias("_position"))
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` laid out in the mixed order: range partitions of the position, sorted within. Columns stay as they are."""
-    places = schedule_mix(docs, **settings).groupBy(F.col("doc").alias("_doc")).agg(F.min("position").alias("_position"))
-    placed = docs.withColumn("_doc", _doc_key(docs)).join(places, "_doc")
+    """``docs`` laid out in the mixed order: range partitions of the position, sorted within. Columns stay as they are.
+
+    The layout alone does not outlive a write; ``places`` gives the same order again from the same rows.
+    """
+    placed = docs.withColumns(place_keys(docs)).join(places(docs, **settings), ["_doc", "_tie"])
     return placed.repartitionByRange(task_count(docs.sparkSession), "_position").sortWithinPartitions("_position").select(*docs.columns)

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from wattline.llm.mixing import place_keys, places
 from wattline.llm.runtime import checkpointed, session_of, ship
 from wattline.llm.slots import gapless
 from wattline.llm.textkit import as_array
@@ -120,29 +121,31 @@ def binary_pieces(n: int, longest: int) -> list[tuple[int, int]]:
     return out
 
 
-def cut_into_pieces(docs: DataFrame, tokenizer: str, longest: int = 4096, end_id: int = DEFAULT_END) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens. Null texts are empty: one piece, the end id."""
+def cut_into_pieces(docs: DataFrame, tokenizer: str, longest: int = 4096, end_id: int = DEFAULT_END, carry: dict[str, Column] | None = None) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and the document's ``carry`` (longs). Null texts are empty: one piece, the end id."""
     ship(session_of(docs))
     tail = np.array([end_id], dtype="<u4").tobytes()
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    kept = list(carry or {})
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in names]
+            carried = list(zip(*(batch.column(c).to_pylist() for c in kept))) if kept else [()] * batch.num_rows
             texts = as_array(batch.column("text")).fill_null("").to_pylist()
             tokens = encoder(tokenizer)
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
+            for doc, text, own in zip(batch.column("doc_id").to_pylist(), texts, carried):
                 data = tokens.ids(text) + tail
                 n = len(data) // 4
                 for start, length in binary_pieces(n, longest):
-                    for column, value in zip(out, (doc, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n)):
+                    for column, value in zip(out, (doc, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n, *own)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, StructType([StructField(x, LongType()) for x in names]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c.alias(k) for k, c in (carry or {}).items())).mapInArrow(run, StructType([StructField(x, LongType()) for x in names]))
 
 
-def pack_by_powers_of_two(docs: DataFrame, tokenizer: str | None = None, longest: int = 4096, end_id: int = DEFAULT_END) -> DataFrame:
+def pack_by_powers_of_two(docs: DataFrame, tokenizer: str | None = None, longest: int = 4096, end_id: int = DEFAULT_END, mixture: dict | None = None) -> DataFrame:
     """Pack whole documents into sequences of at most ``longest`` tokens without crossing documents or padding.
 
     A document of n ids (its text's ids and the end id) is cut into pieces whose
@@ -150,8 +153,10 @@ def pack_by_powers_of_two(docs: DataFrame, tokenizer: str | None = None, longest
     a power of two); each piece is a sequence of its own, in the bucket of its
     length, so batches are drawn from one bucket and nothing is padded.
     Sequences are numbered from 0 without gaps, bucket by bucket from the
-    longest. Columns: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset (always 0).
+    longest. Within a bucket they stand in the order of a hash, or, where
+    ``mixture`` gives the settings of ``schedule_mix`` ({} for its defaults), in
+    that of their documents' places in the mixture. Columns: doc_id, start,
+    length, ids_crc32, doc_tokens, sequence_id, offset (always 0).
 
     Null and empty texts hold the end id alone; repeated rows and null ids are
     packed like any others; an empty table gives no rows; other columns are
@@ -159,6 +164,13 @@ def pack_by_powers_of_two(docs: DataFrame, tokenizer: str | None = None, longest
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    pieces = checkpointed(cut_into_pieces(docs, tokenizer or default_tokenizer(), longest, end_id))
-    numbered = gapless(pieces, "sequence_id", bucket=(-F.col("length")).cast("int"), order=["doc_id", "start", "ids_crc32"])
+    bucket, order = (-F.col("length")).cast("int"), ["doc_id", "start", "ids_crc32"]
+    if mixture is None:
+        pieces = checkpointed(cut_into_pieces(docs, tokenizer or default_tokenizer(), longest, end_id))
+        numbered = gapless(pieces, "sequence_id", bucket, order)
+    else:
+        pieces = cut_into_pieces(docs, tokenizer or default_tokenizer(), longest, end_id, carry=place_keys(docs))
+        placed = checkpointed(pieces.join(places(docs, **mixture), ["_doc", "_tie"]).drop("_doc", "_tie"))
+        ranks = (placed.agg(F.max("_position")).first()[0] or 0) + 1
+        numbered = gapless(placed, "sequence_id", bucket, order, rank="_position", ranks=ranks).drop("_position")
     return numbered.withColumn("offset", F.lit(0).cast("long"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wattline.llm.runtime import session_of, task_count
 
 
-def gapless(df: DataFrame, name: str, bucket: Column, order: list[str], restart: bool = False, weight: str | None = None, ahead: str | None = None) -> DataFrame:
+def gapless(df: DataFrame, name: str, bucket: Column, order: list[str], restart: bool = False, weight: str | None = None, ahead: str | None = None, rank: str | None = None, ranks: int = 0) -> DataFrame:
     """Add ``name``: the row's number from 0, bucket by bucket (``restart``: from 0 in each bucket).
 
     With ``weight`` and ``ahead``, also add the sum of ``weight`` over the rows
@@ -16,11 +16,14 @@ def gapless(df: DataFrame, name: str, bucket: Column, order: list[str], restart:
     the ``order`` columns, then these columns. Rows are dealt by bucket and a
     slice of the hash, so a bucket with most of the rows still spreads over all
     tasks; the totals of the (bucket, slice) cells, which number
-    buckets x tasks, give each cell's first number.
+    buckets x tasks, give each cell's first number. With ``rank``, a column of
+    whole numbers from 0 to below ``ranks``, the order within a bucket is that of
+    the rank in place of the hash, and slices are ranges of the rank.
     """
     n = 4 * task_count(session_of(df))
-    h = F.xxhash64(*order)
-    keyed = df.withColumn("_bucket", bucket).withColumn("_hash", h).withColumn("_slice", F.floor((F.shiftrightunsigned(F.col("_hash"), 11).cast("double") / float(1 << 53)) * n).cast("int"))
+    h = F.col(rank) if rank else F.xxhash64(*order)
+    share = F.col("_hash").cast("double") / float(max(ranks, 1)) if rank else F.shiftrightunsigned(F.col("_hash"), 11).cast("double") / float(1 << 53)
+    keyed = df.withColumn("_bucket", bucket).withColumn("_hash", h).withColumn("_slice", F.floor(share * n).cast("int"))
     inside = Window.partitionBy("_bucket", "_slice").orderBy("_hash", *order)
     value = F.col(weight) if weight else F.lit(0)
     cells = keyed.groupBy("_bucket", "_slice").agg(F.count("*").alias("_n"), F.sum(value).alias("_w"))
