@@ -25,12 +25,26 @@ BETWEEN = " .-_*"
 # Costs of the channel, in nats.
 SUBSTITUTED, LITERAL, DROPPED, BROKEN, SQUEEZED = 1.0, 6.0, 0.5, 2.0, 1.0
 
-_PIECES = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$])(?:[ .\-_*](?:[^\W_]|[@$])(?![^\W_])){2,}|[^\W_]*(?:[0-9@$!|+€£¡]+[^\W\d_]+)+[0-9@$]?|[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*")
-_LEET_BYTE = np.zeros(256, dtype=bool)
-_LEET_BYTE[[ord(c) for c in LEET if ord(c) < 128]] = True
-_LETTER_BYTE = np.zeros(256, dtype=bool)
-_LETTER_BYTE[ord("a") : ord("z") + 1] = True
-_LETTER_BYTE[128:] = True
+# Characters set apart one by one; leetspeak before letters; leetspeak that ends a word; a letter three times in a row.
+_PIECES = re.compile(
+    r"(?<![^\W_])(?:[^\W_]|[@$!|+€£¡])(?:[ .\-_*](?:[^\W_]|[@$!|+€£¡])(?![^\W_])){2,}"
+    r"|[^\W_]*(?:[0-9@$!|+€£¡]+[^\W\d_]+)+[0-9@$!|+€£¡]*"
+    r"|(?<![^\W\d_])[^\W\d_]++[0-9@$!|+€£¡]+"
+    r"|[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*"
+)
+_LETTER, _WORDLIKE, _LEET, _BETWEEN = 1, 2, 4, 8
+_KINDS: list[np.ndarray] = []
+
+
+def _kinds() -> np.ndarray:
+    """Per code point, what the pattern takes it for: a letter, a letter or digit, leetspeak, a separator."""
+    if not _KINDS:
+        kind = np.fromiter(((_WORDLIKE | (0 if c.isdecimal() else _LETTER)) if (c := chr(i)).isalnum() else 0 for i in range(0x110000)), dtype=np.uint8, count=0x110000)
+        kind[[ord(c) for c in LEET]] |= _LEET
+        kind[[ord(c) for c in BETWEEN]] |= _BETWEEN
+        _KINDS.append(kind)
+    return _KINDS[0]
+
 
 CLASSES = 64
 OTHER = 63
@@ -99,9 +113,11 @@ class Restorer:
 
         Leetspeak stands for letters or itself, separators between single
         letters for nothing or a break, a letter three or more times in a row
-        for one or two; any other character for itself alone.
+        for one or two; any other character for itself alone. Exclamation marks
+        that end a piece are themselves at no cost.
         """
         spaced = len(piece) >= 5 and all(c in BETWEEN for c in piece[1::2])
+        marks = len(piece.rstrip("!"))
         out, i = [], 0
         while i < len(piece):
             c, run = piece[i], 1
@@ -111,12 +127,12 @@ class Restorer:
                 out.append([("", DROPPED), (" ", BROKEN)])
                 i += 1
             elif c in LEET:
-                options = [(x, SUBSTITUTED) for x in LEET[c]]
+                options, literal = [(x, SUBSTITUTED) for x in LEET[c]], 0.0 if 0 < marks <= i and not spaced else LITERAL
                 if run > 2:
-                    out.append(options + [(c * run, LITERAL)])
+                    out.append(options + [(c * run, literal)])
                     i += run
                 else:
-                    out.append(options + [(c, LITERAL)])
+                    out.append(options + [(c, literal)])
                     i += 1
             elif run > 2 and c.isalpha():
                 out.append([(c, SQUEEZED), (c * 2, SQUEEZED)])
@@ -157,47 +173,44 @@ class Restorer:
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the stretches that could hold a piece that decodes to anything but itself.
-
-    These are blank-free runs with leetspeak before a letter or with a letter
-    three times in a row, and runs of single characters one byte apart.
+    """Starts and ends of the stretches that hold every match of the pattern.
+
+    A run is a longest row of letters, digits and leetspeak. Matches without
+    separators lie within a run that has leetspeak next to a letter or a letter
+    three times in a row. Matches with separators go from the last character of
+    a run over runs of one character, a separator before each, to the first
+    character of a run; inside longer runs symbols alone may stand next to them.
+    Stretches are whole runs, so they match by themselves as within the text.
     """
-    none = np.zeros(0, np.int64)
     if len(data) == 0:
-        return none, none
-    letter, leet = _LETTER_BYTE[data], _LEET_BYTE[data]
-    # The last bytes of the two- and three-byte characters of the table.
-    leet[1:] |= (data[:-1] == 0xC2) & ((data[1:] == 0xA3) | (data[1:] == 0xA1))
-    leet[2:] |= (data[:-2] == 0xE2) & (data[1:-1] == 0x82) & (data[2:] == 0xAC)
-    hit = np.zeros(len(data), dtype=bool)
-    hit[:-1] = leet[:-1] & letter[1:]
-    hit[:-2] |= (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:]) & letter[:-2]
-    if len(data) > 5:  # the same two-byte letter three times
-        two = data[:-1].astype(np.int32) << 8 | data[1:]
-        hit[:-5] |= (two[:-4] == two[2:-2]) & (two[2:-2] == two[4:]) & (data[:-5] >= 0xC0)
-    blank = np.unique(np.concatenate((np.flatnonzero(data <= 32), offsets)))
-    at = np.flatnonzero(hit)
-    left = blank[np.searchsorted(blank, at, side="right") - 1]
-    right = blank[np.minimum(np.searchsorted(blank, at, side="right"), len(blank) - 1)]
-    starts, ends = np.where(data[left] <= 32, left + 1, left), right
-    # Single characters, one byte apart, three or more.
-    full = letter | (leet & ~np.isin(data, [ord(c) for c in "!|+"]))
-    before = np.concatenate(([False], full[:-1]))
-    before[offsets[:-1][offsets[:-1] < len(data)]] = False
-    after = np.concatenate((full[1:], [False]))
-    last = offsets[1:-1] - 1
-    after[last[last >= 0]] = False
-    s, e = np.flatnonzero(full & ~before), np.flatnonzero(full & ~after) + 1
-    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    one = chars[e] - chars[s] == 1
-    text = np.searchsorted(offsets, s, side="right")
-    next_to = np.zeros(len(s) + 1, dtype=bool)
-    if len(s) > 1:
-        next_to[1:-1] = one[1:] & one[:-1] & (s[1:] - e[:-1] == 1) & (text[1:] == text[:-1])
-    head = np.flatnonzero(one & ~next_to[:-1] & next_to[1:])
-    tail = np.flatnonzero(one & next_to[:-1] & ~next_to[1:])
-    long = tail - head >= 2
-    return np.concatenate((starts, s[head[long]])), np.concatenate((ends, e[tail[long]]))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    kind = _kinds()[code]
+    edge = np.zeros(len(code) + 1, dtype=bool)
+    edge[np.searchsorted(at, offsets)] = True
+    core, letter, word, leet = (kind & (_WORDLIKE | _LEET)) > 0, (kind & _LETTER) > 0, (kind & _WORDLIKE) > 0, (kind & _LEET) > 0
+    joined = core[1:] & core[:-1] & ~edge[1:-1]
+    s, e = np.flatnonzero(core & ~np.concatenate(([False], joined))), np.flatnonzero(core & ~np.concatenate((joined, [False]))) + 1
+    if len(s) == 0:
+        return s, e
+    hit = np.zeros(len(code), dtype=bool)
+    hit[:-1] = joined & ((leet[:-1] & letter[1:]) | (letter[:-1] & leet[1:]))
+    hit[:-2] |= joined[:-1] & joined[1:] & letter[:-2] & (code[:-2] == code[1:-1]) & (code[1:-1] == code[2:])
+    hits = np.concatenate(([0], np.cumsum(hit)))
+    found = hits[e] > hits[s]
+    # Separators between single characters.
+    one = e - s == 1
+    link = np.zeros(len(s) + 1, dtype=bool)
+    link[1:-1] = (s[1:] - e[:-1] == 1) & ((kind[e[:-1]] & _BETWEEN) > 0) & ~edge[e[:-1]] & ~edge[s[1:]]
+    head, tail = one | ~word[np.maximum(e - 2, 0)], one | ~word[np.minimum(s + 1, len(word) - 1)]
+    chained = link[1:-1] & one[1:] & one[:-1]
+    first, last = np.flatnonzero(one & ~np.concatenate(([False], chained))), np.flatnonzero(one & ~np.concatenate((chained, [False])))
+    first, last = first - (link[first] & head[first - 1]), last + (link[last + 1] & tail[(last + 1) % len(s)])
+    long = last - first >= 2
+    starts, ends = np.concatenate((s[found], s[first[long]])), np.concatenate((e[found], e[last[long]]))
+    where = np.append(at, len(data))
+    return where[starts], where[ends]
 
 
 def restored(texts: pa.Array, restorer: Restorer) -> pa.Array:
@@ -301,7 +314,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, t
     """Toxicity of every whole text: doc_id, held_out, score, predicted (and, if asked, restored_text).
 
     A trigram character model is counted over all texts. In each text the pieces
-    that look obfuscated (leetspeak inside words, letters set apart one by one,
+    that look obfuscated (leetspeak in words or at their ends, letters set apart one by one,
     letters three or more times in a row) become lattices of readings, decoded
     by Viterbi under channel costs and model. Words of the restored texts, and
     their first four and five bytes, that are significantly commoner in toxic
