@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -34,10 +35,13 @@ class Encoder:
     (the pattern below), a text's ids are those of its blank-free fragments one
     after another, so fragments are looked up in a memory of at most ``most``
     entries; a fragment of letters and closing punctuation takes the ids of its
-    two parts. Any other tokenizer gets whole texts.
+    two parts. Any other tokenizer, and a text with the separators U+001C to
+    U+001F, is encoded whole.
     """
 
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: str.split() takes these for white space, the tokenizer does not.
+    SEPARATORS = re.compile("[\x1c-\x1f]")
     CLOSING = ".,!|*%$&#?;:"
 
     def __init__(self, path: str, most: int = 300_000):
@@ -91,7 +95,7 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not self.by_fragment:
+        if not self.by_fragment or self.SEPARATORS.search(text):
             return self._encoded(text)
         parts = text.split()
         known = self.known
