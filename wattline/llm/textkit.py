@@ -18,6 +18,11 @@ for _range in (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0
 _POWERS: dict[str, np.ndarray] = {}
 
 
+def has_word(data: np.ndarray) -> np.ndarray:
+    """Per byte: is it part of a word."""
+    return _WORD[data]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U64(30))
@@ -27,7 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, most_bytes: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most_bytes`` of text each (one row at least)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
     first, used = 0, 0
@@ -40,6 +45,34 @@ def slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, i
         yield first, len(sizes)
 
 
+def long_parts(data: np.ndarray, most_bytes: int, after: bytes) -> Iterator[tuple[int, int]]:
+    """Byte ranges of a text, none much over ``most_bytes``, each ending after one of the ASCII bytes ``after`` if it has any, else between characters."""
+    at = 0
+    while at < len(data):
+        end = min(at + most_bytes, len(data))
+        if end < len(data):
+            good = np.flatnonzero(np.isin(data[at:end], np.frombuffer(after, np.uint8)))
+            if len(good):
+                end = at + int(good[-1]) + 1
+            else:
+                while end < len(data) and (data[end] & 0xC0) == 0x80:
+                    end += 1
+        yield at, end
+        at = end
+
+
+def parts(column: pa.Array, after: bytes = b" \n", most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, pa.Array]]:
+    """``slices`` with their texts; a text of over ``most_bytes`` comes as several with the same row range."""
+    for a, b in slices(column):
+        part = column.slice(a, b - a)
+        if b - a > 1 or (pc.binary_length(part)[0].as_py() or 0) <= most_bytes:
+            yield a, b, part
+            continue
+        data, _ = buffers(part)
+        for x, y in long_parts(data, most_bytes, after):
+            yield a, b, pa.array([data[x:y].tobytes().decode()], column.type)
+
+
 def as_array(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
@@ -69,14 +102,39 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span; equal spans hash alike wherever they stand."""
+def _hash_block(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _powers(len(data))
     total = np.zeros(len(data) + 1, dtype=U64)
     np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """64-bit hash of each byte span; equal spans hash alike wherever they stand. Starts and ends must ascend.
+
+    Spans are taken a block of ``block`` bytes at a time, and longer spans piece
+    by piece, so what is held beside the result does not grow with the data.
+    """
+    out = np.empty(len(starts), dtype=U64)
+    long = ends - starts > block
+    for i in np.flatnonzero(long).tolist():
+        h = np.zeros(1, U64)
+        for at in range(int(starts[i]), int(ends[i]), block):
+            piece = data[at : min(at + block, int(ends[i]))]
+            h = mix(h * U64(0x9E3779B97F4A7C15) + _hash_block(piece, np.array([0]), np.array([len(piece)])))
+        out[i] = h[0]
+    short = np.flatnonzero(~long) if long.any() else slice(None)
+    s, e = starts[short], ends[short]
+    found = np.empty(len(s), dtype=U64)
+    edges = np.searchsorted(s, np.arange(0, len(data) + block, block))
+    for i, j in zip(edges.tolist(), edges[1:].tolist()):
+        if i < j:
+            low = int(s[i])
+            found[i:j] = _hash_block(data[low : int(e[j - 1])], s[i:j] - low, e[i:j] - low)
+    out[short] = found
+    return out
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words: runs of ASCII letters and digits and of any non-ASCII bytes, within one text."""
     if len(data) == 0:
