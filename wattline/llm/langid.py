@@ -8,11 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from wattline.llm.runtime import held_out, session_of, ship, unit_hash
-from wattline.llm.textkit import as_array, buffers, slices
+from wattline.llm.runtime import held_out, lean, session_of, ship, spare, unit_hash
+from wattline.llm.textkit import as_array, buffers, parts
 
 UNDETERMINED = "und"
+#: ASCII characters that are no letters: n-grams never reach over them, so a text can be cut there.
+NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 _LETTER: list[np.ndarray] = []
 
 
@@ -65,54 +68,55 @@ def ngram_buckets(column: pa.Array, orders: tuple[int, ...], bits: int) -> Itera
         yield bucket, np.minimum(firsts, size)
 
 
+@lean
 def _count(batches: Iterator[pa.RecordBatch], orders: tuple[int, ...], bits: int) -> Iterator[pa.RecordBatch]:
-    """Per language of this partition: rows, and a vector of n-gram counts."""
+    """Per language of this partition a vector of n-gram counts."""
     counts: dict[str, np.ndarray] = {}
-    rows: dict[str, int] = {}
     for batch in batches:
         langs, texts = np.asarray(batch.column("lang").to_pylist(), dtype=object), as_array(batch.column("text"))
-        for a, b in slices(texts):
-            for bucket, firsts in ngram_buckets(texts.slice(a, b - a), orders, bits):
+        for a, b, part in parts(texts, NO_LETTERS):
+            for bucket, firsts in ngram_buckets(part, orders, bits):
                 for lang in set(langs[a:b]):
                     mask = np.repeat(langs[a:b] == lang, np.diff(firsts))
-                    part = bucket[firsts[0] : firsts[-1]][mask]
+                    own = bucket[firsts[0] : firsts[-1]][mask]
                     counts.setdefault(lang, np.zeros(1 << bits, np.int64))
-                    counts[lang] += np.bincount(part[part >= 0], minlength=1 << bits)
-            for lang in langs[a:b]:
-                rows[lang] = rows.get(lang, 0) + 1
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(list(rows)), pa.array(list(rows.values()), pa.int64()), pa.array([counts[x].tobytes() for x in rows], pa.binary())], names=["lang", "n", "counts"])
+                    counts[lang] += np.bincount(own[own >= 0], minlength=1 << bits)
+    if counts:
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c.tobytes() for c in counts.values()], pa.binary())], names=["lang", "counts"])
 
 
-def train(labelled: DataFrame, max_rows: int = 20_000, orders: tuple[int, ...] = (2, 3), bits: int = 15, smoothing: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(labelled: DataFrame, max_rows: int = 20_000, orders: tuple[int, ...] = (2, 3), bits: int = 15, smoothing: float = 0.5, most_langs: int = 256) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log priors and the matrix of log probabilities (buckets x languages).
 
-    ``labelled`` has columns lang (not null) and text. At most ``max_rows`` rows
-    (in expectation, the same number of each language where there are enough)
-    are fitted on, chosen by a hash of the text; the priors count all rows.
+    ``labelled`` has columns doc_id, lang (not null) and text. The ``most_langs``
+    commonest values of lang, ties in alphabetical order, are learned. About
+    ``max_rows`` rows (the same number of each language where there are enough)
+    are fitted on, chosen by a hash of id and text, repeats of a row once; the
+    priors count all rows of the learned languages.
     """
     spark = session_of(labelled)
     ship(spark)
-    totals = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    totals = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
     langs = sorted(totals)
     if not langs:
         return [], np.zeros(0), np.zeros((1 << bits, 0), np.float32)
     share = max_rows / len(langs)
     rate = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(share / v))])
-    drawn = labelled.where(unit_hash("text", salt=4) < F.element_at(rate, F.col("lang"))).select("lang", "text").repartition(8)
+    drawn = labelled.where(unit_hash("doc_id", "text", salt=4) < F.try_element_at(rate, F.col("lang"))).select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang", "text"]).select("lang", "text")
     counts = {x: np.zeros(1 << bits, np.int64) for x in langs}
-    for r in drawn.mapInArrow(lambda it: _count(it, orders, bits), "lang string, n long, counts binary").collect():
+    for r in drawn.mapInArrow(lambda it: _count(it, orders, bits), "lang string, counts binary").toLocalIterator():
         counts[r["lang"]] += np.frombuffer(r["counts"], np.int64)
     table = np.stack([np.log((counts[x] + smoothing) / (counts[x].sum() + smoothing * (1 << bits))) for x in langs], axis=1)
     prior = np.log(np.array([totals[x] for x in langs], float) / sum(totals.values()))
     return langs, prior, table.astype(np.float32)
 
 
-def _score(texts: pa.Array, langs: list[str], prior: np.ndarray, table: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[list[str], np.ndarray]:
+def _score(texts: pa.Array, langs: list[str], prior: np.ndarray, table: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and its posterior for every text, and whether it has a letter."""
     n, width = len(texts), len(langs)
     total, seen = np.zeros((n, width)), np.zeros(n, np.int64)
-    for a, b in slices(texts):
-        for bucket, firsts in ngram_buckets(texts.slice(a, b - a), orders, bits):
+    for a, b, part in parts(texts, NO_LETTERS):
+        for bucket, firsts in ngram_buckets(part, orders, bits):
             ok = bucket >= 0
             ends = np.concatenate(([0], np.cumsum(ok)))[firsts]
             picked = bucket[ok]
@@ -122,48 +126,49 @@ def _score(texts: pa.Array, langs: list[str], prior: np.ndarray, table: np.ndarr
                 np.cumsum(table[:, k][picked], out=run[1:])
                 total[a:b, k] += run[ends[1:]] - run[ends[:-1]]
     if not width:
-        return [UNDETERMINED] * n, np.zeros(n)
+        return [UNDETERMINED] * n, np.zeros(n), seen > 0
     logit = total + prior
     logit -= logit.max(axis=1, keepdims=True)
     p = np.exp(logit)
     p /= p.sum(axis=1, keepdims=True)
     best = p.argmax(axis=1)
-    return [langs[k] if s else UNDETERMINED for k, s in zip(best, seen)], np.where(seen > 0, p[np.arange(n), best], 0.0)
+    return [langs[k] if s else UNDETERMINED for k, s in zip(best, seen)], np.where(seen > 0, p[np.arange(n), best], 0.0), seen > 0
 
 
-def identify_language(docs: DataFrame, max_rows: int = 20_000, orders: tuple[int, ...] = (2, 3), bits: int = 15, carry: list[str] | None = None) -> DataFrame:
-    """Predicted language of every whole text: doc_id, held_out, lang_pred, score.
+def with_language(docs: DataFrame, max_rows: int = 20_000, orders: tuple[int, ...] = (2, 3), bits: int = 15, most_langs: int = 256) -> DataFrame:
+    """``docs`` with the columns lang_pred, score and has_letters, in place of any of these names.
 
     Learns from text and non-null lang of documents that are not held out (the
     quarter whose crc32 of the id as text leaves 2 on division by 4); a
-    prediction looks at nothing but the text. ``score`` is the posterior of the
-    predicted language. The broadcast model holds ``2**bits`` floats a language,
-    whatever the input's size. With ``carry``, the columns of ``docs`` named there
-    come instead of doc_id and held_out; ones called lang_pred or score are replaced.
+    prediction looks at nothing but the text, and no other column leaves the JVM.
+    ``score`` is the posterior of the predicted language. The broadcast model
+    holds ``2**bits`` floats for each of ``most_langs`` languages at the most.
 
     A null text, a text without letters, and any text when nothing could be
     learned give ``und`` with score 0; ties go to the first language in
-    alphabetical order; repeated rows are scored alike; a null id counts as not
-    held out; an empty table gives no rows; other columns are ignored.
+    alphabetical order; a very long text is read in parts of about 1 MB, cut
+    where there is no letter, which changes nothing but the order of a sum;
+    repeated rows are scored alike; a null id counts as not held out; an empty
+    table gives no rows; other columns pass through.
     """
     spark = session_of(docs)
     ship(spark)
-    carry = carry and [c for c in carry if c not in ("lang_pred", "score")]
-    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    langs, prior, table = train(labelled, max_rows, orders, bits)
+    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    langs, prior, table = train(labelled, max_rows, orders, bits, most_langs=most_langs)
     model = spark.sparkContext.broadcast((langs, prior, table))
-    names = carry or ["doc_id"]
-    kept = docs.select(*dict.fromkeys([*names, "text"]))
-    fields = [kept.schema[c] for c in names]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pred, score = _score(as_array(batch.column("text")), *model.value, orders, bits)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+    @arrow_udf("struct<lang_pred: string, score: double, has_letters: boolean>")
+    @lean
+    def told(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in columns:
+            pred, score, letters = _score(as_array(texts), *model.value, orders, bits)
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(letters)], names=["lang_pred", "score", "has_letters"])
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+    docs = docs.drop("lang_pred", "score", "has_letters")
+    (own,) = spare(docs.columns, "_told")
+    return docs.withColumn(own, told("text")).select(*[F.col(f"`{c}`") for c in docs.columns], f"{own}.*")
 
-    out = kept.mapInArrow(run, StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
-    if carry is not None:
-        return out
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+def identify_language(docs: DataFrame, **settings) -> DataFrame:
+    """Predicted language of every whole text, as ``with_language`` has it: doc_id, held_out, lang_pred, score."""
+    return with_language(docs, **settings).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
