@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.runtime import held_out, ship, unit_hash
-from wattline.llm.textkit import as_array, buffers, mix, slices, span_hash, word_spans
+from wattline.llm.runtime import block, checkpointed, held_out, lean, ship, sum_blocks, unit_hash
+from wattline.llm.textkit import as_array, buffers, mix, parts, slices, span_hash, word_spans
 
 U64 = np.uint64
 
@@ -21,18 +21,25 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i",
 }
-BETWEEN = " .-_*"
+BETWEEN = " .-_*\t"
+INSIDE = "-_*"
 # Costs of the channel, in nats.
-SUBSTITUTED, LITERAL, DROPPED, BROKEN, SQUEEZED = 1.0, 6.0, 0.5, 2.0, 1.0
+SUBSTITUTED, LITERAL, DROPPED, BROKEN, SQUEEZED, JOINED = 1.0, 6.0, 0.5, 2.0, 1.0, 2.0
 
-# Characters set apart one by one; leetspeak before letters; leetspeak that ends a word; a letter three times in a row.
+_GAP, _ONE = r"[ \t.\-_*]{1,3}", r"(?:[^\W_]|[@$!|+€£¡])"
+# Characters set apart one by one; leetspeak before letters; leetspeak that ends a word; words tied by separators; all
+# letters of a word doubled; a letter three times in a row.
 _PIECES = re.compile(
-    r"(?<![^\W_])(?:[^\W_]|[@$!|+€£¡])(?:[ .\-_*](?:[^\W_]|[@$!|+€£¡])(?![^\W_])){2,}"
+    rf"(?<![^\W_]){_ONE}(?:{_GAP}{_ONE}(?![^\W_])){{2,}}"
     r"|[^\W_]*(?:[0-9@$!|+€£¡]+[^\W\d_]+)+[0-9@$!|+€£¡]*"
     r"|(?<![^\W\d_])[^\W\d_]++[0-9@$!|+€£¡]+"
-    r"|[^\W\d_]*?([^\W\d_])\1\1[^\W\d_]*"
+    r"|(?<![^\W\d_])[^\W\d_]++(?:[\-_*][^\W\d_]++)+"
+    r"|(?<![^\W\d_])(?:([^\W\d_])\1+){3,}(?![^\W\d_])"
+    r"|[^\W\d_]*?([^\W\d_])\2\2[^\W\d_]*"
 )
-_LETTER, _WORDLIKE, _LEET, _BETWEEN = 1, 2, 4, 8
+_SPACED = re.compile(rf"{_ONE}(?:{_GAP}{_ONE}){{2,}}")
+_DOUBLED = re.compile(r"(?:([^\W\d_])\1+){3,}")
+_LETTER, _WORDLIKE, _LEET, _BETWEEN, _INSIDE = 1, 2, 4, 8, 16
 _KINDS: list[np.ndarray] = []
 
 
@@ -42,6 +49,7 @@ def _kinds() -> np.ndarray:
         kind = np.fromiter(((_WORDLIKE | (0 if c.isdecimal() else _LETTER)) if (c := chr(i)).isalnum() else 0 for i in range(0x110000)), dtype=np.uint8, count=0x110000)
         kind[[ord(c) for c in LEET]] |= _LEET
         kind[[ord(c) for c in BETWEEN]] |= _BETWEEN
+        kind[[ord(c) for c in INSIDE]] |= _INSIDE
         _KINDS.append(kind)
     return _KINDS[0]
 
@@ -69,31 +77,26 @@ def _classes() -> np.ndarray:
     return _CLASS[0]
 
 
+@lean
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of character trigrams within and at the edges of words, in 64 chunks by the first character."""
+    """Counts of character trigrams within and at the edges of words, in a block for each first character."""
     counts = np.zeros(CLASSES**3, np.int64)
     for batch in batches:
-        texts = as_array(batch.column("text"))
-        for a, b in slices(texts):
-            joined = "  ".join(x or "" for x in pc.utf8_lower(texts.slice(a, b - a)).to_pylist())
-            code = _classes()[np.frombuffer(f"  {joined}  ".encode("utf-32-le"), np.uint32)].astype(np.int64)
+        for _, _, part in parts(as_array(batch.column("text"))):
+            joined = "  ".join(x or "" for x in pc.utf8_lower(part).to_pylist())
+            code = _classes()[np.frombuffer(f"  {joined}  ".encode("utf-32-le"), np.uint32)].astype(np.int32)
             code = code[np.concatenate(([True, True], (code[2:] != 0) | (code[1:-1] != 0) | (code[:-2] != 0)))]
             counts += np.bincount((code[:-2] * CLASSES + code[1:-1]) * CLASSES + code[2:], minlength=CLASSES**3)
     chunks = counts.reshape(CLASSES, -1)
     used = [i for i in range(CLASSES) if chunks[i].any()]
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([chunks[i].tobytes() for i in used], pa.binary())], names=["chunk", "counts"])
-
-
-def _sum(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(c, np.int64) for c in table["counts"].to_pylist())
-    return pa.table({"chunk": pa.array([table["chunk"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([block(chunks[i]) for i in used], pa.binary())], names=["chunk", "counts"])
 
 
 def language_model(texts: DataFrame) -> np.ndarray:
     """Log probabilities [before last, last, next] of character classes, from all texts; interpolated with lower orders."""
     counts = np.zeros((CLASSES, CLASSES, CLASSES))
-    for r in texts.select("text").mapInArrow(_count_trigrams, "chunk int, counts binary").groupBy("chunk").applyInArrow(_sum, "chunk int, counts binary").collect():
-        counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64).reshape(CLASSES, CLASSES)
+    for chunk, total in sum_blocks(texts.select("text").mapInArrow(_count_trigrams, "chunk int, counts binary")):
+        counts[chunk] = total.reshape(CLASSES, CLASSES)
     one = counts.sum(axis=(0, 1)) + 0.5
     one /= one.sum()
     two = counts.sum(axis=0)
@@ -112,20 +115,27 @@ class Restorer:
         """For each stretch of the piece, what it may stand for and at what cost.
 
         Leetspeak stands for letters or itself, separators between single
-        letters for nothing or a break, a letter three or more times in a row
-        for one or two; any other character for itself alone. Exclamation marks
-        that end a piece are themselves at no cost.
+        letters for nothing or a break, ones between words for themselves or
+        nothing, a letter three or more times in a row, or each twice or more in
+        a word of such letters, for one or two; any other character for itself
+        alone. Exclamation marks that end a piece are themselves at no cost.
         """
-        spaced = len(piece) >= 5 and all(c in BETWEEN for c in piece[1::2])
+        spaced = _SPACED.fullmatch(piece) is not None
+        least = 2 if not spaced and _DOUBLED.fullmatch(piece) else 3
         marks = len(piece.rstrip("!"))
         out, i = [], 0
         while i < len(piece):
             c, run = piece[i], 1
             while i + run < len(piece) and piece[i + run] == c:
                 run += 1
-            if spaced and i % 2:
+            if spaced and c in BETWEEN:
                 out.append([("", DROPPED), (" ", BROKEN)])
                 i += 1
+                while piece[i] in BETWEEN:
+                    i += 1
+            elif not spaced and c in INSIDE:
+                out.append([(c, 0.0), ("", JOINED)])
+                i += 1
             elif c in LEET:
                 options, literal = [(x, SUBSTITUTED) for x in LEET[c]], 0.0 if 0 < marks <= i and not spaced else LITERAL
                 if run > 2:
@@ -134,7 +144,7 @@ class Restorer:
                 else:
                     out.append(options + [(c, literal)])
                     i += 1
-            elif run > 2 and c.isalpha():
+            elif run >= least and c.isalpha():
                 out.append([(c, SQUEEZED), (c * 2, SQUEEZED)])
                 i += run
             else:
@@ -176,11 +186,13 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Starts and ends of the stretches that hold every match of the pattern.
 
     A run is a longest row of letters, digits and leetspeak. Matches without
-    separators lie within a run that has leetspeak next to a letter or a letter
-    three times in a row. Matches with separators go from the last character of
-    a run over runs of one character, a separator before each, to the first
-    character of a run; inside longer runs symbols alone may stand next to them.
-    Stretches are whole runs, so they match by themselves as within the text.
+    separators lie within a run that has leetspeak next to a letter, a letter
+    three times in a row or two doubled ones. Matches of single characters go
+    from the last character of a run over runs of one character, one to three
+    separators before each, to the first character of a run; inside longer runs
+    symbols alone may stand next to them. Tied words are runs with a separator
+    between a letter and a letter. Stretches are whole runs, so they match by
+    themselves as within the text.
     """
     if len(data) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -197,24 +209,43 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     hit = np.zeros(len(code), dtype=bool)
     hit[:-1] = joined & ((leet[:-1] & letter[1:]) | (letter[:-1] & leet[1:]))
     hit[:-2] |= joined[:-1] & joined[1:] & letter[:-2] & (code[:-2] == code[1:-1]) & (code[1:-1] == code[2:])
+    pair = np.zeros(len(code) + 2, dtype=bool)
+    pair[: len(code) - 1] = joined & letter[1:] & (code[1:] == code[:-1])
+    hit |= pair[: len(code)] & pair[2:]
     hits = np.concatenate(([0], np.cumsum(hit)))
     found = hits[e] > hits[s]
-    # Separators between single characters.
+    # One to three separators between neighbouring runs, all of one text.
     one = e - s == 1
+    gap = s[1:] - e[:-1]
+    between, edges = np.concatenate(([0], np.cumsum((kind & _BETWEEN) > 0))), np.concatenate(([0], np.cumsum(edge)))
     link = np.zeros(len(s) + 1, dtype=bool)
-    link[1:-1] = (s[1:] - e[:-1] == 1) & ((kind[e[:-1]] & _BETWEEN) > 0) & ~edge[e[:-1]] & ~edge[s[1:]]
+    link[1:-1] = (gap <= 3) & (between[s[1:]] - between[e[:-1]] == gap) & (edges[s[1:] + 1] == edges[e[:-1]])
+    tied = np.zeros(len(s) + 1, dtype=bool)
+    tied[1:-1] = link[1:-1] & (gap == 1) & ((kind[e[:-1]] & _INSIDE) > 0) & letter[e[:-1] - 1] & letter[s[1:]]
+    knot_first, knot_last = np.flatnonzero(tied[1:] & ~tied[:-1]), np.flatnonzero(tied[:-1] & ~tied[1:])
     head, tail = one | ~word[np.maximum(e - 2, 0)], one | ~word[np.minimum(s + 1, len(word) - 1)]
     chained = link[1:-1] & one[1:] & one[:-1]
     first, last = np.flatnonzero(one & ~np.concatenate(([False], chained))), np.flatnonzero(one & ~np.concatenate((chained, [False])))
     first, last = first - (link[first] & head[first - 1]), last + (link[last + 1] & tail[(last + 1) % len(s)])
     long = last - first >= 2
-    starts, ends = np.concatenate((s[found], s[first[long]])), np.concatenate((e[found], e[last[long]]))
+    starts, ends = np.concatenate((s[found], s[first[long]], s[knot_first])), np.concatenate((e[found], e[last[long]], e[knot_last]))
     where = np.append(at, len(data))
     return where[starts], where[ends]
 
 
 def restored(texts: pa.Array, restorer: Restorer) -> pa.Array:
-    """Lower-case texts with obfuscations undone; only suspicious stretches are decoded."""
+    """Lower-case texts with obfuscations undone; only suspicious stretches are decoded, very long texts in parts."""
+    out: list = [""] * len(texts)
+    whole = list(parts(texts, b"\n"))
+    if len(whole) == 1:
+        return _restored(texts, restorer)
+    for a, b, part in whole:
+        for i, text in zip(range(a, b), _restored(part, restorer).to_pylist()):
+            out[i] = out[i] + text if out[i] else text
+    return pa.array(out, texts.type)
+
+
+def _restored(texts: pa.Array, restorer: Restorer) -> pa.Array:
     low = pc.utf8_lower(pc.fill_null(texts, ""))
     data, offsets = buffers(low)
     starts, ends = _pieces(data, offsets)
@@ -257,6 +288,7 @@ def _restored_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[tupl
             yield batch, a, b, restored(texts.slice(a, b - a), restorer)
 
 
+@lean
 def _count_features(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """Texts and toxic texts that have each feature, of this partition."""
     counts = np.zeros((2, 1 << FEATURE_BITS), np.int32)
@@ -289,6 +321,7 @@ def evidence(low: pa.Array, weight: np.ndarray) -> np.ndarray:
     return out
 
 
+@lean
 def _evidence_rows(batches: Iterator[pa.RecordBatch], model, weight) -> Iterator[pa.RecordBatch]:
     for batch, a, b, low in _restored_batches(batches, model):
         x = evidence(low, weight.value)
@@ -314,8 +347,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, t
     """Toxicity of every whole text: doc_id, held_out, score, predicted (and, if asked, restored_text).
 
     A trigram character model is counted over all texts. In each text the pieces
-    that look obfuscated (leetspeak in words or at their ends, letters set apart one by one,
-    letters three or more times in a row) become lattices of readings, decoded
+    that look obfuscated (leetspeak in words or at their ends, letters set apart one by one
+    by up to three separators, words tied by separators, letters doubled throughout or three
+    or more times in a row) become lattices of readings, decoded
     by Viterbi under channel costs and model. Words of the restored texts, and
     their first four and five bytes, that are significantly commoner in toxic
     than in other labelled texts carry log-odds; a logistic model turns a text's
@@ -325,20 +359,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, t
 
     A null or empty text is scored by the intercept; without labels every score
     is 0, with labels of one kind it is that kind's share; labels that are null
-    are ignored, repeated label rows count each; a null id counts as not held
-    out and has no label; repeated rows are scored alike; an empty table gives
-    no rows; other columns are ignored.
+    are ignored, and of several labels of one id the largest counts; a null id
+    counts as not held out and has no label; a very long text is restored in
+    parts of about 1 MB; repeated rows are scored alike and learned from once; an
+    empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = spark.sparkContext.broadcast(language_model(narrow))
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = usable.count()
     drawn = usable.where(unit_hash("doc_id", salt=1) * max(n, 1) < max_rows)
     weight, w = np.zeros(1 << FEATURE_BITS, np.float32), np.array([-30.0, 0, 0, 0, 0, 0])
     if n:
-        sample = narrow.join(F.broadcast(drawn), "doc_id").select("text", "toxic").repartition(6)
+        sample = checkpointed(narrow.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "text"]).select("text", "toxic"))
         counts, rows = np.zeros((2, 1 << FEATURE_BITS)), np.zeros(2)
         for r in sample.mapInArrow(lambda it: _count_features(it, model), "n long, toxic long, counts binary").toLocalIterator():
             counts += np.frombuffer(r["counts"], np.int32).reshape(2, -1)
@@ -357,6 +393,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, t
             w[0] = np.log(base / (1 - base)) if rows[0] else -30.0
     final = spark.sparkContext.broadcast((weight, w))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, w = final.value
         for batch, a, b, low in _restored_batches(batches, model):
