@@ -36,7 +36,7 @@ def test_exact_top_k(spark, table):
 def test_multi_index_recall_and_scores(spark, table):
     x, df = table
     x = x.astype(np.float64)
-    out = search_multi_index(df, centroids=8, wanted=1, share=0.5).collect()
+    out = search_multi_index(df, centroids=8).collect()
     hits = 0
     for q in range(0, 400, 20):
         mine = sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])
@@ -61,3 +61,39 @@ def test_few_rows_and_none(spark):
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in search_multi_index(few).collect()] == [(0, 1, 3.0)]
     none = spark.createDataFrame([], SCHEMA)
     assert exact_top_k(none).count() == 0 and search_multi_index(none).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["spread", "clustered"])
+def test_recall_of_the_registered_settings(spark, shape):
+    """The index is at work at every size: half of the rows are left out of the reranking, and 0.9 of the nearest are found."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64))
+    if shape == "clustered":
+        x = 0.3 * x + rng.normal(size=(40, 64))[rng.integers(0, 40, 3000)]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    out = search_multi_index(df, k=20, every=20).collect()
+    assert len(out) == 150 * 20
+    found: dict[int, set[int]] = {}
+    for r in out:
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    y = x.astype(np.float64)
+    recall = np.mean([len(found[q] & {i for i, _ in best(y @ y[q], range(3000), q, 20)}) / 20 for q in found])
+    assert 0.9 <= recall
+
+
+def test_one_id_with_many_high_vectors(spark):
+    rows = [(7, [float(100 + k)]) for k in range(30)] + [(i, [float(i)]) for i in (0, 20, 40, 50, 60, 100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in exact_top_k(df, k=3).where("query_id = 50").orderBy("rank").collect()]
+    assert got == [(7, 256 * 129 * 256 * 50), (100, 256 * 100 * 256 * 50), (60, 256 * 60 * 256 * 50)]
+    got = [r["vec_id"] for r in search_multi_index(df, k=3, share=1.0).where("query_id = 40").orderBy("rank").collect()]
+    assert got == [7, 100, 60]
+
+
+def test_large_components(spark):
+    rows = [(0, [2.0**40, 1.0]), (1, [2.0**40, 3.0]), (2, [2.0**40, 2.0]), (3, [-(2.0**40), 0.0]), (4, [2.0**50, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(256 * c)) for c in v] for i, v in rows}
+    want = sorted(((-min(max(sum(a * b for a, b in zip(whole[0], whole[i])), -(2**63)), 2**63 - 1), i) for i in range(1, 5)))
+    assert [(-r["score"], r["vec_id"]) for r in exact_top_k(df).orderBy("rank").collect()] == want

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from wattline.llm.runtime import ship
-from wattline.llm.vectors import blocks, keyed, matrix, ranked, sample, unpack, usable
+from wattline.llm.runtime import lean, ship
+from wattline.llm.vectors import blocks, in_parts, keyed, matrix, ranked, sample, unpack, usable
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -59,6 +59,7 @@ def traverse(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, wanted: i
     return out
 
 
+@lean
 def _query_packs(batches: Iterator[pa.RecordBatch], dim: int, c1: np.ndarray, c2: np.ndarray, sizes: np.ndarray, wanted: int, kind: type, pack: int = 256) -> Iterator[pa.RecordBatch]:
     """For each first-half centroid, packs of the queries that visit its cells, and which of them."""
     half = dim // 2
@@ -80,6 +81,7 @@ def _query_packs(batches: Iterator[pa.RecordBatch], dim: int, c1: np.ndarray, c2
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]], names=["grp", "qids", "qvecs", "masks"])
 
 
+@lean
 def _rerank(batches: Iterator[pa.RecordBatch], k: int, kind: type) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out_q, out_v, out_s = [], [], []
@@ -93,28 +95,34 @@ def _rerank(batches: Iterator[pa.RecordBatch], k: int, kind: type) -> Iterator[p
                 continue
             rough = q[asks] @ x.T
             rough[~mask[asks][:, cell] | (qi[asks][:, None] == i[None, :])] = -np.inf
-            kth = np.partition(rough, -k, axis=1)[:, -k] if len(i) > k else np.full(len(asks), -np.inf)
+            # An id with several vectors here: its best score counts, and only once.
+            unique = len(np.unique(i)) == len(i)
+            kth = np.partition(rough, -k, axis=1)[:, -k] if unique and len(i) > k else np.full(len(asks), -np.inf)
             for at, row in enumerate(asks):
                 near = np.flatnonzero((rough[at] >= kth[at] - 1e-9 * (1 + abs(kth[at]))) & (rough[at] > -np.inf)) if np.isfinite(kth[at]) else np.flatnonzero(rough[at] > -np.inf)
                 exact = (x[near] * q[row]).sum(axis=1)  # the same sum for the same vector, wherever it stands
-                order = np.lexsort((i[near], -exact))[:k]
+                order = np.lexsort((i[near], -exact))
+                if not unique:
+                    order = order[np.sort(np.unique(i[near][order], return_index=True)[1])]
+                order = order[:k]
                 out_q.extend([int(qi[row])] * len(order))
                 out_v.extend(i[near][order].tolist())
                 out_s.extend(exact[order].tolist())
         yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
 
 
-def search_multi_index(vectors: DataFrame, k: int = 20, every: int = 20, centroids: int = 64, wanted: int = 4096, share: float = 0.5, fit_rows: int = 8192) -> DataFrame:
+def search_multi_index(vectors: DataFrame, k: int = 20, every: int = 20, centroids: int = 64, share: float = 0.5, fit_rows: int = 8192) -> DataFrame:
     """About the ``k`` largest inner products of each query with all other rows: query_id, rank, vec_id, score.
 
     Both halves of the vectors are quantised by their own ``centroids``, fitted on
     about ``fit_rows`` sampled vectors; every row is indexed in its cell (i, j). A
     query walks the centroid pairs by summed distance (the negated inner products
-    of the halves) with a heap until the visited cells hold ``wanted`` rows and
-    the ``share`` of all rows, and all rows of these cells are reranked by the
+    of the halves) with a heap until the visited cells hold the ``share`` of all
+    rows and ``4 * k`` rows, and all rows of these cells are reranked by the
     exact inner product in double precision. Vectors without structure need the
-    default share for a recall of 0.9; clustered ones do with far less. Queries are the rows whose vec_id ``every`` divides. Broadcast:
-    the two codebooks and one count a cell.
+    default share for a recall of 0.9; clustered ones do with far less. Queries
+    are the rows whose vec_id ``every`` divides. Broadcast: the two codebooks and
+    one count a cell.
 
     Null, empty, zero or non-finite vectors, null ids and vectors of an uncommon
     dimension take no part; exact repeats of a row count once, and an id with
@@ -129,7 +137,7 @@ def search_multi_index(vectors: DataFrame, k: int = 20, every: int = 20, centroi
     if n == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     half = dim // 2
-    wanted = max(wanted, int(np.ceil(share * n)))
+    wanted = max(4 * k, int(np.ceil(share * n)))
     kind = np.float32 if vectors.schema["embedding"].dataType.elementType == FloatType() else np.float64
     fitted = sample(kept, fit_rows, n)
     c1, c2 = kmeans(fitted[:, :half], centroids), kmeans(fitted[:, half:], centroids, seed=8)
@@ -143,10 +151,12 @@ def search_multi_index(vectors: DataFrame, k: int = 20, every: int = 20, centroi
     for r in cells.collect():
         sizes[r["i"], r["j"]] = r["n"]
     asked = kept.where(F.col("vec_id") % every == 0).mapInArrow(lambda it: _query_packs(it, dim, c1, c2, sizes, wanted, kind), "grp int, qids binary, qvecs binary, masks binary")
-    met = asked.join(index.hint("shuffle_merge"), "grp").select("qids", "qvecs", "masks", "ids", "keys", "vecs")
+    asked, index = in_parts(asked, index, dict(enumerate(sizes.sum(axis=1).tolist())))
+    met = asked.join(index.hint("shuffle_merge"), ["grp", "part"]).select("qids", "qvecs", "masks", "ids", "keys", "vecs")
     return ranked(met.mapInArrow(lambda it: _rerank(it, k, kind), "query_id long, vec_id long, score double"), k)
 
 
+@lean
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         i, j, n = [], [], []

@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.runtime import ship
-from wattline.llm.vectors import blocks, keyed, ranked, sample, unpack, usable
+from wattline.llm.runtime import lean, ship
+from wattline.llm.vectors import blocks, in_parts, keyed, ranked, sample, unpack, usable
 
 PACK = "grp int, lo double, hi double, qids binary, qvecs binary, qbest binary, qdist binary"
 FOUND = "query_id long, vec_id long, score long"
+#: Distances are roots of differences: relative to the norms they are exact to about the root of a double's precision.
+SLACK = 1e-7
 
 
 def to_integers(x: np.ndarray) -> np.ndarray:
@@ -33,6 +35,7 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(object) @ b.T.astype(object)
 
 
+@lean
 def _query_packs(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, largest: float, reach: np.ndarray, every: int, k: int, most: int) -> Iterator[pa.RecordBatch]:
     """The queries standing in these blocks, with the k-th best score in their own block, sent to each pivot they may need."""
     ids, vecs, best = [], [], []
@@ -42,7 +45,7 @@ def _query_packs(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, largest:
         norm = (q * q).sum(axis=1)
         dist = np.sqrt(np.maximum(norm[:, None] + largest - 2 * (q @ pivots[:, :-1].T), 0))
         radius = np.sqrt(np.maximum(norm + largest - 2 * tau, 0))
-        slack = 1e-9 * (1 + np.sqrt(norm + largest))
+        slack = SLACK * (1 + np.sqrt(norm + largest))
         low, high = dist - (radius + slack)[:, None], dist + (radius + slack)[:, None]
         out = []
         for p in range(len(pivots)):
@@ -62,6 +65,7 @@ def _query_packs(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, largest:
             scores[i[asks][:, None] == i[None, :]] = -np.inf
             unique = len(np.unique(i)) == len(i)
             tau = np.partition(scores, -k, axis=1)[:, -k] if unique and len(i) > k else np.full(len(asks), -np.inf)
+            tau = np.where(np.abs(tau) >= 2**53, np.nextafter(tau, -np.inf), tau)  # rounded scores: never above the true one
             ids.extend(i[asks].tolist())
             vecs.extend(x[asks])
             best.extend(tau.tolist())
@@ -72,6 +76,7 @@ def _query_packs(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, largest:
         yield packed()
 
 
+@lean
 def _search(batches: Iterator[pa.RecordBatch], largest: float, k: int, step: int) -> Iterator[pa.RecordBatch]:
     """Queries of a pack against a block of one pivot: annuli outward from the queries' own distances until the bound ends it."""
     for batch in batches:
@@ -83,7 +88,7 @@ def _search(batches: Iterator[pa.RecordBatch], largest: float, k: int, step: int
             d, r = np.frombuffer(qdist), np.frombuffer(keys)
             tau = np.frombuffer(qbest).copy()
             base = (q * q).sum(axis=1) + largest
-            slack = 1e-9 * (1 + np.sqrt(base))
+            slack = SLACK * (1 + np.sqrt(base))
             annuli = [(a, min(a + step, len(i))) for a in range(0, len(i), step)]
             gap = np.stack([np.maximum(0, np.maximum(r[a] - d, d - r[b - 1])) for a, b in annuli], axis=1)
             top_s = [np.zeros(0)] * len(qi)
@@ -99,14 +104,16 @@ def _search(batches: Iterator[pa.RecordBatch], largest: float, k: int, step: int
                     if not ok.any():
                         continue
                     s, v = np.concatenate((top_s[row], s[ok])), np.concatenate((top_v[row], i[a:b][ok]))
-                    order = np.lexsort((v, -s))[:k]
+                    order = np.lexsort((v, -s))
+                    order = order[np.sort(np.unique(v[order], return_index=True)[1])][:k]  # an id once, by its best score
                     top_s[row], top_v[row] = s[order], v[order]
-                    if len(order) == k and len(set(v[order].tolist())) == k:
-                        tau[row] = max(tau[row], float(s[order[-1]]))
+                    if len(order) == k:
+                        last = float(s[order[-1]])
+                        tau[row] = max(tau[row], last if abs(last) < 2**53 else np.nextafter(last, -np.inf))
             for row in range(len(qi)):
                 out_q.extend([int(qi[row])] * len(top_v[row]))
                 out_v.extend(top_v[row].tolist())
-                out_s.extend(int(x) for x in top_s[row])
+                out_s.extend(min(max(int(x), -(2**63)), 2**63 - 1) for x in top_s[row])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
 
 
@@ -124,8 +131,9 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, pivots: int = 6
     Null, empty or non-finite vectors, null ids and vectors of an uncommon
     dimension take no part; exact repeats of a row count once, and an id with
     several vectors keeps its best score; fewer than ``k`` candidates give fewer
-    rows; ties go to the smaller vec_id; an empty table gives no rows; other
-    columns are ignored.
+    rows; ties go to the smaller vec_id; a score beyond 64 bits becomes the
+    nearest number that they hold; an empty table gives no rows; other columns
+    are ignored.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -145,11 +153,12 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, pivots: int = 6
         return group, np.sqrt(np.maximum(square[np.arange(len(x)), group], 0))
 
     index = blocks(keyed(kept, nearest, dim, to_integers))
-    reach = np.array([[np.inf, -np.inf]] * len(points))
-    for r in index.groupBy("grp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect():
-        reach[r["grp"]] = r["lo"], r["hi"]
+    reach, rows = np.array([[np.inf, -np.inf]] * len(points)), {}
+    for r in index.groupBy("grp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.sum(F.length("ids")) / 8).alias("n")).collect():
+        reach[r["grp"]], rows[r["grp"]] = (r["lo"], r["hi"]), int(r["n"])
     asked = index.mapInArrow(lambda it: _query_packs(it, points, largest, reach, every, k, pack), PACK)
+    asked, index = in_parts(asked, index, rows)
     a, b = asked.alias("a"), index.alias("b")
-    pairs = a.join(b.hint("shuffle_merge"), (F.col("a.grp") == F.col("b.grp")) & (F.col("a.lo") <= F.col("b.hi")) & (F.col("a.hi") >= F.col("b.lo")))
+    pairs = a.join(b.hint("shuffle_merge"), (F.col("a.grp") == F.col("b.grp")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.lo") <= F.col("b.hi")) & (F.col("a.hi") >= F.col("b.lo")))
     met = pairs.select("qids", "qvecs", "qbest", "qdist", "ids", "keys", "vecs")
     return ranked(met.mapInArrow(lambda it: _search(it, largest, k, step), FOUND), k)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.runtime import checkpointed, task_count, unit_hash
+from wattline.llm.runtime import checkpointed, lean, task_count, unit_hash
 from wattline.llm.textkit import as_array
 
 BLOCK_ROWS = 1024
@@ -21,15 +21,16 @@ def usable(vectors: DataFrame, nonzero: bool) -> tuple[DataFrame, int]:
 
     Left out: null, empty and non-finite vectors, vectors with a null component,
     those without an id, zero vectors if ``nonzero``, and vectors of another
-    dimension than the most frequent one.
+    dimension than the most frequent one (of several, the least).
     """
     v = F.col("embedding")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(~bad)
     if nonzero:
         kept = kept.where(F.exists(v, lambda x: x != 0))
-    dim = kept.agg(F.mode(F.size("embedding"))).first()[0]
-    return kept.where(F.size("embedding") == F.lit(dim or 0)).withColumnRenamed("embedding", "v"), dim or 0
+    first = kept.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    dim = first["dim"] if first else 0
+    return kept.where(F.size("embedding") == dim).withColumnRenamed("embedding", "v"), dim
 
 
 def matrix(batch: pa.RecordBatch, dim: int) -> np.ndarray:
@@ -61,6 +62,7 @@ def _flush(group: int, rows: list) -> list:
     return [group, keys[0], keys[-1], np.array(ids, np.int64).tobytes(), np.array(keys).tobytes(), b"".join(vecs)]
 
 
+@lean
 def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows into blocks of one group each; an exact repeat of a row counts once."""
 
@@ -93,6 +95,17 @@ def blocks(rows: DataFrame, most: int = BLOCK_ROWS) -> DataFrame:
     return checkpointed(dealt.mapInArrow(lambda it: _pack(it, most), BLOCK))
 
 
+def in_parts(asked: DataFrame, index: DataFrame, rows: dict[int, int], part_rows: int = 1 << 15) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join by ``grp`` with a further key ``part``: a group's blocks are dealt to a part for each ``part_rows`` of its ``rows``.
+
+    What is asked goes to every part of its group, so a task's share of a join
+    does not grow with the group.
+    """
+    counts = F.create_map(*[F.lit(x) for g, n in rows.items() for x in (int(g), int(max(1, -(-n // part_rows))))])
+    many = F.coalesce(F.try_element_at(counts, F.col("grp")), F.lit(1))
+    return asked.withColumn("part", F.explode(F.sequence(F.lit(0), many - 1))), index.withColumn("part", F.pmod(F.xxhash64("ids"), many).cast("int"))
+
+
 def unpack(ids: bytes, vecs: bytes, dtype=np.float64) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, np.int64)
     return i, np.frombuffer(vecs, dtype).reshape(len(i), -1)
