@@ -61,9 +61,9 @@ def test_classes_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(neardup, "GROUP_ROWS", 3)
     rows = texts()
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, class_id string, n int").repartition(3)
-    out = {r["doc"]: r["class_id"] for r in near_duplicate_classes(docs, bands=50).collect()}
+    out = {r["doc"]: r["class_id"] for r in near_duplicate_classes(docs).collect()}
     assert out == brute(rows)
-    kept = sorted(r["doc_id"] for r in keep_one_of_each(docs, bands=50).collect())
+    kept = sorted(r["doc_id"] for r in keep_one_of_each(docs).collect())
     assert kept == sorted(set(brute(rows).values()))
 
 

@@ -13,16 +13,17 @@ def _digest(links: DataFrame) -> tuple[int, int]:
     return row[0], int(row[1] or 0)
 
 
-def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(v, c): each node of ``links`` (columns a, b) with the smallest node of its component.
 
     Rounds of the alternating star contraction (every node's larger neighbours,
     then its smaller ones, are linked to its smallest neighbour) until the links
     (their number and the sum of their hashes) no longer change; each component ends as a star around its smallest node.
+    The rounds grow with the logarithm of the largest component's size at the most, squared.
     """
     now = checkpointed(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     seen = _digest(now)
-    for _ in range(most_rounds if seen[0] else 0):
+    while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # Larger neighbours (and the node itself) to the smallest neighbour.

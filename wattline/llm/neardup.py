@@ -9,22 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattline.llm.filters import bloom, may_hold
 from wattline.llm.graph import components
-from wattline.llm.linededup import _doc_key
-from wattline.llm.runtime import checkpointed, ship
+from wattline.llm.runtime import checkpointed, lean, ship, spare, with_key
 from wattline.llm.textkit import as_array, mix, shingle_hashes, slices, word_hashes
 
 U64 = np.uint64
-LOWEST = -8
+LOWEST = -1
 GROUP_ROWS = 4096
 GROUP_BYTES = 16 << 20
 _POISSON: dict[int, np.ndarray] = {}
 
 
 def _cumulative(level: int) -> np.ndarray:
-    """Poisson probabilities, summed, for the number of darts in the cell of a level."""
+    """Poisson probabilities, summed, for the number of darts in an area of 2**level."""
     if level not in _POISSON:
-        mean = 2.0 ** max(level, LOWEST)
+        mean = 2.0**level
         k = np.arange(1, int(mean + 12 * mean**0.5 + 20))
         _POISSON[level] = np.cumsum(np.exp(np.concatenate(([0.0], np.cumsum(np.log(mean / k)))) - mean))
     return _POISSON[level]
@@ -34,49 +34,74 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return (h >> U64(11)).astype(np.float64) * 2.0**-53
 
 
-def dart_minhash(ids: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """Signatures (sets x ``k``) of sets of unit-weight regions.
+def dart_minhash(ids: np.ndarray, starts: np.ndarray, k: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """Signatures (sets x ``k``) of weighted sets; elements weigh 1 where ``weights`` (positive, not only whole) is not given.
 
-    Darts fall on (region, rank) as a Poisson process of one dart a unit of rank
-    in each region, drawn from the region's own hash and therefore alike in
-    every set that has it; each dart also names one of ``k`` coordinates. A
-    coordinate's value is its dart of lowest rank over the set's regions. Ranks
-    are visited in doubling cells, from the lowest, until all coordinates of a
-    set are hit, so a set takes about k ln k darts however many regions it has.
-    An element of weight w is w regions: two weighted sets agree in a coordinate
-    with the probability of their weighted Jaccard similarity.
+    Every element has a plane of weight and rank, on which darts fall as a
+    Poisson process of one dart a unit of area, drawn from the element's own hash
+    and therefore alike in every set that has it. A set gets the darts that land
+    below the element's weight in it. Each dart also names one of ``k``
+    coordinates, and a coordinate's value is its dart of lowest rank among all
+    elements: two sets agree in it with the probability of their weighted
+    Jaccard similarity.
+
+    The planes are cut into areas that double in weight, [2**v - 1, 2**(v+1) - 1),
+    and in rank. Ranks are visited from the lowest until all coordinates of a set
+    are hit, so a set takes about k ln k darts, and an element of weight w
+    log2(w + 1) areas of a rank, whatever the weights add up to.
     """
     n = len(starts) - 1
-    value = np.zeros((n, k), dtype=U64)
-    hit = np.zeros((n, k), dtype=bool)
-    sizes = np.diff(starts)
-    owner = np.repeat(np.arange(n), sizes)
+    value, hit = np.zeros((n, k), dtype=U64), np.zeros((n, k), dtype=bool)
+    owner = np.repeat(np.arange(n), np.diff(starts))
+    weights = np.ones(len(ids)) if weights is None else weights
+    areas = np.maximum(1, np.ceil(np.log2(weights + 1))).astype(np.int64)
+    which = np.repeat(np.arange(len(ids)), areas)
+    v = np.arange(len(which)) - np.repeat(np.cumsum(areas) - areas, areas)
+    ids, owner, weights = mix(ids[which] + v.astype(U64) * U64(0xA24BAED4963EE407)), owner[which], weights[which]
     level = LOWEST - 1
     while len(ids):
         level += 1
-        # The first cell reaches from 0 to 2**LOWEST; the next ones double the reach.
-        cell = LOWEST if level == LOWEST else level - 1
-        u = _unit(mix(ids + U64((level - LOWEST + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
-        table = _cumulative(cell)
-        some = np.flatnonzero(u >= table[0])
-        count = np.searchsorted(table, u[some], side="right")
-        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        dart = mix(mix(np.repeat(ids[some], count) ^ U64((level - LOWEST + 77) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)) + nth.astype(U64) * U64(0x8CB92BA72F3D8DD7))
-        slot = np.repeat(owner[some], count) * k + ((dart >> U64(32)) % U64(k)).astype(np.int64)
-        rank = mix(dart ^ U64(0x2545F4914F6CDD1D))
-        order = np.argsort(rank)[::-1]
-        fresh = ~hit.ravel()[slot[order]]
-        order = order[fresh]
+        # The first ranks reach from 0 to 2**LOWEST; the next ones double the reach.
+        height = LOWEST if level == LOWEST else level - 1
+        step = level - LOWEST
+        u = _unit(mix(ids + U64((step + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
+        count = np.zeros(len(ids), np.int64)
+        for width in np.unique(v).tolist():
+            mine = np.flatnonzero(v == width)
+            count[mine] = np.searchsorted(_cumulative(width + height), u[mine], side="right")
+        of = np.repeat(np.arange(len(ids)), count)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        dart = mix(mix(ids[of] ^ U64((step + 77) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)) + nth.astype(U64) * U64(0x8CB92BA72F3D8DD7))
+        # An area below an element's weight is all its own; of the last one, what lies below the weight.
+        tall = np.exp2(v[of])
+        partly = np.flatnonzero(2 * tall - 1 > weights[of])
+        inside = np.ones(len(of), dtype=bool)
+        inside[partly] = tall[partly] * (1 + _unit(mix(dart[partly] + U64(0x632BE59BD9B4E019)))) - 1 < weights[of[partly]]
+        dart, of = dart[inside], of[inside]
+        slot = owner[of] * k + ((dart >> U64(32)) % U64(k)).astype(np.int64)
+        order = np.argsort(mix(dart ^ U64(0x2545F4914F6CDD1D)))[::-1]
+        order = order[~hit.ravel()[slot[order]]]
         value.ravel()[slot[order]] = dart[order]  # the lowest rank is written last
         hit.ravel()[slot] = True
-        open_sets = ~hit.all(axis=1)
-        keep = open_sets[owner]
-        ids, owner = ids[keep], owner[keep]
+        keep = ~hit.all(axis=1)[owner]
+        ids, owner, weights, v = ids[keep], owner[keep], weights[keep], v[keep]
     return value
 
 
+def weighted(shingles: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, where each text's start, and how often each occurs there."""
+    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    order = np.argsort(mix(shingles + owner.astype(U64) * U64(0xA0761D6478BD642F)), kind="stable")
+    order = order[np.argsort(owner[order], kind="stable")]
+    s, o = shingles[order], owner[order]
+    first = np.ones(len(s), dtype=bool)
+    first[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1])
+    at = np.flatnonzero(first)
+    return s[at], np.searchsorted(o[at], np.arange(len(starts))), np.diff(np.append(at, len(s))).astype(float)
+
+
 def regions(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Each occurrence of a shingle in its text as a region of its own: (shingle, number of earlier occurrences)."""
+    """Each occurrence of a shingle in its text by a name of its own: (shingle, number of earlier occurrences)."""
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts)).astype(U64)
     key = mix(shingles + owner * U64(0xA0761D6478BD642F))
     order = np.argsort(key, kind="stable")
@@ -90,6 +115,7 @@ def regions(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+@lean
 def _sketches(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator[pa.RecordBatch]:
     """(doc, n, a, b, sig): number of shingles, digest of the words in order, signature of 32 bits a coordinate."""
     for batch in batches:
@@ -100,11 +126,13 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int, k: int) -> Iterator
             run = [np.concatenate((np.zeros(1, U64), np.cumsum(mix(words + at * U64(c)), dtype=U64))) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
             a, b = (r[firsts[1:]] - r[firsts[:-1]] for r in run)
             shingles, starts = shingle_hashes(words, firsts, width)
-            sig = (dart_minhash(regions(shingles, starts), starts, k) & U64(0xFFFFFFFF)).astype(np.uint32)
+            ids, firsts, weights = weighted(shingles, starts)
+            sig = (dart_minhash(ids, firsts, k, weights) & U64(0xFFFFFFFF)).astype(np.uint32)
             counts = np.diff(starts)
             yield pa.RecordBatch.from_arrays([pa.array(docs[lo:hi], pa.int64()), pa.array(counts, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array([s.tobytes() if c else None for s, c in zip(sig, counts)], pa.binary())], names=["doc", "n", "a", "b", "sig"])
 
 
+@lean
 def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     """(band, no, v, n): the bucket of each band of a text's signature, the band's number, the text and its shingles."""
     for batch in batches:
@@ -119,6 +147,7 @@ def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["band", "no", "v", "n"])
 
 
+@lean
 def _likely(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures agree in the share ``least`` of the coordinates."""
     for batch in batches:
@@ -175,22 +204,11 @@ def _across(table: pa.Table, likely: float, threshold: float, bands: int, rows:
     return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
 
-def _flags(nodes: DataFrame, bits: int = 21) -> np.ndarray:
-    """A one-hash Bloom filter of node ids, of fixed size whatever their number."""
-    size = 1 << bits
-    slot = F.pmod(F.xxhash64("v"), F.lit(size))
-    rows = nodes.select(F.shiftright(slot, 5).alias("cell"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(v), {size}) & 31 as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("mask")).toPandas()
-    flags = np.zeros(size, dtype=bool)
-    masks = rows["mask"].to_numpy(np.int64)
-    for k in range(32):
-        flags[(rows["cell"].to_numpy(np.int64)[(masks >> k) & 1 == 1] << 5) + k] = True
-    return flags
-
-
+@lean
 def _fetch(batches: Iterator[pa.RecordBatch], flags: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
-    """Sorted regions of the documents whose slots are flagged."""
+    """Sorted regions of the documents whose hashes are in the filter."""
     for batch in batches:
-        picked = batch.filter(pa.array(flags[np.asarray(batch.column("slot"))]))
+        picked = batch.filter(pa.array(may_hold(flags, np.asarray(batch.column("h")).view(U64))))
         docs, texts = np.asarray(picked.column("doc")), as_array(picked.column("text"))
         for lo, hi in slices(texts):
             words, firsts, _ = word_hashes(texts.slice(lo, hi - lo))
@@ -199,6 +217,7 @@ def _fetch(batches: Iterator[pa.RecordBatch], flags: np.ndarray, width: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(docs[lo:hi], pa.int64()), pa.array([np.sort(ids[a:b]).tobytes() for a, b in zip(starts, starts[1:])], pa.binary())], names=["v", "ids"])
 
 
+@lean
 def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
@@ -211,9 +230,10 @@ def _verify(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 def _sets(nodes: DataFrame, narrow: DataFrame, width: int) -> DataFrame:
     """(v, ids): the sorted regions of the texts in ``nodes`` and, the filter being what it is, of a few others."""
-    flags = narrow.sparkSession.sparkContext.broadcast(_flags(nodes))
-    slotted = narrow.withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(len(flags.value))))
-    return slotted.mapInArrow(lambda it: _fetch(it, flags.value, width), "v long, ids binary").dropDuplicates(["v"])
+    nodes = checkpointed(nodes.distinct())
+    flags = narrow.sparkSession.sparkContext.broadcast(bloom(nodes.select(F.xxhash64("v").alias("h")), nodes.count()))
+    hashed = narrow.withColumn("h", F.xxhash64("doc"))
+    return hashed.mapInArrow(lambda it: _fetch(it, flags.value, width), "v long, ids binary").dropDuplicates(["v"])
 
 
 def _links(pairs: DataFrame, narrow: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -223,7 +243,7 @@ def _links(pairs: DataFrame, narrow: DataFrame, threshold: float, width: int) ->
     return checkpointed(met.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, threshold), "a long, b long"))
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 25, rows: int = 5, likely: float = 0.6) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 25, rows: int = 5, likely: float = 0.6, key: str | None = None) -> DataFrame:
     """(doc, class_id, n_shingles): for each row of ``docs`` its key and the smallest key of its class.
 
     Two documents are linked if the weighted Jaccard similarity of their
@@ -241,13 +261,15 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, width: int =
     pair shares a bucket with probability 0.99995, and the estimate falls below
     ``likely`` with probability under 1e-6.
 
-    The key is doc_id, or a hash of the text where that is null. A text without
-    words is alone in its class with 0 shingles; one of fewer than ``width``
-    words has one shingle, all of it; repeats of a row share a key and a class;
-    an empty table gives no rows; other columns are ignored.
+    The key is that of ``with_key``, or the column ``key``: doc_id, or a hash
+    where that is null or names several texts. A text without words is alone in
+    its class with 0 shingles; one of fewer than ``width`` words has one shingle,
+    all of it; a very long text is one set, with memory of some 40 bytes a word;
+    repeats of a row share a key and a class; ties between members go to the
+    smallest key; an empty table gives no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
-    narrow = docs.select(_doc_key(docs).alias("doc"), "text")
+    narrow = (docs.select(F.col(key).alias("doc"), "text") if key else with_key(docs.select("doc_id", "text"), "doc")).select("doc", "text")
     sketches = checkpointed(narrow.mapInArrow(lambda it: _sketches(it, width, bands * rows), "doc long, n long, a long, b long, sig binary"))
     merged = checkpointed(sketches.where("n > 0").groupBy("a", "b").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     banded = checkpointed(merged.select("doc", "n", "sig").mapInArrow(lambda it: _bands(it, bands, rows), "band long, no byte, v long, n long"))
@@ -283,10 +305,19 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, width: int =
 
 
 def keep_one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class: that of the smallest key. Columns stay as they are."""
-    classes = checkpointed(near_duplicate_classes(docs, **settings))
-    kept = classes.where("doc = class_id").groupBy(F.col("doc").alias("_doc")).count()
-    out = docs.withColumn("_doc", _doc_key(docs)).join(kept, "_doc")
-    repeated = out.where("count > 1").dropDuplicates(["_doc"]) if not kept.where("count > 1").isEmpty() else None
-    once = out.where("count = 1") if repeated is not None else out
-    return (once if repeated is None else once.unionByName(repeated)).select(*docs.columns)
+    """``docs`` with one row of each near-duplicate class: that of the smallest key. Columns stay as they are.
+
+    The classes are those of ``near_duplicate_classes``, which says what becomes
+    of null, empty, short and very long texts, null ids and ids of several
+    texts. Of exact repeats of a row one stays, and of repeats that differ in
+    other columns any one; an empty table gives no rows; columns may have any
+    names.
+    """
+    key, own, n = spare([*docs.columns, "doc"], "_key", "_own", "_n")
+    rows = with_key(docs, key)
+    classes = checkpointed(near_duplicate_classes(rows, key=key, **settings))
+    kept = classes.where("doc = class_id").groupBy(F.col("doc").alias(own)).agg(F.count("*").alias(n))
+    out = rows.join(kept, F.col(key) == F.col(own))
+    if kept.where(F.col(n) > 1).isEmpty():
+        return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.where(F.col(n) == 1).unionByName(out.where(F.col(n) > 1).dropDuplicates([key])).select(*[F.col(f"`{c}`") for c in docs.columns])
