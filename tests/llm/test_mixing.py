@@ -32,9 +32,9 @@ def test_every_block_once_within_less_than_one_block(sources):
 def test_positions(spark):
     rows = [(i, "x" * (i % 50), "hot" if i % 3 else f"s{i % 5}", 7) for i in range(400)] + [(900, None, None, 1), (901, "y" * 5000, "s1", 1), (None, "z", "s2", 1), (3, "xxx", "s3", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int").repartition(5)
-    out = sorted(schedule_mix(docs, weights={"hot": 0.5, "s1": 0.1, "s2": 0.1, "s3": 0.1, "s4": 0.1, "s0": 0.05, "(none)": 0.05}, block_bytes=200).collect(), key=lambda r: r["position"])
+    out = sorted(schedule_mix(docs, weights={"hot": 0.5, "s1": 0.1, "s2": 0.1, "s3": 0.1, "s4": 0.1, "s0": 0.05, None: 0.05}, block_bytes=200).collect(), key=lambda r: r["position"])
     assert [r["position"] for r in out] == list(range(len(rows)))
-    assert sorted((r["doc_id"] or -1, r["source"]) for r in out) == sorted((r[0] or -1, r[2] or "(none)") for r in rows)
+    assert sorted((r["doc_id"] or -1, r["source"] or "") for r in out) == sorted((r[0] or -1, r[2] or "") for r in rows)
     assert [r["slot"] for r in out] == sorted(r["slot"] for r in out)
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
     for slot in {r["slot"] for r in out}:

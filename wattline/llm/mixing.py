@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.linededup import _doc_key
-from wattline.llm.runtime import checkpointed, task_count
+from wattline.llm.runtime import checkpointed, spare, task_count
 from wattline.llm.slots import gapless
 
-NO_SOURCE = "(none)"
-
 
 def pfair(blocks: dict[str, int], weights: dict[str, Fraction]) -> list[tuple[str, int, int, int]]:
     """(source, block, release, deadline) of every block, in the order of the slots, one block a slot.
@@ -51,78 +49,145 @@ def pfair(blocks: dict[str, int], weights: dict[str, Fraction]) -> list[tuple[st
     return out
 
 
-def target_weights(sizes: dict[str, int], given: dict[str, float] | None, exponent: float) -> dict[str, Fraction]:
-    """Exact positive weights: the given ones, or the sources' sizes to the power ``exponent``."""
-    raw = {s: (given[s] if given and s in given else float(max(n, 1)) ** exponent) for s, n in sizes.items()}
-    if any(not w > 0 for w in raw.values()):
-        raise ValueError("target weights must be positive")
-    top = max(raw.values(), default=1.0)
-    return {s: Fraction(max(1, round(w / top * 10**6)), 10**6) for s, w in raw.items()}
+def on_grid(weights: dict[str, float], period: int) -> dict[str, int]:
+    """Whole numbers, 1 at least, in the weights' proportions and with the sum ``period``: the largest remainders are rounded up."""
+    whole = sum(weights.values())
+    exact = {s: Fraction(w) * period / Fraction(whole) for s, w in weights.items()}
+    parts = {s: max(1, int(x)) for s, x in exact.items()}
+    order = sorted(exact, key=lambda s: (parts[s] - exact[s], s))
+    at = 0
+    while (missing := period - sum(parts.values())) != 0:
+        s = order[at % len(order)] if missing > 0 else max(parts, key=lambda x: (parts[x] - exact[x] if parts[x] > 1 else -period, x))
+        parts[s] += 1 if missing > 0 else -1
+        at += 1
+    return parts
 
 
-def schedule_mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, most_blocks: int = 8192, block_bytes: int = 1 << 16) -> DataFrame:
+def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> dict[str, list[tuple[int, int, int, int, list[int]]]]:
+    """For each source, its phases: (first block, first slot, blocks a period, period, the slots of a period that are its own).
+
+    A phase lasts until a source runs out. Its weights are put on a grid of
+    ``period`` slots, whose schedule by ``pfair`` repeats, so any block's slot is
+    a matter of arithmetic, and the work here depends on the number of sources
+    and the period, never on the number of blocks.
+    """
+    left = {s: n for s, n in blocks.items() if n > 0}
+    done, start = dict.fromkeys(left, 0), 0
+    out: dict[str, list[tuple[int, int, int, int, list[int]]]] = {s: [] for s in left}
+    while left:
+        size = max(period, 4 * len(left))
+        share = on_grid({s: weights[s] for s in left}, size)
+        own: dict[str, list[int]] = {s: [] for s in left}
+        for slot, (s, *_) in enumerate(pfair(share, {s: Fraction(n, size) for s, n in share.items()})):
+            own[s].append(slot)
+        for s in left:
+            out[s].append((done[s], start, share[s], size, own[s]))
+        end = min((n - 1) // share[s] * size + own[s][(n - 1) % share[s]] + 1 for s, n in left.items())
+        for s in list(left):
+            n = end // size * share[s] + bisect_left(own[s], end % size)
+            done[s] += n
+            left[s] -= n
+            if not left[s]:
+                del left[s]
+        start += end
+    return out
+
+
+def schedule_mix(docs: DataFrame, weights: dict[str | None, float] | None = None, exponent: float = 0.5, block_bytes: int = 1 << 16, period: int = 4096, most_sources: int = 256) -> DataFrame:
     """The place of every document in the mixture: doc, doc_id, source, size, block, release, deadline, slot, position.
 
-    Each source's documents, in the order of a hash, are cut into blocks of
-    ``block_bytes`` bytes of text (more where the corpus would have over
-    ``most_blocks`` blocks, so the schedule is small whatever the corpus); blocks
-    are scheduled by ``pfair`` towards ``weights`` (by source; sources not named
-    there weigh their bytes to the power ``exponent``, relative to these values).
-    ``position`` numbers all documents from 0 without gaps in the mixed order.
-    Every document has one place; none is repeated or left out.
-
-    A null source is a source of its own; null and empty texts have size 1 and a
-    place like any other; a document larger than a block is a block of its own
-    with those that start where it does; repeated rows and null ids take
-    neighbouring places; an empty table gives no rows; other columns are ignored.
+    Each source's documents, in the order of a hash, stand one after another on
+    a line of bytes, cut into blocks of ``block_bytes``; a document belongs to
+    the block in which it begins, and one longer than a block leaves the blocks
+    that it covers empty, so they are charged to its source. Blocks are scheduled
+    by ``pfair`` towards ``weights`` (by source; sources not named there weigh
+    their bytes to the power ``exponent``, relative to these values), each
+    weight to the nearest part in ``period``. ``position`` numbers all documents
+    from 0 without gaps in the mixed order. Every document has one place; none is
+    repeated or left out. One row of each source reaches the driver, for
+    ``most_sources`` at the most: named ones first, then the largest; all others
+    are scheduled together, as one source of their common size.
+
+    A null source is a source of its own, named None in ``weights``; null and
+    empty texts have size 1 and a place like any other; very long texts are
+    charged as said; repeated rows and null ids take neighbouring places; an
+    empty table gives no rows; other columns are ignored.
     """
-    return _scheduled(docs, weights, exponent, most_blocks, block_bytes).drop("tie")
+    return _scheduled(docs, weights, exponent, block_bytes, period, most_sources).drop("tie")
 
 
-def _scheduled(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, most_blocks: int = 8192, block_bytes: int = 1 << 16) -> DataFrame:
+def _scheduled(docs: DataFrame, weights: dict[str | None, float] | None = None, exponent: float = 0.5, block_bytes: int = 1 << 16, period: int = 4096, most_sources: int = 256) -> DataFrame:
     """``schedule_mix`` with the hash of the text, ``tie``."""
     spark = docs.sparkSession
+    weights = weights or {}
+    if any(not w > 0 for w in weights.values()):
+        raise ValueError("target weights must be positive")
     raw = F.col("text").cast("binary")
     narrow = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source"),
-        (F.coalesce(F.length(raw), F.lit(0)) + 1).cast("long").alias("size"), F.xxhash64("text").alias("tie"), _doc_key(docs).alias("doc"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        (F.coalesce(F.length(raw), F.lit(0)) + 1).cast("long").alias("size"), F.xxhash64("text").alias("tie"), place_key().alias("doc"),
     )
-    totals = {r["source"]: r["size"] for r in narrow.groupBy("source").agg(F.sum("size").alias("size")).collect()}
-    step = max(block_bytes, -(-sum(totals.values()) // most_blocks))
-    rows = gapless(narrow, "row", F.col("source"), ["doc", "tie", "size"], restart=True, weight="size", ahead="ahead")
-    cut = checkpointed(rows.withColumn("block", F.floor(F.col("ahead") / step).cast("long")))
-    counted = sorted((r["source"], r["block"], r["n"]) for r in cut.groupBy("source", "block").agg(F.count("*").alias("n")).collect())
-    of: dict[str, list[tuple[int, int]]] = {}
-    for source, block, n in counted:
-        of.setdefault(source, []).append((block, n))
-    plan, before, first = [], 0, dict.fromkeys(of, 0)
-    for slot, (source, k, release, deadline) in enumerate(pfair({s: len(b) for s, b in of.items()}, target_weights(totals, weights, exponent))):
-        block, n = of[source][k]
-        plan.append((source, block, slot, release, deadline, before - first[source]))
-        first[source] += n
-        before += n
-    table = F.broadcast(spark.createDataFrame(plan, "source string, block long, slot long, release long, deadline long, shift long"))
-    return cut.join(table, ["source", "block"]).select("doc", "tie", "doc_id", "source", "size", "block", "release", "deadline", "slot", (F.col("row") + F.col("shift")).alias("position"))
+    sizes = checkpointed(narrow.groupBy("source").agg(F.sum("size").alias("size")))
+    named = F.col("source").isin(*[s for s in weights if s is not None]) | F.col("source").isNull() if weights else F.lit(False)
+    chosen = [(r["source"], r["size"]) for r in sizes.orderBy(named.desc(), F.col("size").desc(), "source").limit(most_sources).collect()]
+    whole = sizes.agg(F.sum("size")).first()[0] or 0
+    rest = whole - sum(n for _, n in chosen)
+    # Groups by number; the last one, if any, is that of all other sources.
+    bytes_of = [n for _, n in chosen] + [rest] * (rest > 0)
+    weight = {i: float(weights.get(s, max(n, 1) ** exponent)) for i, (s, n) in enumerate(chosen)}
+    if rest:
+        weight[len(chosen)] = float(max(rest, 1)) ** exponent
+    plan = phases({i: -(-n // block_bytes) for i, n in enumerate(bytes_of)}, weight, period)
+    table = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(chosen)], "name string, grp int")
+    dealt = narrow.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("name")), "left").drop("name").withColumn("grp", F.coalesce("grp", F.lit(len(chosen))))
+    rows = gapless(dealt, "row", F.col("grp"), ["doc", "tie", "size"], restart=True, weight="size", ahead="ahead")
+    kind = "grp int, phases array<struct<first: bigint, start: bigint, n: int, period: int, own: array<int>>>"
+    timed = spark.createDataFrame([(i, found) for i, found in plan.items()], kind)  # period numbers a phase, and a phase a source at the most
+    cut = rows.withColumn("block", F.floor(F.col("ahead") / block_bytes).cast("long")).join(F.broadcast(timed), "grp")
+    cut = cut.withColumn("phase", F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("block")), -1)).drop("phases")
+    p, i = F.col("phase"), F.col("block") - F.col("phase.first")
+    turn = lambda x: F.expr(f"({x}) * cast(phase.period as long) div phase.n")
+    placed = cut.select(
+        "doc", "tie", "doc_id", "source", "size", "block", "row",
+        (p["start"] + turn("block - phase.first")).alias("release"),
+        (p["start"] - F.expr("(-(block - phase.first + 1) * cast(phase.period as long) - phase.n + 1) div phase.n")).alias("deadline"),
+        (p["start"] + F.expr("(block - phase.first) div phase.n * phase.period") + F.element_at(p["own"], (i % p["n"] + 1).cast("int"))).alias("slot"),
+    )
+    placed = checkpointed(placed)
+    slots = (placed.agg(F.max("slot")).first()[0] or 0) + 1
+    return gapless(placed, "position", F.lit(0), ["row", "doc", "tie", "size"], rank="slot", ranks=slots).drop("row")
+
+
+def place_key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def place_keys(docs: DataFrame) -> dict[str, Column]:
-    """The columns by which ``places`` finds a row."""
-    return {"_doc": _doc_key(docs), "_tie": F.coalesce(F.xxhash64("text"), F.lit(0))}
+    """The columns by which ``places`` finds a row, under names that ``docs`` does not have."""
+    key, tie = spare([*docs.columns, "position"], "_key", "_tie")
+    return {key: place_key(), tie: F.coalesce(F.xxhash64("text"), F.lit(0))}
 
 
 def places(docs: DataFrame, **settings) -> DataFrame:
-    """_doc, _tie, _position: the place of every document in the mixture; repeated rows share their first.
+    """place_key, place_tie, position: the place of every document in the mixture; repeated rows share their first.
 
     It follows from the rows alone, not from how they are laid out or partitioned.
     """
     found = _scheduled(docs, **settings)
-    return found.groupBy(F.col("doc").alias("_doc"), F.coalesce("tie", F.lit(0)).alias("_tie")).agg(F.min("position").alias("_position"))
+    return found.groupBy(F.col("doc").alias("place_key"), F.coalesce("tie", F.lit(0)).alias("place_tie")).agg(F.min("position").alias("position"))
 
 
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` laid out in the mixed order: range partitions of the position, sorted within. Columns stay as they are.
 
-    The layout alone does not outlive a write; ``places`` gives the same order again from the same rows.
+    The layout alone does not outlive a write; ``places`` gives the same order
+    again from the same rows. ``schedule_mix`` says what becomes of null sources,
+    null, empty and very long texts and repeated rows; an empty table gives no
+    rows; columns may have any names.
     """
-    placed = docs.withColumns(place_keys(docs)).join(places(docs, **settings), ["_doc", "_tie"])
-    return placed.repartitionByRange(task_count(docs.sparkSession), "_position").sortWithinPartitions("_position").select(*docs.columns)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    (key, _), (tie, _) = keys = list(place_keys(docs).items())
+    own, other, at = spare([*docs.columns, key, tie], "_own", "_other", "_at")
+    found = places(docs, **settings).toDF(own, other, at)
+    placed = docs.withColumns(dict(keys)).join(found, (F.col(key) == F.col(own)) & (F.col(tie) == F.col(other)))
+    return placed.repartitionByRange(task_count(docs.sparkSession), at).sortWithinPartitions(at).select(*names)

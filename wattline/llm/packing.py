@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from wattline.llm.mixing import place_keys, places
-from wattline.llm.runtime import checkpointed, session_of, ship
+from wattline.llm.runtime import checkpointed, lean, session_of, ship
 from wattline.llm.slots import gapless
 from wattline.llm.textkit import as_array
 
 DEFAULT_END = 2
+LONG_TEXT = 1 << 20
 _TOKENIZERS: dict[str, Encoder] = {}
 
 
@@ -97,6 +98,16 @@ class Encoder:
         """The ids as little-endian unsigned 32-bit integers."""
         if not self.by_fragment or self.SEPARATORS.search(text):
             return self._encoded(text)
+        if len(text) > LONG_TEXT:
+            out, at = [], 0
+            while at < len(text):
+                end = text.find(" ", at + LONG_TEXT) + 1 or len(text)
+                out.append(self._by_fragment(text[at:end]))
+                at = end
+            return b"".join(out)
+        return self._by_fragment(text)
+
+    def _by_fragment(self, text: str) -> bytes:
         parts = text.split()
         known = self.known
         if len(known) >= self.most:
@@ -126,12 +137,19 @@ def binary_pieces(n: int, longest: int) -> list[tuple[int, int]]:
 
 
 def cut_into_pieces(docs: DataFrame, tokenizer: str, longest: int = 4096, end_id: int = DEFAULT_END, carry: dict[str, Column] | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and the document's ``carry`` (longs). Null texts are empty: one piece, the end id."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and the document's ``carry`` (longs).
+
+    Null and empty texts have one piece, the end id; very long texts are encoded
+    in parts of about 1 MB where that gives the same ids; repeated rows and null
+    ids are cut like any others; an empty table gives no rows; other columns are
+    ignored.
+    """
     ship(session_of(docs))
     tail = np.array([end_id], dtype="<u4").tobytes()
     kept = list(carry or {})
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *kept]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in names]
@@ -173,8 +191,9 @@ def pack_by_powers_of_two(docs: DataFrame, tokenizer: str | None = None, longest
         pieces = checkpointed(cut_into_pieces(docs, tokenizer or default_tokenizer(), longest, end_id))
         numbered = gapless(pieces, "sequence_id", bucket, order)
     else:
-        pieces = cut_into_pieces(docs, tokenizer or default_tokenizer(), longest, end_id, carry=place_keys(docs))
-        placed = checkpointed(pieces.join(places(docs, **mixture), ["_doc", "_tie"]).drop("_doc", "_tie"))
-        ranks = (placed.agg(F.max("_position")).first()[0] or 0) + 1
-        numbered = gapless(placed, "sequence_id", bucket, order, rank="_position", ranks=ranks).drop("_position")
+        pieces = cut_into_pieces(docs, tokenizer or default_tokenizer(), longest, end_id, carry=dict(zip(("own_key", "own_tie"), place_keys(docs).values())))
+        found = places(docs, **mixture)
+        placed = checkpointed(pieces.join(found, (F.col("own_key") == F.col("place_key")) & (F.col("own_tie") == F.col("place_tie"))).drop("own_key", "own_tie", "place_key", "place_tie"))
+        ranks = (placed.agg(F.max("position")).first()[0] or 0) + 1
+        numbered = gapless(placed, "sequence_id", bucket, order, rank="position", ranks=ranks).drop("position")
     return numbered.withColumn("offset", F.lit(0).cast("long"))
