@@ -4,11 +4,12 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from wattline.llm.substring import GEAR, cut_points, dedup_substrings
 from wattline.llm.textkit import buffers
 
-BITS, LONGEST, LEAST = 5, 128, 96
+BITS, LONGEST, LEAST = 4, 128, 96
 
 
 def plain_chunks(text):
@@ -16,7 +17,7 @@ def plain_chunks(text):
     for i, b in enumerate(raw):
         h = ((h << 1) + int(GEAR[b])) & (2**64 - 1)
         last = i + 1 == len(raw)
-        if last or (((h & 0xFFFFFFFF) >> (32 - BITS)) == 0 and raw[i + 1] & 0xC0 != 0x80):
+        if last or (((h & 0xFFFF) >> (16 - BITS)) == 0 and raw[i + 1] & 0xC0 != 0x80):
             natural.append(i + 1)
     out = []
     for end in natural:
@@ -79,10 +80,12 @@ def test_cut_points_are_those_of_a_rolling_hash():
     assert list(zip(starts.tolist(), ends.tolist())) == want
 
 
-def test_against_a_dictionary(spark):
+@pytest.mark.parametrize("least", [2, 10**6])
+def test_against_a_dictionary(spark, least):
+    """With every repeated digest treated as a common one, and with none."""
     rows, passages = texts()
     docs = spark.createDataFrame([(i, t, None if t is None else len(t), "s", [1]) for i, t in rows], "doc_id long, text string, n_chars long, source string, spans array<int>").repartition(4)
-    out = {r["doc_id"]: r for r in dedup_substrings(docs, BITS, LONGEST, LEAST).collect()}
+    out = {r["doc_id"]: r for r in dedup_substrings(docs, BITS, LONGEST, LEAST, least=least).collect()}
     want = brute(rows)
     assert out.keys() == want.keys()
     for i, (text, total) in want.items():

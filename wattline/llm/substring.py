@@ -8,16 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from wattline.llm.linededup import _doc_key
-from wattline.llm.runtime import ship, task_count
+from wattline.llm.runtime import lean, ship, spare, task_count, unit_hash, with_key
 from wattline.llm.textkit import as_array, buffers, mix, slices, span_hash
 
 U64 = np.uint64
 GEAR = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
-def gear_hashes(data: np.ndarray, offsets: np.ndarray, window: int = 32) -> np.ndarray:
+def gear_hashes(data: np.ndarray, offsets: np.ndarray, window: int) -> np.ndarray:
     """The gear hash h = (h << 1) + gear[byte] at every byte, started afresh at each text.
 
     A byte leaves a 64-bit hash after 64 steps and its lowest ``window`` bits
@@ -36,21 +36,32 @@ def gear_hashes(data: np.ndarray, offsets: np.ndarray, window: int = 32) -> np.n
     return h
 
 
-def cut_points(data: np.ndarray, offsets: np.ndarray, bits: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+def _natural(data: np.ndarray, offsets: np.ndarray, bits: int, window: int, block: int = 1 << 18) -> np.ndarray:
+    """Places after which the hash says cut, found a block of bytes at a time."""
+    mask = U64(((1 << bits) - 1) << (window - bits))
+    out = [np.zeros(0, np.int64)]
+    for low in range(0, len(data), block):
+        first = max(0, low - window)
+        part = data[first : low + block]
+        inside = np.clip(offsets - first, 0, len(part))
+        hit = (gear_hashes(part, np.concatenate(([0], inside, [len(part)])), window) & mask) == 0
+        out.append(np.flatnonzero(hit[low - first :]) + low + 1)
+    return np.concatenate(out)
+
+
+def cut_points(data: np.ndarray, offsets: np.ndarray, bits: int, longest: int, window: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the chunks of all texts.
 
-    A chunk ends after a byte where ``bits`` bits of the gear hash, those that 20
-    to 30 earlier bytes reach, are all zero; between characters only, and after
-    ``longest`` bytes at the latest.
+    A chunk ends after a byte where the highest ``bits`` of the gear hash's
+    lowest ``window`` bits, which the last bytes up to ``window`` reach, are all
+    zero; between characters only, and after ``longest`` bytes at the latest.
     """
     if len(data) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = gear_hashes(data, offsets)
-    mask = U64(((1 << bits) - 1) << (32 - bits))
     fits = np.ones(len(data) + 1, dtype=bool)
     fits[:-1] = (data & 0xC0) != 0x80
-    ends = np.flatnonzero(((h & mask) == 0) & fits[1:]) + 1
-    ends = np.unique(np.concatenate((ends, offsets[1:])))
+    ends = _natural(data, offsets, bits, window)
+    ends = np.unique(np.concatenate((ends[fits[ends]], offsets[1:])))
     ends = ends[ends > 0]
     starts = np.concatenate(([0], ends[:-1]))
     long = np.flatnonzero(ends - starts > longest)
@@ -76,28 +87,57 @@ def _chunks(texts: pa.Array, bits: int, longest: int) -> tuple[np.ndarray, ...]:
     return text, starts - offsets[text], ends - offsets[text], span_hash(data, starts, ends)
 
 
-def _deal(batches: Iterator[pa.RecordBatch], buckets: int, bits: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """The chunks of each slice, dealt by digest: one row of packed columns for each bucket."""
+@lean
+def _digests(batches: Iterator[pa.RecordBatch], bits: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """The distinct digests of each text."""
+    for batch in batches:
+        texts = as_array(batch.column("text"))
+        for a, b in slices(texts):
+            text, _, _, digest = _chunks(texts.slice(a, b - a), bits, longest)
+            own = np.unique(np.stack((text.astype(U64), digest)), axis=1)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["digest"])
+
+
+#: What a packed place stands for: a chunk; the first place of a common digest in a slice; a chunk of a common digest.
+CHUNK, LEAD, COMMON = 0, 1, 2
+
+
+@lean
+def _deal(batches: Iterator[pa.RecordBatch], buckets: int, bits: int, longest: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The chunks of each slice, dealt by digest: one row of packed columns for each bucket.
+
+    Of a digest in ``common`` (sorted) only the first place in the slice goes to
+    the digest's bucket; its chunks, which are known to be repeated, are dealt by
+    document, so that no bucket gets them all.
+    """
     for batch in batches:
         docs, texts = np.asarray(batch.column("doc")), as_array(batch.column("text"))
-        for lo, hi in slices(texts, 8 << 20):
-            parts = [(text + a + lo, start, digest) for a, b in slices(texts.slice(lo, hi - lo)) for text, start, _, digest in [_chunks(texts.slice(lo + a, b - a), bits, longest)]]
-            if not parts:
-                continue
-            text, start, digest = (np.concatenate(x) for x in zip(*parts))
-            if len(text) == 0:
-                continue
-            bucket = (digest >> U64(40)) % U64(buckets)
-            by = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[by], np.arange(buckets + 1).astype(U64))
-            used = np.flatnonzero(np.diff(cuts))
-            rows = []
-            for i in used:
-                at = by[cuts[i] : cuts[i + 1]]
-                doc = docs[text[at]]
-                low = doc.min()
-                rows.append(np.array([len(at), low], np.int64).tobytes() + digest[at].tobytes() + _planes(doc - low) + _planes(start[at].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "rows"])
+        parts = [(docs[text + a], start, digest) for a, b in slices(texts) for text, start, _, digest in [_chunks(texts.slice(a, b - a), bits, longest)]]
+        if not parts:
+            continue
+        doc, start, digest = (np.concatenate(x) for x in zip(*parts))
+        if len(doc) == 0:
+            continue
+        kind = np.full(len(doc), CHUNK, np.uint8)
+        bucket = (digest >> U64(40)) % U64(buckets)
+        if len(common):
+            hot = np.flatnonzero(common[np.minimum(np.searchsorted(common, digest), len(common) - 1)] == digest)
+            by = hot[np.lexsort((start[hot], doc[hot], digest[hot]))]
+            lead = by[np.concatenate(([True], digest[by][1:] != digest[by][:-1]))] if len(by) else by
+            kind[hot] = COMMON
+            bucket[hot] = mix(doc[hot].view(U64)) % U64(buckets)
+            kind = np.concatenate((kind, np.full(len(lead), LEAD, np.uint8)))
+            bucket = np.concatenate((bucket, (digest[lead] >> U64(40)) % U64(buckets)))
+            doc, start, digest = (np.concatenate((x, x[lead])) for x in (doc, start, digest))
+        by = np.lexsort((kind, bucket))
+        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1).astype(U64))
+        used = np.flatnonzero(np.diff(cuts))
+        rows = []
+        for i in used:
+            at = by[cuts[i] : cuts[i + 1]]
+            low = doc[at].min()
+            rows.append(np.array([len(at), low], np.int64).tobytes() + digest[at].tobytes() + _planes(doc[at] - low) + _planes(start[at].astype(np.int64)) + kind[at].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "rows"])
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -109,14 +149,20 @@ def _plain(raw: bytes, n: int) -> np.ndarray:
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """Of the chunks in a bucket whose digest occurs twice: per document, the starts, and whether an earlier chunk has it."""
+    """Of the chunks in a bucket whose digest occurs twice: per document, the starts, and whether an earlier chunk has it.
+
+    Chunks of common digests count as later ones; a mark of their first place goes out beside.
+    """
     parts = []
     for raw in table["rows"].to_pylist():
         n, low = np.frombuffer(raw[:16], np.int64).tolist()
-        parts.append((np.frombuffer(raw[16 : 16 + 8 * n], U64), _plain(raw[16 + 8 * n : 16 + 16 * n], n) + low, _plain(raw[16 + 16 * n :], n)))
-    digest, doc, start = (np.concatenate(x) for x in zip(*parts))
+        parts.append((np.frombuffer(raw[16 : 16 + 8 * n], U64), _plain(raw[16 + 8 * n : 16 + 16 * n], n) + low, _plain(raw[16 + 16 * n : 16 + 24 * n], n), np.frombuffer(raw[16 + 24 * n :], np.uint8)))
+    digest, doc, start, kind = (np.concatenate(x) for x in zip(*parts))
+    known = kind == COMMON
+    late = doc[known], (start[known] << 1) | 1
+    digest, doc, start, kind = (x[~known] for x in (digest, doc, start, kind))
     by = np.lexsort((start, doc, digest))
-    digest, doc, start = digest[by], doc[by], start[by]
+    digest, doc, start, kind = digest[by], doc[by], start[by], kind[by]
     later = np.zeros(len(by), dtype=bool)
     later[1:] = digest[1:] == digest[:-1]
     again = later.copy()
@@ -126,9 +172,10 @@ def _repeated(table: pa.Table) -> pa.Table:
     same[1:] = later[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
     lead = np.maximum.accumulate(np.where(later, 0, np.arange(len(by))))
     first = (doc == doc[lead]) & (start == start[lead])
-    doc, start, first = doc[again & ~same], start[again & ~same], first[again & ~same]
-    by = np.lexsort((start, doc))
-    doc, code = doc[by], (start[by] << 1) | ~first[by]
+    marked = np.where(kind == LEAD, first, again & ~same)
+    doc, code = np.concatenate((late[0], doc[marked])), np.concatenate((late[1], (start[marked] << 1) | ~first[marked]))
+    by = np.lexsort((code, doc))
+    doc, code = doc[by], code[by]
     cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
     return pa.table([pa.array(doc[cuts], pa.int64()), pa.array([c.tobytes() for c in np.split(code, cuts[1:])] if len(cuts) else [], pa.binary())], names=["doc", "marks"])
 
@@ -151,7 +198,8 @@ def _merge(texts: pa.Array, marks: list, bits: int, longest: int, least: int) ->
             code = np.concatenate([np.frombuffer(m, np.int64) for m in marks[lo + i]])
             at = np.searchsorted(start[a:b], code >> 1)
             state = np.zeros(b - a + 2, np.int8)
-            state[at + 1] = 1 + (code & 1)
+            for later in (1, 0):  # that a place is the first one is the last word
+                state[at[(code & 1) == later] + 1] = 1 + later
             s, e = start[a:b], end[a:b]
             runs = []
             for low in (1, 2):
@@ -168,47 +216,64 @@ def _merge(texts: pa.Array, marks: list, bits: int, longest: int, least: int) ->
     return spans, repeated, chunks, kept
 
 
-def dedup_substrings(docs: DataFrame, bits: int = 5, longest: int = 512, least_bytes: int = 96) -> DataFrame:
+def _common(narrow: DataFrame, bits: int, longest: int, sample: int, least: int) -> np.ndarray:
+    """Digests that at least ``least`` of about ``sample`` documents have, sorted: they are few, and hold the largest groups."""
+    n = narrow.count()
+    drawn = narrow.where(unit_hash("doc", salt=7) * max(n, 1) < sample)
+    found = drawn.dropDuplicates(["doc"]).mapInArrow(lambda it: _digests(it, bits, longest), "digest long").groupBy("digest").count().where(F.col("count") >= least).select("digest").toPandas()
+    return np.sort(found["digest"].to_numpy(np.int64).view(U64))
+
+
+def dedup_substrings(docs: DataFrame, bits: int = 4, longest: int = 512, least_bytes: int = 160, sample: int = 4096, least: int = 16) -> DataFrame:
     """``docs`` with later copies of repeated passages cut out of the texts; adds spans, repeated_bytes and chunks.
 
     Texts are cut into chunks of about ``2**bits`` bytes where a gear rolling hash
-    of the last bytes says so, hence at the same places of a passage wherever it
-    stands and whatever was inserted before it. Chunks of equal digest (64 bits)
-    are equal; the first in the order of (doc_id, place) stays. Single chunks
-    repeat by chance, so only runs of neighbouring chunks, ``least_bytes``
-    long together, count as passages; runs of chunks that all have earlier
-    copies go. ``spans`` lists what was
-    cut out as [start, end) in UTF-8 bytes, ``repeated_bytes`` the bytes in
-    runs of chunks that occur elsewhere, first copies included, and ``chunks`` the number of chunks.
+    of the last 16 bytes says so, hence at the same places of a passage wherever
+    it stands and whatever was inserted before it. Chunks of equal digest (64
+    bits) are equal; the first in the order of (doc_id, place) stays. Single
+    chunks repeat by chance, so only runs of neighbouring chunks, ``least_bytes``
+    long together, count as passages; runs of chunks that all have earlier copies
+    go. A passage is found without the up to about 50 bytes by which its chunks
+    fall short of its edges. ``spans`` lists what was cut out as [start, end) in
+    UTF-8 bytes, ``repeated_bytes`` the bytes in runs of chunks that occur
+    elsewhere, first copies included, and ``chunks`` the number of chunks.
     ``n_chars``, where there is one, is brought up to date.
 
+    Chunks meet in buckets of digests. Digests that ``least`` of about ``sample``
+    documents have, which are few whatever the input, are broadcast: their chunks
+    are known to be repeated and only their first places still have to meet.
+
     A null text stays null and an empty one empty, with no spans and 0 chunks; a
-    text may end up empty, its row stays; a null id stands where the hash of its
-    text falls among the ids; exact repeats of a row share their places and keep
-    the same text; an empty table gives no rows; other columns pass through,
-    ones with the added names are replaced.
+    text may end up empty, its row stays; a very long text is hashed a block at a
+    time; the order of a row with a null id, or with an id that another text has
+    as well, is that of ``with_key``; exact repeats of a row share their places
+    and keep the same text; an empty table gives no rows; other columns pass
+    through, ones with the added names are replaced.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop("spans", "repeated_bytes", "chunks")
     buckets = 2 * task_count(spark)
-    narrow = docs.select(_doc_key(docs).alias("doc"), "text")
-    dealt = narrow.mapInArrow(lambda it: _deal(it, buckets, bits, longest), "bucket int, rows binary")
+    key, doc, marked, cut = spare([*docs.columns, "doc", "marks"], "_key", "_doc", "_marks", "_cut")
+    rows = with_key(docs, key)
+    narrow = rows.select(F.col(key).alias("doc"), "text")
+    common = spark.sparkContext.broadcast(_common(narrow, bits, longest, sample, least))
+    dealt = narrow.mapInArrow(lambda it: _deal(it, buckets, bits, longest, common.value), "bucket int, rows binary")
     found = dealt.groupBy("bucket").applyInArrow(_repeated, "doc long, marks binary")
-    marks = found.groupBy("doc").agg(F.collect_list("marks").alias("_marks")).withColumnRenamed("doc", "_doc")
-    met = docs.withColumn("_doc", _doc_key(docs)).join(marks, "_doc", "left").drop("_doc")
-    names = docs.columns
-    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
-
-    added = [StructField("spans", ArrayType(ArrayType(LongType()))), StructField("repeated_bytes", LongType()), StructField("chunks", LongType())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, repeated, chunks, kept = _merge(as_array(batch.column("text")), batch.column("_marks").to_pylist(), bits, longest, least_bytes)
-            columns = [pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(repeated, pa.int64()), pa.array(chunks, pa.int64())], names=[*names, "spans", "repeated_bytes", "chunks"])
-
-    out = met.mapInArrow(run, StructType([*docs.schema.fields, *added]))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out
+    marks = found.groupBy("doc").agg(F.collect_list("marks").alias(marked)).withColumnRenamed("doc", doc)
+    met = rows.join(marks.hint("shuffle_hash"), F.col(key) == F.col(doc), "left")
+
+    @arrow_udf("struct<text: string, spans: array<array<bigint>>, repeated_bytes: bigint, chunks: bigint>")
+    @lean
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, lists in columns:
+            spans, repeated, chunks, kept = _merge(as_array(texts), lists.to_pylist(), bits, longest, least_bytes)
+            values = [pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(repeated, pa.int64()), pa.array(chunks, pa.int64())]
+            yield pa.StructArray.from_arrays(values, names=["text", "spans", "repeated_bytes", "chunks"])
+
+    out = met.withColumn(cut, run("text", marked))
+    fresh = {"text": F.col(cut)["text"]}
+    if "n_chars" in docs.columns:
+        fresh["n_chars"] = F.when(F.size(F.col(cut)["spans"]) == 0, F.col("n_chars")).otherwise(F.length(F.col(cut)["text"]).cast(docs.schema["n_chars"].dataType))
+    added = [F.col(cut)[c].alias(c) for c in ("spans", "repeated_bytes", "chunks")]
+    return out.select(*[fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in docs.columns], *added)
