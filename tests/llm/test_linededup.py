@@ -2,6 +2,7 @@
 
 import random
 import re
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import Row
@@ -9,13 +10,13 @@ from pyspark.sql import Row
 from wattline.llm.linededup import remove_repeated_lines
 
 
-def brute(rows):
-    """Texts after removing every line with an earlier line of Jaccard 0.8 or more; rows are (id, text), ids unique."""
+def brute(rows, share=Fraction(4, 5)):
+    """Texts after removing every line with an earlier line of Jaccard ``share`` or more; rows are (id, text), ids unique."""
     lines = sorted((i, k, line) for i, text in rows if text is not None for k, line in enumerate(text.split("\n")))
     sets = [(i, k, frozenset(re.findall(r"[a-z0-9\x80-\U0010ffff]+", line.lower()))) for i, k, line in lines]
     gone = {}
     for at, (i, k, s) in enumerate(sets):
-        if s and any(5 * len(s & t) >= 4 * len(s | t) for _, _, t in sets[:at] if t):
+        if s and any(len(s & t) >= share * len(s | t) for _, _, t in sets[:at] if t):
             gone.setdefault(i, set()).add(k)
     return {i: (None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone.get(i, ())), sorted(gone.get(i, ()))) for i, text in rows}
 
@@ -56,3 +57,36 @@ def test_repeats_nulls_and_empty(spark):
     out = [(r["doc_id"], r["text"]) for r in remove_repeated_lines(docs).collect()]
     assert sorted(out, key=str) == sorted([(1, "a b c"), (1, "a b c"), (None, "q r s"), (None, "t u v"), (2, "")], key=str)
     assert remove_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("share", [Fraction(1, 2), Fraction(9, 10), Fraction(1)])
+def test_other_thresholds(spark, share):
+    rows = texts(3)[:70] + [(700, "alpha beta"), (701, "alpha beta gamma"), (702, "alpha")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    out = {r["doc_id"]: (r["text"], r["removed"]) for r in remove_repeated_lines(docs, share).collect()}
+    assert out == brute(rows, share)
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    """Parts of long texts, lines without end, and columns called like the operator's own."""
+    many = "\n".join(f"line {k % 90_000} of w{k % 90_000} words" for k in range(100_000))
+    one = "x y z " * 300_000
+    names = ["_doc", "_key", "doc", "line", "stay", "lines", "_stay", "_cut", "a"]
+    rows = [(1, many, *names), (2, one, *names), (3, "z, y; X\nline 5 of w5 words\n\nline 5 of w5 words", *names)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"{x} string" for x in names)]))
+    out = {r["doc_id"]: r for r in remove_repeated_lines(docs).collect()}
+    assert out[1]["text"] == "\n".join(many.split("\n")[:90_000]) and out[1]["removed"] == list(range(90_000, 100_000))
+    assert out[2]["text"] == one and out[3]["text"] == "" and out[3]["removed"] == [0, 1, 3]
+    assert all(list(r)[2:-1] == names for r in out.values())
+
+
+def test_texts_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b c\nd e f"), (1, "g h i"), (1, "d e f\nj k l"), (2, "G H I")], "doc_id long, text string").repartition(2)
+    kept = sorted(x for r in remove_repeated_lines(docs).collect() for x in r["text"].split("\n") if x)
+    assert [x.lower() for x in kept] == ["a b c", "d e f", "g h i", "j k l"]
+
+
+def test_a_line_of_a_third_of_all_documents(spark):
+    rows = [(i, f"the same line in very many documents\nown words w{i} x{i} y{i}" if i % 3 == 0 else f"own words w{i} x{i} y{i}") for i in range(3000)]
+    out = {r["doc_id"]: r["removed"] for r in remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert out == {i: ([0] if i and i % 3 == 0 else []) for i in range(3000)}

@@ -8,14 +8,18 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from wattline.llm.runtime import checkpointed, release, ship, task_count
-from wattline.llm.textkit import as_array, buffers, mix, slices, span_hash, word_spans
+from wattline.llm.filters import bloom, may_hold
+from wattline.llm.runtime import block, checkpointed, lean, release, ship, spare, sum_blocks, task_count, with_key
+from wattline.llm.textkit import as_array, buffers, has_word, mix, slices, span_hash, word_spans
 
 U64 = np.uint64
 RARITY_BITS = 18
+CHUNKS = 64
+LONG_TEXT = 1 << 20
 FOUND = "xd long, xl int, yd long, yl int, differ int, token long"
 
 
@@ -24,6 +28,11 @@ def _ceil(share: Fraction, n: np.ndarray) -> np.ndarray:
     return -((-n.astype(np.int64) * share.numerator) // share.denominator)
 
 
+def _smallest(share: Fraction) -> Fraction:
+    """Two different sets can only be similar enough if both have so many words: n / (n + 1) must reach ``share``."""
+    return share / (1 - share) if share < 1 else Fraction(1 << 62)
+
+
 def _line_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash and line of every word; text and line number of every line that has a word."""
     data, offsets = buffers(pc.utf8_lower(pc.fill_null(column, "")))
@@ -39,64 +48,112 @@ def _line_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return span_hash(data, starts, ends), np.cumsum(first) - 1, text[first], number[first]
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array]]:
-    for batch in batches:
-        docs, texts = np.asarray(batch.column("doc")), as_array(batch.column("text"))
-        for a, b in slices(texts):
-            yield docs[a:b], texts.slice(a, b - a)
-
-
-def _token_sets(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (line, word) pairs, sorted; words are told apart by 32 bits of their hashes."""
-    key = np.sort((line.astype(U64) << U64(32)) | (words >> U64(32)))
-    keep = np.ones(len(key), dtype=bool)
-    keep[1:] = key[1:] != key[:-1]
-    key = key[keep]
-    return key.astype(np.uint32), (key >> U64(32)).astype(np.int64)
-
-
-SCAN = "doc long, line int, a long, b long, chunk int, counts binary"
-
-
+def _parts(docs: np.ndarray, texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, int]]:
+    """Keys, texts and the number of the first line of each slice; a very long text comes in parts, cut between lines."""
+    for a, b in slices(texts):
+        part = texts.slice(a, b - a)
+        if b - a > 1 or (pc.binary_length(part)[0].as_py() or 0) <= LONG_TEXT:
+            yield docs[a:b], part, 0
+            continue
+        data, _ = buffers(part)
+        cuts = np.flatnonzero(data == 10)
+        at = line = 0
+        while at < len(data):
+            near = int(np.searchsorted(cuts, at + LONG_TEXT - 1, side="right")) - 1
+            if near < line:  # this line alone is longer
+                near = line
+            end = int(cuts[near]) + 1 if near < len(cuts) else len(data)
+            yield docs[a:b], pa.array([data[at:end].tobytes().decode()]), line
+            at, line = end, near + 1
+
+
+@lean
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pass for two things: (doc, line, a, b), the digest of every line's word set, and this partition's word counts.
+    """The one pass over the texts: rows (n, heads, tokens), one for each slice of texts, and rows (chunk, counts).
 
-    The counts, by hash bucket, come at the end as up to 64 rows of (chunk, counts).
+    A slice's row holds the places of its ``n`` lines that have words, what
+    tells their word sets apart (``HEADS``), and the sorted distinct words of
+    each, by 32 bits of their hashes. The partition's word counts, by hash
+    bucket, come at the end.
     """
+    names, kinds = ["n", "heads", "tokens", "chunk", "counts"], [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
     totals = np.zeros(1 << RARITY_BITS, np.int64)
-    names = ["doc", "line", "a", "b", "chunk", "counts"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    for docs, texts in _batches(batches):
-        words, line, text, number = _line_words(texts)
-        totals += np.bincount((words >> U64(64 - RARITY_BITS)).astype(np.int64), minlength=len(totals))
-        if len(text) == 0:
-            continue
-        w, k = _token_sets(words, line)
-        firsts, w = np.searchsorted(k, np.arange(len(text))), w.astype(U64)
-        a, b = (np.add.reduceat(mix(w + U64(c)), firsts).view(np.int64) for c in (0xA5A5A5A5A5A5A5A5, 0x51ED270B00000000))
-        columns = [docs[text], number.astype(np.int32), a, b]
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, kinds)], *[pa.nulls(len(text), t) for t in kinds[4:]]], names=names)
-    chunks = [c.astype(np.uint32) for c in np.split(totals, 64)]
-    used = [i for i, c in enumerate(chunks) if c.any()]
-    yield pa.RecordBatch.from_arrays([*[pa.nulls(len(used), t) for t in kinds[:4]], pa.array(used, pa.int32()), pa.array([chunks[i].tobytes() for i in used], pa.binary())], names=names)
-
-
-def _sum(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(c, np.uint32).astype(np.int64) for c in table["counts"].to_pylist())
-    return pa.table({"chunk": pa.array([table["chunk"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    for batch in batches:
+        for docs, texts, first_line in _parts(np.asarray(batch.column("doc")), as_array(batch.column("text"))):
+            words, line, text, number = _line_words(texts)
+            if len(text) == 0:
+                continue
+            totals += np.bincount((words >> U64(64 - RARITY_BITS)).astype(np.int64), minlength=len(totals))
+            key = np.sort((line.astype(U64) << U64(32)) | (words >> U64(32)))
+            key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+            token, k = key.astype(np.uint32), (key >> U64(32)).astype(np.int64)
+            firsts = np.searchsorted(k, np.arange(len(text)))
+            hashed = mix(token + U64(0xA5A5A5A5A5A5A5A5))
+            half, bit = (hashed >> U64(57)) & U64(1), U64(1) << (hashed >> U64(58))
+            bits, bits2 = (np.bitwise_xor.reduceat(np.where(half == U64(x), bit, U64(0)), firsts) for x in (0, 1))
+            heads = (docs[text], (number + first_line).astype(np.uint32), np.diff(np.append(firsts, len(k))).astype(np.uint32), np.add.reduceat(hashed, firsts), bits, bits2)
+            row = [len(text), b"".join(np.ascontiguousarray(h).tobytes() for h in heads), token.tobytes(), None, None]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
+    rows = [[None, None, None, i, block(c)] for i, c in enumerate(np.split(totals, CHUNKS)) if c.any()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=names)
+
+
+#: Of each line: its place, its number of words, a digest and a parity bitmap of 128 bits of its word set.
+HEADS = (("doc", np.int64), ("line", np.uint32), ("n", np.uint32), ("a", np.uint64), ("bits", np.uint64), ("bits2", np.uint64))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """What ``_scan`` has kept of each slice: its heads, where each line's words start (one more entry), and the words."""
+    for batch in batches:
+        for n, heads, tokens in zip(*(batch.column(c).to_pylist() for c in ("n", "heads", "tokens"))):
+            at, out = 0, {}
+            for name, kind in HEADS:
+                width = np.dtype(kind).itemsize * n
+                out[name] = np.frombuffer(heads[at : at + width], kind)
+                at += width
+            yield out, np.concatenate(([0], np.cumsum(out["n"], dtype=np.int64))), np.frombuffer(tokens, np.uint32)
+
+
+@lean
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, doc, line): the digest of 128 bits of each distinct word set of a document, and its first line there."""
+    last, seen = None, set()
+    for h, _, _ in _slices(batches):
+        b = mix(h["bits"] * U64(0x9E3779B97F4A7C15) + mix(h["bits2"] + h["n"]))
+        by = np.lexsort((h["line"], h["doc"], b, h["a"]))
+        keep = np.ones(len(by), dtype=bool)
+        keep[1:] = np.logical_or.reduce([x[by][1:] != x[by][:-1] for x in (h["a"], b, h["doc"])])
+        by = by[keep]
+        if h["doc"][0] != h["doc"][-1]:
+            last, seen = None, set()
+        else:  # maybe a part of a long text, of which the part before came just now
+            if last != h["doc"][0]:
+                last, seen = h["doc"][0], set()
+            own = list(zip(h["a"][by].tolist(), b[by].tolist()))
+            by = by[[x not in seen for x in own]]
+            seen.update(own)
+        yield pa.RecordBatch.from_arrays([pa.array(h["a"][by].view(np.int64)), pa.array(b[by].view(np.int64)), pa.array(h["doc"][by]), pa.array(h["line"][by].astype(np.int32))], names=["a", "b", "doc", "line"])
+
+
+@lean
+def _word_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, lines): the number of lines with words, of each document of a slice."""
+    for h, _, _ in _slices(batches):
+        doc, n = np.unique(h["doc"], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n)], names=["doc", "lines"])
 
 
 def rarity(scan: DataFrame) -> np.ndarray:
     """For each word-hash bucket, 0 (rarest) to 255 by the logarithm of its count over all documents."""
-    counts = np.zeros((64, (1 << RARITY_BITS) // 64), np.int64)
-    for r in scan.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_sum, "chunk int, counts binary").collect():
-        counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
+    counts = np.zeros((CHUNKS, (1 << RARITY_BITS) // CHUNKS), np.int64)
+    for chunk, total in sum_blocks(scan.where("chunk is not null")):
+        counts[chunk] = total
     return np.minimum(255, np.round(8 * np.log2(1 + counts.ravel()))).astype(np.uint8)
 
 
 def _planes(x: np.ndarray) -> bytes:
     """Byte planes, so that small numbers shrink in the shuffle."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
 def _whole(raw: bytes, kind: type, n: int) -> np.ndarray:
@@ -106,8 +163,12 @@ def _whole(raw: bytes, kind: type, n: int) -> np.ndarray:
 FIELDS = (("token", np.uint32), ("set", np.uint32), ("bits", np.uint64), ("bits2", np.uint64), ("doc", np.int64), ("line", np.uint32), ("n", np.uint32), ("pos", np.uint32))
 
 
-def _postings(batches: Iterator[pa.RecordBatch], order: np.ndarray, buckets: int, share: Fraction, flags: np.ndarray | None, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The prefix tokens of every line (with ``flags``, the flagged ones of them), dealt by token: one row of packed columns for each bucket."""
+@lean
+def _postings(batches: Iterator[pa.RecordBatch], order: np.ndarray, buckets: int, share: Fraction, flags: np.ndarray | None, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """The prefix tokens of every line (with ``flags``, the flagged ones of them), dealt by token: one row of packed columns for each bucket.
+
+    Of lines with one word set the earliest of a slice alone is posted.
+    """
     held: list[dict[str, np.ndarray]] = []
     size = 0
 
@@ -117,36 +178,39 @@ def _postings(batches: Iterator[pa.RecordBatch], order: np.ndarray, buckets: int
         by = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
         used = np.flatnonzero(np.diff(cuts))
+        full = {k: v[by] for k, v in full.items()}
         rows = []
         for i in used:
-            part = by[cuts[i] : cuts[i + 1]]
-            doc = full["doc"][part]
-            body = b"".join(_planes(np.ascontiguousarray(full[k][part] if k != "doc" else doc - doc.min())) for k, _ in FIELDS)
-            rows.append(np.array([len(part), doc.min()], np.int64).tobytes() + body)
+            part = slice(cuts[i], cuts[i + 1])
+            low = full["doc"][part].min()
+            body = b"".join(_planes(full[k][part] if k != "doc" else full[k][part] - low) for k, _ in FIELDS)
+            rows.append(np.array([cuts[i + 1] - cuts[i], low], np.int64).tobytes() + body)
         return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "rows"])
 
-    for docs, texts in _batches(batches):
-        words, line, text, number = _line_words(texts)
-        if len(text) == 0:
+    least = _smallest(share)
+    for h, firsts, tokens in _slices(batches):
+        able = h["n"].astype(np.int64) * least.denominator >= least.numerator
+        if flags is not None:
+            able &= np.add.reduceat(may_hold(flags, tokens), firsts[:-1]) > 0
+        by = np.lexsort((h["line"], h["doc"], h["bits2"], h["bits"], h["a"]))
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = np.logical_or.reduce([h[x][by][1:] != h[x][by][:-1] for x in ("a", "bits", "bits2")])
+        lines = np.sort(by[new])
+        lines = lines[able[lines]]
+        if len(lines) == 0:
             continue
-        token = (words >> U64(32)).astype(U64)
-        key = np.sort((line.astype(U64) << U64(40)) | (order[(words >> U64(64 - RARITY_BITS)).astype(np.int64)].astype(U64) << U64(32)) | token)
-        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-        k, token = (key >> U64(40)).astype(np.int64), (key & U64(0xFFFFFFFF)).astype(np.uint32)
-        firsts = np.searchsorted(k, np.arange(len(text) + 1))
-        n = np.diff(firsts)
-        hashed = mix(token.astype(U64))
-        ids = np.add.reduceat(hashed, firsts[:-1])
-        half, bit = (hashed >> U64(57)) & U64(1), U64(1) << (hashed >> U64(58))
-        bits, bits2 = (np.bitwise_xor.reduceat(np.where(half == U64(x), bit, U64(0)), firsts[:-1]) for x in (0, 1))
-        pos = np.arange(len(k)) - firsts[k]
-        reach = np.where(n >= 4, n - _ceil(share, n), -1)
-        keep = pos <= reach[k]
+        n = h["n"][lines].astype(np.int64)
+        ends = np.cumsum(n)
+        k = np.repeat(np.arange(len(lines)), n)
+        at = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        token = tokens[np.repeat(firsts[lines], n) + at]
+        key = np.sort((k.astype(U64) << U64(40)) | (order[token >> np.uint32(32 - RARITY_BITS)].astype(U64) << U64(32)) | token)
+        keep = at <= (n - _ceil(share, n))[k]
         if flags is not None:
-            keep &= flags[token % np.uint32(len(flags))]
-        at = np.flatnonzero(keep)
-        of = k[at]
-        held.append({"token": token[at], "set": (ids[of] >> U64(32)).astype(np.uint32), "bits": bits[of], "bits2": bits2[of], "doc": docs[text[of]], "line": number[of].astype(np.uint32), "n": n[of].astype(np.uint32), "pos": pos[at].astype(np.uint32)})
+            keep &= may_hold(flags, key.astype(np.uint32))
+        at, key, k = at[keep], key[keep], k[keep]
+        of = lines[k]
+        held.append({"token": key.astype(np.uint32), "set": (h["a"][of] >> U64(32)).astype(np.uint32), "bits": h["bits"][of], "bits2": h["bits2"][of], "doc": h["doc"][of], "line": h["line"][of], "n": h["n"][of], "pos": at.astype(np.uint32)})
         size += len(at)
         if size > most:
             yield flush()
@@ -173,7 +237,7 @@ def _unpacked(table: pa.Table) -> dict[str, np.ndarray]:
     return {k: v[~same] for k, v in q.items()}
 
 
-def _survivors(q: dict[str, np.ndarray], place: np.ndarray, share: Fraction, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _survivors(q: dict[str, np.ndarray], place: np.ndarray, share: Fraction, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (later, earlier) of postings with a common token that pass the length, positional and bitmap filters.
 
     Third: how far the bitmaps differ, at most the size of the symmetric difference.
@@ -181,7 +245,8 @@ def _survivors(q: dict[str, np.ndarray], place: np.ndarray, share: Fraction, chu
     m = len(place)
     n, pos = q["n"].astype(np.int64), q["pos"].astype(np.int64)
     token = q["token"].astype(U64) << U64(32)
-    end = np.searchsorted(token | q["n"].astype(U64), token | ((n * share.denominator) // share.numerator).astype(U64), side="right")
+    longest = np.minimum((n * share.denominator) // share.numerator, 0xFFFFFFFF)
+    end = np.searchsorted(token | q["n"].astype(U64), token | longest.astype(U64), side="right")
     both = share / (1 + share)
     # The shorter side of a pair meets the longer one in its mid-prefix.
     count = np.where(pos <= n - _ceil(2 * both, n), end - np.arange(m) - 1, 0)
@@ -225,7 +290,7 @@ def _candidates(table: pa.Table, share: Fraction, only: np.ndarray | None) -> pa
     place = _places(q)
     x, y, differ = _survivors(q, place, share)
     if only is not None:
-        ask = only[_slot(q["doc"][x], q["line"][x], len(only))]
+        ask = may_hold(only, _slot(q["doc"][x], q["line"][x]))
         x, y, differ = x[ask], y[ask], differ[ask]
     by = np.lexsort((place[y], differ, place[x]))
     x, y, differ = x[by], y[by], differ[by]
@@ -238,7 +303,8 @@ def _candidates(table: pa.Table, share: Fraction, only: np.ndarray | None) -> pa
         keep = first
         several = np.bincount(place[x[new]], minlength=len(place)) > 1
         meets = x[several[place[x]]]
-        extra = meets[np.unique(place[meets] << 32 | q["token"][meets].astype(np.int64), return_index=True)[1]]
+        _, once = np.unique(np.stack((place[meets], q["token"][meets].astype(np.int64))), axis=1, return_index=True)
+        extra = meets[once]
     every = np.concatenate((x[keep], extra))
     none = np.arange(len(every)) >= keep.sum()
     tail = np.zeros(len(extra), np.int64)
@@ -246,43 +312,31 @@ def _candidates(table: pa.Table, share: Fraction, only: np.ndarray | None) -> pa
     return pa.table([*columns, pa.array(np.concatenate((differ[keep], tail)).astype(np.int32)), pa.array(q["token"][every].astype(np.int64))], names=["xd", "xl", "yd", "yl", "differ", "token"])
 
 
-def _slot(doc: np.ndarray, line: np.ndarray, size: int) -> np.ndarray:
-    return (mix(mix(doc.astype(np.int64).view(U64)) + line.astype(U64)) % U64(size)).astype(np.int64)
+def _slot(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix(mix(doc.astype(np.int64).view(U64)) + line.astype(U64))
 
 
-def _bitset(slots: DataFrame, bits: int) -> np.ndarray:
-    """The set of the numbers in column ``slot``, all below 2**bits: of fixed size whatever their number."""
-    rows = slots.groupBy(F.shiftright("slot", 5).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("mask")).toPandas()
-    cell, mask = rows["cell"].to_numpy(np.int64), rows["mask"].to_numpy(np.int64)
-    flags = np.zeros(1 << bits, dtype=bool)
-    for k in range(32):
-        flags[(cell[(mask >> k) & 1 == 1] << 5) + k] = True
-    return flags
-
-
-def _slots(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+@lean
+def _place_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(np.asarray(batch.column("doc")), np.asarray(batch.column("line")), size)))], names=["slot"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(np.asarray(batch.column("doc")), np.asarray(batch.column("line")))).view(np.int64))], names=["h"])
 
 
-def _marked(places: DataFrame, bits: int = 21) -> np.ndarray:
-    """A one-hash Bloom filter of (doc, line) places."""
-    return _bitset(places.mapInArrow(lambda it: _slots(it, 1 << bits), "slot long"), bits)
+def _marked(places: DataFrame) -> np.ndarray:
+    """The filter of (doc, line) places."""
+    return bloom(places.mapInArrow(_place_hashes, "h long"), places.count())
 
 
-def _fetch(batches: Iterator[pa.RecordBatch], flags: np.ndarray, some: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The word sets, sorted, of the lines whose places are marked; ``some`` marks the documents that have such lines."""
-    with_some = (b.filter(pa.array(some[_slot(np.asarray(b.column("doc")), np.zeros(1, np.int64), len(some))])) for b in batches)
-    for docs, texts in _batches(with_some):
-        words, line, text, number = _line_words(texts)
-        wanted = flags[_slot(docs[text], number, len(flags))] if len(text) else np.zeros(0, bool)
-        pick = wanted[line] if len(line) else wanted
-        w, k = _token_sets(words[pick], line[pick])
-        lines = np.unique(k)
-        cuts = np.append(np.searchsorted(k, lines), len(k))
-        yield pa.RecordBatch.from_arrays([pa.array(docs[text[lines]], pa.int64()), pa.array(number[lines], pa.int32()), pa.array([w[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["doc", "line", "words"])
+@lean
+def _fetch(batches: Iterator[pa.RecordBatch], flags: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The word sets, sorted, of the lines whose places are marked."""
+    for h, firsts, tokens in _slices(batches):
+        pick = np.flatnonzero(may_hold(flags, _slot(h["doc"], h["line"])))
+        sets = [tokens[a:b].tobytes() for a, b in zip(firsts[pick], firsts[pick + 1])]
+        yield pa.RecordBatch.from_arrays([pa.array(h["doc"][pick]), pa.array(h["line"][pick].astype(np.int32)), pa.array(sets, pa.binary())], names=["doc", "line", "words"])
 
 
+@lean
 def _verify(batches: Iterator[pa.RecordBatch], share: Fraction) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
@@ -295,57 +349,97 @@ def _verify(batches: Iterator[pa.RecordBatch], share: Fraction) -> Iterator[pa.R
         yield batch.select(["xd", "xl"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, narrow: DataFrame, share: Fraction) -> DataFrame:
+def _verified(pairs: DataFrame, kept: DataFrame, share: Fraction) -> DataFrame:
     """(xd, xl) of the pairs whose word sets, as a whole, are similar enough."""
     x, y = (F.struct(F.col(f"{k}d").alias("doc"), F.col(f"{k}l").alias("line")) for k in "xy")
-    places = pairs.select(F.explode(F.array(x, y)).alias("p")).select("p.*")
-    flags = narrow.sparkSession.sparkContext.broadcast((_marked(places), _marked(places.select("doc", F.lit(0).alias("line")))))
-    sets = narrow.mapInArrow(lambda it: _fetch(it, *flags.value), "doc long, line int, words binary").dropDuplicates(["doc", "line"])
-    both = pairs.join(sets.select(F.col("doc").alias("xd"), F.col("line").alias("xl"), F.col("words").alias("xw")), ["xd", "xl"]).join(sets.select(F.col("doc").alias("yd"), F.col("line").alias("yl"), F.col("words").alias("yw")), ["yd", "yl"])
+    flags = kept.sparkSession.sparkContext.broadcast(_marked(pairs.select(F.explode(F.array(x, y)).alias("p")).select("p.*")))
+    # Written down: joins of plain tables can be split where one line is in many pairs.
+    sets = checkpointed(kept.mapInArrow(lambda it: _fetch(it, flags.value), "doc long, line int, words binary").dropDuplicates(["doc", "line"]))
+    both = pairs.join(sets.withColumnsRenamed({"doc": "xd", "line": "xl", "words": "xw"}), ["xd", "xl"]).join(sets.withColumnsRenamed({"doc": "yd", "line": "yl", "words": "yw"}), ["yd", "yl"])
     return checkpointed(both.select("xd", "xl", "xw", "yw").mapInArrow(lambda it: _verify(it, share), "xd long, xl int").distinct())
 
 
-def _similar(narrow: DataFrame, order: np.ndarray, share: Fraction) -> DataFrame:
-    """(xd, xl): the lines that have an earlier line of similarity ``share`` or more."""
-    spark = narrow.sparkSession
+def _similar(kept: DataFrame, order: np.ndarray, share: Fraction) -> DataFrame:
+    """(xd, xl): the lines that have an earlier line of similarity ``share`` or more but another word set."""
+    spark = kept.sparkSession
     held = spark.sparkContext.broadcast(order)
     buckets = 4 * task_count(spark)
-    posted = narrow.mapInArrow(lambda it: _postings(it, held.value, buckets, share, None), "bucket int, rows binary")
+    posted = kept.mapInArrow(lambda it: _postings(it, held.value, buckets, share, None), "bucket int, rows binary")
     met = checkpointed(posted.groupBy("bucket").applyInArrow(lambda t: _candidates(t, share, None), FOUND))
     each = met.where("yd is not null").groupBy("xd", "xl").agg(F.min(F.struct("differ", "yd", "yl")).alias("best"), F.count_distinct(F.struct("yd", "yl")).alias("n"))
     best = checkpointed(each.select("xd", "xl", "best.yd", "best.yl", (F.col("n") > 1).alias("several")))
-    gone = _verified(best.drop("several"), narrow, share)
+    gone = _verified(best.drop("several"), kept, share)
     # Lines with other candidates than the one that failed: all of these, found again at the lines' own tokens.
     more = met.where("yd is null").select("xd", "xl").union(best.where("several").select("xd", "xl")).distinct()
     unsure = checkpointed(more.join(gone, ["xd", "xl"], "left_anti"))
     if unsure.isEmpty():
         return gone
-    tokens = met.join(unsure, ["xd", "xl"], "left_semi").select("token")
+    tokens = checkpointed(met.join(unsure, ["xd", "xl"], "left_semi").select(F.col("token").alias("h")).distinct())
     only = _marked(unsure.select(F.col("xd").alias("doc"), F.col("xl").alias("line")))
-    flags = spark.sparkContext.broadcast((only, _bitset(tokens.select(F.expr(f"token & {(1 << 22) - 1}").alias("slot")), 22)))
+    flags = spark.sparkContext.broadcast((only, bloom(tokens, tokens.count())))
     del posted, met, tokens
-    posted = narrow.mapInArrow(lambda it: _postings(it, held.value, buckets, share, flags.value[1]), "bucket int, rows binary")
+    posted = kept.mapInArrow(lambda it: _postings(it, held.value, buckets, share, flags.value[1]), "bucket int, rows binary")
     found = posted.groupBy("bucket").applyInArrow(lambda t: _candidates(t, share, flags.value[0]), FOUND).select("xd", "xl", "yd", "yl").distinct()
     pairs = checkpointed(found.join(unsure, ["xd", "xl"], "left_semi").join(best.select("xd", "xl", "yd", "yl"), ["xd", "xl", "yd", "yl"], "left_anti"))
     del posted, found
-    return gone.unionByName(_verified(pairs, narrow, share)).distinct()
-
+    return checkpointed(gone.unionByName(_verified(pairs, kept, share)).distinct())
 
-def _doc_key(docs: DataFrame) -> Column:
-    return F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
 
+def kept_lines(docs: DataFrame, key: str, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
+    """(doc, lines, stay): for the keys of which a line goes, the number of lines with words, and those of them that stay.
 
-def removed_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """(doc, gone): for each document key the numbers, from 0, of its lines that repeat an earlier line."""
+    Lines are numbered from 0. ``docs`` has the columns ``key`` and text.
+    """
     ship(docs.sparkSession)
-    narrow = docs.select(_doc_key(docs).alias("doc"), "text")
-    scan = checkpointed(narrow.mapInArrow(_scan, SCAN))
-    lines = scan.where("chunk is null").select("doc", "line", "a", "b")
-    sets = lines.groupBy("a", "b").agg(F.min(F.struct("doc", "line")).alias("first"))
-    near = _similar(narrow, rarity(scan), threshold)
-    first = sets.select("a", "b", F.col("first.doc").alias("xd"), F.col("first.line").alias("xl")).join(near.withColumn("near", F.lit(True)), ["xd", "xl"], "left")
-    marked = lines.join(first, ["a", "b"]).where(F.col("near").isNotNull() | (F.col("doc") != F.col("xd")) | (F.col("line") != F.col("xl")))
-    return marked.groupBy("doc").agg(F.collect_set("line").alias("gone"))
+    scan = checkpointed(docs.select(F.col(key).alias("doc"), "text").mapInArrow(_scan, "n int, heads binary, tokens binary, chunk int, counts binary"))
+    kept = scan.where("n is not null").select("n", "heads", "tokens")
+    near = _similar(kept, rarity(scan), threshold)
+    # The first line of each word set stays unless it is near an earlier one; all others of that set go.
+    sets = kept.mapInArrow(_digests, "a long, b long, doc long, line int")
+    firsts = sets.groupBy("a", "b").agg(F.min_by("line", "doc").alias("line"), F.min("doc").alias("doc"))
+    stay = firsts.select("doc", "line").join(near.withColumnsRenamed({"xd": "doc", "xl": "line"}), ["doc", "line"], "left_anti")
+    # Exact repeats of a row add up their counts: such rows are then looked at though all their lines may stay.
+    lines = kept.mapInArrow(_word_lines, "doc long, lines long")
+    both = stay.select("doc", "line", F.lit(None).cast("long").alias("lines")).unionByName(lines.select("doc", F.lit(None).cast("int").alias("line"), "lines"))
+    found = both.groupBy("doc").agg(F.sum("lines").alias("lines"), F.collect_set("line").alias("stay"))
+    return checkpointed(found.where(F.size("stay") < F.col("lines")))
+
+
+def _without(texts: pa.Array, stay: pa.Array) -> pa.Array:
+    """struct(text, removed): each text without its lines with words that are not listed in ``stay``; null ``stay`` keeps all."""
+    texts, stay = as_array(texts), as_array(stay)
+    out: list[pa.Array] = []
+    for a, b in slices(texts):
+        part, lists = texts.slice(a, b - a), stay.slice(a, b - a)
+        data, offsets = buffers(part)
+        breaks = np.flatnonzero(data == 10)
+        # Lines start where texts do and after line feeds.
+        begin = np.concatenate((offsets[:-1], breaks + 1))
+        text = np.concatenate((np.arange(b - a), np.searchsorted(offsets, breaks, side="right") - 1))
+        order = np.lexsort((begin, text))
+        begin, text = begin[order], text[order]
+        first = np.searchsorted(text, np.arange(b - a + 1))
+        number = np.arange(len(begin)) - first[text]
+        last = np.ones(len(begin), dtype=bool)
+        last[:-1] = text[1:] != text[:-1]
+        end = np.where(last, offsets[text + 1], np.append(begin[1:], 0) - 1)
+        words = np.concatenate(([0], np.cumsum(has_word(data))))
+        asked = np.asarray(pc.is_valid(lists))[text]
+        named = np.zeros(len(begin), dtype=bool)
+        of = np.repeat(np.arange(b - a), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+        named[first[of] + np.asarray(lists.flatten(), dtype=np.int64)] = True
+        gone = asked & ~named & (words[end] > words[begin])
+        alter = np.zeros(b - a, dtype=bool)
+        alter[text[gone]] = True
+        values = part if not alter.any() else part.to_pylist()
+        raw = data.tobytes() if alter.any() else b""
+        for i in np.flatnonzero(alter).tolist():
+            rows = np.arange(first[i], first[i + 1])[~gone[first[i] : first[i + 1]]]
+            values[i] = b"\n".join(raw[x:y] for x, y in zip(begin[rows].tolist(), end[rows].tolist())).decode()
+        sizes = np.concatenate(([0], np.cumsum(np.bincount(text[gone], minlength=b - a))))
+        removed = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(number[gone], pa.int32()))
+        out.append(pa.StructArray.from_arrays([pa.array(values, pa.string()) if alter.any() else part.cast(pa.string()), removed], names=["text", "removed"]))
+    return pa.concat_arrays(out) if out else pa.array([], pa.struct([("text", pa.string()), ("removed", pa.list_(pa.int32()))]))
 
 
 def remove_repeated_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -359,26 +453,38 @@ def remove_repeated_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5))
     numbers of the lines taken out, in order, and ``n_chars``, where there is
     one, is brought up to date.
 
-    Word rarity comes from counts of all words in ``2**18`` hash buckets, which
-    is what is broadcast. Lines meet at the tokens of their prefixes, one task a
-    bucket of tokens; survivors of the length, positional and bitmap filters are
+    The texts are read once for their lines' word sets, which are kept packed in
+    the shared folder, and once to take lines out. Word rarity comes from counts
+    of all words in ``2**18`` hash buckets, which is what is broadcast. Lines of
+    different word sets meet at the tokens of their prefixes, one group a bucket
+    of tokens; survivors of the length, positional and bitmap filters are
     verified on whole word sets: the likeliest candidate of each line first, then
     all others of the lines that it did not match. Words count as equal if 32
     bits of their hashes are.
 
     Lines without words always stay; a null text stays null and an empty one
-    empty; a document may end up empty, its row stays; a null id stands where
-    the hash of its text falls among the ids; exact repeats of a row, which
-    share their places, keep the same lines; other columns pass through, ones
+    empty; a document may end up empty, its row stays; a very long text is
+    handled in parts of about 1 MB, cut between lines; the order of a row with a
+    null id, or with an id that another text has as well, is that of
+    ``with_key``; exact repeats of a row, which share their places, keep the
+    same lines; an empty table gives no rows; other columns pass through, ones
     called ``removed`` are replaced.
     """
-    narrow = docs.withColumn("_doc", _doc_key(docs)).drop("removed")
-    gone = checkpointed(removed_lines(docs, threshold)).withColumnsRenamed({"doc": "_doc", "gone": "removed"})
+    docs = docs.drop("removed")
+    key, doc, stay, cut = spare([*docs.columns, "lines"], "_key", "_doc", "_stay", "_cut")
+    rows = with_key(docs, key)
+    found = kept_lines(rows, key, threshold).select(F.col("doc").alias(doc), F.col("stay").alias(stay))
     release(docs.sparkSession)
-    met = narrow.join(gone, "_doc", "left").drop("_doc")
-    parts = F.split("text", "\n", -1)
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("removed"), i)), "\n"))
-    out = met.withColumn("text", text)
+
+    @arrow_udf("struct<text: string, removed: array<int>>")
+    @lean
+    def without(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, lists in columns:
+            yield _without(texts, lists)
+
+    met = rows.join(found.hint("shuffle_hash"), F.col(key) == F.col(doc), "left").withColumn(cut, without("text", stay))
+    changed = F.size(F.col(cut)["removed"]) > 0
+    fresh = {"text": F.col(cut)["text"]}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.withColumn("removed", F.coalesce(F.array_sort("removed"), F.array().cast("array<int>"))).select(*docs.drop("removed").columns, "removed")
+        fresh["n_chars"] = F.when(changed, F.length(F.col(cut)["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return met.select(*[fresh[c].alias(c) if c in fresh else F.col(f"`{c}`") for c in docs.columns], F.col(cut)["removed"].alias("removed"))
