@@ -7,35 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.llm.langid import UNDETERMINED, identify_language
+from wattline.llm.langid import UNDETERMINED, with_language
 from wattline.llm.linededup import remove_repeated_lines
 from wattline.llm.mixing import mixed
 from wattline.llm.neardup import keep_one_of_each
 from wattline.llm.packing import pack_by_powers_of_two
-from wattline.llm.runtime import checkpointed, documents
+from wattline.llm.runtime import checkpointed, documents, spare
 
 #: Settings of ``schedule_mix``, such as the sources' target weights, for the mixing and the packing stage.
 MIXTURE: dict = {}
 
+#: A document stays in the language stage if its language is likelier than all others together.
+LEAST_SCORE = 0.5
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without text or letters go."""
-    told = identify_language(docs, carry=docs.columns)
-    return told.where(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    """Documents in a language that the model knows: those whose posterior is below ``LEAST_SCORE`` go, and those without a letter.
+
+    Null and empty texts have no letter. Where no language could be learned, all
+    texts with letters stay. Repeated rows are judged alike; an empty table gives
+    no rows; a very long text counts whole; other columns pass through.
+    """
+    (own,) = spare([*docs.columns, "lang_pred", "score", "has_letters"], "_row")
+    told = with_language(docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(own)))
+    stays = F.col("has_letters") & ((F.col("lang_pred") == UNDETERMINED) | (F.col("score") >= LEAST_SCORE))
+    return told.where(stays).select(f"{own}.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that repeat an earlier one."""
+    """All documents, without the lines that repeat an earlier one; odd rows as in ``remove_repeated_lines``."""
     return remove_repeated_lines(docs).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that of the smallest id."""
+    """One document of each class of near duplicates, that of the smallest id; odd rows as in ``keep_one_of_each``."""
     return keep_one_of_each(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, laid out in the order that keeps the sources at their target weights."""
+    """All documents, laid out in the order that keeps the sources at their target weights; odd rows as in ``schedule_mix``."""
     return mixed(docs, **MIXTURE)
 
 
@@ -43,6 +53,7 @@ def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, one sequence each, in buckets of equal length, in the mixed order within a bucket.
 
     The order is worked out again from the rows: none of their columns holds it, and the layout is lost in writing.
+    Odd rows are packed as ``pack_by_powers_of_two`` says.
     """
     return pack_by_powers_of_two(docs, mixture=MIXTURE)
 
