@@ -40,12 +40,16 @@ def _line_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     if len(starts) == 0:
         none = np.zeros(0, np.int64)
         return np.zeros(0, U64), none, none, none
-    newlines = np.concatenate(([0], np.cumsum(data == 10)))
-    text = np.searchsorted(offsets, starts, side="right") - 1
-    number = newlines[starts] - newlines[offsets[text]]
+    # A line with words begins at the last break or start of a text before them.
+    breaks = np.flatnonzero(data == 10)
+    edges = np.sort(np.concatenate((offsets[:-1], breaks + 1)))
+    at = np.searchsorted(edges, starts, side="right")
     first = np.ones(len(starts), dtype=bool)
-    first[1:] = (text[1:] != text[:-1]) | (number[1:] != number[:-1])
-    return span_hash(data, starts, ends), np.cumsum(first) - 1, text[first], number[first]
+    first[1:] = at[1:] != at[:-1]
+    begin = starts[first]
+    text = np.searchsorted(offsets, begin, side="right") - 1
+    number = np.searchsorted(breaks, begin) - np.searchsorted(breaks, offsets[text])
+    return span_hash(data, starts, ends), np.cumsum(first) - 1, text, number
 
 
 def _parts(docs: np.ndarray, texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, int]]:
@@ -219,8 +223,8 @@ def _postings(batches: Iterator[pa.RecordBatch], order: np.ndarray, buckets: int
         yield flush()
 
 
-def _unpacked(table: pa.Table) -> dict[str, np.ndarray]:
-    """A bucket's postings, in the order of (token, n), one for each set and token: that of its earliest place."""
+def _unpacked(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """A bucket's postings, in the order of (token, n), one for each set and token: that of its earliest place. Second: the places' ranks."""
     parts: dict[str, list] = {k: [] for k, _ in FIELDS}
     for raw in table["rows"].to_pylist():
         n, low = np.frombuffer(raw[:16], np.int64).tolist()
@@ -229,12 +233,22 @@ def _unpacked(table: pa.Table) -> dict[str, np.ndarray]:
             width = np.dtype(kind).itemsize * n
             parts[k].append(_whole(raw[at : at + width], kind, n) + (low if k == "doc" else kind(0)))
             at += width
-    p = {k: np.concatenate(v) for k, v in parts.items()}
-    by = np.lexsort((p["line"], p["doc"], p["bits2"], p["bits"], p["set"], p["n"], p["token"]))
-    q = {k: v[by] for k, v in p.items()}
+    q = {k: np.concatenate(v) for k, v in parts.items()}
+    by = np.lexsort((q["line"], q["doc"]))
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = (q["doc"][by][1:] != q["doc"][by][:-1]) | (q["line"][by][1:] != q["line"][by][:-1])
+    place = np.empty(len(by), np.int64)
+    place[by] = np.cumsum(new) - 1
+    # Equal sets of a token are neighbours in the order of a hash, and the sort, which keeps their order, begins with the earliest.
+    where = (q["token"].astype(U64) << U64(32)) | q["n"]
+    names = mix(where ^ mix(q["bits"] ^ mix(q["bits2"] + q["set"])))
+    by = by[np.argsort(names[by], kind="stable")]
+    q = {k: v[by] for k, v in q.items()}
     same = np.zeros(len(by), dtype=bool)
     same[1:] = np.logical_and.reduce([q[k][1:] == q[k][:-1] for k in ("token", "n", "set", "bits", "bits2")])
-    return {k: v[~same] for k, v in q.items()}
+    kept = np.flatnonzero(~same)
+    kept = kept[np.argsort(where[by[kept]], kind="stable")]
+    return {k: v[kept] for k, v in q.items()}, place[by[kept]]
 
 
 def _survivors(q: dict[str, np.ndarray], place: np.ndarray, share: Fraction, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,6 +258,7 @@ def _survivors(q: dict[str, np.ndarray], place: np.ndarray, share: Fraction, chu
     """
     m = len(place)
     n, pos = q["n"].astype(np.int64), q["pos"].astype(np.int64)
+    left = n - pos
     token = q["token"].astype(U64) << U64(32)
     longest = np.minimum((n * share.denominator) // share.numerator, 0xFFFFFFFF)
     end = np.searchsorted(token | q["n"].astype(U64), token | longest.astype(U64), side="right")
@@ -259,26 +274,21 @@ def _survivors(q: dict[str, np.ndarray], place: np.ndarray, share: Fraction, chu
         i = np.repeat(np.arange(first, last), size)
         j = i + 1 + np.arange(len(i)) - np.repeat(cum[first:last] - cum[first], size)
         first = last
-        need = _ceil(both, n[i] + n[j])
-        ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
-        i, j, need = i[ok], j[ok], need[ok]
-        differ = np.bitwise_count(q["bits"][i] ^ q["bits"][j]).astype(np.int64) + np.bitwise_count(q["bits2"][i] ^ q["bits2"][j])
-        ok = differ <= n[i] + n[j] - 2 * need
+        sizes = n[i] + n[j]
+        need = _ceil(both, sizes)
+        # The bitmaps' halves one after the other: the first alone rules out most pairs.
+        most = sizes - 2 * need
+        differ = np.bitwise_count(q["bits"][i] ^ q["bits"][j])
+        ok = np.flatnonzero((differ <= most) & (np.minimum(left[i], left[j]) >= need))
+        i, j, most = i[ok], j[ok], most[ok]
+        differ = differ[ok].astype(np.int64) + np.bitwise_count(q["bits2"][i] ^ q["bits2"][j])
+        ok = differ <= most
         i, j, differ = i[ok], j[ok], differ[ok]
         later = place[i] > place[j]
         found.append((np.where(later, i, j), np.where(later, j, i), differ))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _places(q: dict[str, np.ndarray]) -> np.ndarray:
-    place = np.empty(len(q["token"]), np.int64)
-    order = np.lexsort((q["line"], q["doc"]))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (q["doc"][order][1:] != q["doc"][order][:-1]) | (q["line"][order][1:] != q["line"][order][:-1])
-    place[order] = np.cumsum(new) - 1
-    return place
-
-
 def _candidates(table: pa.Table, share: Fraction, only: np.ndarray | None) -> pa.Table:
     """Rows (line x, earlier line y, how far their bitmaps differ) of the bucket.
 
@@ -286,8 +296,7 @@ def _candidates(table: pa.Table, share: Fraction, only: np.ndarray | None) -> pa
     that has several, with y null, the tokens at which it meets them. With
     ``only``, all earlier lines of the flagged lines.
     """
-    q = _unpacked(table)
-    place = _places(q)
+    q, place = _unpacked(table)
     x, y, differ = _survivors(q, place, share)
     if only is not None:
         ask = may_hold(only, _slot(q["doc"][x], q["line"][x]))
@@ -301,7 +310,7 @@ def _candidates(table: pa.Table, share: Fraction, only: np.ndarray | None) -> pa
     keep, extra = new, np.zeros(0, np.int64)
     if only is None:
         keep = first
-        several = np.bincount(place[x[new]], minlength=len(place)) > 1
+        several = np.bincount(place[x[new]], minlength=int(place.max(initial=0)) + 1) > 1
         meets = x[several[place[x]]]
         _, once = np.unique(np.stack((place[meets], q["token"][meets].astype(np.int64))), axis=1, return_index=True)
         extra = meets[once]

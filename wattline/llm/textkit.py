@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,13 +10,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+LONG_SPAN = 1024
+#: The lowest n bytes of eight.
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 _WORD = np.zeros(256, dtype=bool)
 _WORD[128:] = True
 for _range in (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"):
     _WORD[list(_range)] = True
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def has_word(data: np.ndarray) -> np.ndarray:
@@ -92,66 +93,45 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n + 1:
-        size = max(n + 1, 1 << 16)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            table = np.full(size, base, dtype=U64)
-            table[0] = 1
-            _POWERS[name] = np.multiply.accumulate(table)
-    return _POWERS["up"], _POWERS["down"]
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span; equal spans hash alike wherever they stand.
 
-
-def _hash_block(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _powers(len(data))
-    total = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
-
-
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 16) -> np.ndarray:
-    """64-bit hash of each byte span; equal spans hash alike wherever they stand. Starts and ends must ascend.
-
-    Spans are taken a block of ``block`` bytes at a time, and longer spans piece
-    by piece, so what is held beside the result does not grow with the data.
+    Spans are read eight bytes at a time, all spans that are long enough
+    together; the few very long ones are digested one by one.
     """
-    out = np.empty(len(starts), dtype=U64)
-    long = ends - starts > block
-    for i in np.flatnonzero(long).tolist():
-        h = np.zeros(1, U64)
-        for at in range(int(starts[i]), int(ends[i]), block):
-            piece = data[at : min(at + block, int(ends[i]))]
-            h = mix(h * U64(0x9E3779B97F4A7C15) + _hash_block(piece, np.array([0]), np.array([len(piece)])))
-        out[i] = h[0]
-    short = np.flatnonzero(~long) if long.any() else slice(None)
-    s, e = starts[short], ends[short]
-    found = np.empty(len(s), dtype=U64)
-    edges = np.searchsorted(s, np.arange(0, len(data) + block, block))
-    for i, j in zip(edges.tolist(), edges[1:].tolist()):
-        if i < j:
-            low = int(s[i])
-            found[i:j] = _hash_block(data[low : int(e[j - 1])], s[i:j] - low, e[i:j] - low)
-    out[short] = found
-    return out
-
-
-def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+
+    def read(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        found = eights[at]
+        some = np.flatnonzero(left < 8)
+        found[some] &= _LOW[left[some]]
+        return found
+
+    h = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + read(starts, np.minimum(size, 8)))
+    more, k = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
+    while len(more):
+        left = size[more] - k
+        h[more] = mix(h[more] * U64(0x9E3779B97F4A7C15) + read(starts[more] + k, left))
+        more, k = more[left > 8], k + 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words: runs of ASCII letters and digits and of any non-ASCII bytes, within one text."""
     if len(data) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = _WORD[data]
-    before = np.empty_like(inside)
-    before[0] = False
-    before[1:] = inside[:-1]
-    cuts = offsets[:-1] if breaks is None else breaks
-    before[cuts[cuts < len(data)]] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty_like(inside)
-    after[-1] = False
-    after[:-1] = inside[1:]
-    last = cuts[cuts > 0] - 1
-    after[last[last < len(data)]] = False
-    return starts, np.flatnonzero(inside & ~after) + 1
+    inside = np.zeros(len(data) + 2, dtype=bool)
+    inside[1:-1] = _WORD[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    cuts = offsets[1:-1]
+    cuts = np.unique(cuts[inside[cuts] & inside[cuts + 1]])
+    if len(cuts):  # texts that meet within a run
+        edges = np.sort(np.concatenate((edges, cuts, cuts)))
+    return edges[::2], edges[1::2]
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
