@@ -89,3 +89,42 @@ def test_components(spark):
         parent[b] = a
     want = {v: root(v) for v in parent if any(v in x and x[0] != x[1] for x in links)}
     assert {r["v"]: r["c"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == want
+
+
+def test_weighted_signatures_estimate_weighted_similarity():
+    """Whole and fractional weights, each element once; an element's areas do not grow with its weight."""
+    rng = np.random.default_rng(8)
+    ids = rng.integers(0, 2**63, 60).astype(np.uint64)
+    for scale in (1.0, 0.37, 40.0):
+        a, b = scale * rng.integers(1, 9, 60), scale * rng.integers(1, 9, 60)
+        sig = dart_minhash(np.concatenate((ids, ids)), np.array([0, 60, 120]), 4000, np.concatenate((a, b)))
+        assert abs((sig[0] == sig[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
+
+
+def test_a_large_group_of_near_copies_and_clashing_names(spark, monkeypatch):
+    """Most of a bucket in one component, the rest in others; columns called like the operator's own."""
+    monkeypatch.setattr(neardup, "GROUP_ROWS", 16)
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            text[rng.randrange(60)] = f"x{rng.randrange(6)}"
+        rows.append((i, " ".join(text), "a", 1, 2, 3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc string, count int, doc int, _key int").repartition(3)
+    want = brute([(i, t) for i, t, *_ in rows])
+    assert {r["doc"]: r["class_id"] for r in near_duplicate_classes(docs).collect()} == want
+    assert sorted(map(tuple, keep_one_of_each(docs).collect())) == sorted(r for r in rows if want[r[0]] == r[0])
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{k % 5000}" for k in range(400_000))
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other " * 300_000)], "doc_id long, text string")
+    out = {r["doc"]: (r["class_id"], r["n_shingles"]) for r in near_duplicate_classes(docs).collect()}
+    assert out == {1: (1, 399_996), 2: (1, 399_997), 3: (3, 299_996)}
+
+
+def test_texts_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (1, "f g h i j"), (1, "f g h i j"), (2, "F g h i j")], "doc_id long, text string")
+    assert sorted(r["text"].lower() for r in keep_one_of_each(docs).collect()) == ["a b c d e", "f g h i j"]

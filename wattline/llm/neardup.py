@@ -51,7 +51,7 @@ def dart_minhash(ids: np.ndarray, starts: np.ndarray, k: int, weights: np.ndarra
     log2(w + 1) areas of a rank, whatever the weights add up to.
     """
     n = len(starts) - 1
-    value, hit = np.zeros((n, k), dtype=U64), np.zeros((n, k), dtype=bool)
+    value, hit = np.full(n * k, ~U64(0)), np.zeros(n * k, dtype=bool)
     owner = np.repeat(np.arange(n), np.diff(starts))
     weights = np.ones(len(ids)) if weights is None else weights
     areas = np.maximum(1, np.ceil(np.log2(weights + 1))).astype(np.int64)
@@ -79,25 +79,22 @@ def dart_minhash(ids: np.ndarray, starts: np.ndarray, k: int, weights: np.ndarra
         inside[partly] = tall[partly] * (1 + _unit(mix(dart[partly] + U64(0x632BE59BD9B4E019)))) - 1 < weights[of[partly]]
         dart, of = dart[inside], of[inside]
         slot = owner[of] * k + ((dart >> U64(32)) % U64(k)).astype(np.int64)
-        order = np.argsort(mix(dart ^ U64(0x2545F4914F6CDD1D)))[::-1]
-        order = order[~hit.ravel()[slot[order]]]
-        value.ravel()[slot[order]] = dart[order]  # the lowest rank is written last
-        hit.ravel()[slot] = True
-        keep = ~hit.all(axis=1)[owner]
+        fresh = ~hit[slot]
+        np.minimum.at(value, slot[fresh], mix(dart[fresh] ^ U64(0x2545F4914F6CDD1D)))  # a dart's rank among those of its height, and its name
+        hit[slot] = True
+        keep = ~hit.reshape(n, k).all(axis=1)[owner]
         ids, owner, weights, v = ids[keep], owner[keep], weights[keep], v[keep]
-    return value
+    return value.reshape(n, k)
 
 
 def weighted(shingles: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct shingles of each text, where each text's start, and how often each occurs there."""
-    owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    order = np.argsort(mix(shingles + owner.astype(U64) * U64(0xA0761D6478BD642F)), kind="stable")
-    order = order[np.argsort(owner[order], kind="stable")]
-    s, o = shingles[order], owner[order]
-    first = np.ones(len(s), dtype=bool)
-    first[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1])
-    at = np.flatnonzero(first)
-    return s[at], np.searchsorted(o[at], np.arange(len(starts))), np.diff(np.append(at, len(s))).astype(float)
+    """The distinct shingles of each text, by 48 bits or so of their hashes, where each text's start, and how often each occurs there."""
+    n = len(starts) - 1
+    bits = U64(64 - max(16, n.bit_length()))
+    key = np.sort((np.repeat(np.arange(n, dtype=U64), np.diff(starts)) << bits) | (shingles >> (U64(64) - bits)))
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    firsts = np.searchsorted(key[at] >> bits, np.arange(n + 1, dtype=U64))
+    return key[at] & ((U64(1) << bits) - U64(1)), firsts, np.diff(np.append(at, len(key))).astype(float)
 
 
 def regions(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -238,7 +235,7 @@ def _sets(nodes: DataFrame, narrow: DataFrame, width: int) -> DataFrame:
 
 def _links(pairs: DataFrame, narrow: DataFrame, threshold: float, width: int) -> DataFrame:
     """Those of the ``pairs`` whose weighted Jaccard similarity, exactly, reaches the threshold."""
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("v")), narrow, width)
+    sets = checkpointed(_sets(pairs.select(F.explode(F.array("a", "b")).alias("v")), narrow, width))
     met = pairs.join(sets.select(F.col("v").alias("a"), F.col("ids").alias("x")), "a").join(sets.select(F.col("v").alias("b"), F.col("ids").alias("y")), "b")
     return checkpointed(met.select("a", "b", "x", "y").mapInArrow(lambda it: _verify(it, threshold), "a long, b long"))
 
@@ -255,7 +252,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, width: int =
     ``bands * rows`` coordinates put texts into band buckets. In each bucket all
     are compared with its smallest member; then, in buckets that still touch
     several components, all pairs across components are, in pieces of bounded
-    size, until a link joins them; what leaves a bucket are links, never pairs.
+    size, until a link joins them: the members of the largest component are dealt
+    out once for each piece of all others together. What leaves a bucket are
+    links, never pairs.
     Candidate pairs whose signatures agree in the share ``likely`` are verified
     on whole shingle multisets. At similarity 0.8 and the defaults a
     pair shares a bucket with probability 0.99995, and the estimate falls below
@@ -275,19 +274,26 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, width: int =
     banded = checkpointed(merged.select("doc", "n", "sig").mapInArrow(lambda it: _bands(it, bands, rows), "band long, no byte, v long, n long"))
     centres = banded.groupBy("band").agg(F.min("v").alias("m"), F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
     signed = merged.select(F.col("doc").alias("v"), "sig")
-    stars = banded.join(centres, "band").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+    # Written down: joins of plain tables can be split where one text is in many pairs.
+    stars = checkpointed(banded.join(centres, "band").where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct())
     rated = stars.join(signed.select(F.col("v").alias("a"), F.col("sig").alias("sx")), "a").join(signed.select(F.col("v").alias("b"), F.col("sig").alias("sy")), "b")
     pairs = checkpointed(rated.select("a", "b", "sx", "sy").mapInArrow(lambda it: _likely(it, likely), "a long, b long"))
     links = _links(pairs, narrow, threshold, width)
     classes = checkpointed(components(links))
     # What a bucket's smallest member does not tie together: all pairs across components.
-    labelled = banded.join(centres.select("band", "size", "weight"), "band").join(classes, "v", "left").select("band", "no", "v", "size", "weight", F.coalesce("c", "v").alias("c"))
-    mixed = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
-    pieces = F.greatest(F.ceil(F.col("size") / GROUP_ROWS), F.ceil(F.col("weight") * 8 / GROUP_BYTES)).cast("int")
-    members = checkpointed(labelled.join(mixed, "band").withColumn("pieces", pieces).drop("size", "weight"))
+    labelled = banded.join(centres.select("band"), "band").join(classes, "v", "left").select("band", "no", "v", "n", F.coalesce("c", "v").alias("c"))
+    parts = labelled.groupBy("band", "c").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
+    whole = parts.groupBy("band").agg(F.max(F.struct("rows", "weight", "c")).alias("main"), F.sum("rows").alias("rows"), F.sum("weight").alias("weight"), F.count("*").alias("k")).where("k > 1")
+    pieces = lambda rows, weight: F.greatest(F.ceil(rows / GROUP_ROWS), F.ceil(weight * 8 / GROUP_BYTES)).cast("int")
+    m = F.col("main")
+    cut = whole.select("band", m["c"].alias("main"), pieces(F.col("rows") - m["rows"], F.col("weight") - m["weight"]).alias("few"), pieces(m["rows"], m["weight"]).alias("many"))
+    members = checkpointed(labelled.drop("n").join(cut, "band"))
     if not members.isEmpty():
-        own = F.pmod(F.xxhash64("v", F.lit(5)), F.col("pieces")).cast("int")
-        split = members.withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        # The largest component needs no pairs of its own: its pieces meet those of the others, which also meet each other.
+        of = lambda n: F.pmod(F.xxhash64("v", F.lit(5)), n).cast("int")
+        own = F.when(F.col("c") == F.col("main"), F.col("few") + of(F.col("many"))).otherwise(of(F.col("few")))
+        meets = F.when(F.col("c") == F.col("main"), F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1)
+        split = members.withColumn("part", own).withColumn("other", F.explode(F.sequence(F.lit(0), meets)))
         split = split.select("band", "no", "v", "c", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
         sets = _sets(members.select("v"), narrow, width)
         crossed = split.join(signed, "v").join(sets, "v").groupBy("band", "i", "j").applyInArrow(lambda t: _across(t, likely, threshold, bands, rows), "a long, b long")
