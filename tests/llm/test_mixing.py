@@ -5,7 +5,7 @@ from fractions import Fraction
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wattline.llm.mixing import mixed, pfair, schedule_mix
+from wattline.llm.mixing import mixed, on_grid, pfair, phases, schedule_mix
 
 
 @settings(max_examples=150, deadline=None)
@@ -51,3 +51,50 @@ def test_positions(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert schedule_mix(none).count() == 0 and mixed(none).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdefg"), st.tuples(st.integers(1, 90), st.floats(0.01, 9)), min_size=1), st.sampled_from([32, 50]))
+def test_phases_are_the_whole_schedule(sources, period):
+    """Slots by arithmetic against a simulation block by block with the same weights, source after source running out."""
+    blocks, weights = {s: n for s, (n, _) in sources.items()}, {s: w for s, (_, w) in sources.items()}
+    found = {}
+    for s, parts in phases(blocks, weights, period).items():
+        for k in range(blocks[s]):
+            first, start, n, size, own = [p for p in parts if p[0] <= k][-1]
+            found[start + (k - first) // n * size + own[(k - first) % n]] = (s, k)
+    assert sorted(found) == list(range(sum(blocks.values())))
+    left, done, start = dict(blocks), dict.fromkeys(blocks, 0), 0
+    while left:
+        size = max(period, 4 * len(left))
+        share = on_grid({s: weights[s] for s in left}, size)
+        assert sum(share.values()) == size and min(share.values()) >= 1
+        for s, k, *_ in pfair(left, {s: Fraction(n, size) for s, n in share.items()}):
+            assert found[start] == (s, done[s])
+            start, done[s], left[s] = start + 1, done[s] + 1, left[s] - 1
+            if not left[s]:
+                del left[s]
+                break
+
+
+def test_weights_on_a_grid_are_near():
+    found = on_grid({"a": 0.7, "b": 0.2, "c": 0.1, "d": 1e-9}, 4096)
+    assert found["d"] == 1 and all(abs(found[s] / 4096 - w) < 2 / 4096 for s, w in (("a", 0.7), ("b", 0.2), ("c", 0.1)))
+
+
+def test_many_sources_and_a_long_document(spark):
+    """Sources beyond the bound are one together; a document over several blocks is charged them all."""
+    rows = [(i, "x" * 99, f"s{i % 30}") for i in range(900)] + [(5000, "y" * 100_000, "big"), *((6000 + i, "z" * 99, "big") for i in range(50))]
+    out = schedule_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights={"big": 1.0, "s0": 1.0}, block_bytes=1000, most_sources=5).collect()
+    assert sorted(r["position"] for r in out) == list(range(len(rows)))
+    long = next(r for r in out if r["doc_id"] == 5000)
+    own = {r["block"] for r in out if r["source"] == "big" and r["doc_id"] != 5000}
+    assert not own & set(range(long["block"] + 1, long["block"] + 100))
+    others = {r["source"] for r in out if r["slot"] == next(x["slot"] for x in out if x["source"] == "s29")}
+    assert len(others) > 1
+
+
+def test_names_of_columns_do_not_matter(spark):
+    rows = [(i, f"t{i}", f"s{i % 3}", 1, 2, 3) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, position int, _key int, place_key int")
+    assert sorted(map(tuple, mixed(docs, block_bytes=8).collect())) == sorted(rows)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import count, islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,21 @@ from wattline.llm.runtime import checkpointed, spare, task_count
 from wattline.llm.slots import gapless
 
 
+def earliest_deadline_first(share: dict[str, Fraction], start: int = 0) -> Iterator[tuple[str, int, int]]:
+    """(source, release, deadline) of the block in each slot from ``start`` on, without end; the shares add up to 1."""
+    window = lambda s, i: (start + (i - 1) * share[s].denominator // share[s].numerator, start - (-i * share[s].denominator // share[s].numerator))
+    released: list[tuple] = []
+    waiting = [(start, window(s, 1)[1], -w, s, 1) for s, w in share.items()]
+    heapq.heapify(waiting)
+    for t in count(start):
+        while waiting and waiting[0][0] <= t:
+            r, d, w, s, i = heapq.heappop(waiting)
+            heapq.heappush(released, (d, w, s, i, r))
+        d, w, s, i, r = heapq.heappop(released)
+        yield s, r, d
+        heapq.heappush(waiting, (*window(s, i + 1), w, s, i + 1))
+
+
 def pfair(blocks: dict[str, int], weights: dict[str, Fraction]) -> list[tuple[str, int, int, int]]:
     """(source, block, release, deadline) of every block, in the order of the slots, one block a slot.
 
@@ -27,25 +44,14 @@ def pfair(blocks: dict[str, int], weights: dict[str, Fraction]) -> list[tuple[st
     done = dict.fromkeys(left, 0)
     out: list[tuple[str, int, int, int]] = []
     while left:
-        start, whole = len(out), sum(weights[s] for s in left)
-        share = {s: weights[s] / whole for s in left}
-        window = lambda s, i: (start + (i - 1) * share[s].denominator // share[s].numerator, start - (-i * share[s].denominator // share[s].numerator))
-        released: list[tuple] = []
-        waiting = [(start, window(s, 1)[1], -share[s], s, 1) for s in left]
-        heapq.heapify(waiting)
-        while True:
-            t = len(out)
-            while waiting and waiting[0][0] <= t:
-                r, d, w, s, i = heapq.heappop(waiting)
-                heapq.heappush(released, (d, w, s, i, r))
-            d, w, s, i, r = heapq.heappop(released)
+        whole = sum(weights[s] for s in left)
+        for s, r, d in earliest_deadline_first({s: weights[s] / whole for s in left}, len(out)):
             out.append((s, done[s], r, d))
             done[s] += 1
             left[s] -= 1
             if not left[s]:
                 del left[s]
                 break
-            heapq.heappush(waiting, (*window(s, i + 1), w, s, i + 1))
     return out
 
 
@@ -67,7 +73,7 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> di
     """For each source, its phases: (first block, first slot, blocks a period, period, the slots of a period that are its own).
 
     A phase lasts until a source runs out. Its weights are put on a grid of
-    ``period`` slots, whose schedule by ``pfair`` repeats, so any block's slot is
+    ``period`` slots, after which the schedule repeats, so any block's slot is
     a matter of arithmetic, and the work here depends on the number of sources
     and the period, never on the number of blocks.
     """
@@ -78,7 +84,7 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> di
         size = max(period, 4 * len(left))
         share = on_grid({s: weights[s] for s in left}, size)
         own: dict[str, list[int]] = {s: [] for s in left}
-        for slot, (s, *_) in enumerate(pfair(share, {s: Fraction(n, size) for s, n in share.items()})):
+        for slot, (s, _, _) in enumerate(islice(earliest_deadline_first({s: Fraction(n, size) for s, n in share.items()}), size)):
             own[s].append(slot)
         for s in left:
             out[s].append((done[s], start, share[s], size, own[s]))
