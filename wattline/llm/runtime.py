@@ -91,13 +91,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     What earlier plans left behind is released first.
 
     The folder is the one the session names in ``spark.checkpoint.dir``; a
-    folder of our own is set only where the session names none (local tests).
+    folder of our own is set only where a local session names none, as in tests.
     """
     spark = session_of(df)
     release(spark)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wattline-ckpt-"))
     return df.checkpoint(eager=True)
 
