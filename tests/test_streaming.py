@@ -133,7 +133,11 @@ def test_supervisor():
     assert supervise({"a": start("a", 1)}, options, sleep=lambda s: None) == 1 and started["a"] == 4
     fine = Fake(3)
     fine.exception = lambda: None
-    assert supervise({"b": lambda: fine}, options, sleep=lambda s: None) == 0
+    assert supervise({"b": lambda: fine}, JobOptions(trigger=None), sleep=lambda s: None) == 0
+    stopped = Fake(1)
+    stopped.exception = lambda: None
+    ticks = []
+    assert supervise({"b": lambda: stopped}, options, sleep=lambda s: None, on_tick=lambda: ticks.append(1)) == 1 and ticks  # stopped from outside: restarted, then given up
     calls = []
 
     def once():

@@ -37,8 +37,16 @@ def with_fields(df: DataFrame, payload: str = "payload") -> DataFrame:
     return taken.withColumn("_when", F.when(kind == "STRING", iso).when(kind.isin(*INTEGRAL), F.timestamp_millis("_millis")))
 
 
-def _without_fields(df: DataFrame) -> DataFrame:
-    return df.drop("_object", "_when", "_number", "_millis", "_published", *[f"_{x}_{f}" for f in FIELDS for x in ("type", "text")])
+def _fields() -> list[Column]:
+    """The event's columns out of what ``with_fields`` has added."""
+    reading, numeric = F.col("_text_meter_reading"), F.col("_type_meter_reading").rlike(NUMERIC)
+    return [
+        F.when(F.col("_type_building_id") == "STRING", F.col("_text_building_id")).alias("building_id"),
+        F.when(F.col("_type_meter_type") == "STRING", F.col("_text_meter_type")).alias("meter_type"),
+        F.col("_when").alias("timestamp"),
+        F.when(numeric, F.col("_number")).when(reading.startswith("#"), F.substring(reading, 2, 20).try_cast("double")).alias("meter_reading"),
+        F.when(F.col("_type_sim_publish_ts").isin(*INTEGRAL), F.timestamp_millis("_published")).alias("sim_publish_ts"),
+    ]
 
 
 def parsed(df: DataFrame, payload: str = "payload", keep: list[str] | None = None) -> DataFrame:
@@ -47,19 +55,11 @@ def parsed(df: DataFrame, payload: str = "payload", keep: list[str] | None = Non
     ISO-8601 times without a zone are UTC; nothing is defaulted or repaired.
     """
     kept = [c for c in df.columns if keep is None or c in keep]
-    reading, numeric = F.col("_text_meter_reading"), F.col("_type_meter_reading").rlike(NUMERIC)
-    return with_fields(df, payload).select(
-        *kept,
-        F.when(F.col("_type_building_id") == "STRING", F.col("_text_building_id")).alias("building_id"),
-        F.when(F.col("_type_meter_type") == "STRING", F.col("_text_meter_type")).alias("meter_type"),
-        F.col("_when").alias("timestamp"),
-        F.when(numeric, F.col("_number")).when(reading.startswith("#"), F.substring(reading, 2, 20).try_cast("double")).alias("meter_reading"),
-        F.when(F.col("_type_sim_publish_ts").isin(*INTEGRAL), F.timestamp_millis("_published")).alias("sim_publish_ts"),
-    )
+    return with_fields(df, payload).select(*kept, *_fields())
 
 
-def with_reason(df: DataFrame, payload: str = "payload", now: Column | None = None, margin_s: float = DEFAULT_MARGIN_S, domain: list[str] | None = None) -> DataFrame:
-    """Adds ``error``: why the payload is rejected, null if it is valid; the first failure counts.
+def _reason(now: Column | None = None, margin_s: float = DEFAULT_MARGIN_S, domain: list[str] | None = None) -> Column:
+    """Why a payload is rejected, null if it is valid, out of what ``with_fields`` has added; the first failure counts.
 
     In order: not a JSON object; time does not parse; time ahead of now by more
     than the margin; reading not finite; reading negative; a field missing; a
@@ -72,7 +72,7 @@ def with_reason(df: DataFrame, payload: str = "payload", now: Column | None = No
     kind = {f: F.col(f"_type_{f}") for f in FIELDS}
     numeric = kind["meter_reading"].rlike(NUMERIC)
     say = lambda before, value, after="": F.concat(F.lit(before), value.cast("string"), F.lit(after))
-    reason = F.coalesce(
+    return F.coalesce(
         F.when(~F.col("_object"), F.lit("not a JSON object")),
         F.when((kind["timestamp"] == "STRING") & when.isNull(), say("timestamp not ISO-8601: '", F.col("_text_timestamp"), "'")),
         F.when(when.cast("double") > limit, say("timestamp in the future (", when, ")")),
@@ -86,12 +86,21 @@ def with_reason(df: DataFrame, payload: str = "payload", now: Column | None = No
         F.when(~kind["sim_publish_ts"].isin(*INTEGRAL), F.lit("wrong type of 'sim_publish_ts'")),
         F.when((kind["meter_type"] != "STRING") | ~F.col("_text_meter_type").isin(*domain), say("meter_type outside its domain: '", F.col("_text_meter_type"), "'")),
     )
-    return _without_fields(with_fields(df, payload).withColumn("error", reason))
+
+
+def with_reason(df: DataFrame, payload: str = "payload", **rules) -> DataFrame:
+    """Adds ``error``: why the payload is rejected, null if it is valid."""
+    return with_fields(df, payload).select(*df.columns, _reason(**rules).alias("error"))
+
+
+def validated(df: DataFrame, payload: str = "payload", **rules) -> DataFrame:
+    """Adds ``error`` and the event's columns, from one parse of each payload."""
+    return with_fields(df, payload).select(*df.columns, _reason(**rules).alias("error"), *_fields())
 
 
 def route_valid(df: DataFrame, **options) -> DataFrame:
     """The events of the valid payloads."""
-    return parsed(with_reason(df, **options).where("error is null").drop("error"))
+    return validated(df, **options).where("error is null").drop("error")
 
 
 def route_rejected(df: DataFrame, **options) -> DataFrame:

@@ -30,10 +30,17 @@ def key_collisions(df: DataFrame, keys: list[str], ignored: list[str] | None = N
     return found.where("variants > 1")
 
 
+def _absent(rows: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key is not in the other table; null equals null, as in the aggregations that merge keys."""
+    other = keys_of.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [rows[k].eqNullSafe(other[f"_{k}"]) for k in keys]
+    return rows.join(other, same, "left_anti")
+
+
 def upsert_merge(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The table after an upsert: a key's last new row replaces the old one, other rows stay."""
     fresh = dedup_last(new, keys, order).select(*old.columns)
-    return old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+    return _absent(old, fresh, keys).unionByName(fresh)
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -41,7 +48,7 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[s
     rest = [c for c in new.columns if c not in keys]
     first = new.groupBy(*keys).agg(F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *rest)).alias("_first"))
     rows = first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in new.columns])
-    return old.unionByName(rows.join(old.select(*keys), keys, "left_anti").select(*old.columns))
+    return old.unionByName(_absent(rows, old, keys).select(*old.columns))
 
 
 def natural_key_check(df: DataFrame, keys: list[str], short: list[str]) -> DataFrame:

@@ -29,6 +29,20 @@ def prepare(train: DataFrame, metadata: DataFrame, sites: list[int], codes: dict
     return telemetry, buildings, sensor_baseline(telemetry)
 
 
+def write_prepared(telemetry: DataFrame, buildings: DataFrame, baseline: DataFrame, out: str) -> dict[str, str]:
+    """The three tables as Parquet under ``out``: telemetry in the order of a replay, the others as they are."""
+    paths = {name: f"{out.rstrip('/')}/{name}.parquet" for name in ("telemetry", "buildings", "baseline")}
+    telemetry.repartitionByRange("timestamp").sortWithinPartitions("timestamp", *SENSOR_KEY).write.mode("overwrite").parquet(paths["telemetry"])
+    buildings.write.mode("overwrite").parquet(paths["buildings"])
+    baseline.write.mode("overwrite").parquet(paths["baseline"])
+    return paths
+
+
+def flat_sensors(baseline: DataFrame) -> DataFrame:
+    """Sensors, and those whose quartiles coincide: of these no reading is ever an anomaly."""
+    return baseline.agg(F.count("*").alias("sensors"), F.count_if(F.col("baseline_iqr") == 0).alias("flat_sensors"))
+
+
 def dataset_profile(telemetry: DataFrame) -> DataFrame:
     """Size, span, completeness and share of zeros of a telemetry table."""
     return telemetry.agg(

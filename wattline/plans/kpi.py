@@ -61,6 +61,24 @@ def microbatch_p95_since(progress: DataFrame, since: str) -> DataFrame:
     return kept.groupBy("query_name").agg(F.percentile("duration_ms", 0.95).alias("duration_p95_ms"))
 
 
+_REPORT = """timestamp string, name string, batchId bigint, numInputRows bigint, inputRowsPerSecond double, processedRowsPerSecond double, durationMs struct<triggerExecution: bigint, addBatch: bigint, queryPlanning: bigint>,
+    eventTime struct<max: string, watermark: string>, stateOperators array<struct<numRowsDroppedByWatermark: bigint>>, sources array<struct<metrics: map<string, string>>>, sink struct<numOutputRows: bigint>"""
+
+
+def progress_of(reports: DataFrame) -> DataFrame:
+    """Rows of the progress table out of reports kept as JSON (columns run_id, report), as a log of them holds."""
+    r = reports.select("run_id", F.from_json("report", _REPORT).alias("r"))
+    moment = lambda c: F.when(~c.startswith("1970-01-01T00:00:00"), c).try_cast("timestamp")
+    return r.select(
+        moment(F.col("r.timestamp")).alias("trigger_ts"), "run_id", F.col("r.name").alias("query_name"), F.col("r.batchId").alias("batch_id"), F.col("r.numInputRows").alias("num_input_rows"),
+        F.coalesce("r.inputRowsPerSecond", F.lit(0.0)).alias("input_rows_per_second"), F.coalesce("r.processedRowsPerSecond", F.lit(0.0)).alias("processed_rows_per_second"),
+        F.col("r.durationMs.triggerExecution").alias("duration_ms"), F.col("r.durationMs.addBatch").alias("add_batch_ms"), F.col("r.durationMs.queryPlanning").alias("query_planning_ms"), F.col("r.sink.numOutputRows").alias("sink_num_output_rows"),
+        F.when(F.size("r.stateOperators") > 0, F.aggregate("r.stateOperators", F.lit(0).cast("bigint"), lambda a, x: a + x["numRowsDroppedByWatermark"])).alias("rows_dropped_by_watermark"),
+        F.try_element_at(F.try_element_at("r.sources", F.lit(1))["metrics"], F.lit("maxOffsetsBehindLatest")).cast("double").cast("bigint").alias("offsets_behind"),
+        moment(F.col("r.eventTime.max")).alias("event_time_max"), moment(F.col("r.eventTime.watermark")).alias("watermark"),
+    )
+
+
 def ladder_degradation(rungs: DataFrame) -> DataFrame:
     """How much slower the largest rung is than the base rung repeated hot, in percent of the latter."""
     one = rungs.agg(F.max_by("published_rate", F.when(~F.col("hot_base"), F.col("sensors"))).alias("largest_rate"), F.max(F.when(F.col("hot_base"), F.col("published_rate"))).alias("base_rate"))
@@ -84,3 +102,38 @@ def report(values: dict[str, float | None]) -> str:
         met = "not measured" if value is None else "yes" if (value >= target if better else value < target) else "no"
         lines.append(f"| {name} | {'-' if value is None else f'{value:g}'} | {'>=' if better else '<'} {target:g} | {met} |")
     return "\n".join(lines) + "\n"
+
+
+def measured(events: DataFrame, metrics: DataFrame, progress: DataFrame, valid: int | None = None, rejected: int | None = None, published: int | None = None, rungs: DataFrame | None = None, panel_s: float | None = None, recovery_s: float | None = None) -> dict[str, float | None]:
+    """The indicators of a run out of its tables and counts; None for what was not observed.
+
+    ``published`` is the number of events sent in, each of which should be in the
+    events table once; panel and recovery times are measured by the caller.
+    """
+    first = lambda df: df.first().asDict()  # noqa: E731  one row each
+    latency, rate, availability = first(ingest_latency(events)), first(publish_rate(events)), first(aggregate_latency(metrics))
+    batches = {r["query_name"]: r["duration_p95_ms"] for r in microbatches(progress).collect()}
+    share = None if valid is None or rejected is None or valid + rejected == 0 else 100.0 * valid / (valid + rejected)
+    return {
+        "latency_p50_s": latency["latency_p50_s"], "latency_p95_s": latency["latency_p95_s"], "aggregate_p95_s": availability["latency_p95_s"],
+        "loss_pct": None if not published else 100.0 * max(0, published - latency["events"]) / published, "valid_pct": share,
+        "batch_p95_ms": max(batches.values(), default=None), "rate": rate["events_per_second"], "panel_s": panel_s,
+        "degradation_pct": None if rungs is None else first(ladder_degradation(rungs))["degradation_pct"], "recovery_s": recovery_s,
+    }
+
+
+def panel_times(metrics: DataFrame, view, repeats: int = 2) -> dict[str, float]:
+    """Seconds that each dashboard panel takes over a metrics table, the best of some runs."""
+    import time
+
+    from wattline.plans.panels import PANELS
+
+    found = {}
+    for name, panel in PANELS.items():
+        times = []
+        for _ in range(repeats):
+            began = time.monotonic()
+            panel(metrics, view).collect()  # a panel's rows are what a dashboard shows
+            times.append(time.monotonic() - began)
+        found[name] = min(times)
+    return found

@@ -14,6 +14,7 @@ from wattline.plans import kpi
 from wattline.plans.panels import PANELS, View
 from wattline.schemas import EVENT_KEY, PROGRESS_KEY, SENSOR_KEY, avro_schema
 from wattline.sources.fixtures import AS_OF, DOMAIN, Tables
+from wattline.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +91,11 @@ def dataset_profile(t: Tables) -> DataFrame:
     return prepare.dataset_profile(t.telemetry())
 
 
+@query("select count(*) as sensors, count(*) filter (where baseline_iqr = 0) as flat_sensors from baseline")
+def flat_sensors(t: Tables) -> DataFrame:
+    return prepare.flat_sensors(t.baseline())
+
+
 @query("""select count(*) as row_count, count(distinct (building_id, meter_type, "timestamp")) as distinct_keys, count(distinct (building_id, "timestamp")) as distinct_short_keys,
     count(*) = count(distinct (building_id, meter_type, "timestamp")) as is_unique from telemetry""")
 def natural_key_check(t: Tables) -> DataFrame:
@@ -287,9 +293,13 @@ def raw_events(t: Tables) -> DataFrame:
     return metrics.raw_events(t.telemetry())
 
 
-@query('select event_id, building_id, meter_type, stamp as "timestamp", meter_reading, published as sim_publish_ts from faulty where fault >= 8')
+@query("""select building_id || ':' || meter_type as "key", cast(cast('0x' || substr(md5(building_id || ':' || meter_type), 1, 6) as bigint) % 3 as integer) as "partition", count(*) as records, min(published) as first_published, max(published) as last_published
+    from faulty where fault >= 8 group by 1, 2""")
 def ingest_json(t: Tables) -> DataFrame:
-    return contract.route_valid(t.payloads(), now=F.lit(AS_OF), domain=DOMAIN).drop("payload")
+    """Payloads all the way into the log and out of it: validated, keyed, framed, and decoded again."""
+    good = contract.route_valid(t.payloads(), now=F.lit(AS_OF), domain=DOMAIN)
+    read = wire.decode_events(ingest.log_rows(good, _valid_schema(), 7, 3, 0), _valid_schema(), 7)
+    return read.groupBy("key", "partition").agg(F.count("*").alias("records"), F.min("sim_publish_ts").alias("first_published"), F.max("sim_publish_ts").alias("last_published"))
 
 
 # --- metrics -----------------------------------------------------------------
@@ -310,9 +320,18 @@ def distinct_exact(t: Tables) -> DataFrame:
     return metrics.distinct_buildings(t.telemetry())
 
 
-@query()
+@query("""select date_trunc('day', "timestamp") as window_start, meter_type, true as within_bounds from telemetry group by 1, 2""")
 def distinct_approx(t: Tables) -> DataFrame:
-    return metrics.distinct_buildings(t.telemetry(), approximate=True)
+    """Approximate counts held against exact ones: within three standard errors of the sketch, or one building."""
+    both = metrics.distinct_buildings(t.telemetry(), approximate=True).withColumnRenamed("buildings", "about").join(metrics.distinct_buildings(t.telemetry()), ["window_start", "meter_type"])
+    return both.select("window_start", "meter_type", (F.abs(F.col("about") - F.col("buildings")) <= F.greatest(F.lit(1.0), 3 * 0.05 * F.col("buildings"))).alias("within_bounds"))
+
+
+@query("""select date_trunc('day', window_start) as window_start, date_trunc('day', window_start) + interval 1 day as window_end, meter_type, cast(sum(event_count) as bigint) as event_count, max(max_reading) as max_reading, sum(sum_reading) as sum_reading,
+    sum(sum_square_feet) as sum_square_feet, cast(sum(zero_count) as bigint) as zero_count, cast(sum(anomaly_count) as bigint) as anomaly_count, max(max_sim_publish_ts) as max_sim_publish_ts,
+    sum(sum_reading) / sum(event_count) as avg_reading, case when sum(sum_square_feet) > 0 then sum(sum_reading) / sum(sum_square_feet) end as avg_energy_intensity from metrics group by all""")
+def coarser_metrics(t: Tables) -> DataFrame:
+    return metrics.coarser_metrics(t.metrics())
 
 
 @query("""select building_id, meter_type, min("timestamp") as run_start, max("timestamp") as run_end, count(*) as readings from (select *, sum(case when meter_reading = 0 then 0 else 1 end) over (partition by building_id, meter_type order by "timestamp") as run from telemetry)
@@ -355,6 +374,16 @@ def insert_ignore(t: Tables) -> DataFrame:
     return dedup.insert_ignore(p.where("run_id = 'run1'"), p.where("run_id = 'run2'").unionByName(again), PROGRESS_KEY, ["duration_ms"])
 
 
+@query("""select building_id, meter_type, case when meter_type <> 'error' then "timestamp" end as "timestamp", max(meter_reading) as meter_reading from telemetry group by 1, 2, 3""")
+def replay_null_keys(t: Tables) -> DataFrame:
+    """A batch with nulls in its keys, merged three times: null is a key like any other."""
+    rows = t.telemetry().select(*SENSOR_KEY, F.when(F.col("meter_type") != "error", F.col("timestamp")).alias("timestamp"), "meter_reading")
+    table = rows.limit(0)
+    for _ in range(3):
+        table = dedup.upsert_merge(table, rows, EVENT_KEY, ["meter_reading"])
+    return table
+
+
 @query("""select building_id, meter_type, "timestamp", meter_reading, sim_publish_ts, seq from deliveries qualify row_number() over (partition by building_id, meter_type, "timestamp" order by seq desc) = 1""")
 def replay_idempotent(t: Tables) -> DataFrame:
     once = dedup.upsert_merge(t.deliveries().limit(0), t.deliveries(), EVENT_KEY, ["seq"])
@@ -465,6 +494,16 @@ def publish_rate(t: Tables) -> DataFrame:
     return kpi.publish_rate(t.telemetry(), "2024-01-15 00:00:00")
 
 
+@query("""select trigger_ts, run_id, query_name, batch_id, num_input_rows, processed_rows_per_second, duration_ms from progress""")
+def progress_rows(t: Tables) -> DataFrame:
+    """Micro-batch reports as rows of the progress table, from reports in the form in which Spark hands them over."""
+    reports = t.progress().withColumn("report", F.to_json(F.struct(
+        F.date_format("trigger_ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), F.col("query_name").alias("name"), F.col("batch_id").alias("batchId"), F.col("num_input_rows").alias("numInputRows"),
+        F.col("processed_rows_per_second").alias("processedRowsPerSecond"), F.struct(F.col("duration_ms").alias("triggerExecution")).alias("durationMs"),
+    )))
+    return kpi.progress_of(reports.select("run_id", "report")).select("trigger_ts", "run_id", "query_name", "batch_id", "num_input_rows", "processed_rows_per_second", "duration_ms")
+
+
 @query("select query_name, quantile_cont(duration_ms::double, 0.95) as duration_p95_ms from progress where trigger_ts >= timestamp '2024-01-15' and num_input_rows > 0 group by 1")
 def microbatch_p95_since(t: Tables) -> DataFrame:
     return kpi.microbatch_p95_since(t.progress(), "2024-01-15 00:00:00")

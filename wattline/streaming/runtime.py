@@ -44,16 +44,27 @@ class JobOptions:
             raise ValueError("sink must be both, metrics or events")
 
 
+def kafka_options(servers: str, topic: str, options: JobOptions) -> dict[str, str]:
+    return {
+        "kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": options.starting_offsets,
+        "failOnDataLoss": str(options.fail_on_data_loss).lower(), "maxOffsetsPerTrigger": str(options.max_per_trigger),
+    }
+
+
 def kafka_source(spark: SparkSession, servers: str, topic: str, options: JobOptions) -> DataFrame:
     """The log as a stream (needs Spark's Kafka package): stops rather than skips lost data, bounded per trigger."""
-    read = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-    read = read.option("startingOffsets", options.starting_offsets).option("failOnDataLoss", str(options.fail_on_data_loss).lower()).option("maxOffsetsPerTrigger", options.max_per_trigger)
+    read = spark.readStream.format("kafka").options(**kafka_options(servers, topic, options))
     return read.load().select(F.col("key").cast("string").alias("key"), "partition", "offset", "value")
 
 
 def file_log_source(spark: SparkSession, path: str, files_per_trigger: int = 1, schema=LOG) -> DataFrame:
     """A log kept as Parquet files, as a stream: one or more files a trigger, in the order of their times."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).parquet(path)
+
+
+def json_lines_source(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
+    """Meters' JSON payloads, a line each, as a stream: what a broker's topic filter would deliver."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).text(path).withColumnRenamed("value", "payload")
 
 
 def _start(df: DataFrame, name: str, write: Callable[[DataFrame, int], None], options: JobOptions):
@@ -73,12 +84,23 @@ def query_starters(events: DataFrame, buildings: DataFrame, baseline: DataFrame,
     return found
 
 
-def supervise(starters: dict[str, Callable], options: JobOptions, stop: threading.Event | None = None, sleep: Callable[[float], None] = time.sleep) -> int:
+def supervise(starters: dict[str, Callable], options: JobOptions, stop: threading.Event | None = None, sleep: Callable[[float], None] = time.sleep, on_tick: Callable[[], None] | None = None) -> int:
     """Start all queries and restart each that dies, from its checkpoint, up to ``max_restarts`` times.
 
-    Others are not touched. A query whose restart fails is given up at once.
-    Returns 1 when none is left because of failures, else 0.
+    Others are not touched. A query that ends without an error is finished where
+    the trigger is to read what there is, and otherwise has been stopped from
+    outside and is restarted too. A query whose restart fails is given up at
+    once. ``on_tick`` is called in every round and once at the end. Returns 1
+    when none is left because of failures, else 0.
     """
+    try:
+        return _supervise(starters, options, stop, sleep, on_tick or (lambda: None))
+    finally:
+        if on_tick is not None:
+            on_tick()
+
+
+def _supervise(starters: dict[str, Callable], options: JobOptions, stop: threading.Event | None, sleep: Callable[[float], None], on_tick: Callable[[], None]) -> int:
     running = {name: start() for name, start in starters.items()}
     restarts = dict.fromkeys(starters, 0)
     failed = False
@@ -91,10 +113,10 @@ def supervise(starters: dict[str, Callable], options: JobOptions, stop: threadin
             if query.isActive:
                 continue
             error = query.exception()
-            if error is None:
+            if error is None and options.trigger is None:
                 del running[name]
                 continue
-            log.error("query %s died: %s", name, str(error).splitlines()[0])
+            log.error("query %s died: %s", name, str(error).splitlines()[0] if error is not None else "stopped from outside")
             del running[name]
             if restarts[name] >= options.max_restarts:
                 log.error("query %s given up after %d restarts", name, restarts[name])
@@ -107,6 +129,7 @@ def supervise(starters: dict[str, Callable], options: JobOptions, stop: threadin
                 log.exception("query %s could not be restarted", name)
                 failed = True
         if running:
+            on_tick()
             sleep(options.supervise_every_s)
     return int(failed)
 

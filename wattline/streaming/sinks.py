@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattline.operators.dedup import dedup_last, insert_ignore, key_collisions, upsert_merge
 
@@ -30,69 +32,168 @@ def with_retries(action: Callable[[], None], attempts: int = 5, wait_s: float =
 
 
 class KeyedTable:
-    """A keyed Parquet table: a merge writes a new version in full and then points to it.
-
-    Readers see the old version or the new one. A repeated merge of the same rows
+    """A keyed Parquet table with immutable versions: a merge rewrites the partitions it touches, then commits.
+
+    A commit is a numbered file that lists each partition's folder; the highest
+    number is the table. It comes into being by a rename, so after a crash at any
+    step the last commit still stands, with whole files. Folders that none of the
+    last ``keep`` commits names are removed, so readers of recent versions are
+    not disturbed. ``partition_by`` names a time column whose days are the
+    partitions; without it the table is one. A repeated merge of the same rows
     gives the same table, so a batch that is replayed after a failure is harmless.
+    One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema, keys: list[str], order: list[str], partition_by: list[str] | None = None):
-        self.spark, self.path, self.schema, self.keys, self.order, self.partition_by = spark, path.rstrip("/"), schema, keys, order, partition_by or []
+    def __init__(self, spark: SparkSession, path: str, schema, keys: list[str], order: list[str], partition_by: str | None = None, keep: int = 10):
+        self.spark, self.path, self.keys, self.order, self.partition_by, self.keep = spark, path.rstrip("/"), keys, order, partition_by, keep
+        self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def _fs(self):
-        jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        top = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, top.getFileSystem(hadoop)
-
-    def version(self) -> str | None:
-        jvm, fs = self._fs()
-        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        if not fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.path}/_current").first()[0]
-
-    def read(self) -> DataFrame:
-        now = self.version()
-        return self.spark.createDataFrame([], self.schema) if now is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/{now}")
-
-    def _replace(self, table: DataFrame) -> None:
-        jvm, fs = self._fs()
-        old, new = self.version(), f"v-{uuid.uuid4().hex}"
-        table.write.partitionBy(*self.partition_by).parquet(f"{self.path}/{new}")
-        path = jvm.org.apache.hadoop.fs.Path
-        self.spark.createDataFrame([(new,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_next")
-        fs.delete(path(f"{self.path}/_current"), True)
-        fs.rename(path(f"{self.path}/_next"), path(f"{self.path}/_current"))
-        if old:
-            fs.delete(path(f"{self.path}/{old}"), True)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path
+        return at, at(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def commits(self) -> list[int]:
+        at, fs = self._fs()
+        log = at(f"{self.path}/_commits")
+        names = [f.getPath().getName() for f in fs.listStatus(log)] if fs.exists(log) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def manifest(self, commit: int | None = None) -> dict[str, str]:
+        """The folder of each partition, of the last commit or a given one."""
+        found = self.commits()
+        if commit is None and not found:
+            return {}
+        text = self.spark.read.text(f"{self.path}/_commits/{found[-1] if commit is None else commit:012d}.json", wholetext=True).first()
+        return json.loads(text[0]) if text else {}
+
+    def create(self) -> bool:
+        """An empty table, unless there is one; tells whether it was made."""
+        if self.commits():
+            return False
+        self._commit({})
+        return True
+
+    def read(self, commit: int | None = None) -> DataFrame:
+        return self._rows(sorted(self.manifest(commit).values()))
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{x}" for x in folders]).select(*self.schema.names)
+
+    def _day(self) -> Column:
+        return F.coalesce(F.date_format(self.partition_by, "yyyy-MM-dd"), F.lit("none")) if self.partition_by else F.lit("all")
+
+    def _commit(self, manifest: dict[str, str]) -> None:
+        at, fs = self._fs()
+        n = (self.commits() or [0])[-1] + 1
+        draft, final = at(f"{self.path}/_commits/{uuid.uuid4().hex}.draft"), at(f"{self.path}/_commits/{n:012d}.json")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if fs.exists(final) or not fs.rename(draft, final):
+            raise RuntimeError(f"{self.path} has another writer")
+
+    def _merge(self, rows: DataFrame, merge: Callable[..., DataFrame]) -> None:
+        rows = rows.select(*self.schema.names)
+        now = self.manifest()
+        touched = sorted(r[0] for r in rows.select(self._day()).distinct().collect())  # days of one batch
+        if not touched:
+            return
+        merged = merge(self._rows([now[d] for d in touched if d in now]), rows, self.keys, self.order)
+        fresh = f"data/{uuid.uuid4().hex}"
+        merged.withColumn("part_day", self._day()).write.partitionBy("part_day").parquet(f"{self.path}/{fresh}")
+        self._commit(now | {d: f"{fresh}/part_day={d}" for d in touched})
+        self._vacuum()
+
+    def _vacuum(self) -> None:
+        at, fs = self._fs()
+        commits = self.commits()
+        if len(commits) <= self.keep:
+            return
+        used = {folder.split("/")[1] for n in commits[-self.keep :] for folder in self.manifest(n).values()}
+        for n in commits[: -self.keep]:
+            fs.delete(at(f"{self.path}/_commits/{n:012d}.json"), False)
+        for folder in fs.listStatus(at(f"{self.path}/data")):
+            if folder.getPath().getName() not in used:
+                fs.delete(folder.getPath(), True)
 
     def upsert(self, rows: DataFrame) -> None:
-        self._replace(upsert_merge(self.read(), rows, self.keys, self.order))
+        self._merge(rows, upsert_merge)
 
     def insert_ignore(self, rows: DataFrame) -> None:
-        self._replace(insert_ignore(self.read(), rows, self.keys, self.order))
+        self._merge(rows, insert_ignore)
 
     def truncate(self) -> None:
-        jvm, fs = self._fs()
-        fs.delete(jvm.org.apache.hadoop.fs.Path(self.path), True)
+        at, fs = self._fs()
+        fs.delete(at(self.path), True)
 
 
 def upsert_writer(table: KeyedTable, attempts: int = 5, wait_s: float = 3.0, on_collision: Callable[[DataFrame], None] | None = None) -> Writer:
-    """A ``foreachBatch`` function: merge the batch into the table; an empty batch does nothing."""
+    """A ``foreachBatch`` function: merge the batch, computed once, into the table; an empty batch does nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        if on_collision is not None:
-            found = key_collisions(batch, table.keys)
-            if not found.isEmpty():
-                on_collision(found)
-        stamped = batch.withColumn("ingested_at", F.current_timestamp()) if "ingested_at" in table.schema.fieldNames() and "ingested_at" not in batch.columns else batch
-        with_retries(lambda: table.upsert(stamped.select(*table.schema.fieldNames())), attempts, wait_s)
+        batch = batch.persist()
+        try:
+            if batch.isEmpty():
+                return
+            if on_collision is not None:
+                found = key_collisions(batch, table.keys)
+                if not found.isEmpty():
+                    on_collision(found)
+            stamped = batch.withColumn("ingested_at", F.current_timestamp()) if "ingested_at" in table.schema.fieldNames() and "ingested_at" not in batch.columns else batch
+            with_retries(lambda: table.upsert(stamped), attempts, wait_s)
+        finally:
+            batch.unpersist()
 
     return write
 
 
+def log_writer(path: str) -> Writer:
+    """A ``foreachBatch`` function that appends to a log kept as Parquet files: a folder a batch, so a replay writes the same again."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id:012d}")
+
+    return write
+
+
+def kafka_write_options(servers: str, topic: str) -> dict[str, str]:
+    """Every replica confirms, and a retried send is not written twice."""
+    return {"kafka.bootstrap.servers": servers, "topic": topic, "kafka.acks": "all", "kafka.enable.idempotence": "true", "kafka.linger.ms": "5", "kafka.compression.type": "lz4"}
+
+
+def kafka_writer(servers: str, topic: str, attempts: int = 5, wait_s: float = 3.0) -> Writer:
+    """A ``foreachBatch`` function that sends key and value to a topic (needs Spark's Kafka package)."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+        with_retries(lambda: rows.write.format("kafka").options(**kafka_write_options(servers, topic)).save(), attempts, wait_s)
+
+    return write
+
+
+_SQL_TYPES = {"string": "text", "int": "integer", "bigint": "bigint", "double": "double precision", "timestamp": "timestamp with time zone", "boolean": "boolean", "binary": "blob"}
+
+
+def create_sql(table: str, schema: T.StructType, keys: list[str], indexes: list[list[str]] = ()) -> list[str]:
+    """Statements that make a keyed table and its indexes where they are missing, and otherwise do nothing."""
+    columns = [f"{f.name} {_SQL_TYPES[f.dataType.simpleString()]}" for f in schema]
+    made = [f"create table if not exists {table} ({', '.join(columns)}, primary key ({', '.join(keys)}))"]
+    return made + [f"create index if not exists {table}_{'_'.join(x)} on {table} ({', '.join(x)})" for x in indexes]
+
+
+def ensure_table(connect: Callable[[], object], table: str, schema: T.StructType, keys: list[str], indexes: list[list[str]] = ()) -> None:
+    connection = connect()
+    try:
+        cursor = connection.cursor()
+        for statement in create_sql(table, schema, keys, indexes):
+            cursor.execute(statement)
+        connection.commit()
+    finally:
+        connection.close()
+
+
 def upsert_sql(table: str, columns: list[str], keys: list[str]) -> str:
     """An upsert that replaces every other column, in the dialect that SQLite and PostgreSQL share."""
     rest = [c for c in columns if c not in keys]
