@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
+
+from wattline.functions import avro
 
 HEADER_BYTES = 5
-_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 def encode_header(schema_id: Column, payload: Column) -> Column:
@@ -41,125 +41,24 @@ def guard_schema(df: DataFrame, expected: int, live: str = "meter_reading") -> D
     return df.withColumn(live, F.when(F.col("schema_id") == expected, F.col(live)).otherwise(F.raise_error(message).cast(df.schema[live].dataType)))
 
 
-def _put_long(n: int) -> bytes:
-    z = (n << 1) ^ (n >> 63)
-    z &= (1 << 64) - 1
-    out = bytearray()
-    while z > 0x7F:
-        out.append(z & 0x7F | 0x80)
-        z >>= 7
-    out.append(z)
-    return bytes(out)
-
-
-def _take_long(data: bytes, at: int) -> tuple[int, int]:
-    z = shift = 0
-    while True:
-        b = data[at]
-        at += 1
-        z |= (b & 0x7F) << shift
-        if b < 0x80:
-            return (z >> 1) ^ -(z & 1), at
-        shift += 7
-
-
-def _kind(spec) -> tuple[str, object]:
-    if isinstance(spec, list):
-        return "union", spec
-    if isinstance(spec, dict):
-        return ("millis" if spec.get("logicalType") == "timestamp-millis" else spec["type"]), spec
-    return spec, spec
-
-
-def encode_value(spec, value) -> bytes:
-    """One value by its schema; ValueError names what does not fit."""
-    kind, full = _kind(spec)
-    if kind == "union":
-        for i, branch in enumerate(full):
-            if (value is None) == (branch == "null"):
-                return _put_long(i) + (b"" if value is None else encode_value(branch, value))
-        raise ValueError(f"no branch for {value!r}")
-    if kind == "string" and isinstance(value, str):
-        raw = value.encode()
-        return _put_long(len(raw)) + raw
-    if kind == "enum" and value in full["symbols"]:
-        return _put_long(full["symbols"].index(value))
-    if kind == "millis" and isinstance(value, datetime):
-        moment = value if value.tzinfo else value.replace(tzinfo=timezone.utc)
-        return _put_long((moment - _EPOCH) // timedelta(milliseconds=1))
-    if kind in ("long", "millis") and isinstance(value, int) and not isinstance(value, bool):
-        return _put_long(value)
-    if kind == "double" and isinstance(value, (int, float)) and not isinstance(value, bool):
-        return struct.pack("<d", value)
-    raise ValueError(f"{value!r} is not a {kind}")
-
-
-def decode_value(spec, data: bytes, at: int):
-    kind, full = _kind(spec)
-    if kind == "union":
-        i, at = _take_long(data, at)
-        return (None, at) if full[i] == "null" else decode_value(full[i], data, at)
-    if kind == "string":
-        n, at = _take_long(data, at)
-        if at + n > len(data):
-            raise ValueError("record ends within a string")
-        return data[at : at + n].decode(), at + n
-    if kind == "enum":
-        i, at = _take_long(data, at)
-        return full["symbols"][i], at
-    if kind in ("long", "millis"):
-        n, at = _take_long(data, at)
-        return (_EPOCH + timedelta(milliseconds=n) if kind == "millis" else n), at
-    if kind == "double":
-        return struct.unpack_from("<d", data, at)[0], at + 8
-    raise ValueError(f"unsupported type {kind}")
-
-
-def encode_record(schema: dict, record: dict) -> bytes:
-    out = []
-    for field in schema["fields"]:
-        if field["name"] not in record and "default" not in field:
-            raise ValueError(f"missing field {field['name']}")
-        out.append(encode_value(field["type"], record.get(field["name"], field.get("default"))))
-    return b"".join(out)
-
-
-def decode_record(schema: dict, data: bytes) -> dict:
-    out, at = {}, 0
-    for field in schema["fields"]:
-        out[field["name"]], at = decode_value(field["type"], data, at)
-    if at != len(data):
-        raise ValueError(f"{len(data) - at} bytes after the record")
-    return out
-
-
 def spark_type(schema: dict) -> T.StructType:
-    of = {"string": T.StringType(), "enum": T.StringType(), "long": T.LongType(), "double": T.DoubleType(), "millis": T.TimestampType()}
-    fields = []
-    for field in schema["fields"]:
-        kind, full = _kind(field["type"])
-        if kind == "union":
-            kind = _kind(next(x for x in full if x != "null"))[0]
-        fields.append(T.StructField(field["name"], of[kind]))
-    return T.StructType(fields)
+    """The record's fields as Spark's types."""
+    return T.StructType([T.StructField(f["name"], from_arrow_type(avro.arrow_type(f["type"]))) for f in schema["fields"]])
 
 
 def decode_events(log: DataFrame, schema: dict, schema_id: int) -> DataFrame:
-    """Log rows to flat events: header split, schema guard, record decoded in Arrow batches; any bad record fails.
+    """Log rows to flat events: header split, schema guard, records decoded a column at a time; any bad record fails.
 
     Runs alike on batches and streams. Log columns key, partition and offset are kept.
     """
     framed = split_header(log)
     keep = [c for c in ("key", "partition", "offset") if c in log.columns]
     target = spark_type(schema)
-    names = [f.name for f in target]
-    arrow = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.TimestampType(): pa.timestamp("us", tz="UTC")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            records = [decode_record(schema, x) for x in batch.column("payload").to_pylist()]
-            columns = [batch.column(c) for c in keep] + [pa.array([r[f.name] for r in records], arrow[f.dataType]) for f in target]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
+            fields = avro.decode(schema, batch.column("payload"))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *fields.values()], names=[*keep, *fields])
 
     # The guard stands before decoding: bytes of another schema must not be read with this one.
     guarded = guard_schema(framed, schema_id, "payload").select(*keep, "payload")
@@ -172,8 +71,8 @@ def encode_events(events: DataFrame, schema: dict, schema_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            payload = [encode_record(schema, r) for r in batch.select(names).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payload, pa.binary())], names=[*batch.schema.names, "payload"])
+            payload = avro.encode(schema, {x: batch.column(x) for x in names}, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, payload], names=[*batch.schema.names, "payload"])
 
     encoded = events.mapInArrow(run, T.StructType([*events.schema.fields, T.StructField("payload", T.BinaryType())]))
     return encoded.withColumn("value", encode_header(F.lit(schema_id), F.col("payload"))).drop("payload")
