@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattline.operators.dedup import dedup_last, insert_ignore, key_collisions, upsert_merge
+from wattline.schemas import INSTRUMENTATION
 
 log = logging.getLogger(__name__)
 Writer = Callable[[DataFrame, int], None]
@@ -37,8 +38,8 @@ class KeyedTable:
     A commit is a numbered file that lists each partition's folder; the highest
     number is the table. It comes into being by a rename, so after a crash at any
     step the last commit still stands, with whole files. Folders that none of the
-    last ``keep`` commits names are removed, so readers of recent versions are
-    not disturbed. ``partition_by`` names a time column whose days are the
+    last ``keep`` commits names are removed now and then, so readers of recent
+    versions are not disturbed. ``partition_by`` names a time column whose days are the
     partitions; without it the table is one. A repeated merge of the same rows
     gives the same table, so a batch that is replayed after a failure is harmless.
     One writer at a time.
@@ -47,6 +48,7 @@ class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, schema, keys: list[str], order: list[str], partition_by: str | None = None, keep: int = 10):
         self.spark, self.path, self.keys, self.order, self.partition_by, self.keep = spark, path.rstrip("/"), keys, order, partition_by, keep
         self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        self._known: dict[int, dict[str, str]] = {}  # commits never change
 
     def _fs(self):
         at = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -60,11 +62,17 @@ class KeyedTable:
 
     def manifest(self, commit: int | None = None) -> dict[str, str]:
         """The folder of each partition, of the last commit or a given one."""
-        found = self.commits()
-        if commit is None and not found:
-            return {}
-        text = self.spark.read.text(f"{self.path}/_commits/{found[-1] if commit is None else commit:012d}.json", wholetext=True).first()
-        return json.loads(text[0]) if text else {}
+        if commit is None:
+            found = self.commits()
+            if not found:
+                return {}
+            commit = found[-1]
+        if commit not in self._known:
+            at, fs = self._fs()
+            stream = fs.open(at(f"{self.path}/_commits/{commit:012d}.json"))
+            self._known[commit] = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+        return self._known[commit]
 
     def create(self) -> bool:
         """An empty table, unless there is one; tells whether it was made."""
@@ -81,7 +89,8 @@ class KeyedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{x}" for x in folders]).select(*self.schema.names)
 
-    def _day(self) -> Column:
+    def day(self) -> Column:
+        """The partition of a row."""
         return F.coalesce(F.date_format(self.partition_by, "yyyy-MM-dd"), F.lit("none")) if self.partition_by else F.lit("all")
 
     def _commit(self, manifest: dict[str, str]) -> None:
@@ -94,35 +103,37 @@ class KeyedTable:
         if fs.exists(final) or not fs.rename(draft, final):
             raise RuntimeError(f"{self.path} has another writer")
 
-    def _merge(self, rows: DataFrame, merge: Callable[..., DataFrame]) -> None:
-        rows = rows.select(*self.schema.names)
-        now = self.manifest()
-        touched = sorted(r[0] for r in rows.select(self._day()).distinct().collect())  # days of one batch
-        if not touched:
+    def _merge(self, rows: DataFrame, merge: Callable[..., DataFrame], days: list[str] | None) -> None:
+        rows, now = rows.select(*self.schema.names), self.manifest()
+        if days is None:
+            days = [r[0] for r in rows.select(self.day()).distinct().collect()]  # those of one batch
+        if not days:
             return
-        merged = merge(self._rows([now[d] for d in touched if d in now]), rows, self.keys, self.order)
+        merged = merge(self._rows([now[d] for d in sorted(days) if d in now]), rows, self.keys, self.order)
         fresh = f"data/{uuid.uuid4().hex}"
-        merged.withColumn("part_day", self._day()).write.partitionBy("part_day").parquet(f"{self.path}/{fresh}")
-        self._commit(now | {d: f"{fresh}/part_day={d}" for d in touched})
+        merged.withColumn("part_day", self.day()).write.partitionBy("part_day").parquet(f"{self.path}/{fresh}")
+        self._commit(now | {d: f"{fresh}/part_day={d}" for d in days})
         self._vacuum()
 
     def _vacuum(self) -> None:
         at, fs = self._fs()
         commits = self.commits()
-        if len(commits) <= self.keep:
+        if len(commits) < 2 * self.keep:
             return
         used = {folder.split("/")[1] for n in commits[-self.keep :] for folder in self.manifest(n).values()}
         for n in commits[: -self.keep]:
             fs.delete(at(f"{self.path}/_commits/{n:012d}.json"), False)
+            self._known.pop(n, None)
         for folder in fs.listStatus(at(f"{self.path}/data")):
             if folder.getPath().getName() not in used:
                 fs.delete(folder.getPath(), True)
 
-    def upsert(self, rows: DataFrame) -> None:
-        self._merge(rows, upsert_merge)
+    def upsert(self, rows: DataFrame, days: list[str] | None = None) -> None:
+        """Merge rows in; ``days``, where the caller knows them, are the partitions that the rows touch."""
+        self._merge(rows, upsert_merge, days)
 
-    def insert_ignore(self, rows: DataFrame) -> None:
-        self._merge(rows, insert_ignore)
+    def insert_ignore(self, rows: DataFrame, days: list[str] | None = None) -> None:
+        self._merge(rows, insert_ignore, days)
 
     def truncate(self) -> None:
         at, fs = self._fs()
@@ -135,14 +146,17 @@ def upsert_writer(table: KeyedTable, attempts: int = 5, wait_s: float = 3.0, on_
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            if batch.isEmpty():
+            # One pass tells the days that the batch touches, and how many keys come with different readings.
+            domain = [c for c in batch.columns if c not in table.keys and c not in INSTRUMENTATION]
+            told = F.xxhash64(*domain) if domain else F.lit(0)
+            by_key = batch.groupBy(*table.keys, table.day().alias("day")).agg((F.min(told) != F.max(told)).alias("collides"))
+            days = {r["day"]: r["n"] for r in by_key.groupBy("day").agg(F.count_if("collides").alias("n")).collect()}
+            if not days:
                 return
-            if on_collision is not None:
-                found = key_collisions(batch, table.keys)
-                if not found.isEmpty():
-                    on_collision(found)
+            if on_collision is not None and any(days.values()):
+                on_collision(key_collisions(batch, table.keys))
             stamped = batch.withColumn("ingested_at", F.current_timestamp()) if "ingested_at" in table.schema.fieldNames() and "ingested_at" not in batch.columns else batch
-            with_retries(lambda: table.upsert(stamped), attempts, wait_s)
+            with_retries(lambda: table.upsert(stamped, list(days)), attempts, wait_s)
         finally:
             batch.unpersist()
 
