@@ -65,7 +65,7 @@ def job(spark, folder: str, top: str, batches: int = 8) -> dict[str, float]:
     tables.create()
     load_references(tables, t.buildings(), t.baseline())
     began = time.time()
-    run_job(spark, file_log_source(spark, f"{top}/log"), tables, schema, 7, JobOptions(trigger=None, checkpoint_dir=f"{top}/ck", supervise_every_s=0.2))
+    run_job(spark, file_log_source(spark, f"{top}/log"), tables, schema, 7, JobOptions(trigger=None, checkpoint_dir=f"{top}/ck", supervise_every_s=1.0))
     took = time.time() - began
     rows = tables.progress.read().where("num_input_rows > 0").collect()
     events = sum(r["num_input_rows"] for r in rows if r["query_name"] == "events")

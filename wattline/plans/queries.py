@@ -14,6 +14,7 @@ from wattline.plans import kpi
 from wattline.plans.panels import PANELS, View
 from wattline.schemas import EVENT_KEY, PROGRESS_KEY, SENSOR_KEY, avro_schema
 from wattline.sources.fixtures import AS_OF, DOMAIN, Tables
+from wattline.sources.readers import row_counts
 from wattline.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +103,11 @@ def natural_key_check(t: Tables) -> DataFrame:
     return dedup.natural_key_check(t.telemetry(), EVENT_KEY, ["building_id", "timestamp"])
 
 
+@query("""select 'telemetry' as table_name, count(*) as row_count from telemetry union all select 'buildings', count(*) from buildings union all select 'baseline', count(*) from baseline""")
+def table_counts(t: Tables) -> DataFrame:
+    return row_counts({"telemetry": t.telemetry(), "buildings": t.buildings(), "baseline": t.baseline()})
+
+
 @query("select meter_type, count(*) as events, count(distinct building_id) as buildings from telemetry group by 1")
 def meter_type_counts(t: Tables) -> DataFrame:
     return prepare.meter_type_counts(t.telemetry())

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class MissingTable(FileNotFoundError):
@@ -33,14 +35,28 @@ def load_reference(spark: SparkSession, dimension: str, baseline: str) -> tuple[
 
 
 def read_excel(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """A spreadsheet as a table, where pandas has an engine for it."""
+    """A spreadsheet as a table, where pandas has an engine for it; a sheet, of a million rows at the most, passes the driver."""
     import pandas as pd
 
     return spark.createDataFrame(pd.read_excel(path), schema)
 
 
-def read_sql(spark: SparkSession, url: str, query: str, **options) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def read_sql(spark: SparkSession, url: str, query: str, partition: tuple[str, int, int, int] | None = None, **options) -> DataFrame:
+    return spark.read.format("jdbc").options(**sql_options(url, query, partition), **options).load()
+
+
+def sql_options(url: str, query: str, partition: tuple[str, int, int, int] | None = None) -> dict[str, str]:
+    """Options of a read over JDBC; with ``partition`` (column, low, high, parts) it runs in parts."""
+    options = {"url": url, ("dbtable" if partition else "query"): f"({query}) as q" if partition else query}
+    if partition:
+        options |= dict(zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), map(str, partition)))
+    return options
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each table, one row a table: (table_name, row_count)."""
+    counts = [df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 class SchemaCatalog:
