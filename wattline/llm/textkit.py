@@ -93,7 +93,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     """64-bit hash of each byte span; equal spans hash alike wherever they stand.
 
     Spans are read eight bytes at a time, all spans that are long enough
@@ -109,31 +109,36 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         found[some] &= _LOW[left[some]]
         return found
 
-    h = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + read(starts, np.minimum(size, 8)))
+    h = mix(size.astype(U64) * U64(seed) + read(starts, np.minimum(size, 8)))
     more, k = np.flatnonzero((size > 8) & (size <= LONG_SPAN)), 8
     while len(more):
         left = size[more] - k
         h[more] = mix(h[more] * U64(0x9E3779B97F4A7C15) + read(starts[more] + k, left))
         more, k = more[left > 8], k + 8
     for i in np.flatnonzero(size > LONG_SPAN).tolist():
-        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
     return h
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words: runs of ASCII letters and digits and of any non-ASCII bytes, within one text."""
-    if len(data) == 0:
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the longest runs of marked bytes, within one text."""
+    if len(inside) == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = _WORD[data]
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    padded = np.zeros(len(inside) + 2, dtype=bool)
+    padded[1:-1] = inside
+    edges = np.flatnonzero(padded[1:] != padded[:-1])
     cuts = offsets[1:-1]
-    cuts = np.unique(cuts[inside[cuts] & inside[cuts + 1]])
+    cuts = np.unique(cuts[padded[cuts] & padded[cuts + 1]])
     if len(cuts):  # texts that meet within a run
         edges = np.sort(np.concatenate((edges, cuts, cuts)))
     return edges[::2], edges[1::2]
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words: runs of ASCII letters and digits and of any non-ASCII bytes, within one text."""
+    return runs(_WORD[data], offsets)
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     """Hash of every word of the lower-cased texts, where each text's words start, and the number of texts."""
     data, offsets = buffers(pc.utf8_lower(pc.fill_null(column, "")))
