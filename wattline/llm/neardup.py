@@ -17,7 +17,7 @@ from wattline.llm.textkit import as_array, mix, shingle_hashes, slices, word_has
 U64 = np.uint64
 LOWEST = -1
 GROUP_ROWS = 4096
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 _POISSON: dict[int, np.ndarray] = {}
 
 
