@@ -36,7 +36,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that repeat an earlier one; odd rows as in ``remove_repeated_lines``."""
-    return remove_repeated_lines(docs).select(*docs.columns)
+    (own,) = spare(docs.columns, "_removed")  # a column of that name is not the operator's
+    out = remove_repeated_lines(docs.withColumnRenamed("removed", own)).drop("removed").withColumnRenamed(own, "removed")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
