@@ -103,41 +103,48 @@ CHUNK, LEAD, COMMON = 0, 1, 2
 
 
 @lean
-def _deal(batches: Iterator[pa.RecordBatch], buckets: int, bits: int, longest: int, common: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The chunks of each slice, dealt by digest: one row of packed columns for each bucket.
+def _deal(batches: Iterator[pa.RecordBatch], buckets: int, bits: int, longest: int, common: np.ndarray, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The chunks of about ``most`` at a time, dealt by digest: one row of packed columns for each bucket.
 
-    Of a digest in ``common`` (sorted) only the first place in the slice goes to
-    the digest's bucket; its chunks, which are known to be repeated, are dealt by
+    Of a digest in ``common`` (sorted) only the first place of these goes to the
+    digest's bucket; its chunks, which are known to be repeated, are dealt by
     document, so that no bucket gets them all.
     """
+    held, size = [], 0
     for batch in batches:
         docs, texts = np.asarray(batch.column("doc")), as_array(batch.column("text"))
-        parts = [(docs[text + a], start, digest) for a, b in slices(texts) for text, start, _, digest in [_chunks(texts.slice(a, b - a), bits, longest)]]
-        if not parts:
-            continue
-        doc, start, digest = (np.concatenate(x) for x in zip(*parts))
-        if len(doc) == 0:
-            continue
-        kind = np.full(len(doc), CHUNK, np.uint8)
-        bucket = (digest >> U64(40)) % U64(buckets)
-        if len(common):
-            hot = np.flatnonzero(common[np.minimum(np.searchsorted(common, digest), len(common) - 1)] == digest)
-            by = hot[np.lexsort((start[hot], doc[hot], digest[hot]))]
-            lead = by[np.concatenate(([True], digest[by][1:] != digest[by][:-1]))] if len(by) else by
-            kind[hot] = COMMON
-            bucket[hot] = mix(doc[hot].view(U64)) % U64(buckets)
-            kind = np.concatenate((kind, np.full(len(lead), LEAD, np.uint8)))
-            bucket = np.concatenate((bucket, (digest[lead] >> U64(40)) % U64(buckets)))
-            doc, start, digest = (np.concatenate((x, x[lead])) for x in (doc, start, digest))
-        by = np.lexsort((kind, bucket))
-        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1).astype(U64))
-        used = np.flatnonzero(np.diff(cuts))
-        rows = []
-        for i in used:
-            at = by[cuts[i] : cuts[i + 1]]
-            low = doc[at].min()
-            rows.append(np.array([len(at), low], np.int64).tobytes() + digest[at].tobytes() + _planes(doc[at] - low) + _planes(start[at].astype(np.int64)) + kind[at].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "rows"])
+        for a, b in slices(texts):
+            text, start, _, digest = _chunks(texts.slice(a, b - a), bits, longest)
+            held.append((docs[text + a], start, digest))
+            size += len(text)
+            if size > most:
+                yield _dealt(*(np.concatenate(x) for x in zip(*held)), buckets, common)
+                held, size = [], 0
+    if size:
+        yield _dealt(*(np.concatenate(x) for x in zip(*held)), buckets, common)
+
+
+def _dealt(doc: np.ndarray, start: np.ndarray, digest: np.ndarray, buckets: int, common: np.ndarray) -> pa.RecordBatch:
+    kind = np.full(len(doc), CHUNK, np.uint8)
+    bucket = (digest >> U64(40)) % U64(buckets)
+    if len(common):
+        hot = np.flatnonzero(common[np.minimum(np.searchsorted(common, digest), len(common) - 1)] == digest)
+        by = hot[np.lexsort((start[hot], doc[hot], digest[hot]))]
+        lead = by[np.concatenate(([True], digest[by][1:] != digest[by][:-1]))] if len(by) else by
+        kind[hot] = COMMON
+        bucket[hot] = mix(doc[hot].view(U64)) % U64(buckets)
+        kind = np.concatenate((kind, np.full(len(lead), LEAD, np.uint8)))
+        bucket = np.concatenate((bucket, (digest[lead] >> U64(40)) % U64(buckets)))
+        doc, start, digest = (np.concatenate((x, x[lead])) for x in (doc, start, digest))
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[by], np.arange(buckets + 1).astype(U64))
+    used = np.flatnonzero(np.diff(cuts))
+    rows = []
+    for i in used:
+        at = by[cuts[i] : cuts[i + 1]]
+        low = doc[at].min()
+        rows.append(np.array([len(at), low], np.int64).tobytes() + digest[at].tobytes() + _planes(doc[at] - low) + _planes(start[at].astype(np.int64)) + kind[at].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "rows"])
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -253,7 +260,7 @@ def dedup_substrings(docs: DataFrame, bits: int = 4, longest: int = 512, least_b
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop("spans", "repeated_bytes", "chunks")
-    buckets = 2 * task_count(spark)
+    buckets = 4 * task_count(spark)
     key, doc, marked, cut = spare([*docs.columns, "doc", "marks"], "_key", "_doc", "_marks", "_cut")
     rows = with_key(docs, key)
     narrow = rows.select(F.col(key).alias("doc"), "text")
