@@ -49,23 +49,31 @@ def test_every_stage_takes_odd_tables(spark):
             assert table or out.count() == 0
 
 
-@pytest.mark.parametrize("left_out", ["language_id", "line_dedup", "near_dedup", "mixing"])
-def test_the_result_changes_without_a_stage(spark, tmp_path, monkeypatch, left_out):
-    """Mixing shows in the numbers of the sequences, which follow its order; the others in what is packed."""
+def packed(spark, folder):
+    return {(r["doc_id"], r["start"], r["ids_crc32"]): r["sequence_id"] for r in corpus_pipeline.run(spark, folder).collect()}
+
+
+@pytest.fixture(scope="module")
+def whole(spark, tmp_path_factory):
+    """A folder of documents on which every stage has something to do, and the result of all stages."""
     same = " ".join(f"whck{c}" for c in "abcdefghijklmnopqrst")
     rows = [*rows_of(60), (500, "zq", None, "x"), (501, same + "\nthwha first end of two", "en", "x"), (502, same + "\nckwhb other end", "en", "s1")]
     # One text in lines of twelve words, cut at other places: no line is near another, the texts are the same.
     words = [f"v{k}" for k in range(120)]
     lines = lambda at: "\n".join(" ".join(x) for x in ([words[:at]] if at else []) + [words[k : k + 12] for k in range(at, 120, 12)])
     rows += [(600, lines(0), "en", "x"), (601, lines(6), "en", "x")]
-    rows += [(700, " ".join(f"n{k}" for k in range(90)), "en", "x"), (701, " ".join(f"n{k}" for k in range(90)) + " more words at its end that differ but little from it" + " and so" * 6, "en", "s2")]
-    spark.createDataFrame([(i, t, lang, s, len(t)) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
-    run = lambda: {(r["doc_id"], r["start"], r["ids_crc32"]): r["sequence_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    whole = run()
-    if left_out == "mixing":
-        monkeypatch.setattr(corpus_pipeline, "MIXTURE", {"weights": {"hot": 9.0}, "block_bytes": 200})
-        other = run()
-        assert other.keys() == whole.keys() and other != whole
-        return
+    folder = str(tmp_path_factory.mktemp("stages"))
+    spark.createDataFrame([(i, t, lang, s, len(t)) for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(f"{folder}/documents.parquet")
+    return folder, packed(spark, folder)
+
+
+@pytest.mark.parametrize("left_out", ["language_id", "line_dedup", "near_dedup"])
+def test_the_result_changes_without_a_stage(spark, whole, monkeypatch, left_out):
     monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] != left_out])
-    assert run().keys() != whole.keys()
+    assert packed(spark, whole[0]).keys() != whole[1].keys()
+
+
+def test_the_mixture_numbers_the_sequences(spark, whole, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "MIXTURE", {"weights": {"hot": 9.0}, "block_bytes": 200})
+    other = packed(spark, whole[0])
+    assert other.keys() == whole[1].keys() and other != whole[1]
