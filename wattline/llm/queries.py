@@ -56,7 +56,7 @@ def op8_pivot_distance_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the lines removed, by number, and the digest of the text that stays."""
     out = remove_repeated_lines(documents(spark, sf_dir))
-    return out.select("doc_id", F.size("removed").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), F.length("text").alias("kept_chars"), F.crc32(F.col("text").cast("binary")).alias("kept_crc32"))
+    return out.select("doc_id", F.size("removed").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), F.length("text").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,34 @@ QUERIES = {
     "op10_dart_minhash": op10_dart_minhash,
 }
 
+#: The words of a text in SQL: runs of ASCII letters and digits and of any other characters beyond ASCII.
+_WORDS = "regexp_extract_all(lower({}), '(?:[a-z0-9]|[^\\x00-\\x7F])+')"
+
 ORACLES: dict[str, str] = {
+    "op9_line_dedup": f"""
+    with lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as k from documents where text is not null),
+    worded as (select doc_id, k, line, list_sort(list_distinct({_WORDS.format('line')})) as words from lines),
+    sets as (select words, len(words) as n, min(row(doc_id, k)) as first, row_number() over () as id from worded where len(words) > 0 group by words),
+    tokens as (select id, n, first, unnest(words) as word from sets),
+    ranked as (select *, row_number() over (partition by id order by df, word) as pos from (select *, count(*) over (partition by word) as df from tokens)),
+    prefix as (select * from ranked where pos <= n - (4 * n + 4) // 5 + 1),
+    pairs as (select distinct a.id as later, b.id as earlier from prefix a join prefix b on a.word = b.word and a.first > b.first and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+    met as (select x.id, x.n + y.n as total, len(list_intersect(x.words, y.words)) as common from pairs join sets x on x.id = later join sets y on y.id = earlier),
+    near as (select distinct id from met where 5 * common >= 4 * (total - common)),
+    judged as (select w.doc_id, w.k, w.line, s.id is not null and (row(w.doc_id, w.k) <> s.first or s.id in (select id from near)) as gone from worded w left join sets s on s.words = w.words and len(w.words) > 0),
+    texts as (select doc_id, count(*) filter (where gone) as n_removed, coalesce(string_agg(cast(k as varchar), ',' order by k) filter (where gone), '') as removed_lines, coalesce(string_agg(line, chr(10) order by k) filter (where not gone), '') as kept from judged group by doc_id)
+    select d.doc_id, cast(coalesce(n_removed, 0) as integer) as n_removed, coalesce(removed_lines, '') as removed_lines, cast(length(kept) as integer) as kept_chars, md5(kept) as kept_md5 from documents d left join texts t on t.doc_id = d.doc_id""",
+    "op10_dart_minhash": f"""
+    with recursive worded as (select doc_id, {_WORDS.format("coalesce(text, '')")} as words from documents),
+    shingled as (select doc_id, unnest(case when len(words) >= 5 then list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) when len(words) > 0 then [array_to_string(words, ' ')] else [] end) as shingle from worded),
+    numbered as (select doc_id, shingle, row_number() over (partition by doc_id, shingle) as nth from shingled),
+    sizes as (select doc_id, count(*) as n from numbered group by doc_id),
+    common as (select a.doc_id as a, b.doc_id as b, count(*) as m from numbered a join numbered b on a.shingle = b.shingle and a.nth = b.nth and a.doc_id < b.doc_id group by all),
+    links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 5 * m >= 4 * (x.n + y.n - m)),
+    both_ways as (select a as v, b as w from links union all select b, a from links),
+    reach as (select doc_id as v, doc_id as c from documents union select e.w, r.c from reach r join both_ways e on e.v = r.v where r.c < e.w),
+    classes as (select v, min(c) as class_id from reach group by v)
+    select doc_id, class_id, doc_id = class_id as stays, coalesce(n, 0) as n_shingles from classes left join sizes on doc_id = v""",
     "op8_pivot_distance_top_k": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from embeddings where embedding is not null),
         scored as (select q.vec_id as query_id, c.vec_id as vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
