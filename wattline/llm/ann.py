@@ -145,7 +145,7 @@ def search_multi_index(vectors: DataFrame, k: int = 20, every: int = 20, centroi
     def cell(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return nearest(x[:, :half], c1), nearest(x[:, half:], c2).astype(np.float64)
 
-    index = blocks(keyed(kept, cell, dim, kind=kind))
+    index = blocks(keyed(kept, cell, dim, kind=kind), n)
     sizes = np.zeros((len(c1), len(c2)), dtype=np.int64)
     cells = index.mapInArrow(lambda it: _sizes(it), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
     for r in cells.collect():

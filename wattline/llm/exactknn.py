@@ -152,7 +152,7 @@ def exact_top_k(vectors: DataFrame, k: int = 5, every: int = 50, pivots: int = 6
         group = square.argmin(axis=1)
         return group, np.sqrt(np.maximum(square[np.arange(len(x)), group], 0))
 
-    index = blocks(keyed(kept, nearest, dim, to_integers))
+    index = blocks(keyed(kept, nearest, dim, to_integers), n)
     reach, rows = np.array([[np.inf, -np.inf]] * len(points)), {}
     for r in index.groupBy("grp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.sum(F.length("ids")) / 8).alias("n")).collect():
         reach[r["grp"]], rows[r["grp"]] = (r["lo"], r["hi"]), int(r["n"])

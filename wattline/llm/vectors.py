@@ -85,13 +85,14 @@ def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
         yield batch_of([_flush(group, rows)])
 
 
-def blocks(rows: DataFrame, most: int = BLOCK_ROWS) -> DataFrame:
-    """The index: blocks of rows that are neighbours in (group, key, id), kept in the shared folder.
+def blocks(rows: DataFrame, n: int, most: int = BLOCK_ROWS) -> DataFrame:
+    """The index of ``n`` rows: blocks of rows that are neighbours in (group, key, id), kept in the shared folder.
 
     Range partitions end anywhere between two ids, so one group, or one vector
     with very many copies, spreads over as many partitions as its rows need.
     """
-    dealt = rows.repartitionByRange(task_count(rows.sparkSession), "grp", "key", "vec_id").sortWithinPartitions("grp", "key", "vec_id", "v")
+    tasks = min(task_count(rows.sparkSession), max(1, -(-n // most)))
+    dealt = rows.repartitionByRange(tasks, "grp", "key", "vec_id").sortWithinPartitions("grp", "key", "vec_id", "v")
     return checkpointed(dealt.mapInArrow(lambda it: _pack(it, most), BLOCK))
 
 
