@@ -50,7 +50,7 @@ def on_tables(spark, folder: str, top: str) -> dict:
     return found
 
 
-def job(spark, folder: str, top: str, batches: int = 8) -> dict[str, float]:
+def job(spark, folder: str, top: str, batches: int = 24) -> dict[str, float]:
     """Events a second and micro-batch times of the whole job over the events, replayed as a file log in their order."""
     from wattline.operators.metrics import METRICS
     from wattline.plans.queries import _valid_schema
