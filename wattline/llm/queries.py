@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.llm.ann import search_multi_index
+from wattline.llm.centroids import cluster_by_centroids
 from wattline.llm.exactknn import exact_top_k
+from wattline.llm.fingerprints import fingerprint_edits
 from wattline.llm.langid import identify_language
 from wattline.llm.linededup import remove_repeated_lines
 from wattline.llm.mixing import schedule_mix
 from wattline.llm.neardup import near_duplicate_classes
 from wattline.llm.packing import pack_by_powers_of_two
+from wattline.llm.resampling import resample_by_importance
 from wattline.llm.runtime import documents
 from wattline.llm.sharding import shard_by_sampled_splitters
 from wattline.llm.substring import dedup_substrings
@@ -65,6 +68,20 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "class_id", (F.col("doc") == F.col("class_id")).alias("stays"), "n_shingles")
 
 
+def op11_piecewise_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its fingerprint, that of the edited text, and how like they and the next document's are."""
+    return fingerprint_edits(documents(spark, sf_dir))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its weight towards the benchmark's n-grams, its score, and its rank in the draw."""
+    return resample_by_importance(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_partial_distance_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_by_centroids(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_inverted_multi_index": op2_inverted_multi_index,
@@ -76,12 +93,61 @@ QUERIES = {
     "op8_pivot_distance_top_k": op8_pivot_distance_top_k,
     "op9_line_dedup": op9_line_dedup,
     "op10_dart_minhash": op10_dart_minhash,
+    "op11_piecewise_hashing": op11_piecewise_hashing,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_partial_distance_clusters": op13_partial_distance_clusters,
 }
 
 #: The words of a text in SQL: runs of ASCII letters and digits and of any other characters beyond ASCII.
 _WORDS = "regexp_extract_all(lower({}), '(?:[a-z0-9]|[^\\x00-\\x7F])+')"
 
+
+def _crc_step(n: int) -> int:
+    for _ in range(4):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+#: crc32 of ``gram``, four bits at a time.
+_CRC = f"""xor(list_reduce(list_transform(range(cast(length(hex(encode(gram))) as bigint)), lambda i: instr('0123456789ABCDEF', substr(hex(encode(gram)), xor(i, 1) + 1, 1)) - 1),
+        lambda c, x: xor(c >> 4, {[_crc_step(n) for n in range(16)]}[(xor(c, x) & 15) + 1]), 4294967295), 4294967295)"""
+
+
+def _resampling_sql() -> str:
+    grams = lambda table, key: f"""select {key} as id, unnest(flatten([w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])])) as gram
+        from (select {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from {table})"""
+    return f"""
+    with ours as materialized ({grams("documents", "doc_id")}), theirs as materialized ({grams("benchmark", "item_id")}),
+    hashed as materialized (select gram, {_CRC} % 10000 as bucket from (select gram from ours union select gram from theirs)),
+    s as (select bucket, count(*) as n from ours join hashed using (gram) group by bucket), t as (select bucket, count(*) as n from theirs join hashed using (gram) group by bucket),
+    gains as (select x.bucket, cast(floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select sum(n) from s) + 10000)::double / ((coalesce(s.n, 0) + 1)::double * ((select sum(n) from t) + 10000)::double))) as bigint) as gain
+        from (select unnest(range(10000)) as bucket) x left join s on s.bucket = x.bucket left join t on t.bucket = x.bucket),
+    weights as (select id, count(*) as n_features, cast(sum(gain) as bigint) as weight from ours join hashed using (gram) join gains using (bucket) group by id),
+    scored as (select doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('42:' || doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296))) as bigint) as score
+        from documents left join weights on id = doc_id),
+    ranked as (select doc_id, row_number() over (order by score desc, doc_id) as place from scored where n_features >= 57)
+    select doc_id, n_features, weight, score, case when place <= 5 * (select count(*) from ranked) // 100 then place end as "rank" from scored left join ranked using (doc_id)"""
+
+
+def _clusters_sql(rounds: int = 10) -> str:
+    steps = [
+        """v as materialized (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+        """c0 as materialized (select cast(row_number() over (order by sha256('3:' || vec_id)) - 1 as integer) as j, e as c from v order by sha256('3:' || vec_id) limit 8)""",
+    ]
+    near = "select vec_id, e, j, list_sum(list_transform(list_zip(e, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as d from v cross join c{n} qualify row_number() over (partition by vec_id order by d, j) = 1"
+    for n in range(rounds):
+        steps.append(f"a{n} as materialized ({near.format(n=n)})")
+        steps.append(f"""m{n} as (select j, list(floor_mean order by pos) as c from (select j, pos, (sum(x)::bigint - ((sum(x)::bigint % count(*)) + count(*)) % count(*)) // count(*) as floor_mean from (select j, unnest(e) as x, generate_subscripts(e, 1) as pos from a{n}) group by j, pos) group by j)""")
+        steps.append(f"c{n + 1} as materialized (select j, coalesce(m{n}.c::double[], c{n}.c) as c from c{n} left join m{n} using (j))")
+    steps.append(f"last as materialized ({near.format(n=rounds)})")
+    return "with " + ",\n    ".join(steps) + f"""
+    select vec_id, j as cluster, d::bigint as distance, (sum(d) over (partition by j))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(list_transform(c, lambda x: x::bigint::varchar), ',')) as centroid_sha256
+    from last join c{rounds} using (j)"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_importance_resampling": _resampling_sql(),
+    "op13_partial_distance_clusters": _clusters_sql(),
     "op9_line_dedup": f"""
     with lines as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as k from documents where text is not null),
     worded as (select doc_id, k, line, list_sort(list_distinct({_WORDS.format('line')})) as words from lines),
