@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from wattline.llm.runtime import checkpointed, task_count
 
-#: What a word is made of once A-Z are lower case: digits, a-z and all characters beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words once A-Z are lower case: all of ASCII but digits and a-z.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Copies of one row that are numbered by one row of a range partition before they are expanded.
 RUN = 1 << 16
 
@@ -16,7 +16,7 @@ RUN = 1 << 16
 def words(text: Column) -> Column:
     """The words of a whole text; those of null are none."""
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(low, BETWEEN), "")
 
 
 def hashed_features(rows: DataFrame, buckets: int) -> DataFrame:
