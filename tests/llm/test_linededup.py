@@ -90,3 +90,20 @@ def test_a_line_of_a_third_of_all_documents(spark):
     rows = [(i, f"the same line in very many documents\nown words w{i} x{i} y{i}" if i % 3 == 0 else f"own words w{i} x{i} y{i}") for i in range(3000)]
     out = {r["doc_id"]: r["removed"] for r in remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
     assert out == {i: ([0] if i and i % 3 == 0 else []) for i in range(3000)}
+
+
+def test_words_that_share_half_of_their_hash(spark):
+    """The hashes of these two words agree in their upper 32 bits: alone, in longer lines, and in one line."""
+    import numpy as np
+
+    from wattline.llm.textkit import span_hash
+
+    one, other = (int(span_hash(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([8]))[0]) for w in ("fgnnytlq", "dubioyer"))
+    assert one >> 32 == other >> 32 and one != other
+    rows = [(1, "fgnnytlq"), (2, "dubioyer"), (3, "a b c d fgnnytlq"), (4, "a b c d dubioyer"), (5, "a b c d fgnnytlq dubioyer"), (6, "q r s fgnnytlq dubioyer"), (7, "q r s fgnnytlq"), (8, "dubioyer fgnnytlq dubioyer"), (9, "fgnnytlq dubioyer fgnnytlq")]
+    check(spark, rows)
+
+
+def test_marked_lines_of_odd_texts(spark):
+    rows = [(1, "\n\na b c d e f\n\nx"), (2, ""), (3, "\n"), (4, None), (5, "a b c d e f g\n"), (6, "\na b c d e g"), (7, "é a b c d e f\r\nA B C D E F"), (8, "\n\n")]
+    check(spark, rows)

@@ -20,6 +20,8 @@ U64 = np.uint64
 RARITY_BITS = 18
 CHUNKS = 64
 LONG_TEXT = 1 << 20
+#: Words of prefixes that meet in one bucket, some 40 bytes each.
+BUCKET_WORDS = 2_000_000
 FOUND = "xd long, xl int, yd long, yl int, differ int, token long"
 
 
@@ -52,6 +54,20 @@ def _line_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return span_hash(data, starts, ends), np.cumsum(first) - 1, text, number
 
 
+def _distinct(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct word hashes of each line, sorted, and their lines; ``line`` does not fall."""
+    key = (line.astype(U64) << U64(32)) | (words >> U64(32))
+    by = np.argsort(key)
+    key, found = key[by], words[by]
+    same = key[1:] == key[:-1]
+    if (same & (found[1:] != found[:-1])).any():  # words of one line that share their upper halves
+        by = np.lexsort((words, line))
+        found = words[by]
+        same = (line[by][1:] == line[by][:-1]) & (found[1:] == found[:-1])
+    keep = np.concatenate(([True], ~same))
+    return found[keep], line[by[keep]]
+
+
 def _parts(docs: np.ndarray, texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, int]]:
     """Keys, texts and the number of the first line of each slice; a very long text comes in parts, cut between lines."""
     for a, b in slices(texts):
@@ -77,8 +93,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A slice's row holds the places of its ``n`` lines that have words, what
     tells their word sets apart (``HEADS``), and the sorted distinct words of
-    each, by 32 bits of their hashes. The partition's word counts, by hash
-    bucket, come at the end.
+    each, by 32 bits of their hashes: enough to meet by. What tells sets apart
+    rests on all 64 bits. The partition's word counts, by hash bucket, come at the end.
     """
     names, kinds = ["n", "heads", "tokens", "chunk", "counts"], [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
     totals = np.zeros(1 << RARITY_BITS, np.int64)
@@ -88,11 +104,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(text) == 0:
                 continue
             totals += np.bincount((words >> U64(64 - RARITY_BITS)).astype(np.int64), minlength=len(totals))
-            key = np.sort((line.astype(U64) << U64(32)) | (words >> U64(32)))
-            key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-            token, k = key.astype(np.uint32), (key >> U64(32)).astype(np.int64)
+            words, k = _distinct(words, line)
+            token = (words >> U64(32)).astype(np.uint32)
             firsts = np.searchsorted(k, np.arange(len(text)))
-            hashed = mix(token + U64(0xA5A5A5A5A5A5A5A5))
+            hashed = mix(words + U64(0xA5A5A5A5A5A5A5A5))
             half, bit = (hashed >> U64(57)) & U64(1), U64(1) << (hashed >> U64(58))
             bits, bits2 = (np.bitwise_xor.reduceat(np.where(half == U64(x), bit, U64(0)), firsts) for x in (0, 1))
             heads = (docs[text], (number + first_line).astype(np.uint32), np.diff(np.append(firsts, len(k))).astype(np.uint32), np.add.reduceat(hashed, firsts), bits, bits2)
@@ -147,12 +162,12 @@ def _word_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(n)], names=["doc", "lines"])
 
 
-def rarity(scan: DataFrame) -> np.ndarray:
-    """For each word-hash bucket, 0 (rarest) to 255 by the logarithm of its count over all documents."""
+def rarity(scan: DataFrame) -> tuple[np.ndarray, int]:
+    """For each word-hash bucket, 0 (rarest) to 255 by the logarithm of its count over all documents; and the number of all words."""
     counts = np.zeros((CHUNKS, (1 << RARITY_BITS) // CHUNKS), np.int64)
     for chunk, total in sum_blocks(scan.where("chunk is not null")):
         counts[chunk] = total
-    return np.minimum(255, np.round(8 * np.log2(1 + counts.ravel()))).astype(np.uint8)
+    return np.minimum(255, np.round(8 * np.log2(1 + counts.ravel()))).astype(np.uint8), int(counts.sum())
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -338,11 +353,30 @@ def _marked(places: DataFrame) -> np.ndarray:
 
 @lean
 def _fetch(batches: Iterator[pa.RecordBatch], flags: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The word sets, sorted, of the lines whose places are marked."""
-    for h, firsts, tokens in _slices(batches):
-        pick = np.flatnonzero(may_hold(flags, _slot(h["doc"], h["line"])))
-        sets = [tokens[a:b].tobytes() for a, b in zip(firsts[pick], firsts[pick + 1])]
-        yield pa.RecordBatch.from_arrays([pa.array(h["doc"][pick]), pa.array(h["line"][pick].astype(np.int32)), pa.array(sets, pa.binary())], names=["doc", "line", "words"])
+    """The word sets, by 64 bits a word and sorted, of the lines whose places are marked, from the texts themselves."""
+    for batch in batches:
+        for docs, texts, first_line in _parts(np.asarray(batch.column("doc")), as_array(batch.column("text"))):
+            data, offsets = buffers(texts)
+            breaks = np.flatnonzero(data == 10)
+            begin = np.sort(np.concatenate((offsets[:-1], breaks + 1)), kind="stable")
+            # An empty text begins where the next does: its one line is empty.
+            begin = begin[np.concatenate((begin[1:] != begin[:-1], [True]))] if len(begin) else begin
+            begin = begin[begin < len(data)]
+            text = np.searchsorted(offsets, begin, side="right") - 1
+            number = np.searchsorted(breaks, begin) - np.searchsorted(breaks, offsets[text]) + first_line
+            pick = np.flatnonzero(may_hold(flags, _slot(docs[text], number)))
+            if len(pick) == 0:
+                continue
+            end = np.minimum(np.append(begin[1:], len(data))[pick], offsets[text[pick] + 1])
+            raw = data.tobytes()
+            words, line, of, _ = _line_words(pa.array([raw[x:y].removesuffix(b"\n").decode() for x, y in zip(begin[pick].tolist(), end.tolist())], pa.string()))
+            if len(of) == 0:
+                continue
+            words, line = _distinct(words, line)
+            cuts = np.searchsorted(line, np.arange(len(of) + 1))
+            sets = [words[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
+            at = pick[of]
+            yield pa.RecordBatch.from_arrays([pa.array(docs[text[at]]), pa.array(number[at].astype(np.int32)), pa.array(sets, pa.binary())], names=["doc", "line", "words"])
 
 
 @lean
@@ -350,7 +384,7 @@ def _verify(batches: Iterator[pa.RecordBatch], share: Fraction) -> Iterator[pa.R
     for batch in batches:
         ok = []
         for x, y in zip(batch.column("xw").to_pylist(), batch.column("yw").to_pylist()):
-            a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            a, b = np.frombuffer(x, U64), np.frombuffer(y, U64)
             small, large = (a, b) if len(a) <= len(b) else (b, a)
             at = np.minimum(np.searchsorted(large, small), len(large) - 1)
             common = int((large[at] == small).sum())
@@ -358,26 +392,27 @@ def _verify(batches: Iterator[pa.RecordBatch], share: Fraction) -> Iterator[pa.R
         yield batch.select(["xd", "xl"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, kept: DataFrame, share: Fraction) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, share: Fraction) -> DataFrame:
     """(xd, xl) of the pairs whose word sets, as a whole, are similar enough."""
     x, y = (F.struct(F.col(f"{k}d").alias("doc"), F.col(f"{k}l").alias("line")) for k in "xy")
-    flags = kept.sparkSession.sparkContext.broadcast(_marked(pairs.select(F.explode(F.array(x, y)).alias("p")).select("p.*")))
+    flags = pairs.sparkSession.sparkContext.broadcast(_marked(pairs.select(F.explode(F.array(x, y)).alias("p")).select("p.*")))
     # Written down: joins of plain tables can be split where one line is in many pairs.
-    sets = checkpointed(kept.mapInArrow(lambda it: _fetch(it, flags.value), "doc long, line int, words binary").dropDuplicates(["doc", "line"]))
+    sets = checkpointed(texts.mapInArrow(lambda it: _fetch(it, flags.value), "doc long, line int, words binary").dropDuplicates(["doc", "line"]))
     both = pairs.join(sets.withColumnsRenamed({"doc": "xd", "line": "xl", "words": "xw"}), ["xd", "xl"]).join(sets.withColumnsRenamed({"doc": "yd", "line": "yl", "words": "yw"}), ["yd", "yl"])
     return checkpointed(both.select("xd", "xl", "xw", "yw").mapInArrow(lambda it: _verify(it, share), "xd long, xl int").distinct())
 
 
-def _similar(kept: DataFrame, order: np.ndarray, share: Fraction) -> DataFrame:
-    """(xd, xl): the lines that have an earlier line of similarity ``share`` or more but another word set."""
+def _similar(kept: DataFrame, texts: DataFrame, order: np.ndarray, words: int, share: Fraction) -> DataFrame:
+    """(xd, xl): the lines that have an earlier line of similarity ``share`` or more but another word set; ``words`` is the number of all words."""
     spark = kept.sparkSession
     held = spark.sparkContext.broadcast(order)
-    buckets = 4 * task_count(spark)
+    # A prefix has a good 1 - share of a line's words; a bucket is to hold so many of them, whatever the input.
+    buckets = int(max(4 * task_count(spark), words * (1 - share) // BUCKET_WORDS + 1))
     posted = kept.mapInArrow(lambda it: _postings(it, held.value, buckets, share, None), "bucket int, rows binary")
     met = checkpointed(posted.groupBy("bucket").applyInArrow(lambda t: _candidates(t, share, None), FOUND))
     each = met.where("yd is not null").groupBy("xd", "xl").agg(F.min(F.struct("differ", "yd", "yl")).alias("best"), F.count_distinct(F.struct("yd", "yl")).alias("n"))
     best = checkpointed(each.select("xd", "xl", "best.yd", "best.yl", (F.col("n") > 1).alias("several")))
-    gone = _verified(best.drop("several"), kept, share)
+    gone = _verified(best.drop("several"), texts, share)
     # Lines with other candidates than the one that failed: all of these, found again at the lines' own tokens.
     more = met.where("yd is null").select("xd", "xl").union(best.where("several").select("xd", "xl")).distinct()
     unsure = checkpointed(more.join(gone, ["xd", "xl"], "left_anti"))
@@ -391,7 +426,7 @@ def _similar(kept: DataFrame, order: np.ndarray, share: Fraction) -> DataFrame:
     found = posted.groupBy("bucket").applyInArrow(lambda t: _candidates(t, share, flags.value[0]), FOUND).select("xd", "xl", "yd", "yl").distinct()
     pairs = checkpointed(found.join(unsure, ["xd", "xl"], "left_semi").join(best.select("xd", "xl", "yd", "yl"), ["xd", "xl", "yd", "yl"], "left_anti"))
     del posted, found
-    return checkpointed(gone.unionByName(_verified(pairs, kept, share)).distinct())
+    return checkpointed(gone.unionByName(_verified(pairs, texts, share)).distinct())
 
 
 def kept_lines(docs: DataFrame, key: str, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -402,7 +437,8 @@ def kept_lines(docs: DataFrame, key: str, threshold: Fraction = Fraction(4, 5))
     ship(docs.sparkSession)
     scan = checkpointed(docs.select(F.col(key).alias("doc"), "text").mapInArrow(_scan, "n int, heads binary, tokens binary, chunk int, counts binary"))
     kept = scan.where("n is not null").select("n", "heads", "tokens")
-    near = _similar(kept, rarity(scan), threshold)
+    order, words = rarity(scan)
+    near = _similar(kept, docs.select(F.col(key).alias("doc"), "text"), order, words, threshold)
     # The first line of each word set stays unless it is near an earlier one; all others of that set go.
     sets = kept.mapInArrow(_digests, "a long, b long, doc long, line int")
     firsts = sets.groupBy("a", "b").agg(F.min_by("line", "doc").alias("line"), F.min("doc").alias("doc"))
@@ -463,13 +499,15 @@ def remove_repeated_lines(docs: DataFrame, threshold: Fraction = Fraction(4, 5))
     one, is brought up to date.
 
     The texts are read once for their lines' word sets, which are kept packed in
-    the shared folder, and once to take lines out. Word rarity comes from counts
+    the shared folder, again for the lines in candidate pairs, and once to take
+    lines out. Word rarity comes from counts
     of all words in ``2**18`` hash buckets, which is what is broadcast. Lines of
     different word sets meet at the tokens of their prefixes, one group a bucket
     of tokens; survivors of the length, positional and bitmap filters are
-    verified on whole word sets: the likeliest candidate of each line first, then
-    all others of the lines that it did not match. Words count as equal if 32
-    bits of their hashes are.
+    verified on whole word sets, taken from the texts again: the likeliest
+    candidate of each line first, then all others of the lines that it did not
+    match. Lines meet by 32 bits of their words' hashes; they are told apart, and
+    verified, by all 64.
 
     Lines without words always stay; a null text stays null and an empty one
     empty; a document may end up empty, its row stays; a very long text is
