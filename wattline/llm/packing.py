@@ -265,7 +265,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer: str, longest: int = 4096, end_id
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c.alias(k) for k, c in (carry or {}).items())).mapInArrow(run, StructType([StructField(x, LongType()) for x in names]))
 
 
-def pack_by_powers_of_two(docs: DataFrame, tokenizer: str | None = None, longest: int = 4096, end_id: int = DEFAULT_END, mixture: dict | None = None) -> DataFrame:
+def pack_by_powers_of_two(docs: DataFrame, tokenizer: str | None = None, longest: int = 4096, end_id: int = DEFAULT_END, mixture: dict | None = None, position: str | None = None, positions: int = 0) -> DataFrame:
     """Pack whole documents into sequences of at most ``longest`` tokens without crossing documents or padding.
 
     A document of n ids (its text's ids and the end id) is cut into pieces whose
@@ -273,9 +273,8 @@ def pack_by_powers_of_two(docs: DataFrame, tokenizer: str | None = None, longest
     a power of two); each piece is a sequence of its own, in the bucket of its
     length, so batches are drawn from one bucket and nothing is padded.
     Sequences are numbered from 0 without gaps, bucket by bucket from the
-    longest. Within a bucket they stand in the order of a hash, or, where
-    ``mixture`` gives the settings of ``schedule_mix`` ({} for its defaults), in
-    that of their documents' places in the mixture. Columns: doc_id, start,
+    longest. Within a bucket they stand in the order of a hash, or of ``position``,
+    a column of whole numbers from 0 to below ``positions``. Columns: doc_id, start,
     length, ids_crc32, doc_tokens, sequence_id, offset (always 0).
 
     Null and empty texts hold the end id alone; repeated rows and null ids are
@@ -285,7 +284,10 @@ def pack_by_powers_of_two(docs: DataFrame, tokenizer: str | None = None, longest
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     bucket, order = (-F.col("length")).cast("int"), ["doc_id", "start", "ids_crc32"]
-    if mixture is None:
+    if position is not None:
+        pieces = checkpointed(cut_into_pieces(docs, tokenizer or default_tokenizer(), longest, end_id, carry={"position": F.col(f"`{position}`")}))
+        numbered = gapless(pieces, "sequence_id", bucket, order, rank="position", ranks=positions).drop("position")
+    elif mixture is None:
         pieces = checkpointed(cut_into_pieces(docs, tokenizer or default_tokenizer(), longest, end_id))
         numbered = gapless(pieces, "sequence_id", bucket, order)
     else:

@@ -7,6 +7,7 @@ import functools
 import gc
 import os
 import tempfile
+import uuid
 import weakref
 import zipfile
 import zlib
@@ -85,6 +86,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="wattline-ckpt-")
+
+
+def rewritten(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as written to Parquet files in the shared folder and read again: their order is that of the partitions."""
+    spark = session_of(df)
+    path = f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    release(spark)
+    return spark.read.parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
@@ -97,10 +114,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     release(spark)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wattline-ckpt-"))
+        context.setCheckpointDir(_shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

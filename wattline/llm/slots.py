@@ -1,11 +1,14 @@
-"""Gapless numbering of all rows, or of each group's rows, without gathering any group in one task."""
+"""Numbering of all rows, or of each group's rows, without gathering any group in one task."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.runtime import session_of, task_count
+from wattline.llm.runtime import checkpointed, session_of, spare, task_count
+
+_ROW = (1 << 33) - 1
 
 
 def gapless(df: DataFrame, name: str, bucket: Column, order: list[str], restart: bool = False, weight: str | None = None, ahead: str | None = None, rank: str | None = None, ranks: int = 0) -> DataFrame:
@@ -38,3 +41,28 @@ def gapless(df: DataFrame, name: str, bucket: Column, order: list[str], restart:
     if ahead:
         out = out.withColumn(ahead, (F.col("_ahead") + F.col("_sum")).cast("long"))
     return out.drop("_bucket", "_hash", "_slice", "_row", "_first", "_ahead", "_sum")
+
+
+def ranked_by(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """Add ``name``: the row's number from 0 in the order of columns: its place in a range partition after the rows of the partitions before."""
+    dealt = df.repartitionByRange(task_count(session_of(df)), *order).sortWithinPartitions(*order)
+    placed = checkpointed(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW))}))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_part", "_at", "_before")
+
+
+def with_layout(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` with ``name``, numbers that rise in the order in which its rows lie, and a bound above all of them.
+
+    Of a table read from files that is the order of the files' names, as Spark
+    numbers them in writing, and of the rows in each; otherwise that of the partitions.
+    """
+    try:
+        known = df.withColumns({name: F.col("_metadata.row_index"), (at := spare([*df.columns, name], "_file")[0]): F.col("_metadata.file_name")})
+    except AnalysisException:
+        return df.withColumn(name, F.monotonically_increasing_id()), max(1, df.rdd.getNumPartitions()) << 33
+    (other, number) = spare([*known.columns], "_other", "_number")
+    files = known.select(F.col(at).alias(other)).distinct().withColumn(number, F.row_number().over(Window.orderBy(other)) - 1)  # one row a file
+    placed = known.join(F.broadcast(files), F.col(at) == F.col(other)).withColumn(name, F.col(number).cast("long") * F.lit(1 << 33) + F.col(name))
+    return placed.drop(at, other, number), max(1, files.count()) << 33
