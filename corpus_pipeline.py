@@ -12,9 +12,10 @@ from wattline.llm.linededup import remove_repeated_lines
 from wattline.llm.mixing import mixed
 from wattline.llm.neardup import keep_one_of_each
 from wattline.llm.packing import pack_by_powers_of_two
-from wattline.llm.runtime import checkpointed, documents, spare
+from wattline.llm.runtime import documents, rewritten, spare
+from wattline.llm.slots import with_layout
 
-#: Settings of ``schedule_mix``, such as the sources' target weights, for the mixing and the packing stage.
+#: Settings of ``schedule_mix``, such as the sources' target weights.
 MIXTURE: dict = {}
 
 #: A document stays in the language stage if its language is likelier than all others together.
@@ -52,12 +53,14 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, one sequence each, in buckets of equal length, in the mixed order within a bucket.
+    """The pieces of all documents, one sequence each, in buckets of equal length, within a bucket in the order in which the documents lie.
 
-    The order is worked out again from the rows: none of their columns holds it, and the layout is lost in writing.
-    Odd rows are packed as ``pack_by_powers_of_two`` says.
+    That is the order of the files that the stage before has written, the
+    mixture. Odd rows are packed as ``pack_by_powers_of_two`` says.
     """
-    return pack_by_powers_of_two(docs, mixture=MIXTURE)
+    (place,) = spare(docs.columns, "_place")
+    placed, places = with_layout(docs, place)
+    return pack_by_powers_of_two(placed, position=place, positions=places)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -73,8 +76,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of ``documents``; what each returns is kept in the shared folder for the next."""
+    """All stages over the whole of ``documents``; what each returns is written to the shared folder and read again for the next."""
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+    for name, stage in STAGES[:-1]:
+        docs = rewritten(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
