@@ -314,8 +314,7 @@ def places(docs: DataFrame, **settings) -> DataFrame:
 def mixed(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` laid out in the mixed order: range partitions of the position, sorted within. Columns stay as they are.
 
-    The layout alone does not outlive a write; ``places`` gives the same order
-    again from the same rows. ``schedule_mix`` says what becomes of null sources,
+    Written to files, they keep it: their names and rows are in this order. ``schedule_mix`` says what becomes of null sources,
     null, empty and very long texts and repeated rows; an empty table gives no
     rows; columns may have any names.
     """

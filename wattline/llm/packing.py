@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from wattline.llm.mixing import place_keys, places
 from wattline.llm.runtime import checkpointed, lean, session_of, ship
 from wattline.llm.slots import gapless
 from wattline.llm.textkit import as_array, buffers, runs, slices, span_hash
@@ -265,7 +264,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer: str, longest: int = 4096, end_id
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c.alias(k) for k, c in (carry or {}).items())).mapInArrow(run, StructType([StructField(x, LongType()) for x in names]))
 
 
-def pack_by_powers_of_two(docs: DataFrame, tokenizer: str | None = None, longest: int = 4096, end_id: int = DEFAULT_END, mixture: dict | None = None, position: str | None = None, positions: int = 0) -> DataFrame:
+def pack_by_powers_of_two(docs: DataFrame, tokenizer: str | None = None, longest: int = 4096, end_id: int = DEFAULT_END, position: str | None = None, positions: int = 0) -> DataFrame:
     """Pack whole documents into sequences of at most ``longest`` tokens without crossing documents or padding.
 
     A document of n ids (its text's ids and the end id) is cut into pieces whose
@@ -287,13 +286,7 @@ def pack_by_powers_of_two(docs: DataFrame, tokenizer: str | None = None, longest
     if position is not None:
         pieces = checkpointed(cut_into_pieces(docs, tokenizer or default_tokenizer(), longest, end_id, carry={"position": F.col(f"`{position}`")}))
         numbered = gapless(pieces, "sequence_id", bucket, order, rank="position", ranks=positions).drop("position")
-    elif mixture is None:
+    else:
         pieces = checkpointed(cut_into_pieces(docs, tokenizer or default_tokenizer(), longest, end_id))
         numbered = gapless(pieces, "sequence_id", bucket, order)
-    else:
-        pieces = cut_into_pieces(docs, tokenizer or default_tokenizer(), longest, end_id, carry=dict(zip(("own_key", "own_tie"), place_keys(docs).values())))
-        found = places(docs, **mixture)
-        placed = checkpointed(pieces.join(found, (F.col("own_key") == F.col("place_key")) & (F.col("own_tie") == F.col("place_tie"))).drop("own_key", "own_tie", "place_key", "place_tie"))
-        ranks = (placed.agg(F.max("position")).first()[0] or 0) + 1
-        numbered = gapless(placed, "sequence_id", bucket, order, rank="position", ranks=ranks).drop("position")
     return numbered.withColumn("offset", F.lit(0).cast("long"))
