@@ -51,29 +51,50 @@ def on_tables(spark, folder: str, top: str) -> dict:
 
 
 def job(spark, folder: str, top: str, batches: int = 24) -> dict[str, float]:
-    """Events a second and micro-batch times of the whole job over the events, replayed as a file log in their order."""
-    from wattline.operators.metrics import METRICS
+    """Events a second and micro-batch times of the whole job over the events, replayed from a log of so many commits in the order of time.
+
+    The tables are held against what follows from the events: all of them, and
+    every closed window with all of its events, or the run does not count.
+    """
+    from pyspark.sql import functions as F
+
+    from wattline.operators.metrics import closed_windows
     from wattline.plans.queries import _valid_schema
     from wattline.sources.fixtures import Tables as Fixtures
+    from wattline.sources.log import LogFolder, append_log
     from wattline.streaming.ingest import log_rows
-    from wattline.streaming.job import Tables, load_references, run_job
-    from wattline.streaming.runtime import JobOptions, file_log_source
+    from wattline.streaming.job import Tables, expected_metrics, load_references, run_job
+    from wattline.streaming.runtime import JobOptions, log_source
 
     t, schema = Fixtures(spark, folder), _valid_schema()
-    log_rows(t.telemetry().repartitionByRange(batches, "timestamp"), schema, 7, 3, 0).repartitionByRange(batches, "offset").sortWithinPartitions("offset").write.parquet(f"{top}/log")
+    events = t.telemetry().persist()
+    total = events.count()
+    at = F.unix_micros("timestamp").cast("double")
+    borders = [None, *events.withColumn("at", at).approxQuantile("at", [k / batches for k in range(1, batches)], 0.0), None]
+    for low, high in zip(borders, borders[1:]):
+        part = events.where((F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high))
+        append_log(log_rows(part, schema, 7, 3), f"{top}/log", 3)
+    assert LogFolder(f"{top}/log").last().records == total
     tables = Tables.at(spark, f"{top}/tables")
     tables.create()
     load_references(tables, t.buildings(), t.baseline())
+    options = JobOptions(trigger=None, checkpoint_dir=f"{top}/ck", supervise_every_s=0.2, max_per_trigger=total // batches)
     began = time.time()
-    run_job(spark, file_log_source(spark, f"{top}/log"), tables, schema, 7, JobOptions(trigger=None, checkpoint_dir=f"{top}/ck", supervise_every_s=1.0))
+    run_job(spark, log_source(spark, f"{top}/log", options), tables, schema, 7, options)
     took = time.time() - began
     rows = tables.progress.read().where("num_input_rows > 0").collect()
-    events = sum(r["num_input_rows"] for r in rows if r["query_name"] == "events")
-    assert events == tables.events.read().count() and tables.metrics.read().schema.names[: len(METRICS)] == METRICS.names
-    out = {"events_per_s": round(events / took, 1), "events": events, "seconds": round(took, 2)}
+    assert sum(r["num_input_rows"] for r in rows if r["query_name"] == "events") == total
+    shown = ["window_start", "window_end", "site_id", "primary_use", "meter_type", "event_count", "sum_reading"]
+    last = events.join(t.buildings(), "building_id", "left_semi").agg(F.max("timestamp")).first()[0]  # others do not move the watermark
+    want = closed_windows(expected_metrics(tables), F.lit(last)).select(shown)
+    found = tables.metrics.read().select(shown).persist()
+    assert tables.events.read().count() == events.select("building_id", "meter_type", "timestamp").distinct().count()
+    missing, extra = want.exceptAll(found).count(), found.exceptAll(want).count()
+    assert (missing, extra) == (0, 0), f"{missing} windows are missing, {extra} are too many"
+    out = {"events_per_s": round(total / took, 1), "events": total, "seconds": round(took, 2), "closed_windows": found.count(), "windows_missing": missing}
     for name in ("events", "metrics"):
         times = sorted(r["duration_ms"] for r in rows if r["query_name"] == name)
-        out |= {f"{name}_batch_p50_ms": times[len(times) // 2], f"{name}_batch_p95_ms": times[min(len(times) - 1, int(len(times) * 0.95))]}
+        out |= {f"{name}_batches": len(times), f"{name}_batch_p50_ms": times[len(times) // 2], f"{name}_batch_p95_ms": times[min(len(times) - 1, int(len(times) * 0.95))]}
     return out
 
 

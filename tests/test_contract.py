@@ -1,6 +1,7 @@
 """Contract validation, wire format, governance."""
 
 import json
+import random
 import struct
 from datetime import datetime, timezone
 
@@ -32,7 +33,7 @@ CASES = [
     (case(meter_type="gas"), "domain"), (case(meter_type=3), "domain"), (case(timestamp="yesterday"), "ISO-8601"), (case(timestamp="2025-01-01T00:05:01"), "future"),
     (case(building_id=156), "building_id"), (case(building_id=156.9), "building_id"), (case(building_id=True), "building_id"), (case(building_id=2**40), "building_id"),
     (case(meter_reading=-1), "negative"), (case(meter_reading=float("nan")), "not finite"), (case(meter_reading=float("inf")), "not finite"), (case(meter_reading=float("-inf")), "not finite"),
-    (case(meter_reading="7"), "meter_reading"), (case(meter_reading=True), "meter_reading"), (case(meter_reading=None), "meter_reading"), (case(sim_publish_ts="x"), "sim_publish_ts"), (case(timestamp=True), "timestamp"),
+    (case(meter_reading="7"), "meter_reading"), (case(meter_reading=True), "meter_reading"), (case(meter_reading=None), "meter_reading"), (case(sim_publish_ts="x"), "sim_publish_ts"), (case(sim_publish_ts=10**18 - 1), "out of range"), (case(timestamp=10**18 - 1), "timestamp"), (case(timestamp=True), "timestamp"),
 ]
 
 
@@ -151,3 +152,74 @@ def test_evolution(tmp_path):
 @given(st.lists(st.sampled_from("abcdef"), unique=True, min_size=1), st.lists(st.sampled_from("abcdef"), unique=True, min_size=1))
 def test_only_appending_keeps_an_enum(old, new):
     assert (enum_order_changes(with_symbols(old), with_symbols(new)) == []) == (new[: len(old)] == old)
+
+
+def test_the_common_shape_reads_like_any_json(spark, monkeypatch):
+    """Rows that take the short way get the reasons and fields that the long way gives."""
+    from wattline.operators import contract
+
+    rng = random.Random(1)
+    readings = ["1.5", "0", "0.5", "0.0", "-3", "1e3", "1E-7", "12345678901234", "0.1", "99999999999999.25", "01", "1.", ".5", "1e400", "-1e400", "NaN", '"7"', "true", "null", "123456789012345678901234567890"]
+    stamps = ['"2016-01-01T00:00:00"', '"2016-01-01T00:00:00.123+01:00"', '"2016-01-01"', '"yesterday"', '""', '"2099-01-01T00:00:00"', "1700000000000", '"2016-13-01T00:00:00"', '"2016-01-01T25:00:00"']
+    names = ['"156"', '""', '"a b"', '"é日"', '"a\\\\"b"', '"tab\\\\t"', "7", "null"]
+    types = ['"steam"', '"gas"', '"unknown"', '""', "3"]
+    published = ["1700000000000", "0", "-5", "999999999999999999", "9999999999999999999", "1.5", '"x"']
+    gaps = lambda: (rng.choice(["", " ", " ", "  "]), rng.choice(["", " ", " ", "\t"]))
+    rows = []
+    for i in range(3000):
+        a, b = gaps()
+        fields = [("building_id", rng.choice(names)), ("meter_type", rng.choice(types)), ("timestamp", rng.choice(stamps)), ("meter_reading", rng.choice(readings[:10] if rng.random() < 0.5 else readings)), ("sim_publish_ts", rng.choice(published))]
+        if rng.random() < 0.1:
+            rng.shuffle(fields)
+        if rng.random() < 0.05:
+            fields.append(rng.choice(fields))
+        body = ("," + a).join(f'"{k}":{b}{v}' for k, v in fields)
+        rows.append((i, "{" + body + "}" + rng.choice(["", "", "", "", " ", "\n", "x"])))
+    df = spark.createDataFrame(rows, "event_id int, payload string")
+    flat = df.where(F.col("payload").rlike(contract.FLAT)).count()
+    assert 100 < flat < 2900
+    both = []
+    for pattern in (contract.FLAT, "(?!)"):
+        monkeypatch.setattr(contract, "FLAT", pattern)
+        both.append({r["event_id"]: tuple(map(str, r)) for r in contract.validated(df, now=F.lit(NOW)).collect()})
+    assert both[0] == both[1]
+
+
+def test_schemas_are_resolved():
+    old, new = avro_schema(1), avro_schema(2)
+    new["fields"][1]["type"] = {"type": "enum", "name": "MeterType", "symbols": [*METER_TYPES, "water"], "default": "unknown"}
+    record = {"building_id": "1", "meter_type": "steam", "timestamp": datetime(2024, 1, 1, tzinfo=timezone.utc), "meter_reading": 2.5, "sim_publish_ts": datetime(2024, 1, 1, tzinfo=timezone.utc)}
+    read = lambda writer, reader, data: {k: v[0].as_py() for k, v in avro.resolve(writer, reader, avro.decode(writer, pa.array([data], pa.binary())), 1).items()}
+    assert read(old, new, avro.encode_record(old, record)) == record | {"reading_quality": None}
+    later = record | {"meter_type": "water", "reading_quality": "good"}
+    assert read(new, old, avro.encode_record(new, later)) == record | {"meter_type": "unknown"}  # what its reader doesn't know takes its default
+    strict = json.loads(json.dumps(old))
+    del strict["fields"][1]["type"]["default"]
+    with pytest.raises(ValueError, match="'water' is not a symbol"):
+        read(new, strict, avro.encode_record(new, later))
+    one = lambda kind, **more: {"type": "record", "name": "R", "fields": [{"name": "x", "type": kind, **more}]}
+    assert read(one("long"), one("double"), avro.encode_record(one("long"), {"x": 3})) == {"x": 3.0}
+    assert read(one("long"), one(["null", "long"]), avro.encode_record(one("long"), {"x": 3})) == {"x": 3}
+    assert read(one(["null", "long"]), one("double"), avro.encode_record(one(["null", "long"]), {"x": 3})) == {"x": 3.0}
+    with pytest.raises(ValueError, match="is null"):
+        read(one(["null", "long"]), one("long"), avro.encode_record(one(["null", "long"]), {"x": None}))
+    with pytest.raises(ValueError, match="cannot be read as"):
+        read(one("string"), one("long"), avro.encode_record(one("string"), {"x": "3"}))
+    with pytest.raises(ValueError, match="has no default"):
+        avro.resolve(one("long"), {"type": "record", "name": "R", "fields": [{"name": "y", "type": "long"}]}, {"x": pa.array([1])}, 1)
+
+
+def test_a_log_of_two_schemas(spark):
+    old, new = avro_schema(1), avro_schema(2)
+    rows = [(str(n), "steam", datetime(2024, 1, 1), float(n), datetime(2024, 1, 1)) for n in range(30)]
+    events = spark.createDataFrame(rows, "building_id string, meter_type string, timestamp timestamp, meter_reading double, sim_publish_ts timestamp")
+    first = wire.encode_events(events.where("meter_reading < 20"), old, 1).select("value")
+    second = wire.encode_events(events.where("meter_reading >= 20").withColumn("reading_quality", F.lit("good")), new, 2).select("value")
+    log = first.unionByName(second).repartition(3, "value")
+    read = wire.decode_events(log, new, 2, {1: old, 2: new}).collect()
+    assert sorted((r["building_id"], r["meter_reading"], r["reading_quality"]) for r in read) == sorted((str(n), float(n), "good" if n >= 20 else None) for n in range(30))
+    assert wire.decode_events(log, old, 1, {1: old, 2: new}).agg(F.sum("meter_reading")).first()[0] == sum(range(30))
+    with pytest.raises(Exception, match="schema 2, which is not registered"):
+        wire.decode_events(log, old, 1, {1: old}).collect()
+    with pytest.raises(Exception, match="written with schema"):
+        wire.decode_events(log, new, 2).collect()

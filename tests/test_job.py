@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 
 from wattline.__main__ import main, parser
 from wattline.functions import wire
+from wattline.operators.contract import log_depth
+from wattline.operators.metrics import closed_windows
 from wattline.operators.prepare import prepare, write_prepared
 from wattline.plans.kpi import TARGETS, measured, panel_times, progress_of, report
 from wattline.plans.panels import PANELS, View
 from wattline.schemas import METER_CODES, PROGRESS, avro_schema
+from wattline.sources.log import LogFolder, append_log, read_log, records_behind
 from wattline.streaming.drills import ladder, poison, same_tables
 from wattline.streaming.ingest import DropCounter, IngestTotals, ingest_writer
 from wattline.streaming.job import Tables, expected_metrics, load_references, run_ingest, run_job
 from wattline.streaming.replay import replay
 from wattline.streaming.reset import reset_state
-from wattline.streaming.runtime import JobOptions, ProgressRecorder, file_log_source, kafka_options, kafka_source, progress_frame, query_starters, supervise
+from wattline.streaming.runtime import JobOptions, ProgressRecorder, kafka_options, kafka_source, log_source, progress_frame, query_starters, supervise
 from wattline.streaming.sinks import KeyedTable, create_sql, ensure_table, kafka_write_options, log_writer
 
 T0 = datetime(2024, 1, 1)
@@ -55,13 +58,13 @@ def test_from_payloads_to_the_report(spark, prepared, payloads, tmp_path, caplog
     totals = run_ingest(spark, payloads, log, dead, f"{ck}/ingest", avro_schema(), 1)
     assert (totals.received, totals.published, totals.rejected, totals.lost) == (363, 360, 3, 0)
     assert sum(totals.reasons.values()) == 3 and totals.reasons["not a JSON object"] == 2
-    letters = [json.loads(r["value"]) for r in spark.read.parquet(dead).collect()]
+    letters = [json.loads(r["value"]) for r in read_log(spark, dead).collect()]
     assert sorted(x["original_payload"] for x in letters) == ["", "no json", '{"building_id": 5}']
-    frame = spark.read.parquet(log)
-    assert frame.select("partition", "offset").distinct().count() == 360 and frame.groupBy("key").agg(F.count_distinct("partition").alias("n")).where("n > 1").isEmpty()
+    frame = read_log(spark, log)
+    assert log_depth(frame).first()["depth"] == frame.select("partition", "offset").distinct().count() == 360 and frame.groupBy("key").agg(F.count_distinct("partition").alias("n")).where("n > 1").isEmpty()
     # The same payloads once more from the start: the same log, nothing twice.
     run_ingest(spark, payloads, log, dead, f"{ck}/again", avro_schema(), 1)
-    assert spark.read.parquet(log).count() == 360
+    assert read_log(spark, log).count() == LogFolder(log).last().records == 360
 
     tables = Tables.at(spark, str(tmp_path / "tables"))
     tables.create()
@@ -69,13 +72,16 @@ def test_from_payloads_to_the_report(spark, prepared, payloads, tmp_path, caplog
     for _ in range(2):
         load_references(tables, buildings, baseline)
     assert tables.buildings.read().count() == buildings.count() and not tables.events.create()
-    options = JobOptions(trigger=None, checkpoint_dir=f"{ck}/job", run_id="r1")
-    assert run_job(spark, file_log_source(spark, log), tables, avro_schema(), 1, options) == 0
+    options = JobOptions(trigger=None, checkpoint_dir=f"{ck}/job", run_id="r1", max_per_trigger=100, supervise_every_s=0.2)
+    assert run_job(spark, log_source(spark, log, options), tables, avro_schema(), 1, options, lag=lambda at: records_behind(log, at)) == 0
     assert tables.events.read().count() == 360
     progress = tables.progress.read()
     assert {r["query_name"] for r in progress.collect()} == {"metrics", "events"} and progress.agg(F.sum("num_input_rows")).first()[0] == 720
+    behind = [r["offsets_behind"] for r in progress.orderBy("query_name", "batch_id").collect()]
+    assert max(behind) > 0 and behind[-1] == 0
+    # All windows that are closed, with all of their events.
     closed = tables.metrics.read().drop("ingested_at", "distinct_buildings")
-    want = expected_metrics(tables).join(closed.select("window_start").distinct(), "window_start", "left_semi").select(closed.columns)
+    want = closed_windows(expected_metrics(tables), F.lit(T0 + timedelta(hours=29))).select(closed.columns)
     assert closed.count() > 20 and rows_of(closed) == rows_of(want)
     values = measured(tables.events.read(), tables.metrics.read(), progress, valid=360, rejected=3, published=360)
     assert values["loss_pct"] == 0 and values["latency_p95_s"] > 0 and 99 < values["valid_pct"] < 100 and values["batch_p95_ms"] > 0
@@ -106,8 +112,8 @@ def test_a_killed_query_restarts_and_loses_nothing(spark, prepared, payloads, tm
                         raise RuntimeError("killed after the commit")
 
                 table._commit = fails
-        options = JobOptions(trigger=None, checkpoint_dir=str(tmp_path / f"ck_{run}"), max_restarts=4, supervise_every_s=0.1)
-        assert run_job(spark, file_log_source(spark, log), tables, avro_schema(), 1, options) == 0
+        options = JobOptions(trigger=None, checkpoint_dir=str(tmp_path / f"ck_{run}"), max_restarts=4, supervise_every_s=0.1, max_per_trigger=100)
+        assert run_job(spark, log_source(spark, log, options), tables, avro_schema(), 1, options) == 0
         done.append(tables)
     assert same_tables(*done) == {"events": 0, "metrics": 0} and done[1].events.read().count() == 360
     assert all(main(["compare", str(tmp_path / a), str(tmp_path / b)]) == 0 for a, b in (("whole", "broken"), ("broken", "whole")))
@@ -118,8 +124,8 @@ def test_a_stopped_query_is_started_again(spark, prepared, payloads, tmp_path):
     log = str(tmp_path / "log")
     run_ingest(spark, payloads, log, str(tmp_path / "dead"), str(tmp_path / "ck0"), avro_schema(), 1)
     seen, stop = [], threading.Event()
-    events = wire.decode_events(file_log_source(spark, log, 100), avro_schema(), 1)
     options = JobOptions(trigger="200 milliseconds", sink="events", checkpoint_dir=str(tmp_path / "ck"), supervise_every_s=0.2)
+    events = wire.decode_events(log_source(spark, log, options)("events"), avro_schema(), 1)
     starters = query_starters(events, spark.read.parquet(prepared["buildings"]), spark.read.parquet(prepared["baseline"]), {"events": lambda df, n: seen.append(df.count())}, options)
     assert list(starters) == ["events"]
     started = []
@@ -148,45 +154,18 @@ def test_collisions_and_late_rows_are_reported(spark, tmp_path):
     parts = [rows[:3] + [("1", "steam", T0, 2.0, T0)], rows[6:], rows[7:], [("2", "steam", T0, 1.0, T0)]]
     for i, part in enumerate(parts):
         coded = wire.encode_events(spark.createDataFrame(part, "building_id string, meter_type string, timestamp timestamp, meter_reading double, sim_publish_ts timestamp"), avro_schema(), 1)
-        coded.select(F.lit("k").alias("key"), F.lit(0).alias("partition"), F.lit(0).cast("long").alias("offset"), "value").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
-        time.sleep(0.05)
+        append_log(coded.select(F.lit("k").alias("key"), F.lit(0).alias("partition"), "timestamp", "value"), str(tmp_path / "log"), 1)
     tables = Tables.at(spark, str(tmp_path / "tables"))
     tables.create()
     load_references(tables, spark.createDataFrame([("1", 1, "Office", 1, 1, 1), ("2", 1, "Office", 1, 1, 1)], "building_id string, site_id int, primary_use string, square_feet int, year_built int, floor_count int"), spark.createDataFrame([], "building_id string, meter_type string, baseline_p25 double, baseline_p50 double, baseline_p75 double, baseline_iqr double"))
     found = []
-    options = JobOptions(trigger=None, checkpoint_dir=str(tmp_path / "ck"))
-    assert run_job(spark, file_log_source(spark, str(tmp_path / "log")), tables, avro_schema(), 1, options, on_collision=lambda x: found.extend(x.collect())) == 0
+    options = JobOptions(trigger=None, checkpoint_dir=str(tmp_path / "ck"), max_per_trigger=1, supervise_every_s=0.2)
+    assert run_job(spark, log_source(spark, str(tmp_path / "log"), options), tables, avro_schema(), 1, options, on_collision=lambda x: found.extend(x.collect())) == 0
     assert [(r["building_id"], r["copies"], r["variants"]) for r in found] == [("1", 2, 2)]
     late = {r["query_name"]: r["n"] for r in tables.progress.read().groupBy("query_name").agg(F.sum("rows_dropped_by_watermark").alias("n")).collect()}
     assert late["metrics"] == 1 and late["events"] is None
 
 
-def test_a_table_survives_a_crash_at_any_step(spark, tmp_path):
-    table = KeyedTable(spark, str(tmp_path / "t"), "k int, at timestamp, v int", ["k", "at"], ["v"], "at", keep=3)
-    batch = lambda *x: spark.createDataFrame([(k, None if d is None else T0 + timedelta(days=d), v) for k, d, v in x], "k int, at timestamp, v int")
-    table.upsert(batch((1, 0, 1), (2, 1, 1), (3, None, 1)))
-    before = table.manifest()
-    assert set(before) == {"2024-01-01", "2024-01-02", "none"}
-    good = table._commit
-    table._commit = lambda manifest: (_ for _ in ()).throw(RuntimeError("no power"))
-    with pytest.raises(RuntimeError):
-        table.upsert(batch((1, 0, 2)))
-    table._commit = good
-    (tmp_path / "t" / "_commits" / "left.draft").write_text("{")
-    again = KeyedTable(spark, str(tmp_path / "t"), "k int, at timestamp, v int", ["k", "at"], ["v"], "at", keep=3)
-    assert again.manifest() == before and again.read().count() == 3
-    reader = again.read()
-    for v in (5, 6):
-        again.upsert(batch((1, 0, v), (3, None, v)))
-    # Untouched days keep their files; a reader of an older version goes on; null keys are replaced, not added.
-    assert again.manifest()["2024-01-02"] == before["2024-01-02"] and reader.count() == 3
-    assert sorted((r["k"], r["v"]) for r in again.read().collect()) == [(1, 6), (2, 1), (3, 6)]
-    for v in range(7, 12):
-        again.upsert(batch((1, 0, v)))
-    assert 3 <= len(again.commits()) < 6 and len(os.listdir(tmp_path / "t" / "data")) <= 8
-    assert sorted((r["k"], r["v"]) for r in again.read().collect()) == [(1, 11), (2, 1), (3, 6)]
-
-
 def test_ddl_twice(tmp_path):
     path = str(tmp_path / "x.db")
     for _ in range(2):
@@ -220,7 +199,7 @@ def test_ingest_totals_and_replayed_batches(spark, tmp_path):
     batch = spark.createDataFrame([(good,), (good.replace("2024", "2034"),), (None,)], "payload string")
     for _ in range(2):
         write(batch, 4)
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 1 and spark.read.parquet(str(tmp_path / "dead")).count() == 2
+    assert read_log(spark, str(tmp_path / "log")).count() == 1 and read_log(spark, str(tmp_path / "dead")).count() == 2
     assert (totals.received, totals.published, totals.rejected) == (6, 2, 4)
 
 
@@ -284,16 +263,21 @@ def test_reset_of_everything(spark, tmp_path):
 def test_command_line(spark, prepared, payloads, tmp_path, capsys):
     """Every command parses; the way from registration to the report runs."""
     helped = parser().format_help()
-    assert all(c in helped for c in ("prepare", "excel", "register", "simulate", "ingest", "stream", "report", "ladder", "poison", "compare", "reset"))
+    assert all(c in helped for c in ("prepare", "excel", "register", "simulate", "ingest", "stream", "report", "ladder", "poison", "compare", "failover", "reset"))
     at = {x: str(tmp_path / x) for x in ("catalog.json", "log", "dead", "tables", "ck")}
     assert main(["register", at["catalog.json"]]) == 0 and json.loads(capsys.readouterr().out) == {"id": 1, "new": True}
     assert main(["register", at["catalog.json"]]) == 0 and json.loads(capsys.readouterr().out) == {"id": 1, "new": False}
     assert main(["ingest", payloads, at["log"], at["dead"], "--catalog", at["catalog.json"], "--checkpoint", at["ck"] + "/i"]) == 0
     assert json.loads(capsys.readouterr().out)["published"] == 360
-    assert main(["stream", at["log"], at["tables"], "--catalog", at["catalog.json"], "--dimension", prepared["buildings"], "--baseline", prepared["baseline"], "--checkpoint", at["ck"] + "/s", "--once"]) == 0
+    assert main(["stream", at["log"], at["tables"], "--catalog", at["catalog.json"], "--dimension", prepared["buildings"], "--baseline", prepared["baseline"], "--checkpoint", at["ck"] + "/s", "--once", "--supervise-every", "0.2", "--progress-every", "1", "--database", f"sqlite3:{tmp_path}/x.db"]) == 0
     capsys.readouterr()
+    with sqlite3.connect(tmp_path / "x.db") as db:
+        assert db.execute("select count(*) from events").fetchone()[0] == 360 and db.execute("select count(*) from metrics").fetchone()[0] > 20
     assert main(["report", at["tables"], "--published", "360", "--valid", "360", "--rejected", "0"]) == 0
     assert "| loss_pct | 0 |" in capsys.readouterr().out
+    assert main(["failover", at["log"], str(tmp_path / "again"), "--catalog", at["catalog.json"], "--checkpoint", at["ck"] + "/f", "--max-per-trigger", "100", "--seconds", "90"]) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert found["restarts"] == 2 and found["events_lost"] == found["metrics_differ"] == 0 and 0 < found["recovery_s"] < 60
     assert main(["reset", at["tables"], "--checkpoint", at["ck"], "--logs", at["log"], "--everything"]) == 0 and not os.path.exists(at["log"])
 
 

@@ -11,8 +11,9 @@ from wattline.functions import wire
 from wattline.operators.enrich import enrich
 from wattline.operators.metrics import closed_windows, windowed_metrics
 from wattline.schemas import EVENT_KEY, METRIC_KEY, PROGRESS, PROGRESS_KEY, avro_schema
+from wattline.sources.log import append_log
 from wattline.streaming.reset import reset_state
-from wattline.streaming.runtime import Invariants, JobOptions, OrphanWatch, ProgressRecorder, file_log_source, progress_frame, query_starters, supervise
+from wattline.streaming.runtime import Invariants, JobOptions, OrphanWatch, ProgressRecorder, log_source, progress_frame, query_starters, supervise
 from wattline.streaming.sinks import KeyedTable, upsert_writer
 
 T0 = datetime(2024, 1, 1)
@@ -32,16 +33,15 @@ def events(hours, poison=False):
 
 
 def write_log(spark, path, parts):
-    """Each part becomes a file of framed records."""
-    for i, rows in enumerate(parts):
-        df = spark.createDataFrame(rows, EVENTS).coalesce(1)
-        coded = wire.encode_events(df, avro_schema(), 3).select(F.concat_ws(":", "building_id", "meter_type").alias("key"), F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"), "value")
-        coded.coalesce(1).write.mode("append").parquet(path)
-        time.sleep(0.05)
+    """Each part becomes a commit of framed records."""
+    for rows in parts:
+        coded = wire.encode_events(spark.createDataFrame(rows, EVENTS), avro_schema(), 3)
+        append_log(coded.select(F.concat_ws(":", "building_id", "meter_type").alias("key"), F.lit(0).alias("partition"), "timestamp", "value"), path, 2)
 
 
-def stream(spark, path):
-    return wire.decode_events(file_log_source(spark, path), avro_schema(), 3)
+def stream(spark, path, query="q", checkpoint="ck"):
+    options = JobOptions(checkpoint_dir=checkpoint, max_per_trigger=1)
+    return wire.decode_events(log_source(spark, path, options)(query), avro_schema(), 3)
 
 
 def table(spark, path, schema, keys, order):
@@ -52,7 +52,7 @@ def test_job_equals_batch_and_replay_is_harmless(spark, reference, tmp_path):
     parts = [events(range(0, 4)), events(range(4, 8)), events(range(8, 12))]
     write_log(spark, str(tmp_path / "log"), parts)
     options = JobOptions(trigger=None, checkpoint_dir=str(tmp_path / "ck"))
-    live = stream(spark, str(tmp_path / "log"))
+    live = lambda query: stream(spark, str(tmp_path / "log"), query, options.checkpoint_dir)
     batch = spark.createDataFrame([r for p in parts for r in p], EVENTS)
     metrics = windowed_metrics(enrich(batch, *reference))
     stores = {"metrics": table(spark, str(tmp_path / "m"), metrics.schema, METRIC_KEY, ["max_sim_publish_ts"]), "events": table(spark, str(tmp_path / "e"), "building_id string, meter_type string, event_time timestamp, meter_reading double, sim_publish_ts timestamp", ["building_id", "meter_type", "event_time"], ["sim_publish_ts"])}
@@ -75,7 +75,7 @@ def test_job_equals_batch_and_replay_is_harmless(spark, reference, tmp_path):
     # The same log once more, from new checkpoints: nothing changes.
     again = JobOptions(trigger=None, checkpoint_dir=str(tmp_path / "ck2"))
     before = sorted(map(str, stores["metrics"].read().select(shown).collect()))
-    supervise(query_starters(stream(spark, str(tmp_path / "log")), *reference, {k: upsert_writer(s) for k, s in stores.items()}, again), again, sleep=lambda s: time.sleep(0.2))
+    supervise(query_starters(lambda query: stream(spark, str(tmp_path / "log"), query, again.checkpoint_dir), *reference, {k: upsert_writer(s) for k, s in stores.items()}, again), again, sleep=lambda s: time.sleep(0.2))
     assert sorted(map(str, stores["metrics"].read().select(shown).collect())) == before and stores["events"].read().count() == batch.count()
     reset_state(spark, str(tmp_path / "ck"), list(stores.values()))
     assert not (tmp_path / "ck").exists() and stores["metrics"].read().count() == 0
@@ -87,8 +87,9 @@ def test_poisoned_watermark(spark, reference, tmp_path, margin, late):
     write_log(spark, str(tmp_path / "log"), [events(range(0, 3)), events(range(3, 6), poison=True), events(range(6, 9)), events(range(9, 12))])
     live = enrich(stream(spark, str(tmp_path / "log")), *reference)
     name = f"poison_{int(late)}"
-    query = windowed_metrics(live, margin_s=margin).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query = windowed_metrics(live, margin_s=margin).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    query.processAllAvailable()
+    query.stop()
     hours = {r["window_start"].hour for r in spark.table(name).collect() if r["window_start"].year == 2024}
     # The watermark of one batch holds from the next but one, so the last batch tells.
     assert {0, 1, 2} <= hours and bool(hours & {9, 10, 11}) == late
@@ -96,8 +97,8 @@ def test_poisoned_watermark(spark, reference, tmp_path, margin, late):
 
 def test_wrong_schema_stops_the_query(spark, tmp_path):
     write_log(spark, str(tmp_path / "log"), [events([0])])
-    live = wire.decode_events(file_log_source(spark, str(tmp_path / "log")), avro_schema(), 4)
-    query = live.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    live = wire.decode_events(log_source(spark, str(tmp_path / "log"))("q"), avro_schema(), 4)
+    query = live.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ck")).start()
     with pytest.raises(Exception, match="schema 3, this query reads schema 4"):
         query.awaitTermination(60)
 

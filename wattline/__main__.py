@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 import time
+from functools import partial
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +16,14 @@ from wattline.operators.prepare import prepare, write_prepared
 from wattline.plans.kpi import measured, panel_times, report
 from wattline.plans.panels import View
 from wattline.schemas import RAW_READINGS, avro_schema
+from wattline.sources.log import records_behind
 from wattline.sources.readers import SchemaCatalog, load_reference, read_any, read_excel
-from wattline.streaming.drills import ladder, poison, same_tables
+from wattline.streaming.drills import failover, ladder, poison, same_tables
 from wattline.streaming.job import Tables, load_references, run_ingest, run_job
 from wattline.streaming.replay import replay
 from wattline.streaming.reset import reset_state
-from wattline.streaming.runtime import JobOptions, file_log_source, kafka_source
+from wattline.streaming.runtime import JobOptions, kafka_source, log_source
+from wattline.streaming.sinks import dbapi_writer, ensure_table
 
 NAME = "telemetry"
 
@@ -29,6 +33,11 @@ def session(partitions: int) -> SparkSession:
     return made.getOrCreate()
 
 
+def _connect(module: str, address: str):
+    """A connection of a DB-API module, made where it is used."""
+    return importlib.import_module(module).connect(address)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="python -m wattline", description="Analytics on metered telemetry.")
     top.add_argument("--shuffle-partitions", type=int, default=8)
@@ -58,6 +67,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--slice", type=float, default=1.0)
     p.add_argument("--unpaced", action="store_true")
     p.add_argument("--now", action="store_true", help="shift all times so that the last event is now")
+    p.add_argument("--end", help="shift all times so that the last event is at this time")
+    p.add_argument("--max-lag", type=float, help="give up once a slice is so many seconds late")
+    p.add_argument("--attempts", type=int, default=5, help="how often a slice is tried when the connection fails")
+    p.add_argument("--retry-wait", type=float, default=3.0)
 
     p = commands.add_parser("ingest", help="JSON lines to the log, rejected ones to the dead letters")
     p.add_argument("payloads")
@@ -65,7 +78,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("dead_letters")
     p.add_argument("--catalog", required=True)
     p.add_argument("--checkpoint", required=True)
-    p.add_argument("--trigger")
+    p.add_argument("--trigger", help="time between two batches, in which payloads gather; without it, read what there is and end")
+    p.add_argument("--files-per-trigger", type=int, default=1)
+    p.add_argument("--future-margin", type=float, default=300.0)
+    p.add_argument("--report-every", type=int, default=30, help="log the totals every so many batches")
 
     p = commands.add_parser("stream", help="the log to metrics and events, watched and restarted")
     p.add_argument("log", help="a folder, or host:port/topic of a broker")
@@ -84,6 +100,22 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-per-trigger", type=int, default=10_000)
     p.add_argument("--allow-data-loss", action="store_true")
     p.add_argument("--max-restarts", type=int, default=3)
+    p.add_argument("--supervise-every", type=float, default=5.0, help="seconds between two looks at the queries")
+    p.add_argument("--progress-every", type=float, default=60.0, help="seconds between two writes of progress rows")
+    p.add_argument("--orphan-every", type=int, default=30, help="look for events of unknown buildings at every so many writes of progress")
+    p.add_argument("--write-attempts", type=int, default=5)
+    p.add_argument("--write-wait", type=float, default=3.0)
+    p.add_argument("--run-id")
+    p.add_argument("--database", help="module:address of a DB-API database that gets metrics and events too")
+
+    p = commands.add_parser("failover", help="stop each query of a running job from outside; how soon it is back, and is anything lost")
+    p.add_argument("log")
+    p.add_argument("tables")
+    p.add_argument("--catalog", required=True)
+    p.add_argument("--checkpoint", default="checkpoints")
+    p.add_argument("--kills", type=int, default=1)
+    p.add_argument("--seconds", type=float, default=300.0, help="end after so long at the latest")
+    p.add_argument("--max-per-trigger", type=int, default=10_000)
 
     p = commands.add_parser("report", help="indicators of a run against their targets, as Markdown")
     p.add_argument("tables")
@@ -91,6 +123,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--valid", type=int)
     p.add_argument("--rejected", type=int)
     p.add_argument("--panels", action="store_true", help="time the dashboard's panels too")
+    p.add_argument("--run-id", help="the run whose batches count; without it the last one")
+    p.add_argument("--from", dest="since", help="the panels' range of time")
+    p.add_argument("--to", dest="until")
 
     p = commands.add_parser("ladder", help="the whole way under growing load, a rung for each number of sensors")
     p.add_argument("telemetry")
@@ -129,26 +164,46 @@ def main(arguments: list[str] | None = None) -> int:
         read_excel(spark, a.path).write.mode("overwrite").parquet(a.out)
     elif a.command == "simulate":
         events = read_any(spark, a.telemetry)
-        print(json.dumps(replay(events, a.out, a.speedup, a.connections, a.sensors, a.limit, a.slice, not a.unpaced, F.current_timestamp() if a.now else None)))
+        print(json.dumps(replay(events, a.out, a.speedup, a.connections, a.sensors, a.limit, a.slice, not a.unpaced, F.current_timestamp() if a.now else F.lit(a.end).cast("timestamp") if a.end else None, a.max_lag, a.attempts, a.retry_wait)))
     elif a.command == "ingest":
         number, schema = SchemaCatalog(a.catalog).latest(NAME)
-        totals = run_ingest(spark, a.payloads, a.log, a.dead_letters, a.checkpoint, schema, number, a.trigger)
+        totals = run_ingest(spark, a.payloads, a.log, a.dead_letters, a.checkpoint, schema, number, a.trigger, a.files_per_trigger, a.report_every, margin_s=a.future_margin)
         print(json.dumps({"received": totals.received, "published": totals.published, "rejected": totals.rejected, "lost": totals.lost, "reasons": totals.reasons}))
     elif a.command == "stream":
-        options = JobOptions(window=a.window, watermark=a.watermark, future_margin_s=a.future_margin, trigger=None if a.once else a.trigger, max_per_trigger=a.max_per_trigger, fail_on_data_loss=not a.allow_data_loss, starting_offsets=a.starting_offsets, sink=a.sink, checkpoint_dir=a.checkpoint, max_restarts=a.max_restarts)
-        number, schema = SchemaCatalog(a.catalog).latest(NAME)
+        options = JobOptions(
+            window=a.window, watermark=a.watermark, future_margin_s=a.future_margin, trigger=None if a.once else a.trigger, max_per_trigger=a.max_per_trigger, fail_on_data_loss=not a.allow_data_loss, starting_offsets=a.starting_offsets, sink=a.sink,
+            checkpoint_dir=a.checkpoint, max_restarts=a.max_restarts, supervise_every_s=a.supervise_every, progress_every_s=a.progress_every, orphan_check_every=a.orphan_every, write_attempts=a.write_attempts, write_wait_s=a.write_wait,
+        )
+        options.run_id = a.run_id or options.run_id
+        catalog = SchemaCatalog(a.catalog)
+        number, schema = catalog.latest(NAME)
         tables = Tables.at(spark, a.tables)
         tables.create()
         if a.dimension and a.baseline:
             load_reference(spark, a.dimension, a.baseline)  # says what is missing
             load_references(tables, spark.read.parquet(a.dimension), spark.read.parquet(a.baseline))
         servers, _, topic = a.log.rpartition("/")
-        source = kafka_source(spark, servers, topic, options) if ":" in servers and "//" not in a.log else file_log_source(spark, a.log)
-        return run_job(spark, source, tables, schema, number, options)
+        broker = ":" in servers and "//" not in a.log
+        source = kafka_source(spark, servers, topic, options) if broker else log_source(spark, a.log, options)
+        also = {}
+        if a.database:
+            module, _, address = a.database.partition(":")
+            connect = partial(_connect, module, address)
+            for name, table in (("metrics", tables.metrics), ("events", tables.events)):
+                ensure_table(connect, name, table.schema, table.keys)
+                also[name] = dbapi_writer(connect, name, table.keys, [c for c in table.order if c != "ingested_at"], attempts=a.write_attempts, wait_s=a.write_wait)
+        return run_job(spark, source, tables, schema, number, options, lag=None if broker else lambda at: records_behind(a.log, at), also=also, known=catalog.all_of(NAME))
+    elif a.command == "failover":
+        number, schema = SchemaCatalog(a.catalog).latest(NAME)
+        options = JobOptions(checkpoint_dir=a.checkpoint, supervise_every_s=1.0, trigger="200 milliseconds", max_restarts=a.kills + 3, max_per_trigger=a.max_per_trigger)
+        found = failover(spark, a.log, Tables.at(spark, a.tables), schema, number, options, a.kills, a.seconds)
+        print(json.dumps(found))
+        return int(found["exit"] != 0 or found["events_lost"] > 0 or found["metrics_differ"] > 0)
     elif a.command == "report":
         t = Tables.at(spark, a.tables)
-        panel_s = max(panel_times(t.metrics.read().cache(), View()).values()) if a.panels else None
-        print(report(measured(t.events.read(), t.metrics.read(), t.progress.read(), a.valid, a.rejected, a.published, panel_s=panel_s)))
+        view = View(**{k: v for k, v in (("start", a.since), ("end", a.until)) if v})
+        panel_s = max(panel_times(t.metrics.read().cache(), view).values()) if a.panels else None
+        print(report(measured(t.events.read(), t.metrics.read(), t.progress.read(), a.valid, a.rejected, a.published, panel_s=panel_s, run_id=a.run_id)))
     elif a.command == "ladder":
         rungs = ladder(spark, read_any(spark, a.telemetry), spark.read.parquet(a.dimension), spark.read.parquet(a.baseline), a.work, a.rungs, a.events)
         for r in rungs.collect():

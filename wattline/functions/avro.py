@@ -112,6 +112,43 @@ def decode(schema: dict, payload: pa.Array) -> dict[str, pa.Array]:
     return found
 
 
+def _as_read(writer, reader, values: pa.Array, name: str) -> pa.Array:
+    """A field's values, written with one type, in the type that the reader asks for."""
+    (kind, _), (wanted, full) = kind_of(writer), kind_of(reader)
+    inner = next((x for x in full if x != "null"), None) if wanted == "union" else reader
+    if wanted != "union" and values.null_count:
+        raise ValueError(f"field {name} is null, its reader allows no null")
+    if kind_of(inner)[0] == "enum":
+        known = kind_of(inner)[1]
+        strange = pc.and_(values.is_valid(), pc.invert(pc.is_in(values, pa.array(known["symbols"], pa.string()))))
+        if not pc.any(strange, min_count=0).as_py():
+            return values
+        if "default" not in known:
+            raise ValueError(f"field {name}: {values.filter(strange)[0].as_py()!r} is not a symbol of the reader's enum")
+        return pc.if_else(strange, pa.scalar(known["default"]), values)
+    written = next(x for x in writer if x != "null") if kind == "union" else writer
+    if kind_of(written)[0] == kind_of(inner)[0]:
+        return values
+    if (kind_of(written)[0], kind_of(inner)[0]) == ("long", "double"):
+        return values.cast(pa.float64())
+    raise ValueError(f"field {name} was written as {kind_of(written)[0]} and cannot be read as {kind_of(inner)[0]}")
+
+
+def resolve(writer: dict, reader: dict, found: dict[str, pa.Array], rows: int) -> dict[str, pa.Array]:
+    """The reader's fields out of columns read with the writer's schema: its own fields by name, defaults for those that were not written."""
+    written = {f["name"]: f["type"] for f in writer["fields"]}
+    out = {}
+    for field in reader["fields"]:
+        name, kind = field["name"], arrow_type(field["type"])
+        if name in written:
+            out[name] = _as_read(written[name], field["type"], found[name], name)
+        elif "default" in field:
+            out[name] = pa.array([field["default"]] * rows, kind)
+        else:
+            raise ValueError(f"field {name} was not written and has no default")
+    return out
+
+
 # --- writing -----------------------------------------------------------------
 class _Part:
     """One field's bytes of every record: how many, and how they are put at given places of the result."""

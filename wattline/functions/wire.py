@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
 from wattline.functions import avro
+from wattline.functions.cluster import ship
 
 HEADER_BYTES = 5
 
@@ -46,27 +49,47 @@ def spark_type(schema: dict) -> T.StructType:
     return T.StructType([T.StructField(f["name"], from_arrow_type(avro.arrow_type(f["type"]))) for f in schema["fields"]])
 
 
-def decode_events(log: DataFrame, schema: dict, schema_id: int) -> DataFrame:
+def decode_events(log: DataFrame, schema: dict, schema_id: int, writers: dict[int, dict] | None = None) -> DataFrame:
     """Log rows to flat events: header split, schema guard, records decoded a column at a time; any bad record fails.
 
-    Runs alike on batches and streams. Log columns key, partition and offset are kept.
+    Records must be written with ``schema_id``, or with one of ``writers``, schemas
+    by id, where these are given: a record is then read with its writer's schema
+    and resolved to ``schema``. Runs alike on batches and streams. Log columns key,
+    partition and offset are kept.
     """
+    ship(log.sparkSession)
     framed = split_header(log)
     keep = [c for c in ("key", "partition", "offset") if c in log.columns]
     target = spark_type(schema)
+    known = {schema_id: schema} | {int(k): v for k, v in (writers or {}).items()}
+
+    def fields_of(number: int, payload: pa.Array) -> dict[str, pa.Array]:
+        if number not in known:
+            raise ValueError(f"record written with schema {number}, which is not registered")
+        found = avro.decode(known[number], payload)
+        return found if known[number] == schema else avro.resolve(known[number], schema, found, len(payload))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fields = avro.decode(schema, batch.column("payload"))
+            payload, ids = batch.column("payload"), batch.column("schema_id")
+            told = pc.unique(ids).to_pylist()
+            if len(told) <= 1:
+                fields = fields_of(told[0] if told else schema_id, payload)
+            else:  # records of each schema together, then back in their places
+                places = [np.flatnonzero(np.asarray(pc.equal(ids, n))) for n in told]
+                parts = [fields_of(n, payload.take(pa.array(at))) for n, at in zip(told, places)]
+                back = pa.array(np.argsort(np.concatenate(places)))
+                fields = {f: pa.concat_arrays([p[f] for p in parts]).take(back) for f in parts[0]}
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *fields.values()], names=[*keep, *fields])
 
     # The guard stands before decoding: bytes of another schema must not be read with this one.
-    guarded = guard_schema(framed, schema_id, "payload").select(*keep, "payload")
-    return guarded.mapInArrow(run, T.StructType([*[log.schema[c] for c in keep], *target.fields]))
+    guarded = framed if writers else guard_schema(framed, schema_id, "payload")
+    return guarded.select(*keep, "schema_id", "payload").mapInArrow(run, T.StructType([*[log.schema[c] for c in keep], *target.fields]))
 
 
 def encode_events(events: DataFrame, schema: dict, schema_id: int) -> DataFrame:
     """Events to log values: adds ``value``, the framed record."""
+    ship(events.sparkSession)
     names = [f["name"] for f in schema["fields"] if f["name"] in events.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

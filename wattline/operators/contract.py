@@ -13,13 +13,28 @@ NUMERIC = "^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|DOUBLE|FLOAT)"
 INTEGRAL = ("TINYINT", "SMALLINT", "INT", "BIGINT")
 
 
-def _taken(v: Column) -> Column:
-    """All that the rules look at, out of one variant."""
+#: Payloads as meters write them: the five fields in this order, texts without escapes, plain numbers. All others take the way of any JSON.
+_TEXT, _GAP = r'"[^"\\\x00-\x1f]*"', r"[ ]?"
+FLAT = rf'^\{{"building_id":{_GAP}{_TEXT},{_GAP}"meter_type":{_GAP}{_TEXT},{_GAP}"timestamp":{_GAP}{_TEXT},{_GAP}"meter_reading":{_GAP}-?(0|[1-9][0-9]{{0,14}})(\.[0-9]{{1,14}})?([eE][-+]?[0-9]{{1,2}})?,{_GAP}"sim_publish_ts":{_GAP}-?(0|[1-9][0-9]{{0,17}})\}}$'
+_FLAT_FIELDS = "building_id string, meter_type string, timestamp string, meter_reading double, sim_publish_ts bigint"
+_FLAT_TYPES = {"building_id": "STRING", "meter_type": "STRING", "timestamp": "STRING", "meter_reading": "DOUBLE", "sim_publish_ts": "BIGINT"}
+
+
+def _taken(x: Column) -> Column:
+    """All that the rules look at, out of the flat fields or of a variant."""
+    is_flat, flat, v = x["is_flat"], x["flat"], x["v"]
     pick = lambda kind, f: F.try_variant_get(v, f"$.{f}", kind)
-    types = [F.schema_of_variant(pick("variant", f)).alias(f"_type_{f}") for f in FIELDS]
-    texts = [pick("string", f).alias(f"_text_{f}") for f in FIELDS]
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("_object")
-    return F.struct(is_object, *types, *texts, pick("double", "meter_reading").alias("_number"), pick("bigint", "timestamp").alias("_millis"), pick("bigint", "sim_publish_ts").alias("_published"))
+    either = lambda of_flat, of_variant: F.when(is_flat, of_flat).otherwise(of_variant)
+    types = [either(F.lit(kind), F.schema_of_variant(pick("variant", f))).alias(f"_type_{f}") for f, kind in _FLAT_TYPES.items()]
+    texts = [either(flat[f].cast("string"), pick("string", f)).alias(f"_text_{f}") for f in FIELDS]
+    is_object = either(F.lit(True), F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))).alias("_object")
+    numbers = [("double", "meter_reading", "_number"), ("bigint", "timestamp", "_millis"), ("bigint", "sim_publish_ts", "_published")]
+    return F.struct(is_object, *types, *texts, *[either(F.lit(None).cast("bigint") if f == "timestamp" else flat[f], pick(kind, f)).alias(name) for kind, f, name in numbers])
+
+
+def _instant(millis: Column) -> Column:
+    """The instant of a number of milliseconds; null beyond the years that timestamps are printed with."""
+    return F.when(millis.between(-62135596800000, 253402300799999), F.timestamp_millis(millis))
 
 
 def with_fields(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -27,14 +42,19 @@ def with_fields(df: DataFrame, payload: str = "payload") -> DataFrame:
 
     A type is null where the field is missing. NaN and infinities, which JSON
     does not have, become marked strings. Each value is taken out once, in a
-    projection of its own, so that the rules over them stay small.
+    projection of its own, so that the rules over them stay small. Payloads of
+    the common shape (``FLAT``) are read with their declared types; a variant is
+    made of the others alone.
     """
+    is_flat = F.coalesce(F.col(payload).rlike(FLAT), F.lit(False))
     marked = F.regexp_replace(F.col(payload), r':\s*(NaN|[-+]?Infinity)\s*([,}])', ':"#$1"$2')
+    told = df.withColumn("_flat", is_flat)
+    read = F.struct(F.col("_flat").alias("is_flat"), F.when(F.col("_flat"), F.from_json(payload, _FLAT_FIELDS)).alias("flat"), F.when(~F.col("_flat"), F.try_parse_json(marked)).alias("v"))
     # A generator of one row: the optimizer cannot copy what it computes into each rule that uses it.
-    taken = df.select("*", F.inline(F.transform(F.array(F.try_parse_json(marked)), _taken)))
+    taken = told.select(*df.columns, F.inline(F.transform(F.array(read), _taken)))
     text, kind = F.col("_text_timestamp"), F.col("_type_timestamp")
     iso = F.when(text.rlike(r"^\d{4}-\d\d-\d\d"), text.try_cast("timestamp"))
-    return taken.withColumn("_when", F.when(kind == "STRING", iso).when(kind.isin(*INTEGRAL), F.timestamp_millis("_millis")))
+    return taken.withColumn("_when", F.when(kind == "STRING", iso).when(kind.isin(*INTEGRAL), _instant(F.col("_millis"))))
 
 
 def _fields() -> list[Column]:
@@ -45,7 +65,7 @@ def _fields() -> list[Column]:
         F.when(F.col("_type_meter_type") == "STRING", F.col("_text_meter_type")).alias("meter_type"),
         F.col("_when").alias("timestamp"),
         F.when(numeric, F.col("_number")).when(reading.startswith("#"), F.substring(reading, 2, 20).try_cast("double")).alias("meter_reading"),
-        F.when(F.col("_type_sim_publish_ts").isin(*INTEGRAL), F.timestamp_millis("_published")).alias("sim_publish_ts"),
+        F.when(F.col("_type_sim_publish_ts").isin(*INTEGRAL), _instant(F.col("_published"))).alias("sim_publish_ts"),
     ]
 
 
@@ -63,7 +83,7 @@ def _reason(now: Column | None = None, margin_s: float = DEFAULT_MARGIN_S, domai
 
     In order: not a JSON object; time does not parse; time ahead of now by more
     than the margin; reading not finite; reading negative; a field missing; a
-    field of the wrong type; a meter type outside the domain. Unknown fields are
+    field of the wrong type; a publish time beyond all years; a meter type outside the domain. Unknown fields are
     ignored, and time has no lower bound.
     """
     domain = METER_TYPES if domain is None else domain
@@ -84,6 +104,7 @@ def _reason(now: Column | None = None, margin_s: float = DEFAULT_MARGIN_S, domai
         F.when(when.isNull(), F.lit("wrong type of 'timestamp'")),
         F.when(~numeric, F.lit("wrong type of 'meter_reading'")),
         F.when(~kind["sim_publish_ts"].isin(*INTEGRAL), F.lit("wrong type of 'sim_publish_ts'")),
+        F.when(_instant(F.col("_published")).isNull(), say("sim_publish_ts out of range (", F.col("_published"), ")")),
         F.when((kind["meter_type"] != "STRING") | ~F.col("_text_meter_type").isin(*domain), say("meter_type outside its domain: '", F.col("_text_meter_type"), "'")),
     )
 

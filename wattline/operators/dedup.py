@@ -19,6 +19,13 @@ def dedup_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns])
 
 
+def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row a key: the first in the order of the columns ``order``, ties to the least row."""
+    rest = [c for c in df.columns if c not in keys]
+    first = df.groupBy(*keys).agg(F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *rest)).alias("_first"))
+    return first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
+
+
 def key_collisions(df: DataFrame, keys: list[str], ignored: list[str] | None = None) -> DataFrame:
     """Keys with rows that differ in a domain column, with their rows and number of variants.
 
@@ -45,9 +52,7 @@ def upsert_merge(old: DataFrame, new: DataFrame, keys: list[str], order: list[st
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The table after an insert that leaves existing keys alone; of new rows that share a key the first stays."""
-    rest = [c for c in new.columns if c not in keys]
-    first = new.groupBy(*keys).agg(F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *rest)).alias("_first"))
-    rows = first.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in new.columns])
+    rows = dedup_first(new, keys, order)
     return old.unionByName(_absent(rows, old, keys).select(*old.columns))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattline.functions.ranks import ranked
 from wattline.schemas import EVENT_KEY, SENSOR_KEY
 
 ORDER = ["timestamp", "building_id", "meter_type"]
@@ -42,11 +43,10 @@ def replay_prepare(events: DataFrame, sensors: int | None = None, limit: int | N
 
 
 def sensor_ranks(events: DataFrame) -> DataFrame:
-    """Sensors numbered from 0 in text order.
-
-    One row a sensor reaches the numbering, whatever the number of events.
-    """
-    return events.select(*SENSOR_KEY).distinct().withColumn("sensor_rank", (F.row_number().over(Window.orderBy(*SENSOR_KEY)) - 1).cast("long"))
+    """Sensors numbered from 0 in text order; one row a sensor is numbered, in ranges of the order."""
+    sensors = events.select(*SENSOR_KEY).distinct()
+    # A separator below all others keeps the order that of the columns.
+    return ranked(sensors, F.concat_ws("\x00", *SENSOR_KEY), "sensor_rank")
 
 
 def replay_schedule(events: DataFrame, speedup: float, connections: int, cadence_s: float = 3600.0) -> DataFrame:

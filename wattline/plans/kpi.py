@@ -23,14 +23,17 @@ _SHARES, _CELL_S = {"latency_p50_s": 0.5, "latency_p95_s": 0.95}, 0.001
 def ingest_latency(events: DataFrame) -> DataFrame:
     """Rows, median, 95th percentile and maximum of ingest less publish time, and how many are negative."""
     x = events.select(_latency().alias("s"))
-    totals = x.agg(F.count("*").alias("events"), F.count("s").alias("measured"), F.max("s").alias("latency_max_s"), F.count_if(F.col("s") < 0).alias("negative"))
-    found = totals.crossJoin(exact_percentiles(x, F.col("s"), _SHARES, _CELL_S))  # a row each
-    return found.select("events", "measured", *_SHARES, "latency_max_s", "negative")
+    # Two passes over the events: a histogram with all totals, and the values of the few cells that hold the percentiles.
+    also = {"events": (F.count("*"), F.sum("events")), "measured": (F.count("x"), F.sum("measured")), "latency_max_s": (F.max("x"), F.max("latency_max_s")), "negative": (F.count_if(F.col("x") < 0), F.sum("negative"))}
+    found = exact_percentiles(x, F.col("s"), _SHARES, _CELL_S, also)
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("events", "measured")]
+    return found.select(*counts, *_SHARES, "latency_max_s", F.coalesce("negative", F.lit(0)).cast("long").alias("negative"))
 
 
 def aggregate_latency(metrics: DataFrame) -> DataFrame:
     x = metrics.where("max_sim_publish_ts is not null").select(_latency("max_sim_publish_ts").alias("s"))
-    return x.agg(F.count("*").alias("windows")).crossJoin(exact_percentiles(x, F.col("s"), _SHARES, _CELL_S))
+    found = exact_percentiles(x, F.col("s"), _SHARES, _CELL_S, {"windows": (F.count("*"), F.sum("windows"))})
+    return found.select(F.coalesce("windows", F.lit(0)).cast("long").alias("windows"), *_SHARES)
 
 
 def microbatches(progress: DataFrame, run_id: str | None = None) -> DataFrame:
@@ -54,7 +57,8 @@ def validation(valid: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def latency_since(events: DataFrame, since: str) -> DataFrame:
     x = events.where(F.col("ingested_at") >= F.lit(since).cast("timestamp")).select(_latency().alias("s"))
-    return x.agg(F.count("*").alias("events")).crossJoin(exact_percentiles(x, F.col("s"), _SHARES, _CELL_S))
+    found = exact_percentiles(x, F.col("s"), _SHARES, _CELL_S, {"events": (F.count("*"), F.sum("events"))})
+    return found.select(F.coalesce("events", F.lit(0)).cast("long").alias("events"), *_SHARES)
 
 
 def publish_rate(events: DataFrame, since: str | None = None) -> DataFrame:
@@ -111,7 +115,7 @@ def report(values: dict[str, float | None]) -> str:
     return "\n".join(lines) + "\n"
 
 
-def measured(events: DataFrame, metrics: DataFrame, progress: DataFrame, valid: int | None = None, rejected: int | None = None, published: int | None = None, rungs: DataFrame | None = None, panel_s: float | None = None, recovery_s: float | None = None) -> dict[str, float | None]:
+def measured(events: DataFrame, metrics: DataFrame, progress: DataFrame, valid: int | None = None, rejected: int | None = None, published: int | None = None, rungs: DataFrame | None = None, panel_s: float | None = None, recovery_s: float | None = None, run_id: str | None = None) -> dict[str, float | None]:
     """The indicators of a run out of its tables and counts; None for what was not observed.
 
     ``published`` is the number of events sent in, each of which should be in the
@@ -119,7 +123,7 @@ def measured(events: DataFrame, metrics: DataFrame, progress: DataFrame, valid:
     """
     first = lambda df: df.first().asDict()  # noqa: E731  one row each
     latency, rate, availability = first(ingest_latency(events)), first(publish_rate(events)), first(aggregate_latency(metrics))
-    batches = {r["query_name"]: r["duration_p95_ms"] for r in microbatches(progress).collect()}
+    batches = {r["query_name"]: r["duration_p95_ms"] for r in microbatches(progress, run_id).collect()}
     share = None if valid is None or rejected is None or valid + rejected == 0 else 100.0 * valid / (valid + rejected)
     return {
         "latency_p50_s": latency["latency_p50_s"], "latency_p95_s": latency["latency_p95_s"], "aggregate_p95_s": availability["latency_p95_s"],

@@ -44,12 +44,17 @@ def data_age(metrics: DataFrame, view: View) -> DataFrame:
     return metrics.agg(F.max("ingested_at").alias("last")).select(seconds(now, F.col("last")).alias("age_s"))
 
 
+def _windows(metrics: DataFrame) -> Column:
+    """The number of hourly windows; rows of roll-ups know how many they hold."""
+    return F.sum("windows") if "windows" in metrics.columns else F.count("*")
+
+
 def events(metrics: DataFrame, view: View) -> DataFrame:
     return view.rows(metrics).agg(F.sum("event_count").alias("events"))
 
 
 def windows(metrics: DataFrame, view: View) -> DataFrame:
-    return view.rows(metrics).agg(F.count("*").alias("windows"))
+    return view.rows(metrics).agg(F.coalesce(_windows(metrics), F.lit(0)).alias("windows"))
 
 
 def latency_series(metrics: DataFrame, view: View) -> DataFrame:
@@ -58,7 +63,7 @@ def latency_series(metrics: DataFrame, view: View) -> DataFrame:
 
 
 def write_rate(metrics: DataFrame, view: View) -> DataFrame:
-    return view.by_bucket(view.rows(metrics)).groupBy("time").agg(F.sum("event_count").alias("events"), F.count("*").alias("windows")).orderBy("time")
+    return view.by_bucket(view.rows(metrics)).groupBy("time").agg(F.sum("event_count").alias("events"), _windows(metrics).alias("windows")).orderBy("time")
 
 
 def meter_types(metrics: DataFrame, view: View) -> DataFrame:

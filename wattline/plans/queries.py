@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattline.functions import wire
+from wattline.functions.cluster import scratch
+from wattline.functions.quantiles import KLL_ERROR
 from wattline.functions.time import to_boundary
 from wattline.operators import contract, dedup, enrich, metrics, prepare, replay
+from wattline.operators.metrics import METRICS
 from wattline.plans import kpi
 from wattline.plans.panels import PANELS, View
-from wattline.schemas import EVENT_KEY, PROGRESS_KEY, SENSOR_KEY, avro_schema
+from wattline.plans.rollups import Rollups, routed
+from wattline.schemas import EVENT_KEY, METRIC_KEY, PROGRESS_KEY, SENSOR_KEY, avro_schema
 from wattline.sources.fixtures import AS_OF, DOMAIN, Tables
+from wattline.sources.log import append_log, read_log
 from wattline.sources.readers import row_counts
-from wattline.streaming import ingest
+from wattline.streaming import ingest, job
+from wattline.streaming.runtime import JobOptions, log_source
+from wattline.streaming.sinks import KeyedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,6 +163,19 @@ def avro_decode(t: Tables) -> DataFrame:
     return wire.decode_events(coded, schema, 7)
 
 
+@query("""select meter_type, cast(event_id % 2 as integer) as version, count(*) as events, cast(sum(case when event_id % 4 = 1 then 1 else 0 end) as bigint) as with_quality, sum(meter_reading) as sum_reading from telemetry group by 1, 2""")
+def mixed_schemas(t: Tables) -> DataFrame:
+    """Records of two versions of the schema in one log, each read with its own and resolved to the newer one."""
+    old, new = _valid_schema(), avro_schema(2)
+    new["fields"][1]["type"] = {"type": "enum", "name": "MeterType", "symbols": [*DOMAIN, "later"]}
+    events = t.telemetry()
+    first = wire.encode_events(events.where("event_id % 2 = 0").drop("event_id"), old, 7)
+    second = wire.encode_events(events.where("event_id % 2 = 1").withColumn("reading_quality", F.when(F.col("event_id") % 4 == 1, "good")).drop("event_id"), new, 8)
+    log = first.select(F.lit(0).alias("partition"), "value").unionByName(second.select(F.lit(1).alias("partition"), "value"))
+    read = wire.decode_events(log.repartition(4, "value"), new, 8, {7: old, 8: new})
+    return read.groupBy("meter_type", F.col("partition").alias("version")).agg(F.count("*").alias("events"), F.count("reading_quality").alias("with_quality"), F.sum("meter_reading").alias("sum_reading"))
+
+
 @query("""select event_id, case when fault not in (0, 4) then building_id end as building_id, case fault when 0 then null when 2 then 'gas' else meter_type end as meter_type,
     case when fault in (0, 3) then null when fault = 5 then timestamp '2099-01-01' else stamp end as "timestamp",
     case when fault in (0, 1) then null when fault = 6 then -1 - meter_reading when fault = 7 then 'NaN'::double else meter_reading end as meter_reading, case when fault > 0 then published end as sim_publish_ts from faulty""")
@@ -304,10 +326,51 @@ def raw_events(t: Tables) -> DataFrame:
 def ingest_json(t: Tables) -> DataFrame:
     """Payloads all the way into the log and out of it: validated, keyed, framed, and decoded again."""
     good = contract.route_valid(t.payloads(), now=F.lit(AS_OF), domain=DOMAIN)
-    read = wire.decode_events(ingest.log_rows(good, _valid_schema(), 7, 3, 0), _valid_schema(), 7)
+    read = wire.decode_events(ingest.log_rows(good, _valid_schema(), 7, 3), _valid_schema(), 7)
     return read.groupBy("key", "partition").agg(F.count("*").alias("records"), F.min("sim_publish_ts").alias("first_published"), F.max("sim_publish_ts").alias("last_published"))
 
 
+# --- the log and the job over it ----------------------------------------------
+def _written_log(t: Tables, commits: int = 4) -> str:
+    """The events as a log, appended by several commits in the order of time."""
+    path, schema = scratch(t.spark, "log"), _valid_schema()
+    at = F.unix_micros("timestamp").cast("double")
+    events = t.telemetry()
+    borders = [None, *events.withColumn("at", at).approxQuantile("at", [k / commits for k in range(1, commits)], 0.01), None]
+    for n, (low, high) in enumerate(zip(borders, borders[1:])):
+        part = events.where((F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high))
+        append_log(ingest.log_rows(part, schema, 7, 3), path, 2, "query", n)
+    return path
+
+
+@query("""select "partition", count(*) as records, cast(0 as bigint) as first_offset, count(*) - 1 as last_offset, count(*) as distinct_offsets, count(distinct "key") as sensors, cast(0 as bigint) as out_of_order, sum(meter_reading) as sum_reading from log group by 1""")
+def log_round_trip(t: Tables) -> DataFrame:
+    """Events through the transactional log: gapless offsets, and every sensor's events in their order."""
+    from pyspark.sql import Window
+
+    read = wire.decode_events(read_log(t.spark, _written_log(t)), _valid_schema(), 7)
+    before = F.lag("timestamp").over(Window.partitionBy("partition", "key").orderBy("offset"))
+    return read.withColumn("late", before > F.col("timestamp")).groupBy("partition").agg(
+        F.count("*").alias("records"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"), F.count_distinct("offset").alias("distinct_offsets"), F.count_distinct("key").alias("sensors"), F.count_if("late").alias("out_of_order"),
+        F.sum("meter_reading").alias("sum_reading"),
+    )
+
+
+@query("""select window_start, window_end, site_id, primary_use, meter_type, event_count, sum_reading from metrics where window_end <= (select date_trunc('milliseconds', max("timestamp")) - interval 2 minute from enriched where site_id is not null)""")
+def streamed_windows(t: Tables) -> DataFrame:
+    """The metrics table after the whole job has read the log, a commit a batch: every closed window with all of its events.
+
+    Events of unknown buildings do not move the watermark.
+    """
+    tables = job.Tables.at(t.spark, scratch(t.spark, "tables"))
+    tables.create()
+    job.load_references(tables, t.buildings(), t.baseline())
+    options = JobOptions(trigger=None, checkpoint_dir=scratch(t.spark, "job"), supervise_every_s=0.2, max_per_trigger=1)
+    if job.run_job(t.spark, log_source(t.spark, _written_log(t), options), tables, _valid_schema(), 7, options):
+        raise RuntimeError("a query of the job was given up")
+    return tables.metrics.read().select("window_start", "window_end", "site_id", "primary_use", "meter_type", "event_count", "sum_reading")
+
+
 # --- metrics -----------------------------------------------------------------
 @query("select * exclude (ingested_at) from metrics")
 def windowed_metrics(t: Tables) -> DataFrame:
@@ -346,6 +409,20 @@ def zero_runs(t: Tables) -> DataFrame:
     return metrics.zero_runs(t.telemetry())
 
 
+@query("""select date_trunc('day', "timestamp") as window_start, meter_type, count(*) as event_count, true as distinct_within, true as ranks_within from enriched where site_id is not null group by 1, 2""")
+def sketched_days(t: Tables) -> DataFrame:
+    """Days merged from the sketches of hours, held against the events: distinct buildings within three standard errors, quartiles within the sketch's rank error."""
+    sketches = metrics.sketch_estimates(metrics.coarser_sketches(metrics.window_sketches(t.enriched(), now=F.lit(AS_OF))))
+    events = t.enriched().where("site_id is not null").select(F.date_trunc("day", "timestamp").alias("window_start"), "meter_type", "building_id", "meter_reading")
+    names = {"reading_p25": 0.25, "reading_p50": 0.5, "reading_p75": 0.75}
+    told = events.join(sketches, ["window_start", "meter_type"]).groupBy("window_start", "meter_type", "event_count", "distinct_buildings", *names).agg(
+        F.count_distinct("building_id").alias("exact"), F.count("*").alias("n"), *[F.count_if(F.col("meter_reading") < F.col(x)).alias(f"below_{x}") for x in names], *[F.count_if(F.col("meter_reading") <= F.col(x)).alias(f"upto_{x}") for x in names],
+    )
+    distinct = F.abs(F.col("distinct_buildings") - F.col("exact")) <= F.greatest(F.lit(1.0), 3 * metrics.HLL_ERROR * F.col("exact"))
+    inside = [(F.col(f"below_{x}") <= (p + KLL_ERROR) * F.col("n") + 1) & (F.col(f"upto_{x}") >= (p - KLL_ERROR) * F.col("n") - 1) for x, p in names.items()]
+    return told.select("window_start", "meter_type", "event_count", distinct.alias("distinct_within"), reduce(lambda a, b: a & b, inside).alias("ranks_within"))
+
+
 # --- keys --------------------------------------------------------------------
 @query("""select building_id, meter_type, "timestamp", meter_reading, sim_publish_ts, seq from deliveries qualify row_number() over (partition by building_id, meter_type, "timestamp" order by seq desc) = 1""")
 def dedup_last(t: Tables) -> DataFrame:
@@ -367,6 +444,18 @@ def upsert_merge(t: Tables) -> DataFrame:
     return dedup.upsert_merge(old, changed.unionByName(later).unionByName(added), EVENT_KEY, ["sim_publish_ts"])
 
 
+@query(ORACLES["upsert_merge"].removeprefix(_WITH))
+def keyed_runs(t: Tables) -> DataFrame:
+    """The same merges, one by one into a table that is merged on reading."""
+    rows = t.telemetry().select(*EVENT_KEY, "meter_reading", "sim_publish_ts")
+    table = KeyedTable(t.spark, scratch(t.spark, "keyed"), rows.schema, EVENT_KEY, ["sim_publish_ts"], "timestamp", fan=4)
+    changed = rows.where("meter_type = 'view'")
+    later = changed.withColumns({"meter_reading": F.col("meter_reading") + 10, "sim_publish_ts": F.col("sim_publish_ts") + F.expr("interval 5 seconds")})
+    for batch in (rows, changed, later, rows.where("meter_type = 'click'").withColumn("timestamp", F.col("timestamp") + F.expr("interval 8784 hours")), later):
+        table.upsert(batch)
+    return table.read()
+
+
 @query("select building_id, cast(site_id as integer) as site_id, primary_use, square_feet + case when site_id in (2, 3, 5) then 1 else 0 end as square_feet from buildings")
 def upsert_reference(t: Tables) -> DataFrame:
     old = t.buildings().select("building_id", "site_id", "primary_use", "square_feet")
@@ -560,4 +649,22 @@ PANEL_SQL = {
 for _name, _panel in PANELS.items():
     query(PANEL_SQL[_name.removeprefix("panel_")], name=_name)(lambda t, f=_panel: f(t.metrics(), VIEW))
 
+
+
+# --- panels over roll-ups ------------------------------------------------------
+def _rolled(t: Tables) -> Rollups:
+    """Roll-ups of the metrics, brought up to date by three batches."""
+    table = KeyedTable(t.spark, scratch(t.spark, "hourly"), T.StructType([*METRICS.fields, T.StructField("ingested_at", T.TimestampType())]), METRIC_KEY, ["ingested_at"], "window_start")
+    found = Rollups(t.spark, scratch(t.spark, "rollups"), table)
+    rows = t.metrics().select(*table.schema.names).persist()
+    write = found.writer(lambda batch, n: table.upsert(batch))
+    for n in range(3):
+        write(rows.where(F.pmod(F.xxhash64(*METRIC_KEY), F.lit(3)) == n), n)
+    rows.unpersist()
+    return found
+
+
+for _name in ("consumption", "write_rate", "pct_valid", "zero_groups"):
+    query(PANEL_SQL[_name], name=f"rolled_{_name}")(lambda t, n=f"panel_{_name}": routed(_rolled(t), n, VIEW))
+
 __all__ = ["ORACLES", "QUERIES"]

@@ -83,6 +83,10 @@ class SchemaCatalog:
             raise KeyError(f"no schema with id {number}")
         return json.loads(self.schemas[number])
 
+    def all_of(self, name: str) -> dict[int, dict]:
+        """Every version of a schema by its id."""
+        return {number: self.by_id(number) for number in self.versions.get(name, [])}
+
     def register(self, name: str, schema: dict) -> tuple[int, bool]:
         """Find or create a version: its id, and whether it is new. Later versions must follow the rules of governance."""
         from wattline.operators.governance import check_evolution

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wattline.functions import wire
 from wattline.operators.contract import FIELDS, dead_letters, reason_breakdown, sensor_key, validated
 from wattline.operators.dedup import stable_partition
-from wattline.streaming.sinks import Writer
 
+log = logging.getLogger(__name__)
+#: Writes rows of a batch, given its number and the number of rows.
+Writer = Callable[[DataFrame, int, int], None]
 
-def log_rows(events: DataFrame, schema: dict, schema_id: int, partitions: int, batch_id: int) -> DataFrame:
-    """key, partition, offset and framed value of events; a sensor's events share a partition and keep their order."""
+
+def log_rows(events: DataFrame, schema: dict, schema_id: int, partitions: int) -> DataFrame:
+    """key, partition, timestamp and framed value of events; a sensor's events share a partition. The log gives them offsets."""
     keyed = sensor_key(wire.encode_events(events.select(*FIELDS), schema, schema_id)).withColumn("partition", stable_partition(F.col("sensor"), partitions))
-    at = F.row_number().over(Window.partitionBy("partition").orderBy("timestamp", "sensor", "value")) - 1 + F.lit(batch_id << 32)
-    return keyed.select(F.col("sensor").alias("key"), "partition", at.cast("long").alias("offset"), "value")
+    return keyed.select(F.col("sensor").alias("key"), "partition", "timestamp", "value")
 
 
 @dataclass
@@ -43,25 +45,31 @@ class IngestTotals:
             self.reasons[k] = self.reasons.get(k, 0) + n
 
 
-def ingest_writer(to_log: Writer, to_dead_letters: Writer, schema: dict, schema_id: int, totals: IngestTotals | None = None, topic: str = "iot/#", partitions: int = 3, **rules) -> Writer:
+def ingest_writer(to_log: Writer, to_dead_letters: Writer, schema: dict, schema_id: int, totals: IngestTotals | None = None, topic: str = "iot/#", partitions: int = 3, report_every: int = 0, **rules) -> Writer:
     """A ``foreachBatch`` function over payloads: valid ones go to the log, all others, as they came, to the dead letters.
 
     A payload is parsed once. The log is written first; a batch that fails
     between the two writes is replayed, and both writers take the same rows again
-    without harm.
+    without harm. Every ``report_every`` batches the totals are logged.
     """
+    totals = IngestTotals() if totals is None else totals
 
     def write(batch: DataFrame, batch_id: int) -> None:
         checked = validated(batch.withColumn("event_id", F.monotonically_increasing_id()), **rules).persist()
         try:
-            good, bad = checked.where("error is null"), checked.where("error is not null")
-            to_log(log_rows(good, schema, schema_id, partitions, batch_id), batch_id)
-            letters = dead_letters(bad, F.lit(topic), F.unix_millis(F.current_timestamp())).select(F.lit(None).cast("string").alias("key"), "value")
-            to_dead_letters(letters, batch_id)
-            if totals is not None:
-                counts = checked.agg(F.count_if(F.col("error").isNull()).alias("good"), F.count_if(F.col("error").isNotNull()).alias("bad")).first()
-                reasons = {r["reason"]: r["rejected"] for r in reason_breakdown(bad).collect()} if counts["bad"] else {}
-                totals.add(counts["good"], counts["bad"], reasons)
+            counts = {r["bad"]: r["n"] for r in checked.groupBy(F.col("error").isNotNull().alias("bad")).agg(F.count("*").alias("n")).collect()}
+            good, bad = counts.get(False, 0), counts.get(True, 0)
+            if good:
+                to_log(log_rows(checked.where("error is null"), schema, schema_id, partitions), batch_id, good)
+            reasons: dict[str, int] = {}
+            if bad:
+                rejected = checked.where("error is not null")
+                letters = dead_letters(rejected, F.lit(topic), F.unix_millis(F.current_timestamp())).select(F.lit(None).cast("string").alias("key"), F.col("value").cast("binary").alias("value"))
+                to_dead_letters(letters, batch_id, bad)
+                reasons = {r["reason"]: r["rejected"] for r in reason_breakdown(rejected).collect()}
+            totals.add(good, bad, reasons)
+            if report_every and (batch_id + 1) % report_every == 0:
+                log.info("received %d, published %d, rejected %d, lost %d", totals.received, totals.published, totals.rejected, totals.lost)
         finally:
             checked.unpersist()
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import threading
 import time
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -15,7 +17,8 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from wattline.operators.enrich import enrich, orphan_summary
 from wattline.operators.metrics import raw_events, windowed_metrics
-from wattline.schemas import LOG, PROGRESS
+from wattline.schemas import PROGRESS
+from wattline.sources.log import FORMAT, register
 
 log = logging.getLogger(__name__)
 
@@ -36,7 +39,11 @@ class JobOptions:
     shuffle_partitions: int = 8
     max_restarts: int = 3
     supervise_every_s: float = 5.0
+    #: Seconds between two writes of progress rows, and flushes between two looks for orphans.
+    progress_every_s: float = 60.0
     orphan_check_every: int = 30
+    write_attempts: int = 5
+    write_wait_s: float = 3.0
     run_id: str = field(default_factory=lambda: datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%SZ"))
 
     def __post_init__(self):
@@ -57,9 +64,20 @@ def kafka_source(spark: SparkSession, servers: str, topic: str, options: JobOpti
     return read.load().select(F.col("key").cast("string").alias("key"), "partition", "offset", "value")
 
 
-def file_log_source(spark: SparkSession, path: str, files_per_trigger: int = 1, schema=LOG) -> DataFrame:
-    """A log kept as Parquet files, as a stream: one or more files a trigger, in the order of their times."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).parquet(path)
+def log_source(spark: SparkSession, path: str, options: JobOptions | None = None) -> Callable[[str], DataFrame]:
+    """For the name of a query, the log in a folder as a stream of its own: in the order of commits, bounded a trigger, failing on lost offsets.
+
+    Each query keeps its position under a group named after itself and its checkpoint.
+    """
+    options = options or JobOptions()
+    register(spark)
+
+    def stream(query: str) -> DataFrame:
+        group = f"{query}-{zlib.crc32(options.checkpoint_dir.encode()):08x}"
+        read = spark.readStream.format(FORMAT).option("path", path).option("group", group).option("maxOffsetsPerTrigger", options.max_per_trigger)
+        return read.option("startingOffsets", options.starting_offsets).option("failOnDataLoss", str(options.fail_on_data_loss).lower()).load()
+
+    return stream
 
 
 def json_lines_source(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -68,19 +86,43 @@ def json_lines_source(spark: SparkSession, path: str, files_per_trigger: int = 1
 
 
 def _start(df: DataFrame, name: str, write: Callable[[DataFrame, int], None], options: JobOptions):
+    """A running query. Without a trigger it is one that ends when it has read what there is, in batches of bounded size.
+
+    Python sources have no bounded batches under Spark's own trigger for that, so
+    the query runs on and is stopped once it has nothing left to do.
+    """
     writer = df.writeStream.queryName(name).outputMode("append").option("checkpointLocation", f"{options.checkpoint_dir}/{name}").foreachBatch(write)
-    writer = writer.trigger(availableNow=True) if options.trigger is None else writer.trigger(processingTime=options.trigger)
-    return writer.start()
+    if options.trigger is not None:
+        return writer.trigger(processingTime=options.trigger).start()
+    query = writer.trigger(processingTime="0 seconds").start()
+
+    def end() -> None:
+        try:
+            query.processAllAvailable()
+            query.stop()
+        except Exception as error:  # the supervisor sees the query's own error
+            log.debug("%s ended: %s", name, error)
 
+    threading.Thread(target=end, daemon=True).start()
+    return query
 
-def query_starters(events: DataFrame, buildings: DataFrame, baseline: DataFrame, writers: dict[str, Callable], options: JobOptions) -> dict[str, Callable]:
-    """For each chosen sink a function that starts its query, with a checkpoint and a name of its own."""
+
+Source = DataFrame | Callable[[str], DataFrame]
+
+
+def query_starters(events: Source, buildings: DataFrame, baseline: DataFrame, writers: dict[str, Callable], options: JobOptions) -> dict[str, Callable]:
+    """For each chosen sink a function that starts its query, with a checkpoint and a name of its own.
+
+    ``events`` is a stream, or tells one for the name of a query.
+    """
     found = {}
+    of = (lambda name: events) if isinstance(events, DataFrame) else events
     if options.sink in ("both", "metrics"):
-        metrics = windowed_metrics(enrich(events, buildings, baseline), options.window, options.watermark, options.future_margin_s)
+        metrics = windowed_metrics(enrich(of("metrics"), buildings, baseline), options.window, options.watermark, options.future_margin_s)
         found["metrics"] = lambda: _start(metrics, "metrics", writers["metrics"], options)
     if options.sink in ("both", "events"):
-        found["events"] = lambda: _start(raw_events(events), "events", writers["events"], options)
+        raw = raw_events(of("events"))
+        found["events"] = lambda: _start(raw, "events", writers["events"], options)
     return found
 
 
@@ -173,7 +215,8 @@ class Invariants:
 class ProgressRecorder(StreamingQueryListener):
     """Keeps every report until a flush hands it to the progress table; a failed flush keeps it for the next one."""
 
-    def __init__(self, run_id: str, write: Callable[[list[dict]], None], warn: Callable[[str], None] = log.warning, lag: Callable[[str], int | None] | None = None):
+    def __init__(self, run_id: str, write: Callable[[list[dict]], None], warn: Callable[[str], None] = log.warning, lag: Callable[[dict], int | None] | None = None):
+        """``lag`` tells how many records wait beyond the position in a report, for sources that don't report it."""
         super().__init__()
         self.run_id, self.write, self.warn, self.lag = run_id, write, warn, lag
         self.pending: list[dict] = []
@@ -186,12 +229,19 @@ class ProgressRecorder(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         row = progress_row(event.progress, self.run_id)
         if row["offsets_behind"] is None and self.lag is not None:
-            row["offsets_behind"] = self.lag(row["query_name"])
+            row["offsets_behind"] = self._behind(event.progress)
         with self.lock:
             self.pending.append(row)
         for text in self.invariants.check(row):
             self.warn(text)
 
+    def _behind(self, report) -> int | None:
+        try:
+            return self.lag(json.loads(report.sources[0].endOffset))
+        except Exception:  # a report without a position, or a log that is out of reach: not known
+            log.debug("the lag of %s is not known", report.name, exc_info=True)
+            return None
+
     def onQueryIdle(self, event) -> None:
         pass
 
