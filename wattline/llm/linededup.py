@@ -56,16 +56,18 @@ def _line_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 def _distinct(words: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct word hashes of each line, sorted, and their lines; ``line`` does not fall."""
-    key = (line.astype(U64) << U64(32)) | (words >> U64(32))
-    by = np.argsort(key)
-    key, found = key[by], words[by]
-    same = key[1:] == key[:-1]
-    if (same & (found[1:] != found[:-1])).any():  # words of one line that share their upper halves
+    by = np.argsort((line.astype(U64) << U64(32)) | (words >> U64(32)))
+    found, at = words[by], line[by]
+    new = np.ones(len(by), dtype=bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    new[1:] |= at[1:] != at[:-1]
+    kept = found[new]
+    if ((kept[1:] >> U64(32)) == (kept[:-1] >> U64(32))).any():  # perhaps words of one line that share their upper halves
         by = np.lexsort((words, line))
-        found = words[by]
-        same = (line[by][1:] == line[by][:-1]) & (found[1:] == found[:-1])
-    keep = np.concatenate(([True], ~same))
-    return found[keep], line[by[keep]]
+        found, at = words[by], line[by]
+        new[1:] = (found[1:] != found[:-1]) | (at[1:] != at[:-1])
+        kept = found[new]
+    return kept, at[new]
 
 
 def _parts(docs: np.ndarray, texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array, int]]:
@@ -97,13 +99,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rests on all 64 bits. The partition's word counts, by hash bucket, come at the end.
     """
     names, kinds = ["n", "heads", "tokens", "chunk", "counts"], [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
-    totals = np.zeros(1 << RARITY_BITS, np.int64)
+    totals, waiting, held = np.zeros(1 << RARITY_BITS, np.int64), [], 0
     for batch in batches:
         for docs, texts, first_line in _parts(np.asarray(batch.column("doc")), as_array(batch.column("text"))):
             words, line, text, number = _line_words(texts)
             if len(text) == 0:
                 continue
-            totals += np.bincount((words >> U64(64 - RARITY_BITS)).astype(np.int64), minlength=len(totals))
+            waiting.append((words >> U64(64 - RARITY_BITS)).astype(np.int32))
+            held += len(words)
+            if held > len(totals):
+                totals += np.bincount(np.concatenate(waiting), minlength=len(totals))
+                waiting, held = [], 0
             words, k = _distinct(words, line)
             token = (words >> U64(32)).astype(np.uint32)
             firsts = np.searchsorted(k, np.arange(len(text)))
@@ -113,6 +119,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             heads = (docs[text], (number + first_line).astype(np.uint32), np.diff(np.append(firsts, len(k))).astype(np.uint32), np.add.reduceat(hashed, firsts), bits, bits2)
             row = [len(text), b"".join(np.ascontiguousarray(h).tobytes() for h in heads), token.tobytes(), None, None]
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
+    totals += np.bincount(np.concatenate([np.zeros(0, np.int32), *waiting]), minlength=len(totals))
     rows = [[None, None, None, i, block(c)] for i, c in enumerate(np.split(totals, CHUNKS)) if c.any()]
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=names)
 
