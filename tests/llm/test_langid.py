@@ -87,3 +87,18 @@ def test_commonest_languages_are_learned(spark):
     rows = [(i, f"text {i}", f"l{min(i, 900 - i) % 40}") for i in range(900)]
     langs, prior, table = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=5)
     assert len(langs) == 5 == table.shape[1] and abs(np.exp(prior).sum() - 1) < 1e-9
+
+
+def test_many_languages(spark):
+    """All of 600 values are learned, with fewer buckets for each where the model would grow beyond its bound."""
+    from wattline.llm import langid
+
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(2 * k + j, f"{letters[k % 26]}{letters[k // 26]}{letters[(7 * k) % 26]} " * 9, f"l{k:04d}") for k in range(600) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, prior, table = langid.train(docs)
+    assert len(langs) == len(prior) == 600 and table.shape == (1 << 15, 600) and table.size <= 1 << langid.MODEL_BITS
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.identify_language(docs).collect()}
+    known = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    right = [out[i] == lang for i, _, lang in rows if lang in known]
+    assert np.mean(right) > 0.95 and len(set(out.values())) > 500

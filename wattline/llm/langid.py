@@ -14,6 +14,10 @@ from wattline.llm.runtime import held_out, lean, session_of, ship, spare, unit_h
 from wattline.llm.textkit import as_array, buffers, parts
 
 UNDETERMINED = "und"
+#: More values of lang than there are languages; beyond them, further ones are not learned.
+MOST_LANGS = 8192
+#: Floats in the model: with more than 1,024 languages there are fewer buckets for each.
+MODEL_BITS = 25
 #: ASCII characters that are no letters: n-grams never reach over them, so a text can be cut there.
 NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
 _LETTER: list[np.ndarray] = []
@@ -85,10 +89,10 @@ def _count(batches: Iterator[pa.RecordBatch], orders: tuple[int, ...], bits: int
         yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c.tobytes() for c in counts.values()], pa.binary())], names=["lang", "counts"])
 
 
-def train(labelled: DataFrame, max_rows: int = 20_000, orders: tuple[int, ...] = (2, 3), bits: int = 15, smoothing: float = 0.5, most_langs: int = 256) -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(labelled: DataFrame, max_rows: int = 20_000, orders: tuple[int, ...] = (2, 3), bits: int = 15, smoothing: float = 0.5, most_langs: int = MOST_LANGS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log priors and the matrix of log probabilities (buckets x languages).
 
-    ``labelled`` has columns doc_id, lang (not null) and text. The ``most_langs``
+    With very many languages there are fewer than ``2**bits`` buckets (``MODEL_BITS``). ``labelled`` has columns doc_id, lang (not null) and text. The ``most_langs``
     commonest values of lang, ties in alphabetical order, are learned. About
     ``max_rows`` rows (the same number of each language where there are enough)
     are fitted on, chosen by a hash of id and text, repeats of a row once; the
@@ -101,8 +105,9 @@ def train(labelled: DataFrame, max_rows: int = 20_000, orders: tuple[int, ...] =
     if not langs:
         return [], np.zeros(0), np.zeros((1 << bits, 0), np.float32)
     share = max_rows / len(langs)
-    rate = F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(share / v))])
-    drawn = labelled.where(unit_hash("doc_id", "text", salt=4) < F.try_element_at(rate, F.col("lang"))).select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang", "text"]).select("lang", "text")
+    bits = min(bits, MODEL_BITS - (len(langs) - 1).bit_length())
+    rates = spark.createDataFrame([(k, share / v) for k, v in totals.items()], "lang string, rate double")  # ``most_langs`` rows
+    drawn = labelled.join(F.broadcast(rates), "lang").where(unit_hash("doc_id", "text", salt=4) < F.col("rate")).select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang", "text"]).select("lang", "text")
     counts = {x: np.zeros(1 << bits, np.int64) for x in langs}
     for r in drawn.mapInArrow(lambda it: _count(it, orders, bits), "lang string, counts binary").toLocalIterator():
         counts[r["lang"]] += np.frombuffer(r["counts"], np.int64)
@@ -111,9 +116,9 @@ def train(labelled: DataFrame, max_rows: int = 20_000, orders: tuple[int, ...] =
     return langs, prior, table.astype(np.float32)
 
 
-def _score(texts: pa.Array, langs: list[str], prior: np.ndarray, table: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _score(texts: pa.Array, langs: list[str], prior: np.ndarray, table: np.ndarray, orders: tuple[int, ...]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language and its posterior for every text, and whether it has a letter."""
-    n, width = len(texts), len(langs)
+    n, width, bits = len(texts), len(langs), len(table).bit_length() - 1
     total, seen = np.zeros((n, width)), np.zeros(n, np.int64)
     for a, b, part in parts(texts, NO_LETTERS):
         for bucket, firsts in ngram_buckets(part, orders, bits):
@@ -135,14 +140,14 @@ def _score(texts: pa.Array, langs: list[str], prior: np.ndarray, table: np.ndarr
     return [langs[k] if s else UNDETERMINED for k, s in zip(best, seen)], np.where(seen > 0, p[np.arange(n), best], 0.0), seen > 0
 
 
-def with_language(docs: DataFrame, max_rows: int = 20_000, orders: tuple[int, ...] = (2, 3), bits: int = 15, most_langs: int = 256) -> DataFrame:
+def with_language(docs: DataFrame, max_rows: int = 20_000, orders: tuple[int, ...] = (2, 3), bits: int = 15, most_langs: int = MOST_LANGS) -> DataFrame:
     """``docs`` with the columns lang_pred, score and has_letters, in place of any of these names.
 
     Learns from text and non-null lang of documents that are not held out (the
     quarter whose crc32 of the id as text leaves 2 on division by 4); a
     prediction looks at nothing but the text, and no other column leaves the JVM.
     ``score`` is the posterior of the predicted language. The broadcast model
-    holds ``2**bits`` floats for each of ``most_langs`` languages at the most.
+    holds ``2**bits`` floats for each language, ``2**MODEL_BITS`` at the most.
 
     A null text, a text without letters, and any text when nothing could be
     learned give ``und`` with score 0; ties go to the first language in
@@ -161,7 +166,7 @@ def with_language(docs: DataFrame, max_rows: int = 20_000, orders: tuple[int, ..
     @lean
     def told(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in columns:
-            pred, score, letters = _score(as_array(texts), *model.value, orders, bits)
+            pred, score, letters = _score(as_array(texts), *model.value, orders)
             yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(letters)], names=["lang_pred", "score", "has_letters"])
 
     docs = docs.drop("lang_pred", "score", "has_letters")
