@@ -237,6 +237,18 @@ def test_replay_keeps_pace_and_order(spark, prepared, tmp_path):
         assert times == sorted(times)
 
 
+def test_replay_gives_up_when_it_is_too_late(spark, prepared, tmp_path):
+    """A clock that runs away: the replay ends once a slice is later than allowed."""
+    now = [0.0]
+
+    def clock():
+        now[0] += 20.0
+        return now[0]
+
+    with pytest.raises(RuntimeError, match="late, more than 30 s"):
+        replay(spark.read.parquet(prepared["telemetry"]), str(tmp_path / "out"), speedup=3600.0, sensors=2, limit=40, slice_s=5.0, max_lag_s=30.0, clock=clock, sleep=lambda s: None)
+
+
 def test_poison_does_not_stop_the_windows(spark, prepared, payloads, tmp_path):
     poison(spark, payloads, 10, "bad/ahead")
     totals = run_ingest(spark, payloads, str(tmp_path / "log"), str(tmp_path / "dead"), str(tmp_path / "ck"), avro_schema(), 1)

@@ -18,11 +18,12 @@ from wattline.operators.metrics import METRICS
 from wattline.plans import kpi
 from wattline.plans.panels import PANELS, View
 from wattline.plans.rollups import Rollups, routed
-from wattline.schemas import EVENT_KEY, METRIC_KEY, PROGRESS_KEY, SENSOR_KEY, avro_schema
+from wattline.schemas import BUILDINGS, EVENT_KEY, METRIC_KEY, PROGRESS_KEY, SENSOR_KEY, avro_schema
 from wattline.sources.fixtures import AS_OF, DOMAIN, Tables
 from wattline.sources.log import append_log, read_log
-from wattline.sources.readers import row_counts
+from wattline.sources.readers import read_any, row_counts
 from wattline.streaming import ingest, job
+from wattline.streaming.runs import FOUND, zero_runs_stream
 from wattline.streaming.runtime import JobOptions, log_source
 from wattline.streaming.sinks import KeyedTable
 
@@ -138,6 +139,22 @@ def log_partitioning(t: Tables) -> DataFrame:
     return t.log().groupBy("key", "partition").agg(F.count("*").alias("records"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"))
 
 
+@query("select building_id, site_id, primary_use, cast(square_feet as integer) as square_feet, year_built, floor_count from buildings")
+def scan_csv(t: Tables) -> DataFrame:
+    """The dimension as CSV files, read by their extension and the declared schema."""
+    path = f"{scratch(t.spark, 'dimension')}.csv"
+    t.buildings().withColumn("square_feet", F.col("square_feet").cast("int")).select(*BUILDINGS.fieldNames()).write.option("header", True).csv(path)
+    return read_any(t.spark, path, BUILDINGS)
+
+
+@query("""select 'telemetry' as table_name, count(*) as row_count from telemetry where building_id in (select building_id from buildings where site_id in (2, 3, 5)) union all select 'buildings', count(*) from buildings where site_id in (2, 3, 5)
+    union all select 'baseline', count(*) from (select distinct building_id, meter_type from telemetry where building_id in (select building_id from buildings where site_id in (2, 3, 5)))""")
+def prepared_tables(t: Tables) -> DataFrame:
+    """The three prepared tables, written and read again."""
+    written = prepare.write_prepared(*prepare.prepare(t.train(), t.metadata(), [2, 3, 5], dict(enumerate(DOMAIN))), scratch(t.spark, "prepared"))
+    return row_counts({name: t.spark.read.parquet(path) for name, path in written.items()})
+
+
 # --- wire and contract -------------------------------------------------------
 def _valid_schema() -> dict:
     schema = avro_schema()
@@ -356,19 +373,56 @@ def log_round_trip(t: Tables) -> DataFrame:
     )
 
 
-@query("""select window_start, window_end, site_id, primary_use, meter_type, event_count, sum_reading from metrics where window_end <= (select date_trunc('milliseconds', max("timestamp")) - interval 2 minute from enriched where site_id is not null)""")
-def streamed_windows(t: Tables) -> DataFrame:
-    """The metrics table after the whole job has read the log, a commit a batch: every closed window with all of its events.
-
-    Events of unknown buildings do not move the watermark.
-    """
+def _job_tables(t: Tables) -> job.Tables:
+    """The tables after the whole job has read the log, a commit a batch."""
     tables = job.Tables.at(t.spark, scratch(t.spark, "tables"))
     tables.create()
     job.load_references(tables, t.buildings(), t.baseline())
     options = JobOptions(trigger=None, checkpoint_dir=scratch(t.spark, "job"), supervise_every_s=0.2, max_per_trigger=1)
     if job.run_job(t.spark, log_source(t.spark, _written_log(t), options), tables, _valid_schema(), 7, options):
         raise RuntimeError("a query of the job was given up")
-    return tables.metrics.read().select("window_start", "window_end", "site_id", "primary_use", "meter_type", "event_count", "sum_reading")
+    return tables
+
+
+@query("""select window_start, window_end, site_id, primary_use, meter_type, event_count, sum_reading from metrics where window_end <= (select date_trunc('milliseconds', max("timestamp")) - interval 2 minute from enriched where site_id is not null)""")
+def streamed_windows(t: Tables) -> DataFrame:
+    """The metrics table after the whole job has read the log, a commit a batch: every closed window with all of its events.
+
+    Events of unknown buildings do not move the watermark.
+    """
+    return _job_tables(t).metrics.read().select("window_start", "window_end", "site_id", "primary_use", "meter_type", "event_count", "sum_reading")
+
+
+@query("""select building_id, meter_type, date_trunc('milliseconds', "timestamp") as event_time, meter_reading, date_trunc('milliseconds', sim_publish_ts) as sim_publish_ts from telemetry
+    qualify row_number() over (partition by building_id, meter_type, date_trunc('milliseconds', "timestamp") order by sim_publish_ts desc, meter_reading desc) = 1""")
+def streamed_events(t: Tables) -> DataFrame:
+    """The events table after the whole job."""
+    return _job_tables(t).events.read().drop("ingested_at")
+
+
+@query("""select query_name, cast(4 as bigint) as batches, (select count(*) from telemetry) as input_rows from (values ('events'), ('metrics')) as q(query_name)""")
+def streamed_progress(t: Tables) -> DataFrame:
+    """What the progress table has after the whole job: a batch a commit in either query, with all records."""
+    rows = _job_tables(t).progress.read().where("num_input_rows > 0")
+    return rows.groupBy("query_name").agg(F.count("*").alias("batches"), F.sum("num_input_rows").alias("input_rows"))
+
+
+@query(""", with_runs as (select building_id, meter_type, date_trunc('milliseconds', "timestamp") as moment, meter_reading, sum(case when meter_reading = 0 then 0 else 1 end) over (partition by building_id, meter_type order by "timestamp") as run from telemetry),
+    ends as (select building_id, meter_type, run, min(moment) as first_other from with_runs where meter_reading <> 0 group by all),
+    found as (select building_id, meter_type, run, min(moment) as run_start, max(moment) as run_end, count(*) as readings from with_runs where meter_reading = 0 group by all having count(*) >= 2)
+    select f.building_id, f.meter_type, run_start, run_end, readings from found f join ends e on e.building_id = f.building_id and e.meter_type = f.meter_type and e.run = f.run + 1
+    where first_other < (select date_trunc('milliseconds', max("timestamp")) - interval 2 minute from telemetry)""")
+def streamed_zero_runs(t: Tables) -> DataFrame:
+    """Runs of zeros out of keyed state, over the log as a stream: those that another reading has ended before the watermark."""
+    out, options = scratch(t.spark, "runs"), JobOptions(checkpoint_dir=scratch(t.spark, "state"), max_per_trigger=1)
+    live = wire.decode_events(log_source(t.spark, _written_log(t), options)("runs"), _valid_schema(), 7)
+    found = zero_runs_stream(live, idle_s=400 * 86_400.0)
+    query = found.writeStream.option("checkpointLocation", f"{options.checkpoint_dir}/runs").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return t.spark.read.schema(FOUND).parquet(f"{out}/*")
 
 
 # --- metrics -----------------------------------------------------------------
