@@ -7,6 +7,7 @@ import functools
 import gc
 import os
 import tempfile
+import time
 import uuid
 import weakref
 import zipfile
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 _SHIPPED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _TUNED: list[bool] = []
+RELEASE_S = 1.5
+_RELEASED = [0.0]
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -81,9 +84,12 @@ def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nobody holds any more."""
+    """Let Spark delete the shuffle files of plans that nobody holds any more; at most every ``RELEASE_S`` seconds, as small steps leave little behind."""
+    if time.monotonic() - _RELEASED[0] < RELEASE_S:
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _RELEASED[0] = time.monotonic()
 
 
 def _shared_folder(spark: SparkSession) -> str:

@@ -14,6 +14,8 @@ from wattline.llm.runtime import lean, ship, spare, task_count, unit_hash, with_
 from wattline.llm.textkit import as_array, buffers, mix, slices, span_hash
 
 U64 = np.uint64
+#: Text whose chunks meet in one bucket: their digests and places take somewhat more.
+BUCKET_BYTES = 64 << 20
 GEAR = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
@@ -223,9 +225,8 @@ def _merge(texts: pa.Array, marks: list, bits: int, longest: int, least: int) ->
     return spans, repeated, chunks, kept
 
 
-def _common(narrow: DataFrame, bits: int, longest: int, sample: int, least: int) -> np.ndarray:
+def _common(narrow: DataFrame, bits: int, longest: int, sample: int, least: int, n: int) -> np.ndarray:
     """Digests that at least ``least`` of about ``sample`` documents have, sorted: they are few, and hold the largest groups."""
-    n = narrow.count()
     drawn = narrow.where(unit_hash("doc", salt=7) * max(n, 1) < sample)
     found = drawn.dropDuplicates(["doc"]).mapInArrow(lambda it: _digests(it, bits, longest), "digest long").groupBy("digest").count().where(F.col("count") >= least).select("digest").toPandas()
     return np.sort(found["digest"].to_numpy(np.int64).view(U64))
@@ -246,7 +247,8 @@ def dedup_substrings(docs: DataFrame, bits: int = 4, longest: int = 512, least_b
     elsewhere, first copies included, and ``chunks`` the number of chunks.
     ``n_chars``, where there is one, is brought up to date.
 
-    Chunks meet in buckets of digests. Digests that ``least`` of about ``sample``
+    Chunks meet in buckets of digests, of about ``BUCKET_BYTES`` of text each at the
+    most. Digests that ``least`` of about ``sample``
     documents have, which are few whatever the input, are broadcast: their chunks
     are known to be repeated and only their first places still have to meet.
 
@@ -260,11 +262,12 @@ def dedup_substrings(docs: DataFrame, bits: int = 4, longest: int = 512, least_b
     spark = docs.sparkSession
     ship(spark)
     docs = docs.drop("spans", "repeated_bytes", "chunks")
-    buckets = 4 * task_count(spark)
     key, doc, marked, cut = spare([*docs.columns, "doc", "marks"], "_key", "_doc", "_marks", "_cut")
     rows = with_key(docs, key)
     narrow = rows.select(F.col(key).alias("doc"), "text")
-    common = spark.sparkContext.broadcast(_common(narrow, bits, longest, sample, least))
+    n, size = narrow.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    buckets = max(4 * task_count(spark), -(-(size or 0) // BUCKET_BYTES))
+    common = spark.sparkContext.broadcast(_common(narrow, bits, longest, sample, least, n))
     dealt = narrow.mapInArrow(lambda it: _deal(it, buckets, bits, longest, common.value), "bucket int, rows binary")
     found = dealt.groupBy("bucket").applyInArrow(_repeated, "doc long, marks binary")
     marks = found.groupBy("doc").agg(F.collect_list("marks").alias(marked)).withColumnRenamed("doc", doc)
