@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattline.functions.quantiles import merged_sketch, sketched_percentile, value_sketch
 from wattline.schemas import METER_CODES, SENSOR_KEY
 
 
@@ -21,6 +22,20 @@ def sensor_baseline(telemetry: DataFrame) -> DataFrame:
     return q.select(*SENSOR_KEY, *[c.alias(k) for k, c in p.items()], (F.col("q")[2] - F.col("q")[0]).alias("baseline_iqr"))
 
 
+def sensor_sketches(telemetry: DataFrame, window: str = "1 day") -> DataFrame:
+    """By sensor and window, a sketch of its readings: what a baseline is updated from without reading its history again."""
+    found = telemetry.groupBy(*SENSOR_KEY, F.window("timestamp", window).alias("w")).agg(F.count("*").alias("event_count"), value_sketch(F.col("meter_reading")).alias("readings"))
+    return found.select(*SENSOR_KEY, F.col("w.start").alias("window_start"), "event_count", "readings")
+
+
+def sketched_baseline(sketches: DataFrame) -> DataFrame:
+    """The baseline out of sketches of any windows: quartiles within the sketch's rank error, readings themselves rather than between two."""
+    merged = sketches.groupBy(*SENSOR_KEY).agg(merged_sketch("readings").alias("readings"))
+    quartiles = {f"baseline_p{n}": sketched_percentile(F.col("readings"), n / 100) for n in (25, 50, 75)}
+    found = merged.select(*SENSOR_KEY, *[c.alias(k) for k, c in quartiles.items()])
+    return found.withColumn("baseline_iqr", F.col("baseline_p75") - F.col("baseline_p25"))
+
+
 def prepare(train: DataFrame, metadata: DataFrame, sites: list[int], codes: dict[int, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Raw readings and metadata of the chosen sites as (telemetry, buildings, baseline); zeros are kept."""
     chosen = metadata.where(F.col("site_id").isin(*sites))

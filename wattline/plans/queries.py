@@ -477,6 +477,31 @@ def sketched_days(t: Tables) -> DataFrame:
     return told.select("window_start", "meter_type", "event_count", distinct.alias("distinct_within"), reduce(lambda a, b: a & b, inside).alias("ranks_within"))
 
 
+def _holds_rank(value: str, estimate: str, share: float):
+    """An aggregate: is the estimate's rank among the values within the sketch's error of the share, or one value of it."""
+    n = F.count(value)
+    return (F.count_if(F.col(value) < F.col(estimate)) <= (share + KLL_ERROR) * n + 1) & (F.count_if(F.col(value) <= F.col(estimate)) >= (share - KLL_ERROR) * n - 1)
+
+
+@query("select building_id, meter_type, count(*) as readings, true as ranks_within from telemetry group by 1, 2")
+def sketched_baseline(t: Tables) -> DataFrame:
+    """Baselines merged from sketches of days, held against the sensors' readings."""
+    found = prepare.sketched_baseline(prepare.sensor_sketches(t.telemetry()))
+    both = t.telemetry().join(found, SENSOR_KEY)
+    inside = reduce(lambda a, b: a & b, [_holds_rank("meter_reading", f"baseline_p{n}", n / 100) for n in (25, 50, 75)])
+    return both.groupBy(*SENSOR_KEY).agg(F.count("*").alias("readings"), inside.alias("ranks_within"))
+
+
+@query("select count(*) as events, count(*) as measured, max(epoch_us(ingested_at) - epoch_us(sim_publish_ts)) / 1e6::double as latency_max_s, cast(0 as bigint) as negative, true as ranks_within from telemetry")
+def kpi_latency_sketched(t: Tables) -> DataFrame:
+    """Ingest latency in one pass, held against the events."""
+    found = kpi.sketched_latency(t.telemetry())
+    s = (F.unix_micros("ingested_at") - F.unix_micros("sim_publish_ts")) / F.lit(1e6)
+    both = t.telemetry().select(s.alias("s")).join(F.broadcast(found))  # one row
+    inside = _holds_rank("s", "latency_p50_s", 0.5) & _holds_rank("s", "latency_p95_s", 0.95)
+    return both.groupBy("events", "measured", "latency_max_s", "negative").agg(inside.alias("ranks_within"))
+
+
 # --- keys --------------------------------------------------------------------
 @query("""select building_id, meter_type, "timestamp", meter_reading, sim_publish_ts, seq from deliveries qualify row_number() over (partition by building_id, meter_type, "timestamp" order by seq desc) = 1""")
 def dedup_last(t: Tables) -> DataFrame:
