@@ -17,6 +17,7 @@ from wattline.operators.metrics import closed_windows
 from wattline.operators.prepare import prepare, write_prepared
 from wattline.plans.kpi import TARGETS, measured, panel_times, progress_of, report
 from wattline.plans.panels import PANELS, View
+from wattline.plans.rollups import Rollups
 from wattline.schemas import METER_CODES, PROGRESS, avro_schema
 from wattline.sources.log import LogFolder, append_log, read_log, records_behind
 from wattline.streaming.drills import ladder, poison, same_tables
@@ -281,11 +282,14 @@ def test_command_line(spark, prepared, payloads, tmp_path, capsys):
     assert main(["register", at["catalog.json"]]) == 0 and json.loads(capsys.readouterr().out) == {"id": 1, "new": False}
     assert main(["ingest", payloads, at["log"], at["dead"], "--catalog", at["catalog.json"], "--checkpoint", at["ck"] + "/i"]) == 0
     assert json.loads(capsys.readouterr().out)["published"] == 360
-    assert main(["stream", at["log"], at["tables"], "--catalog", at["catalog.json"], "--dimension", prepared["buildings"], "--baseline", prepared["baseline"], "--checkpoint", at["ck"] + "/s", "--once", "--supervise-every", "0.2", "--progress-every", "1", "--database", f"sqlite3:{tmp_path}/x.db"]) == 0
+    assert main(["stream", at["log"], at["tables"], "--catalog", at["catalog.json"], "--dimension", prepared["buildings"], "--baseline", prepared["baseline"], "--checkpoint", at["ck"] + "/s", "--once", "--supervise-every", "0.2", "--progress-every", "1", "--rollups", "--database", f"sqlite3:{tmp_path}/x.db"]) == 0
     capsys.readouterr()
     with sqlite3.connect(tmp_path / "x.db") as db:
         assert db.execute("select count(*) from events").fetchone()[0] == 360 and db.execute("select count(*) from metrics").fetchone()[0] > 20
-    assert main(["report", at["tables"], "--published", "360", "--valid", "360", "--rejected", "0"]) == 0
+    tables = Tables.at(spark, at["tables"])
+    days = Rollups(spark, f"{at['tables']}/rollups", tables.metrics).read("day")
+    assert days.agg(F.sum("windows"), F.sum("event_count")).first() == tables.metrics.read().agg(F.count("*"), F.sum("event_count")).first()
+    assert main(["report", at["tables"], "--published", "360", "--valid", "360", "--rejected", "0", "--panels", "--rollups", "--from", "2024-01-01 00:00:00", "--to", "2024-01-02 00:00:00"]) == 0
     assert "| loss_pct | 0 |" in capsys.readouterr().out
     assert main(["failover", at["log"], str(tmp_path / "again"), "--catalog", at["catalog.json"], "--checkpoint", at["ck"] + "/f", "--max-per-trigger", "100", "--seconds", "90"]) == 0
     found = json.loads(capsys.readouterr().out)

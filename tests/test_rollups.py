@@ -23,14 +23,15 @@ def rollups(spark, tmp_path_factory):
     top = tmp_path_factory.mktemp("rollups")
     table = KeyedTable(spark, str(top / "hours"), SCHEMA, METRIC_KEY, ["ingested_at"], "window_start")
     found = Rollups(spark, str(top / "up"), table)
-    write = found.writer(lambda batch, n: table.upsert(batch))
     rows = []
     for h in range(24 * 6):
         for site in (1, 2):
             n, at = rng.randrange(1, 9), T0 + timedelta(hours=h)
             rows.append((at, at + timedelta(hours=1), site, "Office", rng.choice(["steam", "electricity"]), n, 1, 1.0, float(n), 10.0 * n, 100.0 * n, n // 4, n // 8, at, 0.1, at))
     for n, part in enumerate((rows[:100], rows[100:250], rows[250:], rows[40:60])):  # the last batch comes twice
-        write(spark.createDataFrame(part, SCHEMA), n)
+        batch = spark.createDataFrame(part, SCHEMA)
+        table.upsert(batch)
+        found.follow(batch, n)
     return found
 
 

@@ -9,17 +9,18 @@ import sys
 import time
 from functools import partial
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattline.operators.prepare import prepare, write_prepared
 from wattline.plans.kpi import measured, panel_times, report
-from wattline.plans.panels import View
+from wattline.plans.panels import PANELS, View
+from wattline.plans.rollups import Rollups, routed
 from wattline.schemas import RAW_READINGS, avro_schema
 from wattline.sources.log import records_behind
 from wattline.sources.readers import SchemaCatalog, load_reference, read_any, read_excel
 from wattline.streaming.drills import failover, ladder, poison, same_tables
-from wattline.streaming.job import Tables, load_references, run_ingest, run_job
+from wattline.streaming.job import Tables, both, load_references, run_ingest, run_job
 from wattline.streaming.replay import replay
 from wattline.streaming.reset import reset_state
 from wattline.streaming.runtime import JobOptions, kafka_source, log_source
@@ -38,6 +39,10 @@ def _connect(module: str, address: str):
     return importlib.import_module(module).connect(address)
 
 
+def _routed(rollups: Rollups, name: str, metrics: DataFrame, view: View) -> DataFrame:
+    return routed(rollups, name, view)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="python -m wattline", description="Analytics on metered telemetry.")
     top.add_argument("--shuffle-partitions", type=int, default=8)
@@ -106,6 +111,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--write-attempts", type=int, default=5)
     p.add_argument("--write-wait", type=float, default=3.0)
     p.add_argument("--run-id")
+    p.add_argument("--rollups", action="store_true", help="keep roll-ups of the metrics beside the tables")
     p.add_argument("--database", help="module:address of a DB-API database that gets metrics and events too")
 
     p = commands.add_parser("failover", help="stop each query of a running job from outside; how soon it is back, and is anything lost")
@@ -124,6 +130,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--rejected", type=int)
     p.add_argument("--panels", action="store_true", help="time the dashboard's panels too")
     p.add_argument("--run-id", help="the run whose batches count; without it the last one")
+    p.add_argument("--rollups", action="store_true", help="time the panels on the roll-ups where they hold the answer")
     p.add_argument("--from", dest="since", help="the panels' range of time")
     p.add_argument("--to", dest="until")
 
@@ -192,6 +199,9 @@ def main(arguments: list[str] | None = None) -> int:
             for name, table in (("metrics", tables.metrics), ("events", tables.events)):
                 ensure_table(connect, name, table.schema, table.keys)
                 also[name] = dbapi_writer(connect, name, table.keys, [c for c in table.order if c != "ingested_at"], attempts=a.write_attempts, wait_s=a.write_wait)
+        if a.rollups:
+            follow = Rollups(spark, f"{a.tables}/rollups", tables.metrics).follow
+            also["metrics"] = both(follow, also["metrics"]) if "metrics" in also else follow
         return run_job(spark, source, tables, schema, number, options, lag=None if broker else lambda at: records_behind(a.log, at), also=also, known=catalog.all_of(NAME))
     elif a.command == "failover":
         number, schema = SchemaCatalog(a.catalog).latest(NAME)
@@ -202,7 +212,11 @@ def main(arguments: list[str] | None = None) -> int:
     elif a.command == "report":
         t = Tables.at(spark, a.tables)
         view = View(**{k: v for k, v in (("start", a.since), ("end", a.until)) if v})
-        panel_s = max(panel_times(t.metrics.read().cache(), view).values()) if a.panels else None
+        panel_s = None
+        if a.panels:
+            rolled = Rollups(spark, f"{a.tables}/rollups", t.metrics) if a.rollups else None
+            panels = {name: partial(_routed, rolled, name) for name in PANELS} if rolled else None
+            panel_s = max(panel_times(t.metrics.read().cache(), view, panels=panels).values())
         print(report(measured(t.events.read(), t.metrics.read(), t.progress.read(), a.valid, a.rejected, a.published, panel_s=panel_s, run_id=a.run_id)))
     elif a.command == "ladder":
         rungs = ladder(spark, read_any(spark, a.telemetry), spark.read.parquet(a.dimension), spark.read.parquet(a.baseline), a.work, a.rungs, a.events)

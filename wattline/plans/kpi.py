@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,14 +142,14 @@ def measured(events: DataFrame, metrics: DataFrame, progress: DataFrame, valid:
     }
 
 
-def panel_times(metrics: DataFrame, view, repeats: int = 2) -> dict[str, float]:
-    """Seconds that each dashboard panel takes over a metrics table, the best of some runs."""
+def panel_times(metrics: DataFrame, view, repeats: int = 2, panels: dict[str, Callable] | None = None) -> dict[str, float]:
+    """Seconds that each dashboard panel takes over a metrics table, the best of some runs; ``panels`` are those of the dashboard, or others."""
     import time
 
     from wattline.plans.panels import PANELS
 
     found = {}
-    for name, panel in PANELS.items():
+    for name, panel in (panels or PANELS).items():
         times = []
         for _ in range(repeats):
             began = time.monotonic()

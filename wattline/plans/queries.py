@@ -736,9 +736,10 @@ def _rolled(t: Tables) -> Rollups:
     table = KeyedTable(t.spark, scratch(t.spark, "hourly"), T.StructType([*METRICS.fields, T.StructField("ingested_at", T.TimestampType())]), METRIC_KEY, ["ingested_at"], "window_start")
     found = Rollups(t.spark, scratch(t.spark, "rollups"), table)
     rows = t.metrics().select(*table.schema.names).persist()
-    write = found.writer(lambda batch, n: table.upsert(batch))
     for n in range(3):
-        write(rows.where(F.pmod(F.xxhash64(*METRIC_KEY), F.lit(3)) == n), n)
+        batch = rows.where(F.pmod(F.xxhash64(*METRIC_KEY), F.lit(3)) == n)
+        table.upsert(batch)
+        found.follow(batch, n)
     rows.unpersist()
     return found
 

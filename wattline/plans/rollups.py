@@ -71,6 +71,7 @@ class Rollups:
     """A table a grain under one folder, made from the hourly metrics table."""
 
     def __init__(self, spark: SparkSession, top: str, metrics: KeyedTable):
+        """``top`` is the roll-ups' folder, ``metrics`` the hourly table."""
         self.metrics = metrics
         self.tables = {g.name: KeyedTable(spark, f"{top.rstrip('/')}/{g.name.replace(' ', '_')}", ROLLED, KEY, ["windows"], "window_start") for g in GRAINS}
 
@@ -91,20 +92,11 @@ class Rollups:
         touched = None if days is None else [d for d in daily.manifest() if d[:7] in {x[:7] for x in days}]
         self.tables[month.name].upsert(rolled_up(daily.read(days=touched), month))
 
-    def writer(self, first: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-        """A ``foreachBatch`` function for the metrics query: ``first`` writes the batch, then its days are rolled up."""
-
-        def write(batch: DataFrame, batch_id: int) -> None:
-            batch = batch.persist()
-            try:
-                first(batch, batch_id)
-                days = [r[0] for r in batch.select(self.metrics.day()).distinct().collect()]  # those of one batch
-                if days:
-                    self.refresh(days)
-            finally:
-                batch.unpersist()
-
-        return write
+    def follow(self, batch: DataFrame, batch_id: int) -> None:
+        """Roll up the days of a batch of metrics that has just been written to their table; a ``foreachBatch`` function."""
+        days = [r[0] for r in batch.select(self.metrics.day()).distinct().collect()]  # those of one batch
+        if days:
+            self.refresh(days)
 
     def read(self, name: str) -> DataFrame:
         return as_rows(self.metrics.read()) if name == HOUR.name else self.tables[name].read()

@@ -69,7 +69,7 @@ def _references(tables: Tables) -> tuple[DataFrame, DataFrame]:
     return buildings, tables.baseline.read().select("building_id", "meter_type", "baseline_p75", "baseline_iqr")
 
 
-def _both(first: Callable, second: Callable) -> Callable[[DataFrame, int], None]:
+def both(first: Callable, second: Callable) -> Callable[[DataFrame, int], None]:
     """One ``foreachBatch`` function of two; the batch is computed once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -100,7 +100,7 @@ def run_job(spark: SparkSession, source: Source, tables: Tables, schema: dict, s
     settings = {"attempts": options.write_attempts, "wait_s": options.write_wait_s}
     writers = {"metrics": upsert_writer(tables.metrics, **settings), "events": upsert_writer(tables.events, on_collision=warn, **settings)}
     for name, more in (also or {}).items():
-        writers[name] = _both(writers[name], more)
+        writers[name] = both(writers[name], more)
     recorder = ProgressRecorder(options.run_id, lambda rows: tables.progress.insert_ignore(progress_frame(spark, rows)), lag=lag)
     orphans = OrphanWatch(lambda: tables.events.read(), lambda: tables.buildings.read(), options.orphan_check_every)
     flushed = [time.monotonic()]

@@ -21,6 +21,8 @@ from wattline.schemas import PROGRESS
 from wattline.sources.log import FORMAT, register
 
 log = logging.getLogger(__name__)
+#: Seconds that a query's name may take to be free again.
+RELEASE_S = 10.0
 
 
 @dataclass
@@ -91,7 +93,19 @@ def _start(df: DataFrame, name: str, write: Callable[[DataFrame, int], None], op
     Python sources have no bounded batches under Spark's own trigger for that, so
     the query runs on and is stopped once it has nothing left to do.
     """
-    writer = df.writeStream.queryName(name).outputMode("append").option("checkpointLocation", f"{options.checkpoint_dir}/{name}").foreachBatch(write)
+
+    def told(batch: DataFrame, batch_id: int) -> None:
+        # A stop in the middle of a batch comes back as a chain of Java errors; the query gets their first line, as an error of its own.
+        try:
+            write(batch, batch_id)
+        except Exception as error:
+            log.debug("batch %d of %s failed", batch_id, name, exc_info=True)
+            raise RuntimeError(f"{type(error).__name__}: {(str(error).splitlines() or [''])[0]}") from None
+
+    ended = time.monotonic() + RELEASE_S
+    while any(q.name == name for q in df.sparkSession.streams.active) and time.monotonic() < ended:
+        time.sleep(0.05)  # a query that has just ended still holds its name for a moment
+    writer = df.writeStream.queryName(name).outputMode("append").option("checkpointLocation", f"{options.checkpoint_dir}/{name}").foreachBatch(told)
     if options.trigger is not None:
         return writer.trigger(processingTime=options.trigger).start()
     query = writer.trigger(processingTime="0 seconds").start()
