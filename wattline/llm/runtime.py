@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 _SHIPPED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 _TUNED: list[bool] = []
-RELEASE_S = 1.5
+RELEASE_S = 0.5
 _RELEASED = [0.0]
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -84,7 +84,7 @@ def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nobody holds any more; at most every ``RELEASE_S`` seconds, as small steps leave little behind."""
+    """Let Spark delete the shuffle files of plans that nobody holds any more; at most every ``RELEASE_S`` seconds."""
     if time.monotonic() - _RELEASED[0] < RELEASE_S:
         return
     gc.collect()
