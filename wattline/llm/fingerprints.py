@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ _PAIRS = [a + b for a in ALPHABET for b in ALPHABET]
 _POWERS = [U64(0x9E3779B97F4A7C15**k % 2**64) for k in range(WINDOW)]
 TOLD = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 LONG = 1 << 20
+#: Borders are a constant of the plan.
+MOST_RANGES = 1 << 14
 
 
 def block_size(chars: int) -> int:
@@ -153,18 +156,18 @@ def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in TOLD.split(", ")])
 
 
+def _keys(found: list[tuple]) -> Column:
+    """Sorted keys as one constant that the optimizer folds."""
+    rows = [{"no": no, "doc": doc, "h": h} for no, doc, h in found]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<no: boolean, doc: bigint, h: bigint>>")
+
+
 def _place(key: Column, least: list) -> Column:
     """How many of the sorted keys ``least`` are at most ``key``: a binary search."""
-    at, step = F.lit(0), 1
-    while step * 2 <= len(least):
-        step *= 2
-    known = F.array(*[F.struct(F.lit(no).alias("no"), F.lit(d).cast("long").alias("doc"), F.lit(h).cast("long").alias("h")) for no, d, h in least])
-    steps = []
-    while step:
-        steps.append(step)
-        step //= 2
-    inside = lambda p, s: (p + s <= len(least)) & (F.coalesce(F.try_element_at(known, (p + s).cast("int")), known[0]) <= key)
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), at, lambda p, s: F.when(inside(p, s), p + s).otherwise(p))
+    steps = [1 << k for k in range(len(least).bit_length() - 1, -1, -1)]
+    known = _keys(least)
+    inside = lambda p, s: (p + s <= len(least)) & (F.try_element_at(known, (p + s).cast("int")) <= key)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda p, s: F.when(inside(p, s), p + s).otherwise(p))
 
 
 def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -188,7 +191,7 @@ def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     spark = session_of(docs)
     ship(spark)
-    parts = parts or 4 * task_count(spark)
+    parts = parts or min(4 * task_count(spark), MOST_RANGES)
     doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
     key = F.struct(F.col("doc_id").isNull().alias("no"), F.coalesce(doc, F.lit(0)).alias("doc"), F.xxhash64(text).alias("h"))
     narrow = checkpointed(docs.select(key.alias("key")))
@@ -199,7 +202,7 @@ def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     hot = [tuple(r["key"]) for r in narrow.groupBy("key").count().where(F.col("count") > often).collect()]  # fewer than ``parts``
     is_hot = F.lit(False)
     if hot:
-        is_hot = F.col("key").isin(*[F.struct(F.lit(no).alias("no"), F.lit(d).cast("long").alias("doc"), F.lit(h).cast("long").alias("h")) for no, d, h in hot])
+        is_hot = F.array_contains(_keys(hot), F.col("key"))
     ranged = narrow.where(~is_hot).unionByName(narrow.where(is_hot).distinct()) if hot else narrow
     borders = ranged.repartitionByRange(parts, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("key")).orderBy("key")
     least = [tuple(r["key"]) for r in borders.collect()]  # a row a range
@@ -215,7 +218,7 @@ def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
         more = met.where("copies > 1").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 2) div {run}"))))
         copies = more.select("doc_id", "text", "key", F.least(F.col("copies") - 1 - F.col("run") * run, F.lit(run)).alias("copies"), F.pmod(F.xxhash64("key", "run"), F.lit(parts)).cast("int").alias("part"), F.lit(2).alias("role"))
     placed = moving.withColumn("at", _place(F.col("key"), least) - 1)
-    starts = F.col("key") == F.element_at(F.array(*[F.struct(F.lit(no).alias("no"), F.lit(d).cast("long").alias("doc"), F.lit(h).cast("long").alias("h")) for no, d, h in least]), F.col("at") + 1)
+    starts = F.col("key") == F.element_at(_keys(least), F.col("at") + 1)
     own = F.struct(F.col("at").alias("part"), F.lit(0).alias("role"))
     ahead = F.struct(F.pmod(F.col("at") - 1, F.lit(len(least))).alias("part"), F.lit(1).alias("role"))
     dealt = placed.withColumn("to", F.explode(F.when(starts, F.array(own, ahead)).otherwise(F.array(own)))).select("doc_id", "text", "key", "copies", "to.part", "to.role")
