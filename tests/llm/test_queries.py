@@ -2,11 +2,11 @@
 
 import os
 
-import duckdb
 import pytest
 
 from wattline.llm.queries import ORACLES, QUERIES
 
+duckdb = pytest.importorskip("duckdb")
 FOLDER = "/root/testdata/sf0.001"
 
 
