@@ -26,7 +26,7 @@ from wattline.streaming.job import Tables, expected_metrics, load_references, ru
 from wattline.streaming.replay import replay
 from wattline.streaming.reset import reset_state
 from wattline.streaming.runtime import JobOptions, ProgressRecorder, kafka_options, kafka_source, log_source, progress_frame, query_starters, supervise
-from wattline.streaming.sinks import KeyedTable, create_sql, ensure_table, kafka_write_options, log_writer
+from wattline.streaming.sinks import create_sql, ensure_table, kafka_write_options, log_writer
 
 T0 = datetime(2024, 1, 1)
 

@@ -40,12 +40,6 @@ RAW_READINGS = T.StructType([
     T.StructField("timestamp", T.StringType()),
     T.StructField("meter_reading", T.DoubleType()),
 ])
-LOG = T.StructType([
-    T.StructField("key", T.StringType()),
-    T.StructField("partition", T.IntegerType()),
-    T.StructField("offset", T.LongType()),
-    T.StructField("value", T.BinaryType()),
-])
 PROGRESS = T.StructType([
     T.StructField("trigger_ts", T.TimestampType()),
     T.StructField("run_id", T.StringType()),
