@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from wattline.streaming.sinks import KeyedTable, Run
 
@@ -130,3 +131,34 @@ def test_pins_keep_a_version(spark, tmp_path):
         table.upsert(batch(spark, (1, 0, v)))
     assert not os.listdir(tmp_path / "t" / "_pins") or all(not n.endswith(".pin") for n in os.listdir(tmp_path / "t" / "_pins"))
     assert held(table) == [(1, 0, 7)]
+
+
+def most_memory_of_a_task(spark, action):
+    """The largest mean over a stage's tasks, of the stages that ``action`` runs."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = lambda: store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    listed = lambda: {(x := found.apply(i)).stageId(): x.peakExecutionMemory() / max(1, x.numTasks()) for found in [stages()] for i in range(found.size())}
+    before = set(listed())
+    action()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return max(m for stage, m in listed().items() if stage not in before)
+
+
+def test_a_task_does_not_gather_the_sorts_of_all_partitions(spark, tmp_path):
+    """As in a batch of a query with state: as many partitions as it has, not joined at run time."""
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("k"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), F.col("id").cast("double").alias("v"))
+    used = {}
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (4, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            table = KeyedTable(spark, str(tmp_path / f"t{n}"), "k string, ts timestamp, v double", ["k"], ["v"], "ts")
+            table.create()
+            used[n] = most_memory_of_a_task(spark, lambda table=table: table.upsert(rows))
+            assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, rows.collect()))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert used[40] <= 2 * used[4]

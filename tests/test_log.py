@@ -172,3 +172,15 @@ def test_workers_get_the_package(tmp_path):
         env["PYTHONPATH"] = os.pathsep.join(x for x in os.environ["PYTHONPATH"].split(os.pathsep) if os.path.abspath(x) != TOP)
     out = subprocess.run([sys.executable, "-c", ELSEWHERE.format(top=TOP, log=str(tmp_path / "log"))], cwd=tmp_path, capture_output=True, text=True, env=env)
     assert "READ 1.5" in out.stdout and "STREAMED 1.5" in out.stdout, out.stderr[-2000:]
+
+
+def test_tasks_that_write_the_log_grow_with_the_events(spark, monkeypatch):
+    from wattline.plans import queries
+    from wattline.sources.fixtures import Tables
+
+    monkeypatch.setattr(queries, "ROWS_PER_TASK", 50)
+    folder = LogFolder(queries._written_log(Tables(spark, "/root/testdata/sf0.001")))
+    events = Tables(spark, "/root/testdata/sf0.001").telemetry().count()
+    commits = [folder.commit(n) for n in folder.numbers()]
+    assert len(commits) == 4 and folder.last().records == events
+    assert max(s.count for c in commits for s in c.segments) <= 100 < events / 8

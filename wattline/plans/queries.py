@@ -348,15 +348,20 @@ def ingest_json(t: Tables) -> DataFrame:
 
 
 # --- the log and the job over it ----------------------------------------------
+#: Rows that a task sorts and writes to the log.
+ROWS_PER_TASK = 200_000
+
+
 def _written_log(t: Tables, commits: int = 4) -> str:
     """The events as a log, appended by several commits in the order of time."""
     path, schema = scratch(t.spark, "log"), _valid_schema()
     at = F.unix_micros("timestamp").cast("double")
     events = t.telemetry()
+    tasks = max(2, 1 + events.count() // (commits * ROWS_PER_TASK))
     borders = [None, *events.withColumn("at", at).approxQuantile("at", [k / commits for k in range(1, commits)], 0.01), None]
     for n, (low, high) in enumerate(zip(borders, borders[1:])):
         part = events.where((F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high))
-        append_log(ingest.log_rows(part, schema, 7, 3), path, 2, "query", n)
+        append_log(ingest.log_rows(part, schema, 7, 3), path, tasks, "query", n)
     return path
 
 

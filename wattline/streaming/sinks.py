@@ -197,9 +197,13 @@ class KeyedTable:
             raise RuntimeError(f"{self.path} has another writer")
 
     def _write(self, rows: DataFrame, count: int) -> str:
-        """Rows as new files, a folder a partition: the name of the folder above them."""
+        """Rows as new files, a folder a partition: the name of the folder above them.
+
+        Rows are shuffled to the tasks that write: with ``coalesce`` those few
+        tasks would also do all that makes up the rows.
+        """
         fresh = f"data/{uuid.uuid4().hex}"
-        rows.withColumn("part_day", self.day()).coalesce(1 + count // self.rows_per_file).write.partitionBy("part_day").parquet(f"{self.path}/{fresh}")
+        rows.withColumn("part_day", self.day()).repartition(1 + count // self.rows_per_file, *self.keys).write.partitionBy("part_day").parquet(f"{self.path}/{fresh}")
         return fresh
 
     def _merge(self, rows: DataFrame, ignores: bool, days: dict[str, Extent] | None) -> None:
